@@ -20,6 +20,7 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -37,7 +38,7 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 BLOCK_IDS = 1 << 16
 SHARD_IDS = 1 << 20
-CACHE_WORDS = 700_000
+CACHE_WORDS = 400_000
 MAGIC = b"PLN1"
 
 
@@ -51,6 +52,7 @@ class Encoder:
     """Encodes text columns word by word. The first CACHE_WORDS words are kept; frequent ones come early."""
 
     def __init__(self, path: str | None = None):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the threads
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path or vocabulary_path())
@@ -117,10 +119,21 @@ class Encoder:
             yield i, j, out, np.bincount(row, weights=each, minlength=n).astype(np.int64)
 
 
+_encoders: dict[str | None, Encoder] = {}
+
+
+def encoder(path: str | None = None) -> Encoder:
+    """One encoder a Python worker: tasks that follow find its words."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """The same documents, each followed by end_id."""
-    stops = np.cumsum(counts)
-    return np.insert(ids, stops, end_id).astype(np.uint32), counts + 1
+    out = np.full(len(ids) + len(counts), end_id, np.uint32)
+    out[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids
+    return out, counts + 1
 
 
 def pack(ids: np.ndarray, counts: np.ndarray, block: int = BLOCK_IDS, level: int = 1) -> bytes:
@@ -134,8 +147,8 @@ def pack(ids: np.ndarray, counts: np.ndarray, block: int = BLOCK_IDS, level: int
         index.append(struct.pack("<I", len(part)))
         of_byte = part.view(np.uint8).reshape(-1, 4)
         for k in range(width):
-            bits = np.packbits(np.unpackbits(of_byte[:, k : k + 1], axis=1).T, axis=1)  # 8 rows: a plane for each bit
-            done = press.compress(bits.tobytes())
+            byte = np.ascontiguousarray(of_byte[:, k])
+            done = press.compress(b"".join(np.packbits((byte & (128 >> bit)) != 0).tobytes() for bit in range(8)))
             index.append(struct.pack("<II", at, len(done)))
             planes.append(done)
             at += len(done)
@@ -158,8 +171,11 @@ def unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
         of_byte = np.zeros((n, 4), np.uint8)
         for k in range(width):
             at, length = struct.unpack_from("<II", payload, 28 + b * entry + 4 + 8 * k)
-            bits = np.frombuffer(open_.decompress(payload[body + at : body + at + length]), np.uint8).reshape(8, -1)
-            of_byte[:, k] = np.packbits(np.unpackbits(bits, axis=1)[:, :n].T, axis=1)[:, 0]
+            planes = np.frombuffer(open_.decompress(payload[body + at : body + at + length]), np.uint8).reshape(8, -1)
+            byte = np.zeros(n, np.uint8)
+            for bit in range(8):
+                byte |= np.unpackbits(planes[bit], count=n) << np.uint8(7 - bit)
+            of_byte[:, k] = byte
         ids[done : done + n] = of_byte.reshape(-1).view("<u4")
         done += n
     return ids, np.frombuffer(payload, "<u4", docs, 28 + size).astype(np.int64)
@@ -174,7 +190,7 @@ def write_shards(docs: DataFrame, path: str | None = None, end_id: int = END_ID,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encoder, shard = TaskContext.get().partitionId(), Encoder(path), 0
+        part, coder, shard = TaskContext.get().partitionId(), encoder(path), 0
         held: list[tuple[np.ndarray, np.ndarray, list]] = []
         size = 0
 
@@ -189,7 +205,7 @@ def write_shards(docs: DataFrame, path: str | None = None, end_id: int = END_ID,
 
         for batch in batches:
             keys = batch.column(0)
-            for i, j, ids, counts in encoder.column(batch.column(1)):
+            for i, j, ids, counts in coder.column(batch.column(1)):
                 ids, counts = with_end(ids, counts, end_id)
                 if held and size + len(ids) > shard_ids:
                     yield close()

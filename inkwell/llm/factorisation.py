@@ -2,8 +2,9 @@
 
     logit = w0 + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j,
 
-the pair term in linear time as half of sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2). The model is a few arrays of fixed
-size (2^bits rows), so broadcasting it is bounded whatever the data. Fitting takes at most `sample` labelled documents, those
+the pair term in linear time as half of sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2). Features are 44-bit hashes; the
+model keeps those that the bounded sample made useful, so its size, and what is broadcast, is bounded by the sample whatever
+the data. Fitting takes at most `sample` labelled documents, those
 with the least hash of their id; scoring covers every document.
 """
 
@@ -26,26 +27,38 @@ SAMPLE = 10_000
 @dataclass
 class Model:
     bias: float
+    ids: np.ndarray  # sorted features
     linear: np.ndarray
     factors: np.ndarray
 
+    def __post_init__(self):
+        self.likely = np.zeros(1 << 20, bool)  # by a feature's last 20 bits: most features of a text are not in the model
+        self.likely[self.ids & 0xFFFFF] = True
+
     def score(self, rows: int, row: np.ndarray, feature: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """Probability of label 1 for each of `rows` rows; a row without features gets the bias."""
+        """Probability of label 1 for each of `rows` rows; a row without known features gets the bias."""
         logit = np.full(rows, self.bias)
+        maybe = np.flatnonzero(self.likely[feature & 0xFFFFF])
+        place = np.searchsorted(self.ids, feature[maybe])
+        place[place == len(self.ids)] = 0
+        hit = self.ids[place] == feature[maybe] if len(self.ids) else np.zeros(len(maybe), bool)
+        place, row, value = place[hit], row[maybe[hit]], value[maybe[hit]]
         if len(row):
             first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-            xv = self.factors[feature] * value[:, None]
+            xv = self.factors[place] * value[:, None]
             pairs = (np.add.reduceat(xv, first, axis=0, dtype=np.float64) ** 2).sum(1) - np.add.reduceat((xv * xv).sum(1), first, dtype=np.float64)
-            logit[row[first]] += np.add.reduceat(self.linear[feature] * value, first, dtype=np.float64) + pairs / 2
+            logit[row[first]] += np.add.reduceat(self.linear[place] * value, first, dtype=np.float64) + pairs / 2
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def fit(rows: int, row: np.ndarray, feature: np.ndarray, value: np.ndarray, label: np.ndarray, size: int, factors: int = 8, epochs: int = 12, batch: int = 128, rate: float = 0.05, decay: float = 2e-4, least: int = 4, screen: float = 0.0, common: float = 0.05, seed: int = 7) -> Model:
+def fit(rows: int, row: np.ndarray, feature: np.ndarray, value: np.ndarray, label: np.ndarray, factors: int = 8, epochs: int = 12, batch: int = 128, rate: float = 0.05, decay: float = 2e-4, least: int = 4, screen: float = 0.0, common: float = 0.05, seed: int = 7) -> Model:
     """Logistic loss, both classes of equal weight up to a factor of 3, adaptive steps; features in fewer than `least` rows keep weight 0.
 
     screen: so many standard deviations must a feature's count among rows of label 1 be off its expectation, unless at least
     the share `common` of all rows has it; it keeps rare chance words out where labels are few."""
     random = np.random.default_rng(seed)
+    ids, feature = np.unique(feature, return_inverse=True)
+    size = len(ids)
     count = np.bincount(feature, minlength=size)
     useful = count >= least
     if screen and rows:
@@ -73,56 +86,54 @@ def fit(rows: int, row: np.ndarray, feature: np.ndarray, value: np.ndarray, labe
             where = np.repeat(bounds[docs] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
             seg = np.repeat(np.arange(len(docs)), lengths)
             f, x = at[where], value[where]
-            ids, f = np.unique(f, return_inverse=True)
-            xv = v[ids][f] * x[:, None]
+            at_, f = np.unique(f, return_inverse=True)
+            xv = v[at_][f] * x[:, None]
             total = np.stack([np.bincount(seg, xv[:, k], len(docs)) for k in range(factors)], 1)
-            logit = bias + np.bincount(seg, w[ids][f] * x, len(docs)) + ((total**2).sum(1) - np.bincount(seg, (xv * xv).sum(1), len(docs))) / 2
+            logit = bias + np.bincount(seg, w[at_][f] * x, len(docs)) + ((total**2).sum(1) - np.bincount(seg, (xv * xv).sum(1), len(docs))) / 2
             error = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - label[docs]) * weight[docs] / len(docs)
             ex = error[seg] * x
-            dw = np.bincount(f, ex, len(ids)) + decay * w[ids]
+            dw = np.bincount(f, ex, len(at_)) + decay * w[at_]
             inner = ex[:, None] * (total[seg] - xv)
-            dv = np.stack([np.bincount(f, inner[:, k], len(ids)) for k in range(factors)], 1) + decay * v[ids]
-            gw[ids] += dw * dw
-            gv[ids] += dv * dv
-            w[ids] -= rate * dw / np.sqrt(gw[ids])
-            v[ids] -= 0.3 * rate * dv / np.sqrt(gv[ids])
+            dv = np.stack([np.bincount(f, inner[:, k], len(at_)) for k in range(factors)], 1) + decay * v[at_]
+            gw[at_] += dw * dw
+            gv[at_] += dv * dv
+            w[at_] -= rate * dw / np.sqrt(gw[at_])
+            v[at_] -= 0.3 * rate * dv / np.sqrt(gv[at_])
             gb += error.sum() ** 2
             bias -= rate * error.sum() / np.sqrt(gb)
-    linear, pairs = np.zeros(size, np.float32), np.zeros((size, factors), np.float32)
-    linear[used], pairs[used] = w, v
-    return Model(float(bias), linear, pairs)
+    return Model(float(bias), ids[used], w.astype(np.float32), v.astype(np.float32))
 
 
-def learn(docs: DataFrame, labels: DataFrame, features: Features, size: int, sample: int = SAMPLE, **how) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, features: Features, sample: int = SAMPLE, **how) -> Model:
     """Fits on at most `sample` of labels(doc_id, label). A repeated doc_id in labels counts once, with its highest label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, row, feature, value in features(b.column("text"), b.column("meta")):
                 cut = np.searchsorted(row, np.arange(j - i + 1))
-                lists = [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x)) for x in (feature.astype(np.int32), value.astype(np.float32))]
+                lists = [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x)) for x in (feature, value.astype(np.float32))]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id")[i:j], b.column("label")[i:j], *lists], names=["doc_id", "label", "feature", "value"])
 
     chosen = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     chosen = chosen.withColumn("_h", F.xxhash64("doc_id")).orderBy("_h", "doc_id").limit(sample).drop("_h")
     known = docs.select("doc_id", "text", "meta").join(F.broadcast(chosen), "doc_id")  # at most `sample` rows of two numbers
-    got = known.select("doc_id", "label", "text", "meta").mapInArrow(run, "doc_id long, label int, feature array<int>, value array<float>").toArrow()
+    got = known.select("doc_id", "label", "text", "meta").mapInArrow(run, "doc_id long, label int, feature array<bigint>, value array<float>").toArrow()
     order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
     got = got.take(pa.array(order)).combine_chunks()
     lists = got["feature"].combine_chunks() if got.num_rows else None
     if lists is None:
-        return Model(0.0, np.zeros(size, np.float32), np.zeros((size, 1), np.float32))
+        return Model(0.0, np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros((0, 1), np.float32))
     if isinstance(lists, pa.ChunkedArray):
         lists = lists.chunk(0)
     values = got["value"].combine_chunks()
     values = values.chunk(0) if isinstance(values, pa.ChunkedArray) else values
     row = np.repeat(np.arange(got.num_rows), np.diff(lists.offsets.to_numpy()))
-    return fit(got.num_rows, row, lists.flatten().to_numpy(), values.flatten().to_numpy().astype(np.float64), got["label"].to_numpy().astype(np.float64), size, **how)
+    return fit(got.num_rows, row, lists.flatten().to_numpy(), values.flatten().to_numpy().astype(np.float64), got["label"].to_numpy().astype(np.float64), **how)
 
 
 def score(docs: DataFrame, model: Model, features: Features) -> DataFrame:
     """docs(doc_id, text, meta) -> doc_id, score."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # arrays of fixed size
+    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value

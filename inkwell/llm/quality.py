@@ -51,7 +51,6 @@ def _classes() -> np.ndarray:
 
 CLASSES = _classes()
 STATISTICS = 14
-SIZE = (1 << BITS) + STATISTICS * BINS
 NO_LINE = np.zeros(256, bool)
 NO_LINE[10] = True
 
@@ -91,7 +90,7 @@ def quality_features(texts: pa.Array, meta: pa.Array | None) -> Iterator[tuple[i
     for i, j, data, at in slices(texts):
         row, term = distinct_terms(data, at)
         n = np.bincount(row, minlength=j - i)
-        bins = structure(data, at, known[i:j]) + np.arange(STATISTICS) * BINS + (1 << BITS)
+        bins = structure(data, at, known[i:j]) + np.arange(STATISTICS) * BINS + (1 << BITS)  # past all hashes
         all_rows = np.r_[row, np.repeat(np.arange(j - i), STATISTICS)]
         order = np.argsort(all_rows, kind="stable")
         value = np.r_[1 / np.sqrt(np.maximum(n[row], 1)), np.ones(bins.size)]
@@ -105,7 +104,7 @@ def _input(docs: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """labels: doc_id, label."""
-    return learn(_input(docs), labels, quality_features, SIZE, sample)
+    return learn(_input(docs), labels, quality_features, sample)
 
 
 def quality(docs: DataFrame, model: Model) -> DataFrame:

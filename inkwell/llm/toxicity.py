@@ -1,7 +1,7 @@
 """Operator 6: toxicity by a factorisation machine over hashed terms.
 
-A document's features are its distinct terms (runs of letters, digits and non-ASCII bytes, A-Z lowered), hashed to 2^18
-places with value 1; the machine learns single terms and pairs of them (an insult beside a group's name), which no additive
+A document's features are its distinct terms (runs of letters, digits and non-ASCII bytes, A-Z lowered), hashed, and stems
+that two, three or four of its distinct terms share (inflected forms of one word), all with value 1; the machine learns single terms and pairs of them (an insult beside a group's name), which no additive
 weight can tell. Only texts and labels of training rows are used.
 
 Defined cases: null or empty text has no terms and scores the bias; a null doc_id is kept and is never held out by its
@@ -18,28 +18,48 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.byte_arrays import LOWER, NO_TERM, slices, word_hashes, words
+from inkwell.llm.byte_arrays import LOWER, NO_TERM, mixed, slices, word_hashes, words
 from inkwell.llm.factorisation import SAMPLE, Model, learn, score
 from inkwell.tables import table
 
-BITS = 18
+BITS = 44
+MASK = (1 << BITS) - 1
+#: Stems are the first so many bytes of longer terms; a stem counts once so many distinct terms share it.
+STEMS = (4, 5, 6, 7, 8)
+FORMS = (2, 3, 4)
 THRESHOLD = 0.7
 SCREEN = 4.0
 RATE = 0.3
 
 
-def distinct_terms(data: np.ndarray, at: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hashed term) of each distinct term of each row, sorted."""
+def distinct_terms(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, 44-bit hash) of each distinct term of each row, sorted."""
     start, end, row = words(data, at, NO_TERM)
-    h = word_hashes(LOWER[data], start, end) >> np.uint64(64 - bits)
-    both = np.unique((row.astype(np.uint64) << np.uint64(bits)) | h)
-    return (both >> np.uint64(bits)).astype(np.int64), (both & np.uint64((1 << bits) - 1)).astype(np.int64)
+    both = np.unique((row << BITS) | _short(word_hashes(LOWER[data], start, end)))
+    return both >> BITS, both & MASK
+
+
+def _short(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def term_features(texts: pa.Array, meta: pa.Array | None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     for i, j, data, at in slices(texts):
-        row, term = distinct_terms(data, at)
-        yield i, j, row, term, np.ones(len(row))
+        low = LOWER[data]
+        start, end, row = words(low, at, NO_TERM)
+        found, where = np.unique((row << BITS) | _short(word_hashes(low, start, end)), return_index=True)
+        start, end, row = start[where], end[where], row[where]
+        all_ = [found]
+        for n in STEMS:
+            long = end - start > n
+            s = start[long]
+            stem, count = np.unique((row[long] << BITS) | _short(word_hashes(low, s, s + n)), return_counts=True)
+            for least in FORMS:
+                key = stem[count >= least]
+                salted = mixed((key & MASK).astype(np.uint64) * np.uint64(64) + np.uint64(n * 8 + least))
+                all_.append((key & ~np.int64(MASK)) | _short(salted))
+        all_ = np.sort(np.concatenate(all_))
+        yield i, j, all_ >> BITS, all_ & MASK, np.ones(len(all_))
 
 
 def remainder(doc_id: Column, by: int) -> Column:
@@ -49,7 +69,7 @@ def remainder(doc_id: Column, by: int) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """labels: doc_id, label."""
-    return learn(docs.select("doc_id", "text", F.lit(None).cast("long").alias("meta")), labels, term_features, 1 << BITS, sample, screen=SCREEN, rate=RATE, common=2.0)
+    return learn(docs.select("doc_id", "text", F.lit(None).cast("long").alias("meta")), labels, term_features, sample, screen=SCREEN, rate=RATE, common=2.0)
 
 
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:

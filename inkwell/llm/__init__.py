@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that define QUERIES and ORACLES.
-MODULES = ("chat_format", "source_mix", "token_planes", "quality", "toxicity")
+MODULES = ("chat_format", "source_mix", "token_planes", "quality", "toxicity", "simhash")
 
 
 def entries() -> tuple[dict, dict]:

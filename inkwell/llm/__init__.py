@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that define QUERIES and ORACLES.
-MODULES = ("chat_format", "source_mix", "token_planes", "quality", "toxicity", "simhash", "decontaminate", "media_sequences")
+MODULES = ("chat_format", "ppm_score", "source_mix", "token_planes", "quality", "toxicity", "simhash", "decontaminate", "media_sequences")
 
 
 def entries() -> tuple[dict, dict]:

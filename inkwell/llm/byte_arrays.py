@@ -1,6 +1,6 @@
 """Text columns of Arrow batches as numpy byte arrays: words, their hashes and their owners, without a Python loop.
 
-Everything works on slices of a few MB (`slices`), so memory doesn't grow with batch size; one longer document is a slice
+Everything works on slices of about a MB (`slices`), so memory doesn't grow with batch size; one longer document is a slice
 of its own. Null texts count as empty.
 """
 
@@ -12,7 +12,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+SLICE_ROWS = 1000
 STEP = np.uint64(0x9E3779B97F4A7C15)
 BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -42,17 +43,18 @@ def slices(texts: pa.Array | pa.ChunkedArray, most: int = SLICE_BYTES) -> Iterat
     """(first row, last row + 1, bytes, offsets of the rows) of consecutive parts of a text column."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    if len(texts) == 0:
-        return
-    col = pc.fill_null(texts.cast(pa.large_binary()), b"")
-    at = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
-    held = col.buffers()[2]
-    data = np.frombuffer(held, np.uint8) if held is not None and held.size else np.zeros(0, np.uint8)
-    i = 0
-    while i < len(col):
-        j = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
-        yield i, j, data[at[i] : at[j]], at[i : j + 1] - at[i]
-        i = j
+    for base in range(0, len(texts), SLICE_ROWS):
+        col = texts.slice(base, SLICE_ROWS).cast(pa.large_binary())
+        if col.null_count:
+            col = pc.fill_null(col, b"")
+        at = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
+        held = col.buffers()[2]
+        data = np.frombuffer(held, np.uint8) if held is not None and held.size else np.zeros(0, np.uint8)
+        i = 0
+        while i < len(col):
+            j = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
+            yield base + i, base + j, data[at[i] : at[j]], at[i : j + 1] - at[i]
+            i = j
 
 
 def words(data: np.ndarray, at: np.ndarray, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -42,7 +42,7 @@ PIVOTS = 16
 CROWD = 32
 TABLES = 64
 WIDE_WORDS = 4  # 64-bit words of a wide fingerprint
-ROWS_AT_ONCE = 1 << 17
+ROWS_AT_ONCE = 1 << 15
 
 
 def shingle_hashes(data: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

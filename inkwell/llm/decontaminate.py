@@ -140,16 +140,44 @@ class Items:
 
 def contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE, least: int = LEAST, block_terms: int = BLOCK_TERMS) -> DataFrame:
     """doc_id, item_id, distance, item_terms, start_term, end_term: each document's best match of each item it holds."""
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return reduce(DataFrame.unionByName, [_against(source, block, rate, least) for block in _blocks(items, block_terms)])
+
+
+def without_items(docs: DataFrame, items: DataFrame, rate: float = RATE, least: int = LEAST, block_terms: int = BLOCK_TERMS) -> DataFrame:
+    """The rows of docs that hold no item; all columns as given, without a shuffle."""
+    return reduce(lambda d, block: _filtered(d, block, rate, least), _blocks(items, block_terms), docs)
+
+
+def _blocks(items: DataFrame, block_terms: int) -> list[DataFrame]:
     sized = items.select("item_id", "text", (F.floor(F.length(F.coalesce("text", F.lit(""))) / 2) + 1).alias("most"))
     total = sized.agg(F.coalesce(F.sum("most"), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_terms))
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return reduce(DataFrame.unionByName, [_against(source, sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b), rate, least) for b in range(blocks)])
+    return [sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) for b in range(blocks)]
 
 
-def _against(docs: DataFrame, items: DataFrame, rate: float, least: int) -> DataFrame:
+def _held(spark: SparkSession, items: DataFrame):
     rows = items.select("item_id", "text").orderBy("item_id", "text").collect()  # one block of bounded size
-    held = docs.sparkSession.sparkContext.broadcast(([r.item_id for r in rows], [r.text for r in rows]))
+    return spark.sparkContext.broadcast(([r.item_id for r in rows], [r.text for r in rows]))
+
+
+def _filtered(docs: DataFrame, items: DataFrame, rate: float, least: int) -> DataFrame:
+    held, at_ = _held(docs.sparkSession, items), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = Items(*held.value, rate, least)
+        for b in batches:
+            keep = np.ones(b.num_rows, bool)
+            for i, _, data, at in slices(b.column(at_)):
+                for d, *_rest in block.search(*terms(data, at)):
+                    keep[i + d] = False
+            yield b.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _against(docs: DataFrame, items: DataFrame, rate: float, least: int) -> DataFrame:
+    held = _held(docs.sparkSession, items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = Items(*held.value, rate, least)

@@ -86,14 +86,22 @@ def majority(row: np.ndarray, h: np.ndarray, rows: int, longs: int = 1) -> np.nd
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, longs: int = 1) -> DataFrame:
-    """doc_id, w0 ... : one row a document."""
+def _distinct(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((h, row))
+    row, h = row[order], h[order]
+    new = np.r_[True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])] if len(row) else np.zeros(0, bool)
+    return row[new], h[new]
+
+
+def fingerprints(docs: DataFrame, shingle: int = 3, longs: int = 1, distinct: bool = False) -> DataFrame:
+    """doc_id, w0 ... : one row a document. distinct: repeated shingles of a document count once."""
     names = [f"w{k}" for k in range(longs)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, data, at in slices(b.column(1)):
                 row, h = shingle_hashes(data, at, shingle)
+                row, h = _distinct(row, h) if distinct else (row, h)
                 prints = majority(row, h, j - i, longs)
                 yield pa.RecordBatch.from_arrays([b.column(0)[i:j], *(pa.array(np.ascontiguousarray(prints[:, k])) for k in range(longs))], names=["doc_id", *names])
 
@@ -212,6 +220,50 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, limit: int = 2) -> DataFr
     return prints.join(by_node, "node").select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def wide_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tables: int = TABLES) -> DataFrame:
+    """row, component: groups among docs(row, text) whose sets of word shingles are similar (Jaccard) at `similarity` or more.
+
+    Candidates meet in wide mode and are verified on the shingle sets themselves. component is the least row of a group."""
+    longs = WIDE_WORDS
+    names = [f"w{k}" for k in range(longs)]
+    prints = fingerprints(docs.select(F.col("row").alias("doc_id"), "text"), shingle, longs, distinct=True)
+    prints = stored(prints.select(F.col("doc_id").alias("row"), F.xxhash64(*names).alias("node"), *names), "wide")
+    nodes = stored(prints.groupBy("node").agg(F.min("row").alias("least"), *[F.min(x).alias(x) for x in names]), "wide-nodes")
+    width = max(16, int(np.ceil(np.log2(max(2, nodes.count())))) + 2)
+    apart = 1 - 2 * similarity / (1 + similarity)  # of the cosine at this similarity
+    limit = int(64 * longs * (np.arccos(1 - apart) / np.pi) + 3 * np.sqrt(64 * longs) / 2 * 0.72)
+    near = stored(links(nodes, longs, random_tables(tables, width, longs), limit, exact=False).select("a", "b").distinct(), "wide-links")
+    wanted = near.select(F.col("a").alias("node")).union(near.select("b")).distinct().join(nodes.select("node", F.col("least").alias("row")), "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, data, at in slices(b.column(1)):
+                row, h = _distinct(*shingle_hashes(data, at, shingle))
+                cut = pa.array(np.searchsorted(row, np.arange(j - i + 1)), pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.ListArray.from_arrays(cut, pa.array(h.view(np.int64)))], names=["node", "shingles"])
+
+    sets = stored(docs.select("row", "text").join(wanted, "row").select("node", "text").mapInArrow(run, "node long, shingles array<bigint>"), "wide-sets")
+    at = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"_{name}"))
+    common = F.size(F.array_intersect("_a", "_b"))
+    both = near.join(at("a"), "a").join(at("b"), "b").select("a", "b", common.alias("c"), (F.size("_a") + F.size("_b")).alias("n"))
+    label = components(both.where(F.col("c") >= similarity * (F.col("n") - F.col("c"))))
+    named = nodes.join(label, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
+    ids = named.groupBy("label").agg(F.min("least").alias("component"))
+    by_node = stored(named.join(ids, "label").select("node", "component"), "wide-components")
+    return prints.select("row", "node").join(by_node, "node").select("row", "component")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs without near-duplicates: of each group the row with the least doc_id (nulls last) stays. Columns as given."""
+    held = docs.select(F.struct("*").alias("d")).select("d", F.col("d.doc_id").alias("id"), F.col("d.text").alias("text"))
+    held = stored(held.withColumn("row", F.monotonically_increasing_id()), "near-dedup")
+    group = wide_duplicates(held.select("row", "text"), shingle, similarity)
+    group = stored(group.join(held.select("row", "id"), "row"), "near-groups")
+    stays = group.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row"))["row"].alias("stays"))
+    goes = group.join(stays, "component").where("row != stays").select("row")
+    return held.join(goes, "row", "left_anti").select("d.*")
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 

@@ -88,10 +88,12 @@ def _prefix(ranked: DataFrame, budgets: DataFrame, bins: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST, bins: int = BINS) -> DataFrame:
-    """One row a document: _row, doc_id, source, size, source_size, target, copies, taken. Reruns agree on any cluster."""
-    base = docs.select("doc_id", "source", words(F.col("text")).alias("size"))
-    base = base.withColumn("u", unit(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    base = stored(base.withColumn("_row", F.monotonically_increasing_id()), "mix")
+    """One row a document: _row, doc_id, source, size, source_size, target, copies, taken. Reruns agree on any cluster.
+
+    docs may bring unique row numbers (_row); else rows are numbered here."""
+    row = F.col("_row") if "_row" in docs.columns else F.monotonically_increasing_id()
+    base = docs.select(row.cast("long").alias("_row"), "doc_id", "source", words(F.col("text")).alias("size"))
+    base = stored(base.withColumn("u", unit(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), "mix")
     classes = base.where("size > 0").withColumn("_class", F.length(F.bin("size")) - 1).groupBy("source", "_class").agg(F.sum("size").alias("size"))
     targets = source_targets(base.groupBy("source").agg(F.sum("size").alias("size")), weights, share, most)
     c = classes.join(targets.select(F.col("source").alias("_s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
@@ -120,6 +122,14 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: i
     return out.select("_row", "doc_id", "source", "size", "source_size", F.round("target", 6).alias("target"), n.alias("copies"), (n * F.col("size")).alias("taken"))
 
 
+def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """The mix itself: each row of docs as often as it is taken, with the columns it came with."""
+    held = docs.select(F.struct("*").alias("d")).withColumn("_row", F.monotonically_increasing_id())
+    held = stored(held, "mix-docs")
+    copies = mix(held.select("_row", "d.doc_id", "d.source", "d.text"), weights, share, most).where("copies > 0").select("_row", "copies")
+    return held.join(copies, "_row").select(F.explode(F.array_repeat("d", F.col("copies").cast("int"))).alias("d")).select("d.*")
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 

@@ -216,7 +216,7 @@ def write_shards(docs: DataFrame, path: str | None = None, end_id: int = END_ID,
 
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    sorted_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     return stored(sorted_.mapInArrow(run, SHARDS), "planes")
 
 
@@ -229,20 +229,21 @@ def starts(shards: DataFrame) -> DataFrame:
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32, decoded from the stored payloads."""
+    """doc_id, start, n_tokens, ids_crc32, decoded from the stored payloads (which stay where they are)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, keys, payload in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+            for part, shard, keys, payload in zip(*(batch.column(k) for k in range(4)), strict=True):
                 ids, counts = unpack(payload.as_py())
                 stops = np.cumsum(counts)
                 begin = stops - counts
                 raw = ids.astype("<u4").tobytes()
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begin.tolist(), stops.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([keys.values, pa.array(begin + first.as_py()), pa.array(counts), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                n = len(counts)
+                yield pa.RecordBatch.from_arrays([pa.array([x.as_py()] * n, pa.int32()) for x in (part, shard)] + [keys.values, pa.array(begin), pa.array(counts), pa.array(crc, pa.int64())], names=["part", "shard", "doc_id", "inside", "n_tokens", "ids_crc32"])
 
-    placed = shards.join(starts(shards.select("part", "shard", "ids")), ["part", "shard"])
-    return placed.select("first", "doc_ids", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    rows = shards.select("part", "shard", "doc_ids", "payload").mapInArrow(run, "part int, shard int, doc_id long, inside long, n_tokens long, ids_crc32 long")
+    return rows.join(starts(shards.select("part", "shard", "ids")), ["part", "shard"]).select("doc_id", (F.col("first") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,3 +149,114 @@ def self_repeats(docs: DataFrame, min_run: int = 12) -> DataFrame:
     p = p.withColumn("k", k).withColumn("i", F.col("pos") - F.row_number().over(W.partitionBy("doc_id", "k").orderBy("pos")))
     r = p.groupBy("doc_id", "k", "i").agg(F.min("pos").alias("start"), F.min("again").alias("again"), (F.count("*") + min_run - 1).alias("words"))
     return r.select("doc_id", "start", "again", F.least(F.col("words"), F.col("k")).alias("words"))
+
+
+def sentence_words(docs: DataFrame) -> DataFrame:
+    """doc_id, ix, start, words: the word positions that each sentence covers (sentences cut at blanks, words never do)."""
+    s = docs.select("doc_id", F.posexplode(T.simple_sentences(F.coalesce("text", F.lit("")))).alias("ix", "sentence"))
+    s = s.select("doc_id", "ix", T.word_count(F.col("sentence")).cast("long").alias("words"))
+    before = F.sum("words").over(W.partitionBy("doc_id").orderBy("ix").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("words")
+    return s.select("doc_id", "ix", before.alias("start"), "words")
+
+
+def significant(runs: DataFrame, docs: DataFrame, total: int = 15, alone: int = 10, short: int = 8) -> DataFrame:
+    """Leaves out stock phrases: where a document and source share under `total` words, a run needs `alone` words, or `short`
+    words and half of its sentence."""
+    all_ = F.sum("words").over(W.partitionBy("doc_id", "source_id"))
+    s = sentence_words(docs).select("doc_id", F.col("start").alias("s_start"), F.col("words").alias("s_words"))
+    few = runs.withColumn("all", all_)
+    inside = few.where(F.col("all") < total).join(s, "doc_id").where((F.col("start") >= F.col("s_start")) & (F.col("start") < F.col("s_start") + F.col("s_words")))
+    kept = inside.where((F.col("words") >= alone) | ((F.col("words") >= short) & (F.col("words") * 2 >= F.col("s_words"))))
+    return few.where(F.col("all") >= total).select(runs.columns).unionByName(kept.select(runs.columns))
+
+
+def concept_rows(sentences: DataFrame) -> DataFrame:
+    """doc_id, ix, concept (distinct) of sentences(doc_id, ix, text): stems of content words, synonyms folded.
+
+    The synonym table is fixed (about a thousand forms), so it is broadcast."""
+    heads = sentences.sparkSession.createDataFrame(sorted(T.concept_heads().items()), "stem string, head string")
+    w = sentences.select("doc_id", "ix", F.explode(T.words(F.col("text"))).alias("word"))
+    w = w.where((F.length("word") >= 3) & ~T.is_stopword(F.col("word")) & ~F.col("word").rlike("^[0-9]+$"))
+    w = w.select("doc_id", "ix", T.stem(F.col("word")).alias("stem")).join(F.broadcast(heads), "stem", "left")
+    return w.select("doc_id", "ix", F.coalesce("head", "stem").alias("concept")).distinct()
+
+
+def paraphrases(sentences: DataFrame, source_sentences: DataFrame, threshold: float = 0.65, least: int = 7, shared: int = 5) -> DataFrame:
+    """doc_id, ix, source_id, source_ix, similarity: the source sentence that shares most concepts with each sentence.
+
+    An inverted index in two shuffles: concepts meet, meetings are counted. Concepts that only documents have fall out in
+    the join with the sources' (smaller) side."""
+    size = lambda c: F.count("*").over(W.partitionBy(c, "ix"))
+    a = concept_rows(sentences).withColumn("n", size("doc_id")).where(F.col("n") >= least)
+    b = concept_rows(source_sentences.withColumnRenamed("source_id", "doc_id")).withColumn("m", size("doc_id")).where(F.col("m") >= least - 2)
+    b = b.select(F.col("doc_id").alias("source_id"), F.col("ix").alias("source_ix"), "concept", "m")
+    p = a.join(b, "concept").groupBy("doc_id", "ix", "source_id", "source_ix", "n", "m").agg(F.count("*").alias("c")).where(F.col("c") >= shared)
+    p = p.withColumn("similarity", (F.col("c") / F.col("n") + F.col("c") / F.col("m")) / 2).where(F.col("similarity") >= threshold)
+    best = F.max_by(F.struct("source_id", "source_ix", "similarity"), F.struct(F.round("similarity", 9), -F.col("source_id"), -F.col("source_ix"))).alias("b")
+    return p.groupBy("doc_id", "ix").agg(best).select("doc_id", "ix", "b.source_id", "b.source_ix", F.round("b.similarity", 2).alias("similarity"))
+
+
+def word_weight(word: Column) -> Column:
+    """35 times a word's weight, whole: stop words 0, numbers 0.2, others 1 to 3 by length."""
+    return F.when(T.is_stopword(word), 0).when(word.rlike("^[0-9]+$"), 7).otherwise(35 + 5 * F.least(F.length(word), F.lit(14)))
+
+
+def best_phrases(docs: DataFrame, size: int = 10) -> DataFrame:
+    """doc_id, start, phrase, score: the weightiest run of `size` words (the first on ties; the whole text if shorter)."""
+    w = with_words(docs).withColumn("weights", F.transform("words", lambda x: word_weight(x).cast("long")))
+    n = F.least(F.size("words"), F.lit(size))
+    # running sums by one fold over the weights: (window sum, best sum, best end)
+    first = F.aggregate(F.slice("weights", 1, n), F.lit(0).cast("long"), lambda s, x: s + x)
+    steps = F.arrays_zip(F.slice("weights", n + 1, F.size("words")).alias("new"), F.slice("weights", 1, F.greatest(F.size("words") - n, F.lit(0))).alias("old"))
+    start = F.struct(first.alias("sum"), first.alias("best"), F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("i"))
+    fold = F.aggregate(steps, start, lambda s, x: F.struct(
+        (s["sum"] + x["new"] - x["old"]).alias("sum"), F.greatest(s["best"], s["sum"] + x["new"] - x["old"]).alias("best"),
+        F.when(s["sum"] + x["new"] - x["old"] > s["best"], s["i"] + 1).otherwise(s["at"]).alias("at"), (s["i"] + 1).alias("i")))
+    out = w.where(F.size("words") > 0).withColumn("b", fold)
+    return out.select("doc_id", F.col("b.at").alias("start"), F.array_join(F.slice("words", F.col("b.at").cast("int") + 1, n), " ").alias("phrase"), (F.col("b.best") / 35).alias("score"))
+
+
+def passages(docs: DataFrame, most: int = 40, least: int = 12) -> DataFrame:
+    """doc_id, ix, score: sentences to search for. With over `most` candidates the text is cut in as many equal stretches
+    and the most distinctive sentence (score 5 or more) of each is taken. Sentences under `least` words are not joined with
+    the next one, which the sequential form does."""
+    s = docs.select("doc_id", F.posexplode(T.simple_sentences(F.coalesce("text", F.lit("")))).alias("ix", "sentence"))
+    s = s.withColumn("raws", T.raw_words(F.col("sentence"))).where((F.size("raws") >= least) & ~F.col("sentence").rlike(r"(?i)^(?:table|figure|fig\.|equation)(?:[^A-Za-z0-9_]|$)"))
+    content = lambda r: ~T.is_stopword(T.normal(r)) & ~r.rlike("^[0-9]+$")
+    kept = F.filter("raws", content)
+    proper = F.filter(F.slice("raws", 2, F.size("raws")), lambda r: content(r) & r.rlike("^[A-Z]") & ~r.rlike("^[A-Z]+$"))
+    score = F.size(F.array_distinct(F.transform(kept, T.normal))) + 0.5 * F.size(F.filter(kept, lambda r: F.length(T.normal(r)) >= 9)) + 2 * F.size(proper)
+    s = s.select("doc_id", "ix", score.alias("score"))
+    doc = W.partitionBy("doc_id")
+    s = s.withColumn("n", F.count("*").over(doc)).withColumn("last", F.max("ix").over(doc))
+    s = s.where((F.col("n") <= most) | (F.col("score") >= 5))
+    bin_ = F.when(F.col("n") <= most, F.col("ix")).otherwise(F.floor(F.col("ix") * most / (F.col("last") + 1)))
+    rank = F.row_number().over(W.partitionBy("doc_id", "bin").orderBy(F.desc("score"), "ix"))
+    return s.withColumn("bin", bin_).withColumn("rank", rank).where("rank = 1").select("doc_id", "ix", "score")
+
+
+ISSUES = ("copied_uncited", "disguised", "tortured", "copied_cited", "own_work", "translated", "reworded_uncited", "quote_uncited", "reworded_cited", "repeated")
+
+
+def quotations(docs: DataFrame, least: int = 40) -> DataFrame:
+    """doc_id, ix, quotation: quoted stretches of `least` characters or more on one line, white space collapsed."""
+    found = F.filter(T.matches(F.coalesce("text", F.lit("")), r'["“][^"“”\n]{1,2000}?["”]'), lambda q: F.length(q) >= least)
+    return docs.select("doc_id", F.posexplode(F.transform(found, lambda q: F.regexp_replace(q, r"\s+", " "))).alias("ix", "quotation"))
+
+
+def issue_breakdown(issues: DataFrame) -> DataFrame:
+    """doc_id and a column for each kind: words in issues of that kind (quotations count one each)."""
+    n = F.when(F.col("kind") == "quote_uncited", 1).otherwise(F.col("words"))
+    return issues.groupBy("doc_id").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, n)), F.lit(0)).cast("long").alias(k) for k in ISSUES])
+
+
+def review(spans: DataFrame, docs: DataFrame, min_words: int = 0, excluded: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, words, matched, similarity, verdict after a reader's filters.
+
+    spans: doc_id, source_ids (best first), words; docs: doc_id, words. Sources in `excluded` fall out of their spans."""
+    left = F.filter("source_ids", lambda s: ~s.isin(*excluded)) if excluded else F.col("source_ids")
+    kept = spans.withColumn("source_ids", left).where((F.size("source_ids") > 0) & (F.col("words") >= min_words))
+    m = kept.groupBy("doc_id").agg(F.sum("words").alias("matched"))
+    d = docs.join(m, "doc_id", "left").withColumn("matched", F.coalesce("matched", F.lit(0)))
+    d = d.withColumn("similarity", F.floor(F.col("matched") * 1000 / F.greatest("words", F.lit(1)) + 0.5) / 10)
+    return d.select("doc_id", "words", "matched", "similarity", verdict(F.col("similarity")).alias("verdict"))

@@ -42,7 +42,9 @@ TOP_WORDS = 400_000
 END = 10  # no word holds it
 END_WORD = -1
 GRAM, WORD = 0, 1
-FLUSH = 3_000_000
+FLUSH = 1_500_000
+#: Bytes of text at once: a position costs some 60 bytes of arrays.
+SLICE = 1 << 18
 
 
 def sequences(data: np.ndarray, at: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -92,7 +94,7 @@ def counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
             held[kind], kept[kind] = [], 0
 
         for b in batches:
-            for i, j, data, at in slices(b.column(0)):
+            for i, j, data, at in slices(b.column(0), SLICE):
                 _, gram, _, h = sequences(data, at, order)
                 ends = (np.array([END_WORD], np.int64), np.array([j - i]))
                 for kind, part in ((GRAM, [np.unique(gram.view(np.int64), return_counts=True)]), (WORD, [np.unique(h, return_counts=True), ends])):
@@ -263,12 +265,15 @@ def score(docs: DataFrame, training: DataFrame, order: int = ORDER, shard_grams:
     low = _arrays(grams.select(F.col("key").bitwiseAND(F.lit(0xFFFFFF)).alias("key")).distinct().groupBy(two.alias("key")).agg(F.count("*").alias("n")))  # 65,536 rows at most
     source = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     groups = shards(grams, shard_grams)
-    passes = []
+    passes, sent = [], []
     for k, ends in enumerate(groups):
         mine = grams if len(groups) == 1 else grams.where(F.shiftrightunsigned("key", 8).bitwiseAND(F.lit(0xFFFF)).isin(ends))
         trie = Trie(*_arrays(mine), low, order)
-        passes.append(_pass(source, spark.sparkContext.broadcast((trie, None if len(groups) == 1 else np.array(ends), top if k == 0 else None)), k == 0, len(groups) > 1 and k == 0, [e for g in groups for e in g], order))
+        sent.append(spark.sparkContext.broadcast((trie, None if len(groups) == 1 else np.array(ends), top if k == 0 else None)))
+        passes.append(_pass(source, sent[-1], k == 0, len(groups) > 1 and k == 0, [e for g in groups for e in g], order))
     parts = stored(reduce(DataFrame.unionByName, passes), "ppm-scores")
+    for b in sent:  # what follows reads the stored scores
+        b.unpersist()
     first = parts.where("n_tokens is not null") if len(groups) > 1 else parts
     rare = first.select("_row", F.explode("rare").alias("key"))
     rare = rare.join(known.where(~frequent).select("key", "n"), "key").groupBy("_row").agg(F.sum(F.log10(F.col("n") + 1)).alias("base"), F.count("*").alias("known"))
@@ -296,7 +301,7 @@ def _pass(docs: DataFrame, held, with_words: bool, with_unknown: bool, all_ends:
         frequent = Table(top[0].view(np.uint64)) if top is not None else None
         gain = np.log10(top[1] + 1.0) if top is not None else None
         for b in batches:
-            for i, j, data, at in slices(b.column(2)):
+            for i, j, data, at in slices(b.column(2), SLICE):
                 owner, gram, row, h = sequences(data, at, order)
                 if mine is not None:
                     sel = mine[((gram >> np.uint64(8)) & np.uint64(0xFFFF)).astype(np.int64)]

@@ -97,13 +97,13 @@ def concepts(text: Column) -> Column:
 
 
 #: Latin letters with marks and the letters they are built on.
-_MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-_BARE = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
+BARE = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
 
 
 def normal_title(title: Column) -> Column:
     """Lower-case, without marks, tags and punctuation, single blanks."""
-    t = F.lower(F.regexp_replace(F.translate(title, _MARKED, _BARE), "[̀-ͯ]", ""))
+    t = F.lower(F.regexp_replace(F.translate(title, MARKED, BARE), "[̀-ͯ]", ""))
     return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, "<[^>]+>", " "), r"[^\p{L}\p{N}\s]", " "), r"\s+", " "))
 
 

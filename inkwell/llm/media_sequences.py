@@ -5,7 +5,8 @@ media table holds each payload as an 8-bit greyscale PNG, 192 samples a line. Re
 the digest, and sequences are put together again by position, so captions stay beside their media.
 
 Media tables are written to the shared folder by Spark; features are computed from the bytes read back. Features are small
-rows, made unique by digest before the join, so copies of one payload, however many, don't gather payloads anywhere.
+rows, made unique by digest before the join (which needs no further shuffle of them), so copies of one payload, however many,
+don't gather payloads anywhere.
 
 Defined cases: null html has no elements; a reference that no payload matches keeps its place with null media; null text is
 empty (its payload is one line of blanks); repeated rows each get a row; an empty table gives an empty result; other columns
@@ -209,8 +210,7 @@ def media_features(media: DataFrame) -> DataFrame:
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = document_media(table(spark, sf_dir, "documents"))
-    features = stored(media_features(held), "media-features")
-    found = resolve(parse_sequences(held.select("page_id", "html")), features).where("kind = 'media'")
+    found = resolve(parse_sequences(held.select("page_id", "html")), media_features(held)).where("kind = 'media'")
     return found.select(F.col("page_id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
 
 

@@ -163,7 +163,7 @@ def match_case(source: Column, target: Column) -> Column:
 
 def expand_numbers(spec: Column) -> Column:
     """'1-4, 7' -> [1, 2, 3, 4, 7]; ranges of more than 60 numbers give their ends."""
-    parts = F.filter(F.transform(F.split(F.regexp_replace(spec, "[–—]", "-"), r"[,;]"), F.trim), lambda p: p.rlike(r"^[0-9]+(\s*-\s*[0-9]+)?$"))
+    parts = F.filter(F.transform(F.split(F.regexp_replace(spec, "[–—]", "-"), r"[,;]"), lambda x: F.trim(x)), lambda p: p.rlike(r"^[0-9]+(\s*-\s*[0-9]+)?$"))
     lo = lambda p: F.regexp_extract(p, r"^([0-9]+)", 1).cast("int")
     hi = lambda p: F.coalesce(F.regexp_extract(p, r"-\s*([0-9]+)$", 1).try_cast("int"), lo(p))
     span = lambda p: F.when((hi(p) >= lo(p)) & (hi(p) - lo(p) <= 60), F.sequence(lo(p), F.greatest(hi(p), lo(p)))).otherwise(F.array(lo(p), hi(p)))

@@ -95,7 +95,7 @@ def in_text(docs: DataFrame) -> DataFrame:
     n = docs.select("doc_id", F.posexplode(F.regexp_extract_all(text, F.lit(NUMERIC), F.lit(1))).alias("ix", "spec"))
     n = n.select("doc_id", F.lit("numeric").alias("kind"), "ix", F.concat(F.lit("["), "spec", F.lit("]")).alias("raw"), T.expand_numbers(F.col("spec")).alias("numbers"), none("string").alias("surname"), none("int").alias("year"), none("string").alias("year_suffix"))
     p = docs.select("doc_id", F.regexp_extract_all(text, F.lit(PARENTHESES), F.lit(1)).alias("ps"))
-    parts = F.transform(F.flatten(F.transform(F.filter("ps", lambda x: x.rlike("(?:19|20)[0-9]{2}")), lambda x: F.split(x, ";"))), F.trim)
+    parts = F.transform(F.flatten(F.transform(F.filter("ps", lambda x: x.rlike("(?:19|20)[0-9]{2}")), lambda x: F.split(x, ";"))), lambda x: F.trim(x))
     p = p.select("doc_id", F.posexplode(F.filter(parts, lambda x: x.rlike(PART))).alias("ix", "raw"))
     a = docs.select("doc_id", F.posexplode(T.matches(text, NARRATIVE)).alias("ix", "raw"))
     names = lambda df, pattern, kind: df.select("doc_id", F.lit(kind).alias("kind"), "ix", "raw", none("array<int>").alias("numbers"), F.regexp_extract("raw", pattern, 1).alias("surname"), F.regexp_extract("raw", pattern, 2).cast("int").alias("year"), F.regexp_extract("raw", pattern, 3).alias("s"))

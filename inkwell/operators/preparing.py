@@ -84,7 +84,7 @@ def body(text: Column) -> Column:
 def title(text: Column) -> Column:
     """The first block on up to three lines, or else its first line, if it has 4 to 200 characters and doesn't end a sentence."""
     block = F.element_at(F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), r"\n\s*\n"), 1)
-    lines = F.filter(F.transform(F.split(block, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(block, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     first = F.coalesce(F.try_element_at(lines, F.lit(1)), F.lit(""))
     joined = F.when(F.size(lines) <= 3, F.regexp_replace(F.array_join(lines, " "), r"\s+", " ")).otherwise(first)
     good = lambda t: (F.length(t) > 3) & (F.length(t) <= 200) & ~t.rlike("[.!?]$")

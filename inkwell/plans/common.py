@@ -20,6 +20,7 @@ FIXTURES: tuple[tuple[int, str], ...] = (
     (-5, 'Email me at a.b@example.org or see https://example.org/a?b=1. Values rose by 12.5% (p < 0.05) from -3.2e-4 to 7 kg, $x^2 + y$ holds, and “the quoted words here go on for well over forty characters” as said. The the end. I think we shall see; it was done, and done, and done again!  Two blanks here .'),
     (-6, ''),
     (-7, 'The recieved data could of been lost, alot of it (mostly. this shows less participants, and the results shows it; there own study was better then ours, teh end.It was done. You can not get a lot of stuff in order to look into things. Thus we wait. 3 of them were kind of big and we were told. I said "no.'),
+    (-8, 'Studies in many countries show that sleep improves memory in adults. It has been widely reported that coffee leads to a higher risk of sleeplessness. We believe that our study of sleep is commonly cited here. Is it widely known that trials suggest otherwise in most of the cases?'),
 )
 
 

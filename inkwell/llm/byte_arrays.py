@@ -1,6 +1,6 @@
 """Text columns of Arrow batches as numpy byte arrays: words, their hashes and their owners, without a Python loop.
 
-Everything works on slices of about a MB (`slices`), so memory doesn't grow with batch size; one longer document is a slice
+Everything works on slices of about 256 KB (`slices`), so memory doesn't grow with batch size; one longer document is a slice
 of its own. Null texts count as empty.
 """
 
@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 SLICE_ROWS = 1000
 STEP = np.uint64(0x9E3779B97F4A7C15)
 BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))

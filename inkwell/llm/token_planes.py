@@ -31,15 +31,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from inkwell.llm.byte_arrays import SLICE_BYTES, SPACE, slices, words
+from inkwell.llm.byte_arrays import SPACE, slices, word_hashes, words
 from inkwell.tables import stored, table
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 BLOCK_IDS = 1 << 16
 SHARD_IDS = 1 << 20
-CACHE_WORDS = 400_000
+TABLE_BITS = 21
+CACHE_WORDS = 1_000_000
+#: Bytes of text at once; larger slices repeat more words.
+SLICE = 1 << 21
 MAGIC = b"PLN1"
+MARK = "\x01"
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -49,57 +53,65 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class Encoder:
-    """Encodes text columns word by word. The first CACHE_WORDS words are kept; frequent ones come early."""
+    """Encodes text columns word by word. Words that were seen are found by 64-bit hashes in a table of 2^TABLE_BITS places,
+    the first to come keeps a place; frequent words come early. So memory is bounded whatever the texts."""
 
     def __init__(self, path: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the threads
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path or vocabulary_path())
-        # words go to the tokenizer in groups, parted by a special token: it splits there before all else
-        self.mark, self.mark_id = next((t.content, i) for i, t in sorted(self.model.get_added_tokens_decoder().items(), reverse=True))
-        self.known: dict[bytes, int] = {}
+        # words go to the tokenizer in groups, parted by a control character between blanks, which has an id of its own
+        self.mark_id = self.model.encode(MARK, add_special_tokens=False).ids[-1]
+        self.hash = np.zeros(1 << TABLE_BITS, np.uint64)
+        self.slot = np.zeros(1 << TABLE_BITS, np.int32)
         self.flat = np.zeros(0, np.uint32)
         self.count = np.zeros(0, np.int64)
 
-    def fresh(self, new: list[bytes], group: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    def fresh(self, new: list[str], group: int = 256) -> tuple[np.ndarray, np.ndarray]:
         """Ids of these words one after another, and how many each has."""
-        texts = [w.decode("utf-8", "replace") for w in new]
-        odd = [k for k, t in enumerate(texts) if "<|" in t]
-        plain = [t if "<|" not in t else "" for t in texts]
-        groups = [self.mark.join(plain[i : i + group]) + self.mark for i in range(0, len(plain), group)]
+        odd = [k for k, t in enumerate(new) if MARK in t]
+        plain = [t if MARK not in t else "" for t in new] if odd else new
+        groups = [f" {MARK} ".join(plain[i : i + group]) + f" {MARK}" for i in range(0, len(plain), group)]
         got = [x for e in self.model.encode_batch_fast(groups, add_special_tokens=False) for x in e.ids]
         ids = np.array(got, np.uint32)
         cut = np.flatnonzero(ids == self.mark_id)
         count = np.diff(cut, prepend=-1) - 1
         ids = ids[ids != self.mark_id]
+        if len(count) != len(new):
+            raise ValueError("this vocabulary gives the mark no id of its own")
         if odd:
             parts = np.split(ids, np.cumsum(count)[:-1])
             for k in odd:
-                parts[k] = np.array(self.model.encode(texts[k], add_special_tokens=False).ids, np.uint32)
+                parts[k] = np.array(self.model.encode(new[k], add_special_tokens=False).ids, np.uint32)
                 count[k] = len(parts[k])
             ids = np.concatenate(parts)
         return ids, count
 
-    def words_ids(self, distinct: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, first, count): the ids of word k are ids[first[k] : first[k] + count[k]]."""
-        slot = np.fromiter((self.known.get(w, -1) for w in distinct), np.int64, len(distinct))
+    def words_ids(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first, count): the ids of word k of a binary array are ids[first[k] : first[k] + count[k]]."""
+        at = np.frombuffer(distinct.buffers()[1], np.int64)[distinct.offset : distinct.offset + len(distinct) + 1]
+        data = np.frombuffer(distinct.buffers()[2], np.uint8)[at[0] : at[-1]]
+        h = word_hashes(data, at[:-1] - at[0], at[1:] - at[0]) | np.uint64(1)  # zero is an empty place
+        place = (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        slot = np.where(self.hash[place] == h, self.slot[place], -1).astype(np.int64)
         where = np.flatnonzero(slot < 0)
         flat, count = self.flat, self.count
         if len(where):
-            new = [distinct[k] for k in where]
-            ids, n = self.fresh(new)
-            slot[where] = len(count) + np.arange(len(new))
+            ids, n = self.fresh(distinct.take(pa.array(where)).cast(pa.large_string()).to_pylist())
+            slot[where] = len(count) + np.arange(len(where))
             flat, count = np.concatenate([flat, ids]), np.concatenate([count, n])
-            if len(self.known) < CACHE_WORDS:
-                self.known.update(zip(new, slot[where].tolist(), strict=True))
+            free = where[self.hash[place[where]] == 0]
+            free = free[np.unique(place[free], return_index=True)[1]]
+            if len(free) and len(count) < CACHE_WORDS:
                 self.flat, self.count = flat, count
+                self.hash[place[free]], self.slot[place[free]] = h[free], slot[free]
         first = np.cumsum(count) - count
         return flat, first[slot], count[slot]
 
     def column(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, last row + 1, ids of these rows, ids in each row)."""
-        for i, j, data, at in slices(texts, 2 * SLICE_BYTES):
+        for i, j, data, at in slices(texts, SLICE):
             start, end, row = words(data, at)
             n = j - i
             if not len(start):
@@ -111,7 +123,7 @@ class Encoder:
             np.cumsum(size, out=offsets[1:])
             col = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(data[~SPACE[data]])])
             coded = col.dictionary_encode()
-            flat, first, count = self.words_ids(coded.dictionary.to_pylist())
+            flat, first, count = self.words_ids(coded.dictionary)
             which = coded.indices.to_numpy()
             each = count[which]
             upto = np.cumsum(each)

@@ -36,13 +36,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm.byte_arrays import LOWER, SPACE, mixed, slices, words
-from inkwell.tables import stored, table
+from inkwell.tables import discard, stored, table
 
 PIVOTS = 16
 CROWD = 32
 TABLES = 64
 WIDE_WORDS = 4  # 64-bit words of a wide fingerprint
 ROWS_AT_ONCE = 1 << 15
+BROADCAST_ROWS = 1_000_000  # of two numbers: 16 MB
 
 
 def shingle_hashes(data: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,19 +94,19 @@ def _distinct(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row[new], h[new]
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, longs: int = 1, distinct: bool = False) -> DataFrame:
-    """doc_id, w0 ... : one row a document. distinct: repeated shingles of a document count once."""
+def fingerprints(docs: DataFrame, shingle: int = 3, longs: int = 1, distinct: bool = False, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keys (whole numbers), w0 ... : one row a document. distinct: repeated shingles of a document count once."""
     names = [f"w{k}" for k in range(longs)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, data, at in slices(b.column(1)):
+            for i, j, data, at in slices(b.column(len(keys))):
                 row, h = shingle_hashes(data, at, shingle)
                 row, h = _distinct(row, h) if distinct else (row, h)
                 prints = majority(row, h, j - i, longs)
-                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], *(pa.array(np.ascontiguousarray(prints[:, k])) for k in range(longs))], names=["doc_id", *names])
+                yield pa.RecordBatch.from_arrays([*(b.column(k)[i:j] for k in range(len(keys))), *(pa.array(np.ascontiguousarray(prints[:, k])) for k in range(longs))], names=[*keys, *names])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{x} long" for x in names))
+    return docs.select(*[F.col(k).cast("long").alias(k) for k in keys], "text").mapInArrow(run, ", ".join(f"{x} long" for x in (*keys, *names)))
 
 
 def exact_tables(limit: int = 2, longs: int = 1) -> np.ndarray:
@@ -170,7 +171,7 @@ def _close(pairs: DataFrame, nodes: DataFrame, longs: int, limit: int) -> DataFr
 
 
 def links(nodes: DataFrame, longs: int, masks: np.ndarray, limit: int, exact: bool, crowd: int = CROWD) -> DataFrame:
-    """a, b, distance: links between distinct fingerprints, a < b, as the module's text says."""
+    """a, b, distance: links between distinct fingerprints, a < b, as the module's text says; a stored table."""
     keyed = stored(table_keys(nodes, longs, masks), "simhash-keys")
     counts = keyed.groupBy("key").count()
     crowded = stored(counts.where(F.col("count") > crowd).select("key"), "simhash-crowded")
@@ -187,9 +188,12 @@ def links(nodes: DataFrame, longs: int, masks: np.ndarray, limit: int, exact: bo
         out = out.unionByName(stars.withColumn("distance", F.bit_count(F.col("a").bitwiseXOR(F.col("b")))))
     else:
         lead = many.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "node").alias("h"), "node"))["node"].alias("to"))
-        star = many.join(stored(lead, "simhash-leaders"), "key").where("node != to")
+        lead = stored(lead, "simhash-leaders")
+        star = many.join(lead, "key").where("node != to")
         star = star.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
         out = out.unionByName(_close(star, nodes, longs, limit))
+    out = stored(out, "simhash-links")
+    discard(keyed, crowded, *([] if exact else [lead]))
     return out
 
 
@@ -198,13 +202,16 @@ def components(edges: DataFrame) -> DataFrame:
     both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     label = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
     while True:
-        near = both.join(label.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("m"))
-        new = label.join(near, "node").select("node", F.least("label", "m").alias("l"), F.col("label").alias("old"))
-        jump = label.select(F.col("node").alias("l"), F.col("label").alias("far"))
+        near = both.join(label.select(F.col("node").alias("a"), "label"), "a").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("m"))
+        now = label.select("node", "label")
+        new = now.join(near, "node").select("node", F.least("label", "m").alias("l"), F.col("label").alias("old"))
+        jump = now.select(F.col("node").alias("l"), F.col("label").alias("far"))
         new = stored(new.join(jump, "l").select("node", F.least("l", "far").alias("label"), "old"), "labels")
+        discard(label)
         if new.where("label != old").isEmpty():
-            return new.select("node", "label")
-        label = new.select("node", "label")
+            discard(both)
+            return new
+        label = new
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, limit: int = 2) -> DataFrame:
@@ -213,27 +220,33 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, limit: int = 2) -> DataFr
         raise ValueError("exact stars cover distances up to 2; wide_duplicates has more")
     prints = stored(fingerprints(docs, shingle).withColumnRenamed("w0", "node"), "simhash")
     nodes = stored(prints.groupBy("node").agg(F.min("doc_id").alias("least")).withColumn("w0", F.col("node")), "simhash-nodes")
-    label = components(links(nodes, 1, exact_tables(limit), limit, exact=True))
-    named = nodes.join(label, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
+    found = links(nodes, 1, exact_tables(limit), limit, exact=True)
+    label = components(found)
+    named = nodes.join(label.select("node", "label"), "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     ids = named.groupBy("label").agg(F.min("least").alias("component_id"))
     by_node = stored(named.join(ids, "label").select("node", "component_id"), "simhash-components")
+    discard(found, label, nodes)
     return prints.join(by_node, "node").select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def wide_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tables: int = TABLES) -> DataFrame:
-    """row, component: groups among docs(row, text) whose sets of word shingles are similar (Jaccard) at `similarity` or more.
+    """id, h, n, component: groups among docs(id, h, text) whose sets of word shingles are similar (Jaccard) at `similarity` or
+    more; a stored table with a row for each (id, h), which n rows of docs have. h is a hash of the text.
 
-    Candidates meet in wide mode and are verified on the shingle sets themselves. component is the least row of a group."""
+    Candidates meet in wide mode and are verified on the shingle sets themselves."""
     longs = WIDE_WORDS
     names = [f"w{k}" for k in range(longs)]
-    prints = fingerprints(docs.select(F.col("row").alias("doc_id"), "text"), shingle, longs, distinct=True)
-    prints = stored(prints.select(F.col("doc_id").alias("row"), F.xxhash64(*names).alias("node"), *names), "wide")
-    nodes = stored(prints.groupBy("node").agg(F.min("row").alias("least"), *[F.min(x).alias(x) for x in names]), "wide-nodes")
+    prints = fingerprints(docs, shingle, longs, distinct=True, keys=("id", "h"))
+    prints = prints.select("id", "h", F.xxhash64(*names).alias("node"), *names)
+    prints = stored(prints.groupBy("id", "h", "node", *names).agg(F.count("*").alias("n")), "wide")
+    nodes = stored(prints.groupBy("node").agg(F.min(F.struct("id", "h")).alias("least"), *[F.min(x).alias(x) for x in names]), "wide-nodes")
     width = max(16, int(np.ceil(np.log2(max(2, nodes.count())))) + 2)
     apart = 1 - 2 * similarity / (1 + similarity)  # of the cosine at this similarity
     limit = int(64 * longs * (np.arccos(1 - apart) / np.pi) + 3 * np.sqrt(64 * longs) / 2 * 0.72)
-    near = stored(links(nodes, longs, random_tables(tables, width, longs), limit, exact=False).select("a", "b").distinct(), "wide-links")
-    wanted = near.select(F.col("a").alias("node")).union(near.select("b")).distinct().join(nodes.select("node", F.col("least").alias("row")), "node")
+    found = links(nodes, longs, random_tables(tables, width, longs), limit, exact=False)
+    near = stored(found.select("a", "b").distinct(), "wide-links")
+    ends = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
+    wanted = stored(ends.join(nodes, "node").select("node", F.col("least.id").alias("id_"), F.col("least.h").alias("h_")), "wide-wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -242,26 +255,41 @@ def wide_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
                 cut = pa.array(np.searchsorted(row, np.arange(j - i + 1)), pa.int32())
                 yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.ListArray.from_arrays(cut, pa.array(h.view(np.int64)))], names=["node", "shingles"])
 
-    sets = stored(docs.select("row", "text").join(wanted, "row").select("node", "text").mapInArrow(run, "node long, shingles array<bigint>"), "wide-sets")
+    texts = docs.join(_small(wanted), F.col("id").eqNullSafe(F.col("id_")) & (F.col("h") == F.col("h_"))).select("node", "text")
+    sets = stored(texts.mapInArrow(run, "node long, shingles array<bigint>").dropDuplicates(["node"]), "wide-sets")
     at = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"_{name}"))
     common = F.size(F.array_intersect("_a", "_b"))
     both = near.join(at("a"), "a").join(at("b"), "b").select("a", "b", common.alias("c"), (F.size("_a") + F.size("_b")).alias("n"))
-    label = components(both.where(F.col("c") >= similarity * (F.col("n") - F.col("c"))))
-    named = nodes.join(label, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
-    ids = named.groupBy("label").agg(F.min("least").alias("component"))
-    by_node = stored(named.join(ids, "label").select("node", "component"), "wide-components")
-    return prints.select("row", "node").join(by_node, "node").select("row", "component")
+    close = stored(both.where(F.col("c") >= similarity * (F.col("n") - F.col("c"))).select("a", "b"), "wide-close")
+    discard(found, near, wanted, sets)
+    label = components(close)
+    out = prints.join(label.select("node", "label"), "node", "left").select("id", "h", "n", F.coalesce("label", "node").alias("component"))
+    out = stored(out, "wide-components")
+    discard(close, label, nodes, prints)
+    return out
+
+
+def _small(keys: DataFrame) -> DataFrame:
+    """A stored table of few columns, broadcast if it has BROADCAST_ROWS or fewer; beyond that, both sides are shuffled."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs without near-duplicates: of each group the row with the least doc_id (nulls last) stays. Columns as given."""
-    held = docs.select(F.struct("*").alias("d")).select("d", F.col("d.doc_id").alias("id"), F.col("d.text").alias("text"))
-    held = stored(held.withColumn("row", F.monotonically_increasing_id()), "near-dedup")
-    group = wide_duplicates(held.select("row", "text"), shingle, similarity)
-    group = stored(group.join(held.select("row", "id"), "row"), "near-groups")
-    stays = group.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row"))["row"].alias("stays"))
-    goes = group.join(stays, "component").where("row != stays").select("row")
-    return held.join(goes, "row", "left_anti").select("d.*")
+    """The rows of docs without near-duplicates: of each group the row with the least doc_id (nulls last) stays. Columns as given.
+
+    Rows are known by doc_id and a hash of the text; of rows that agree in both, the least by all columns stays."""
+    keyed = docs.select(F.struct("*").alias("d")).select("d", F.col("d.doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("d.text", F.lit(""))).alias("h"))
+    group = wide_duplicates(keyed.select("id", "h", F.col("d.text").alias("text")), shingle, similarity)
+    stays = group.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "h")).alias("s"))
+    judged = group.join(stays, "component").withColumn("stays", F.col("id").eqNullSafe(F.col("s.id")) & (F.col("h") == F.col("s.h")))
+    goes = stored(judged.where("not stays or n > 1").select(F.col("id").alias("id_"), F.col("h").alias("h_"), "stays"), "near-goes")
+    same = F.col("id").eqNullSafe(F.col("id_")) & (F.col("h") == F.col("h_"))
+    out = keyed.join(_small(goes), same, "left_anti").select("d")
+    repeated = goes.where("stays")
+    if not repeated.isEmpty():
+        one = keyed.join(_small(repeated), same).groupBy("id", "h").agg(F.min("d").alias("d")).select("d")
+        out = out.unionByName(one)
+    return out.select("d.*")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

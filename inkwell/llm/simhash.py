@@ -14,7 +14,7 @@ verified by Hamming distance.
   tables of random bits. A table's width follows the number of nodes, so the number of chance pairs stays in proportion to
   it. Chance of meeting at similarity 0.8 over TABLES tables of b bits: 1 - (1 - 0.848^b)^TABLES.
 
-Crowded keys: up to CROWD nodes of a key are paired. For keys with more, exact mode gathers nodes around all strings at one
+Crowded keys: up to CROWD nodes of a key (WIDE_CROWD in wide mode) are paired. For keys with more, exact mode gathers nodes around all strings at one
 differing bit or none: nodes within 2 bits share such a centre, a centre has at most 65 nodes, each star links all of them, so
 nothing is lost and no group is paired out. Wide mode links a crowded key's nodes to one leader, another one in each table.
 
@@ -40,6 +40,7 @@ from inkwell.tables import discard, stored, table
 
 PIVOTS = 16
 CROWD = 32
+WIDE_CROWD = 8
 TABLES = 64
 WIDE_WORDS = 4  # 64-bit words of a wide fingerprint
 ROWS_AT_ONCE = 1 << 15
@@ -243,7 +244,7 @@ def wide_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     width = max(16, int(np.ceil(np.log2(max(2, nodes.count())))) + 2)
     apart = 1 - 2 * similarity / (1 + similarity)  # of the cosine at this similarity
     limit = int(64 * longs * (np.arccos(1 - apart) / np.pi) + 3 * np.sqrt(64 * longs) / 2 * 0.72)
-    found = links(nodes, longs, random_tables(tables, width, longs), limit, exact=False)
+    found = links(nodes, longs, random_tables(tables, width, longs), limit, exact=False, crowd=WIDE_CROWD)
     near = stored(found.select("a", "b").distinct(), "wide-links")
     ends = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
     wanted = stored(ends.join(nodes, "node").select("node", F.col("least.id").alias("id_"), F.col("least.h").alias("h_")), "wide-wanted")

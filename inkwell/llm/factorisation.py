@@ -70,7 +70,7 @@ def fit(rows: int, row: np.ndarray, feature: np.ndarray, value: np.ndarray, labe
     place = np.full(size, -1)
     place[used] = np.arange(len(used))
     keep = place[feature] >= 0
-    row, at, value = row[keep], place[feature[keep]], value[keep]
+    row, at, value = row[keep], place[feature[keep]], value[keep].astype(np.float64)
     bounds = np.searchsorted(row, np.arange(rows + 1))
     n = len(used)
     w, v = np.zeros(n), random.normal(0, 0.02, (n, factors))
@@ -118,8 +118,7 @@ def learn(docs: DataFrame, labels: DataFrame, features: Features, sample: int =
     chosen = chosen.withColumn("_h", F.xxhash64("doc_id")).orderBy("_h", "doc_id").limit(sample).drop("_h")
     known = docs.select("doc_id", "text", "meta").join(F.broadcast(chosen), "doc_id")  # at most `sample` rows of two numbers
     got = known.select("doc_id", "label", "text", "meta").mapInArrow(run, "doc_id long, label int, feature array<bigint>, value array<float>").toArrow()
-    order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
-    got = got.take(pa.array(order)).combine_chunks()
+    got = got.take(pa.array(np.argsort(got["doc_id"].to_numpy(), kind="stable"))).combine_chunks()
     lists = got["feature"].combine_chunks() if got.num_rows else None
     if lists is None:
         return Model(0.0, np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros((0, 1), np.float32))
@@ -127,8 +126,12 @@ def learn(docs: DataFrame, labels: DataFrame, features: Features, sample: int =
         lists = lists.chunk(0)
     values = got["value"].combine_chunks()
     values = values.chunk(0) if isinstance(values, pa.ChunkedArray) else values
-    row = np.repeat(np.arange(got.num_rows), np.diff(lists.offsets.to_numpy()))
-    return fit(got.num_rows, row, lists.flatten().to_numpy(), values.flatten().to_numpy().astype(np.float64), got["label"].to_numpy().astype(np.float64), **how)
+    rows, label = got.num_rows, got["label"].to_numpy().astype(np.float64)
+    row = np.repeat(np.arange(rows, dtype=np.int32), np.diff(lists.offsets.to_numpy()))
+    model = fit(rows, row, lists.flatten().to_numpy(), values.flatten().to_numpy(), label, **how)
+    del got, lists, values
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score(docs: DataFrame, model: Model, features: Features) -> DataFrame:

@@ -95,7 +95,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: i
     base = docs.select(row.cast("long").alias("_row"), "doc_id", "source", words(F.col("text")).alias("size"))
     base = stored(base.withColumn("u", unit(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), "mix")
     classes = base.where("size > 0").withColumn("_class", F.length(F.bin("size")) - 1).groupBy("source", "_class").agg(F.sum("size").alias("size"))
-    targets = source_targets(base.groupBy("source").agg(F.sum("size").alias("size")), weights, share, most)
+    targets = stored(source_targets(base.groupBy("source").agg(F.sum("size").alias("size")), weights, share, most), "mix-targets")
     c = classes.join(targets.select(F.col("source").alias("_s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     c = c.withColumn("_capacity", F.col("size") * most).withColumn("_w", F.col("size") / (1 + F.col("_class") / F.lit(8.0)))
     c = water_fill(c, ["source"], "_capacity", "_w", "target", ["_class"])
@@ -113,6 +113,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: i
     # second pass: short documents that the first left out fill the rest
     used = ranked.join(first, "_row", "left_semi").groupBy("source").agg(F.sum("size").alias("_used"))
     gap = left.join(used.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").select("source", (F.col("budget") - F.coalesce("_used", F.lit(0))).alias("budget"))
+    gap = stored(gap, "mix-gap")
     small = ranked.join(first, "_row", "left_anti").join(gap.select(F.col("source").alias("_s"), (F.col("budget") / 8).alias("_most")), F.col("source").eqNullSafe(F.col("_s")))
     small = small.where(F.col("size") <= F.col("_most")).drop("_s", "_most")
     chosen = first.unionByName(_prefix(small, gap, bins)).withColumn("_one", F.lit(1))

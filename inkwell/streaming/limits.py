@@ -115,7 +115,8 @@ def counts_stream(requests: DataFrame, limit: int, seconds: int) -> DataFrame:
 
 
 def anchored_stream(requests: DataFrame, limit: int, seconds: int) -> DataFrame:
-    """visitor, id, allowed of a stream: the state of a visitor is (window's end, count) and times out with the window."""
+    """visitor, id, allowed of a stream: the state of a visitor is (window's end, count) and ends once the watermark, a window
+    behind the latest request, passes the window's end."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def run(key: tuple, groups: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -131,10 +132,14 @@ def anchored_stream(requests: DataFrame, limit: int, seconds: int) -> DataFrame:
                 rows.append((key[0], i, count < limit))
                 count += count < limit
             yield pd.DataFrame(rows, columns=["visitor", "id", "allowed"])
-        state.update((int(reset), int(count)))
-        state.setTimeoutDuration(seconds * 1000)
+        if reset > state.getCurrentWatermarkMs():
+            state.update((int(reset), int(count)))
+            state.setTimeoutTimestamp(int(reset))
+        elif state.exists:
+            state.remove()
 
-    return requests.select("visitor", "id", millis(requests).alias("ms")).groupBy("visitor").applyInPandasWithState(run, "visitor long, id long, allowed boolean", "reset long, count long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    late = requests.withWatermark("ts", f"{seconds} seconds").withColumn("ms", F.unix_millis("ts"))
+    return late.groupBy("visitor").applyInPandasWithState(run, "visitor long, id long, allowed boolean", "reset long, count long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def sessions(requests: DataFrame, gap: str = "30 minutes") -> DataFrame:

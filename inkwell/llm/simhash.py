@@ -41,7 +41,7 @@ from inkwell.tables import discard, stored, table
 PIVOTS = 16
 CROWD = 32
 WIDE_CROWD = 8
-TABLES = 64
+TABLES = 96
 WIDE_WORDS = 4  # 64-bit words of a wide fingerprint
 ROWS_AT_ONCE = 1 << 15
 BROADCAST_ROWS = 1_000_000  # of two numbers: 16 MB

@@ -307,7 +307,7 @@ def _pass(docs: DataFrame, held, with_words: bool, with_unknown: bool, all_ends:
                     sel = mine[((gram >> np.uint64(8)) & np.uint64(0xFFFF)).astype(np.int64)]
                     owner, gram = owner[sel], gram[sel]
                 rows = j - i
-                total = pa.array(np.bincount(owner, trie.cost(gram), rows))
+                total = pa.array(np.bincount(owner, trie.cost(gram), rows).astype(np.float64))  # whole numbers if there is none
                 ids = [b.column(0)[i:j], b.column(1)[i:j]]
                 if not with_words:
                     none = pa.nulls(rows, pa.int64())
@@ -320,7 +320,7 @@ def _pass(docs: DataFrame, held, with_words: bool, with_unknown: bool, all_ends:
                 rest = rest[np.argsort(row[rest], kind="stable")]
                 cut = np.searchsorted(row[rest], np.arange(rows + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [*ids, pa.array(np.bincount(row, minlength=rows)), pa.array(np.bincount(row[got], minlength=rows)), pa.array(np.bincount(row[got], gain[place[got]], rows)), pa.ListArray.from_arrays(pa.array(cut), pa.array(h[rest])), total], names=NAMES
+                    [*ids, pa.array(np.bincount(row, minlength=rows)), pa.array(np.bincount(row[got], minlength=rows)), pa.array(np.bincount(row[got], gain[place[got]], rows).astype(np.float64)), pa.ListArray.from_arrays(pa.array(cut), pa.array(h[rest])), total], names=NAMES
                 )
 
     return docs.mapInArrow(run, "_row long, doc_id long, n_tokens long, known_top long, base_top double, rare array<bigint>, score double")

@@ -77,7 +77,7 @@ def moving_type_token_ratio(docs: DataFrame, size: int = 50) -> DataFrame:
     inside = F.greatest(F.lit(0), F.least(F.col("pos"), F.col("n") - size) - F.greatest(F.col("q") + 1, F.col("pos") - (size - 1), F.lit(0)) + 1)
     g = t.groupBy("doc_id").agg(F.max("n").alias("words"), F.sum(inside).alias("s"), F.count_if(F.col("q") < 0).alias("kinds"))
     m = F.when(F.col("words") <= size, F.col("kinds") / F.col("words")).otherwise(F.col("s") / size / (F.col("words") - (size - 1)))
-    return g.select("doc_id", "words", F.round(m, 6).alias("mattr"))
+    return g.select("doc_id", "words", F.round(m, 9).alias("mattr"))
 
 
 def dense_features(docs: DataFrame) -> DataFrame:
@@ -100,7 +100,7 @@ def dense_features(docs: DataFrame) -> DataFrame:
         some(T.is_stopword) / 10, some(lambda w: F.length(w) >= 9), F.aggregate("w", F.lit(0), lambda s, w: s + F.length(w)) / F.col("n") / 5, rate(r"\n\s*\n"),
         F.when(F.size("l") > 0, F.regexp_count("t", F.lit(r"(?:^|[.!?]\s+)[A-Z]")) / F.size("l")).otherwise(0.0),
     ]
-    return d.select("doc_id", *[F.round(v, 6).alias(k) for k, v in zip(DENSE, values, strict=True)])
+    return d.select("doc_id", *[F.round(v, 9).alias(k) for k, v in zip(DENSE, values, strict=True)])
 
 
 def is_passive(sentence: Column) -> Column:

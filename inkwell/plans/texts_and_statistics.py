@@ -215,7 +215,7 @@ def w01(spark, sf_dir):
 
 
 W01 = f"""WITH {WORDS}, p AS (SELECT doc_id, words, len(words) AS n, unnest(range(greatest(len(words) - 49, 1))) AS p FROM ws WHERE len(words) > 0)
-SELECT doc_id, any_value(n) AS words, round(CASE WHEN any_value(n) <= 50 THEN max(len(list_distinct(words))) / any_value(n) ELSE sum(len(list_distinct(words[p + 1 : p + 50]))) / 50 / (any_value(n) - 49) END, 6) AS mattr FROM p GROUP BY doc_id"""
+SELECT doc_id, any_value(n) AS words, round(CASE WHEN any_value(n) <= 50 THEN max(len(list_distinct(words))) / any_value(n) ELSE sum(len(list_distinct(words[p + 1 : p + 50]))) / 50 / (any_value(n) - 49) END, 9) AS mattr FROM p GROUP BY doc_id"""
 
 
 def d05(spark, sf_dir):
@@ -236,7 +236,7 @@ def _d05() -> str:
     }
     return rf"""WITH {TEXTS}, a AS (SELECT doc_id, text, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])\s+([A-Z"“(])', '\1' || chr(1) || '\2', 'g'), chr(1) || '|\n\s*\n'), lambda s: {sql_count('s', r'[\p{L}\p{N}]+')}), lambda n: n > 0) AS l,
  list_filter({toks}, lambda t: regexp_matches(t, '[\p{{L}}\p{{N}}<]')) AS w FROM texts), b AS (SELECT *, greatest(len(w), 1) AS n FROM a), c AS (SELECT *, CASE WHEN len(l) > 0 THEN list_sum(l) / len(l) ELSE n::DOUBLE END AS ml FROM b)
-SELECT doc_id, {', '.join(f'round({e}, 6) AS {k}' for k, e in v.items())} FROM c"""
+SELECT doc_id, {', '.join(f'round({e}, 9) AS {k}' for k, e in v.items())} FROM c"""
 
 
 def quote_lower(x: str) -> str:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from inkwell.plans import citing, comparing, corpora, detecting, disguises, editing, grammar_rules, images, reading, reporting, texts_and_statistics
+from inkwell.plans import citing, comparing, corpora, detecting, disguises, editing, grammar_rules, images, joining, reading, reporting, texts_and_statistics
 from inkwell.streaming import limits
 
-PARTS = (comparing, texts_and_statistics, detecting, grammar_rules, citing, disguises, editing, corpora, reading, reporting, images, limits)
+PARTS = (comparing, texts_and_statistics, detecting, grammar_rules, citing, disguises, editing, corpora, reading, reporting, images, joining, limits)
 
 QUERIES: dict = {k: f for p in PARTS for k, f in p.QUERIES.items()}
 ORACLES: dict = {k: s for p in PARTS for k, s in p.ORACLES.items()}

@@ -11,8 +11,7 @@ import tempfile
 import time
 
 NAMES = (
-    "p04_overlap_similarity w06_span_credit u08_corpus_shared p06_self_repeats p12_paraphrases t03_tokens t29_language a08_sentence_length_stats w01_mattr d05_dense_features d06_hashed_features a17_readability r11_r20_lexicon "
-    "c27_keyphrases g01_g03_tricks io07_html_text w15_stratified_sample a24_auroc s01_fixed_window s05_daily_quota w24_writing_quality j19_near_images"
+    "p04_overlap_similarity w06_span_credit u08_corpus_shared p06_self_repeats t03_tokens a08_sentence_length_stats w01_mattr io07_html_text w15_stratified_sample a24_auroc s01_fixed_window s05_daily_quota"
 ).split()
 
 

@@ -10,13 +10,20 @@ verified by Hamming distance.
 
 * exact mode (`exact_tables`): bits form blocks, two more than the limit, and each choice of two unbroken blocks is a table;
   nodes within the limit (2) agree in at least one table, so no link is lost.
-* wide mode (`random_tables`): for shingle similarity of 0.8, where fingerprints differ in many bits: longer fingerprints and
-  tables of random bits. A table's width follows the number of nodes, so the number of chance pairs stays in proportion to
-  it. Chance of meeting at similarity 0.8 over TABLES tables of b bits: 1 - (1 - 0.848^b)^TABLES.
+Crowded keys: up to CROWD nodes of a key are paired. For keys with more, nodes are gathered around all strings at one differing
+bit or none: nodes within 2 bits share such a centre, a centre has at most 65 nodes, each star links all of them, so nothing is
+lost and no group is paired out.
 
-Crowded keys: up to CROWD nodes of a key (WIDE_CROWD in wide mode) are paired. For keys with more, exact mode gathers nodes around all strings at one
-differing bit or none: nodes within 2 bits share such a centre, a centre has at most 65 nodes, each star links all of them, so
-nothing is lost and no group is paired out. Wide mode links a crowded key's nodes to one leader, another one in each table.
+Shingle sets that are similar (Jaccard) at a threshold t, 0.8 for instance, differ in too many bits for fingerprints; `wide_duplicates`
+finds them by an exact prefix join, at every input size:
+
+* Nodes are distinct shingle sets. Each set is put in one order for all, common shingles last (counts of a sample; any order gives
+  the same result). Two sets of sizes n, m that reach t share at least t / (1 + t) * (n + m) shingles, so their first common shingle
+  is in both prefixes (`prefix`), and at places i, j with min(n - i, m - j) no less than that. Only such pairs are looked at, so
+  members of a family with a common template that stay under t share no key in most cases.
+* A key is crowded if over CROWDED of its nodes can be the smaller side of a pair. Its nodes are compared with one of them first.
+  Of the pairs that are left, those inside one component of the links found so far can't change the result; all others are
+  compared, in blocks of BLOCK nodes. Families just under t that share their rarest shingles cost a pair each; none is left out.
 
 Components come from label propagation with pointer jumping over the links, with a reliable checkpoint each round.
 
@@ -40,9 +47,11 @@ from inkwell.tables import discard, stored, table
 
 PIVOTS = 16
 CROWD = 32
-WIDE_CROWD = 8
-TABLES = 96
-WIDE_WORDS = 4  # 64-bit words of a wide fingerprint
+CROWDED = 16
+BLOCK = 256
+LEADERS = 4
+SAMPLE_ROWS = 20_000  # whose shingles are counted for the order of the sets
+HOT = 400_000  # shingles of known count at most: two numbers each, broadcast
 ROWS_AT_ONCE = 1 << 15
 BROADCAST_ROWS = 1_000_000  # of two numbers: 16 MB
 
@@ -117,11 +126,6 @@ def exact_tables(limit: int = 2, longs: int = 1) -> np.ndarray:
     return np.stack([_mask(np.isin(owner, c)) for c in combinations(range(limit + 2), 2)])
 
 
-def random_tables(count: int, width: int, longs: int, seed: int = 11) -> np.ndarray:
-    random = np.random.default_rng(seed)
-    return np.stack([_mask(np.isin(np.arange(64 * longs), random.choice(64 * longs, width, replace=False))) for _ in range(count)])
-
-
 def _mask(bits: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(">u8").astype(np.uint64)
 
@@ -171,8 +175,10 @@ def _close(pairs: DataFrame, nodes: DataFrame, longs: int, limit: int) -> DataFr
     return j.where(spread <= limit).withColumn("distance", _far("_a", "_b", longs)).where(F.col("distance") <= limit).select("a", "b", "distance")
 
 
-def links(nodes: DataFrame, longs: int, masks: np.ndarray, limit: int, exact: bool, crowd: int = CROWD) -> DataFrame:
+def links(nodes: DataFrame, longs: int, masks: np.ndarray, limit: int, exact: bool = True, crowd: int = CROWD) -> DataFrame:
     """a, b, distance: links between distinct fingerprints, a < b, as the module's text says; a stored table."""
+    if not exact:
+        raise ValueError("links are exact; wide_duplicates has larger distances")
     keyed = stored(table_keys(nodes, longs, masks), "simhash-keys")
     counts = keyed.groupBy("key").count()
     crowded = stored(counts.where(F.col("count") > crowd).select("key"), "simhash-crowded")
@@ -180,21 +186,14 @@ def links(nodes: DataFrame, longs: int, masks: np.ndarray, limit: int, exact: bo
     pairs = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b").distinct()
     out = _close(pairs, nodes, longs, limit)
     many = keyed.join(crowded, "key", "left_semi")
-    if exact:
-        w = nodes.join(many.select("node").distinct(), "node", "left_semi")
-        flips = F.array(F.lit(0).cast("long"), *[F.lit(int(np.uint64(1 << k).astype(np.int64))) for k in range(64)])
-        centres = w.select("node", F.explode(flips).alias("flip")).select("node", F.col("node").bitwiseXOR(F.col("flip")).alias("centre"))
-        stars = centres.groupBy("centre").agg(F.collect_set("node").alias("all")).where(F.size("all") > 1)  # 65 at most
-        stars = stars.select(F.array_min("all").alias("a"), F.explode("all").alias("b")).where("a < b").distinct()
-        out = out.unionByName(stars.withColumn("distance", F.bit_count(F.col("a").bitwiseXOR(F.col("b")))))
-    else:
-        lead = many.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "node").alias("h"), "node"))["node"].alias("to"))
-        lead = stored(lead, "simhash-leaders")
-        star = many.join(lead, "key").where("node != to")
-        star = star.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
-        out = out.unionByName(_close(star, nodes, longs, limit))
+    w = nodes.join(many.select("node").distinct(), "node", "left_semi")
+    flips = F.array(F.lit(0).cast("long"), *[F.lit(int(np.uint64(1 << k).astype(np.int64))) for k in range(64)])
+    centres = w.select("node", F.explode(flips).alias("flip")).select("node", F.col("node").bitwiseXOR(F.col("flip")).alias("centre"))
+    stars = centres.groupBy("centre").agg(F.collect_set("node").alias("all")).where(F.size("all") > 1)  # 65 at most
+    stars = stars.select(F.array_min("all").alias("a"), F.explode("all").alias("b")).where("a < b").distinct()
+    out = out.unionByName(stars.withColumn("distance", F.bit_count(F.col("a").bitwiseXOR(F.col("b")))))
     out = stored(out, "simhash-links")
-    discard(keyed, crowded, *([] if exact else [lead]))
+    discard(keyed, crowded)
     return out
 
 
@@ -230,22 +229,106 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, limit: int = 2) -> DataFr
     return prints.join(by_node, "node").select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def wide_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tables: int = TABLES) -> DataFrame:
+def _common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle hashes, ranks), both sorted by hash: the shingles that a sample of docs has three times or more, rarest first."""
+    every = max(1, docs.count() // SAMPLE_ROWS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, _, data, at in slices(b.column(0)):
+                s, c = np.unique(_distinct(*shingle_hashes(data, at, shingle))[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(c)], names=["s", "c"])
+
+    sample = docs.where(F.pmod(F.xxhash64("h"), F.lit(every)) == 0).select("text")
+    counted = sample.mapInArrow(run, "s long, c long").groupBy("s").agg(F.sum("c").alias("c")).where("c > 2")
+    found = counted.orderBy(F.desc("c"), "s").limit(HOT).toArrow()
+    s = found.column("s").to_numpy().view(np.uint64)
+    order = np.argsort(s)
+    return s[order], (len(s) - order).astype(np.int64)
+
+
+def prefix(row: np.ndarray, h: np.ndarray, rows: int, similarity: float, common: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sizes of the sets, ends of the prefixes, shingles of the prefixes) of distinct shingles h by row.
+
+    A set of n has n - ceil(similarity * n) + 1 shingles in its prefix: common ones last, else by hash."""
+    last = np.zeros(len(h), np.int64)
+    if len(common):
+        place = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        last = np.where(common[place] == h, rank[place], 0)
+    order = np.lexsort((h, last, row))
+    size = np.bincount(row, minlength=rows)
+    long = np.where(size > 0, size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1, 0)
+    at = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
+    return size, np.cumsum(long), h[order][at < np.repeat(long, size)]
+
+
+def _fits(a: str, b: str, similarity: float) -> Column:
+    """Whether sets with sizes n, m that share the shingle at places i, j can be similar, if it is the first they share."""
+    n, m, i, j = F.col(f"{a}n"), F.col(f"{b}n"), F.col(f"{a}pos"), F.col(f"{b}pos")
+    return F.least(n - i, m - j) >= (n + m) * (similarity / (1 + similarity)) - 1e-6
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs (a, b) whose shingle sets are similar."""
+    at = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"_{name}"))
+    both = pairs.join(at("a"), "a").join(at("b"), "b").select("a", "b", F.size(F.array_intersect("_a", "_b")).alias("c"), (F.size("_a") + F.size("_b")).alias("n"))
+    return both.where(F.col("c") >= similarity * (F.col("n") - F.col("c")) - 1e-9).select("a", "b")
+
+
+def _in_order(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _across(many: DataFrame, label: DataFrame, similarity: float) -> DataFrame:
+    """a, b: pairs of the crowded keys in many that the links behind label do not join.
+
+    At most one end of such a pair is in the component with most of its key's nodes, so the others, in blocks, meet all."""
+    m = many.join(label, "node", "left").select("key", "node", "n", "pos", F.coalesce("label", "node").alias("label"))
+    parts = m.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.sum("count").alias("all"), F.max("count").alias("most")).where("most < all")
+    m = stored(m.join(parts.select("key", "main", F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("blocks")), "key"), "wide-open")
+    rest = m.where("label != main").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    rest = rest.select("key", "block", *[F.col(x).alias(f"a{x}") for x in ("node", "n", "pos", "label")])
+    whole = m.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    whole = whole.select("key", "block", *[F.col(x).alias(f"b{x}") for x in ("node", "n", "pos", "label")])
+    out = rest.join(whole, ["key", "block"]).where((F.col("alabel") != F.col("blabel")) & _fits("a", "b", similarity))
+    out = stored(_in_order(out.select(F.col("anode").alias("a"), F.col("bnode").alias("b"))), "wide-across")
+    discard(m)
+    return out
+
+
+def wide_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """id, h, n, component: groups among docs(id, h, text) whose sets of word shingles are similar (Jaccard) at `similarity` or
     more; a stored table with a row for each (id, h), which n rows of docs have. h is a hash of the text.
 
-    Candidates meet in wide mode and are verified on the shingle sets themselves."""
-    longs = WIDE_WORDS
-    names = [f"w{k}" for k in range(longs)]
-    prints = fingerprints(docs, shingle, longs, distinct=True, keys=("id", "h"))
-    prints = prints.select("id", "h", F.xxhash64(*names).alias("node"), *names)
-    prints = stored(prints.groupBy("id", "h", "node", *names).agg(F.count("*").alias("n")), "wide")
-    nodes = stored(prints.groupBy("node").agg(F.min(F.struct("id", "h")).alias("least"), *[F.min(x).alias(x) for x in names]), "wide-nodes")
-    width = max(16, int(np.ceil(np.log2(max(2, nodes.count())))) + 2)
-    apart = 1 - 2 * similarity / (1 + similarity)  # of the cosine at this similarity
-    limit = int(64 * longs * (np.arccos(1 - apart) / np.pi) + 3 * np.sqrt(64 * longs) / 2 * 0.72)
-    found = links(nodes, longs, random_tables(tables, width, longs), limit, exact=False, crowd=WIDE_CROWD)
-    near = stored(found.select("a", "b").distinct(), "wide-links")
+    All pairs are found, as the module's text says, and verified on the shingle sets themselves."""
+    held = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, shingle))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in batches:
+            for i, j, data, at in slices(b.column(2)):
+                row, h = _distinct(*shingle_hashes(data, at, shingle))
+                cut = np.searchsorted(row, np.arange(j - i + 1))
+                node = np.fromiter((xxhash.xxh64_intdigest(h[x:y].tobytes(), 7) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)), np.uint64, j - i)
+                size, ends, keys = prefix(row, h, j - i, similarity, *held.value)
+                keys = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(keys.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], b.column(1)[i:j], pa.array(node.view(np.int64)), pa.array(size, pa.int32()), keys], names=["id", "h", "node", "size", "keys"])
+
+    prints = stored(docs.select("id", "h", "text").mapInArrow(first, "id long, h long, node long, size int, keys array<bigint>"), "wide")
+    nodes = stored(prints.groupBy("node").agg(F.min(F.struct("id", "h")).alias("least"), F.first("size").alias("n"), F.first("keys").alias("keys")), "wide-nodes")
+    keyed = nodes.select("node", "n", F.posexplode("keys").alias("pos", "key"))
+    smaller = F.col("n") - F.col("pos") >= F.ceil(F.col("n") * (2 * similarity / (1 + similarity)) - 1e-6)  # can be the smaller side
+    shared = keyed.groupBy("key").agg(F.count("*").alias("all"), F.count_if(smaller).alias("small")).where("all > 1 and small > 0")
+    shared = stored(shared.select("key", (F.col("small") > CROWDED).alias("crowded")), "wide-keys")
+    met = stored(keyed.withColumn("small", smaller).join(_small(shared), "key"), "wide-met")
+    few, many = met.where("not crowded"), met.where("crowded")
+    side = lambda x, name: x.select("key", *[F.col(c).alias(f"{name}{c}") for c in ("node", "n", "pos")])
+    near = side(few.where("small"), "a").join(side(few, "b"), "key").where("anode != bnode").where(_fits("a", "b", similarity))
+    near = near.select(F.col("anode").alias("a"), F.col("bnode").alias("b"))
+    lead = many.where("small").groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.pmod("key", F.lit(LEADERS))).alias("o"), "node"))["node"].alias("a"))
+    star = many.join(lead, "key").where("node != a").select("a", F.col("node").alias("b"))
+    near = stored(_in_order(near.unionByName(star)), "wide-links")
     ends = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
     wanted = stored(ends.join(nodes, "node").select("node", F.col("least.id").alias("id_"), F.col("least.h").alias("h_")), "wide-wanted")
 
@@ -258,13 +341,18 @@ def wide_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 
     texts = docs.join(_small(wanted), F.col("id").eqNullSafe(F.col("id_")) & (F.col("h") == F.col("h_"))).select("node", "text")
     sets = stored(texts.mapInArrow(run, "node long, shingles array<bigint>").dropDuplicates(["node"]), "wide-sets")
-    at = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"_{name}"))
-    common = F.size(F.array_intersect("_a", "_b"))
-    both = near.join(at("a"), "a").join(at("b"), "b").select("a", "b", common.alias("c"), (F.size("_a") + F.size("_b")).alias("n"))
-    close = stored(both.where(F.col("c") >= similarity * (F.col("n") - F.col("c"))).select("a", "b"), "wide-close")
-    discard(found, near, wanted, sets)
+    close = stored(_similar(near, sets, similarity), "wide-close")
     label = components(close)
-    out = prints.join(label.select("node", "label"), "node", "left").select("id", "h", "n", F.coalesce("label", "node").alias("component"))
+    if not many.isEmpty():
+        across = _across(many, label, similarity)
+        if not across.isEmpty():
+            more = stored(close.unionByName(_similar(across, sets, similarity)), "wide-close")
+            discard(label, close)
+            close, label = more, components(more)
+        discard(across)
+    discard(shared, met, near, wanted, sets)
+    out = prints.groupBy("id", "h", "node").agg(F.count("*").alias("n"))
+    out = out.join(label.select("node", "label"), "node", "left").select("id", "h", "n", F.coalesce("label", "node").alias("component"))
     out = stored(out, "wide-components")
     discard(close, label, nodes, prints)
     return out

@@ -105,6 +105,69 @@ def test_one_of_each_group_stays(spark):
     assert simhash.keep_one(d.limit(0)).count() == 0
 
 
+def kept_by_brute_force(texts, similarity=0.8, n=5):
+    """Indices of the texts that stay: the first of each group of shingle sets linked at similarity or more."""
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))})
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            c = len(sets[i] & sets[j])
+            if c >= similarity * (len(sets[i]) + len(sets[j]) - c) - 1e-9:
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    return {i for i in range(len(texts)) if root[i] == i}
+
+
+def template_families():
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    texts = []
+    for share in (60, 75, 84, 88, 90, 92):  # words of a family's template, of 100
+        template = [word() for _ in range(share)]
+        pools = [[word() for _ in range(5)] for _ in range(3)]
+        for _ in range(45):
+            own = [word() for _ in range(100 - share)]
+            texts.append(template + own)
+            if rng.random() < 0.4:  # a near copy: its last words differ
+                k = rng.randrange(1, 25)
+                texts.append(template + own[: max(0, len(own) - k)] + [word() for _ in range(min(k, len(own)))])
+        for _ in range(45):  # only shared passages, in many mixtures
+            texts.append(template[:50] + [w for _ in range(6) for w in rng.choice(pools)])
+    rng.shuffle(texts)
+    return [" ".join(t) for t in texts]
+
+
+def test_template_families_lose_no_link(spark, monkeypatch):
+    texts = template_families()
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = kept_by_brute_force(texts)
+    assert {r.doc_id for r in simhash.keep_one(d).select("doc_id").collect()} == want
+    for crowded, block, hot in ((1, 3, 0), (4, 7, 50)):
+        monkeypatch.setattr(simhash, "CROWDED", crowded)
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        monkeypatch.setattr(simhash, "HOT", hot)
+        assert {r.doc_id for r in simhash.keep_one(d).select("doc_id").collect()} == want
+
+
+def test_pairs_inside_a_crowded_family_stay_linked(spark):
+    template = " ".join(f"t{k}" for k in range(75))
+    rows = []
+    for i in range(1_000):  # members are similar at 0.59; the two of a pair at 0.81
+        own = [f"{i}w{k}" for k in range(25)]
+        rows += [(2 * i, " ".join([template, *own])), (2 * i + 1, " ".join([template, *own[:15], *(f"{i}v{k}" for k in range(10))]))]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in got.select("doc_id").collect()} == set(range(0, 2_000, 2))
+
+
 def test_tokens_are_those_of_whole_texts(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-5, None), (-4, ""), (-3, "<|endoftext|> x<|endoftext|>y"), (-2, "\x01 a\x01b é ΟΔΟΣ it's 12 --- 😀"), (-1, "word " * 300_000)], "doc_id long, text string"))
     got = token_planes.read_shards(token_planes.write_shards(d, shard_ids=5_000, block=1_000)).orderBy("doc_id").collect()

@@ -168,6 +168,15 @@ def test_pairs_inside_a_crowded_family_stay_linked(spark):
     assert {r.doc_id for r in got.select("doc_id").collect()} == set(range(0, 2_000, 2))
 
 
+def test_pairs_at_the_threshold_are_found_in_a_large_table(spark):
+    rows = []
+    for i in range(15_000):  # 13 words make 9 shingles; one word more or less at the end leaves 8 of 10 in common
+        t = [f"{i}x{k}" for k in range(12)]
+        rows += [(2 * i, " ".join([*t, f"{i}y"])), (2 * i + 1, " ".join([*t, f"{i}z"]))]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.count() == 15_000 and got.where("doc_id % 2 = 1").count() == 0
+
+
 def test_tokens_are_those_of_whole_texts(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-5, None), (-4, ""), (-3, "<|endoftext|> x<|endoftext|>y"), (-2, "\x01 a\x01b é ΟΔΟΣ it's 12 --- 😀"), (-1, "word " * 300_000)], "doc_id long, text string"))
     got = token_planes.read_shards(token_planes.write_shards(d, shard_ids=5_000, block=1_000)).orderBy("doc_id").collect()

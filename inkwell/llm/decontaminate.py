@@ -40,8 +40,10 @@ def terms(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def runs(h: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each n consecutive terms."""
-    out = np.zeros(max(0, len(h) - n + 1), np.uint64)
+    """Hash of each n consecutive terms; none where there are fewer."""
+    if len(h) < n:
+        return np.zeros(0, np.uint64)
+    out = np.zeros(len(h) - n + 1, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(n):
             out = out * ROLL + h[k : len(h) - n + 1 + k]

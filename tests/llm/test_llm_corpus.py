@@ -234,6 +234,14 @@ def test_items_by_edit_distance(spark):
     assert decontaminate.contaminated(D.limit(0), B).count() == 0 and decontaminate.contaminated(D, B.limit(0)).count() == 0
 
 
+def test_short_texts_against_longer_pieces(spark):
+    items = spark.createDataFrame([(1, "ka lo mi nu po"), (2, " ".join(f"w{k}" for k in range(24)))], "item_id long, text string")  # pieces of 2, 3, 4 and 5 terms
+    for n in range(8):
+        d = spark.createDataFrame([(n, " ".join("ka lo mi nu po ra sa ta".split()[:n]))], "doc_id long, text string").coalesce(1)
+        assert [(r.item_id, r.distance) for r in decontaminate.contaminated(d, items).collect()] == ([(1, max(0, 5 - n))] if n >= 4 else [])
+        assert decontaminate.without_items(d, items).count() == (0 if n >= 4 else 1)
+
+
 def test_media_read_back(spark):
     texts = [None, "", "short", "x" * 192, "é😀 <b>&amp;</b> \"q\"" * 50, "word " * 100_000]
     d = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, texts[2]])], "doc_id long, text string")

@@ -43,6 +43,15 @@ def j08(spark, sf_dir):
     return I.averaged(p, _regions(spark, sf_dir)).withColumn("value", F.round("value", 6))
 
 
+def j08_all(spark, sf_dir):
+    """The mean at every word of each text; j08 has the first words in steps of 20."""
+    from inkwell.functions import text as T
+
+    n = F.size(T.raw_words(F.coalesce("text", F.lit(""))))
+    p = texts(spark, sf_dir).where(n > 0).select("doc_id", F.explode(F.sequence(F.lit(0), n - 1)).alias("pos"))
+    return I.averaged(p, _regions(spark, sf_dir)).withColumn("value", F.round("value", 6))
+
+
 def j09(spark, sf_dir):
     return I.largest_overlap(_sentences(spark, sf_dir), _regions(spark, sf_dir))
 
@@ -90,9 +99,10 @@ def x03(spark, sf_dir):
 
 X03 = rf"""SELECT id, coalesce(nullif(regexp_extract(coalesce(doi, ''), '(?i)10\.48550/arxiv\.([0-9]{{4}}\.[0-9]{{4,5}})', 1), ''), nullif(regexp_extract(coalesce(url, ''), '(?i)(?:arxiv\.org/(?:abs|pdf)/|arxiv:\s*)([0-9]{{4}}\.[0-9]{{4,5}})', 1), '')) AS arxiv_id FROM {values(LINKS, 'id', 'doi', 'url')}"""
 
-QUERIES = {"j07_tightest_region": j07, "j08_covering_mean": j08, "j09_largest_overlap": j09, "j10_open_sentences": j10, "f15_work_keys": f15, "m10_network_kinds": m10, "dt01_dates": dt01, "x03_arxiv_ids": x03}
+QUERIES = {"j07_tightest_region": j07, "j08_covering_mean": j08, "j08_all_words_mean": j08_all, "j09_largest_overlap": j09, "j10_open_sentences": j10, "f15_work_keys": f15, "m10_network_kinds": m10, "dt01_dates": dt01, "x03_arxiv_ids": x03}
 ORACLES = {
     "j07_tightest_region": J07, "j09_largest_overlap": J09, "j10_open_sentences": J10, "f15_work_keys": F15, "m10_network_kinds": M10, "x03_arxiv_ids": X03,
     "j08_covering_mean": f"WITH {PARTS}, p AS (SELECT doc_id, unnest(range(0, 201, 20)) AS pos FROM texts) SELECT p.doc_id, pos, round(avg(value), 6) AS value FROM p JOIN rg ON rg.doc_id = p.doc_id AND s <= pos AND pos < e GROUP BY ALL",
+    "j08_all_words_mean": f"WITH {PARTS}, p AS (SELECT doc_id, unnest(range(n)) AS pos FROM n) SELECT p.doc_id, pos, round(avg(value), 6) AS value FROM p JOIN rg ON rg.doc_id = p.doc_id AND s <= pos AND pos < e GROUP BY ALL",
     "dt01_dates": f"SELECT id, array_to_string(list_transform(range(1, len(string_split(d, ',')) + 1), lambda i: CASE WHEN i = 1 THEN string_split(d, ',')[i] ELSE lpad(string_split(d, ',')[i], 2, '0') END), '-') AS date FROM {values(DATES, 'id', 'd')}",
 }

@@ -242,3 +242,12 @@ def test_near_pairs_by_brute_force(spark):
             if n <= 8:
                 want.add((i, j, n))
     assert {(r.a, r.b, r.distance) for r in X.near_pairs(d).collect()} == want
+
+
+def test_covering_mean_reaches_every_word(spark, small):
+    from inkwell import catalogue
+    from inkwell.plans.common import texts
+
+    got = {r.doc_id: r.n for r in catalogue.QUERIES["j08_all_words_mean"](spark, small).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    want = {r.doc_id: r.n for r in texts(spark, small).select("doc_id", F.size(T.raw_words(F.coalesce("text", F.lit("")))).alias("n")).collect()}
+    assert max(want.values()) > 201 and got == {i: n for i, n in want.items() if n}

@@ -21,9 +21,15 @@ finds them by an exact prefix join, at every input size:
   the same result). Two sets of sizes n, m that reach t share at least t / (1 + t) * (n + m) shingles, so their first common shingle
   is in both prefixes (`prefix`), and at places i, j with min(n - i, m - j) no less than that. Only such pairs are looked at, so
   members of a family with a common template that stay under t share no key in most cases.
-* A key is crowded if over CROWDED of its nodes can be the smaller side of a pair. Its nodes are compared with one of them first.
-  Of the pairs that are left, those inside one component of the links found so far can't change the result; all others are
-  compared, in blocks of BLOCK nodes. Families just under t that share their rarest shingles cost a pair each; none is left out.
+* Keys of one node only, which most are, are found by partial aggregation and leave before anything is joined.
+* Each key's nodes are compared with one of them first (crowded keys, over CROWDED nodes, take one of LEADERS turns, so a family
+  has a few). While all pairs that are left would be many, nodes outside a key's largest component are compared with a few inside
+  (FEW on average), in up to TURNS rounds. Of the pairs that are left then, those inside one component of the
+  links found so far can't change the result; all others are compared, in blocks of BLOCK nodes.
+  Families just under t that share their rarest shingles cost a comparison of bits for each pair; none is left out.
+* A pair is first judged by parity bits: bit k of a set's bits tells whether an odd number of its shingles falls to place k, so two
+  sets differ in at least as many shingles as their bits do. What the bits leave is verified on the shingle sets themselves; sets are
+  made again from the texts of such nodes only, and a link carries the set of one end.
 
 Components come from label propagation with pointer jumping over the links, with a reliable checkpoint each round.
 
@@ -42,15 +48,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.byte_arrays import LOWER, SPACE, mixed, slices, words
+from inkwell.llm.byte_arrays import LOWER, SPACE, STEP, mixed, slices, word_hashes, words
 from inkwell.tables import discard, stored, table
 
 PIVOTS = 16
 CROWD = 32
 CROWDED = 16
 BLOCK = 256
+FEW = 2
+TURNS = 4
+DEAR = 8  # comparisons a row
 LEADERS = 4
-SAMPLE_ROWS = 20_000  # whose shingles are counted for the order of the sets
+SAMPLE_ROWS, SAMPLE_PART = 20_000, 10  # the shingles of a tenth of the rows, or of so many if that is more, are counted for the order of the sets
 HOT = 400_000  # shingles of known count at most: two numbers each, broadcast
 ROWS_AT_ONCE = 1 << 15
 BROADCAST_ROWS = 1_000_000  # of two numbers: 16 MB
@@ -231,12 +240,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, limit: int = 2) -> DataFr
 
 def _common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """(shingle hashes, ranks), both sorted by hash: the shingles that a sample of docs has three times or more, rarest first."""
-    every = max(1, docs.count() // SAMPLE_ROWS)
+    every = min(SAMPLE_PART, max(1, docs.count() // SAMPLE_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, _, data, at in slices(b.column(0)):
-                s, c = np.unique(_distinct(*shingle_hashes(data, at, shingle))[1], return_counts=True)
+                s, c = np.unique(shingle_keys(data, at, shingle)[1], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(c)], names=["s", "c"])
 
     sample = docs.where(F.pmod(F.xxhash64("h"), F.lit(every)) == 0).select("text")
@@ -262,38 +271,133 @@ def prefix(row: np.ndarray, h: np.ndarray, rows: int, similarity: float, common:
     return size, np.cumsum(long), h[order][at < np.repeat(long, size)]
 
 
+def parity(row: np.ndarray, h: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ends, 64-bit words): for each row, bit k tells whether an odd number of its hashes falls to place k.
+
+    A set of n has the power of two from n on for its places, 64 at least; the longer of two rows folds to the shorter by XOR."""
+    wide = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+    base = np.cumsum(wide) - wide
+    at = base[row] + (h & (wide[row] - 1).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(at, minlength=int(wide.sum())) & 1).astype(np.uint8)
+    return np.cumsum(wide >> 6), np.packbits(odd, bitorder="little").view("<i8")
+
+
+def shingle_keys(data: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, 64-bit hash) of the distinct n-word shingles of each row, sorted; fewer words: the whole sequence."""
+    low = LOWER[data]
+    start, end, row = words(low, at)
+    if not len(start):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    h = word_hashes(low, start, end)
+    k = np.arange(len(row))
+    first = np.searchsorted(row, row, "left")
+    count = np.searchsorted(row, row, "right") - first
+    out = np.zeros(len(row), np.uint64)
+    with np.errstate(over="ignore"):
+        for step in range(n):
+            there = (k - first + step < count) if step else np.ones(len(k), bool)
+            out = np.where(there, out * STEP + h[np.minimum(k + step, len(h) - 1)], out)
+    opens = (k - first <= count - n) | (k == first)
+    return _distinct(row[opens], mixed(out[opens]))
+
+
 def _fits(a: str, b: str, similarity: float) -> Column:
     """Whether sets with sizes n, m that share the shingle at places i, j can be similar, if it is the first they share."""
     n, m, i, j = F.col(f"{a}n"), F.col(f"{b}n"), F.col(f"{a}pos"), F.col(f"{b}pos")
     return F.least(n - i, m - j) >= (n + m) * (similarity / (1 + similarity)) - 1e-6
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of pairs (a, b) whose shingle sets are similar."""
-    at = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"_{name}"))
-    both = pairs.join(at("a"), "a").join(at("b"), "b").select("a", "b", F.size(F.array_intersect("_a", "_b")).alias("c"), (F.size("_a") + F.size("_b")).alias("n"))
-    return both.where(F.col("c") >= similarity * (F.col("n") - F.col("c")) - 1e-9).select("a", "b")
+def _folded(bits: Column, other: Column) -> Column:
+    half = F.shiftright(F.size(bits), 1)
+    return F.when(F.size(bits) > F.size(other), F.zip_with(F.slice(bits, 1, half), F.slice(bits, half + 1, half), lambda x, y: x.bitwiseXOR(y))).otherwise(bits)
+
+
+def _near(a: str, b: str, similarity: float) -> Column:
+    """Whether the parity bits of two sets don't rule out that they are similar."""
+    n, x, y = F.col(f"{a}n") + F.col(f"{b}n"), F.col(f"{a}bits"), F.col(f"{b}bits")
+    apart = F.aggregate(F.zip_with(_folded(x, y), _folded(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, z: s + z)
+    return (n - apart) / 2 >= n * (similarity / (1 + similarity)) - 1e-6
+
+
+def _likely(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs (a, b) whose parity bits don't rule out that their sets are similar; a stored table."""
+    at = lambda name: nodes.select(F.col("node").alias(name), F.col("n").alias(f"{name}n"), F.col("bits").alias(f"{name}bits"))
+    return stored(pairs.join(at("a"), "a").join(at("b"), "b").where(_near("a", "b", similarity)).select("a", "b"), "wide-likely")
+
+
+def _similar(likely: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of pairs (a, b), a stored table, whose shingle sets are similar, made again from the texts of docs; a stored table."""
+    if likely.isEmpty():
+        return likely
+    ends = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
+    wanted = stored(ends.join(nodes, "node").select("node", F.col("least.id").alias("id_"), F.col("least.h").alias("h_"), F.col("least.rows").alias("rows")), "wide-wanted")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, data, at in slices(b.column(1)):
+                row, h = shingle_keys(data, at, shingle)
+                cut = pa.array(np.searchsorted(row, np.arange(j - i + 1)), pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.ListArray.from_arrays(cut, pa.array(h.view(np.int64)))], names=["node", "shingles"])
+
+    of = lambda some: docs.join(_small(some), F.col("id").eqNullSafe(F.col("id_")) & (F.col("h") == F.col("h_"))).select("node", "text")
+    texts, repeated = of(wanted.where("rows = 1")), wanted.where("rows > 1")
+    if not repeated.isEmpty():
+        texts = texts.unionByName(of(repeated).dropDuplicates(["node"]))
+    sets = stored(texts.mapInArrow(run, "node long, shingles array<bigint>"), "wide-sets")
+    ends = _small(likely.select(F.col("a").alias("node")).distinct())
+    one = sets.join(ends, "node", "left_semi").select(F.col("node").alias("a"), F.col("shingles").alias("_a"))
+    both = sets.select(F.col("node").alias("b"), F.col("shingles").alias("_b")).join(_small(likely), "b").join(one.hint("merge"), "a")
+    both = both.select("a", "b", F.size(F.array_intersect("_a", "_b")).alias("c"), (F.size("_a") + F.size("_b")).alias("n"))
+    out = stored(both.where(F.col("c") >= similarity * (F.col("n") - F.col("c")) - 1e-9).select("a", "b"), "wide-close")
+    discard(likely, wanted, sets)
+    return out
 
 
 def _in_order(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _across(many: DataFrame, label: DataFrame, similarity: float) -> DataFrame:
-    """a, b: pairs of the crowded keys in many that the links behind label do not join.
-
-    At most one end of such a pair is in the component with most of its key's nodes, so the others, in blocks, meet all."""
-    m = many.join(label, "node", "left").select("key", "node", "n", "pos", F.coalesce("label", "node").alias("label"))
-    parts = m.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.sum("count").alias("all"), F.max("count").alias("most")).where("most < all")
-    m = stored(m.join(parts.select("key", "main", F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("blocks")), "key"), "wide-open")
-    rest = m.where("label != main").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    rest = rest.select("key", "block", *[F.col(x).alias(f"a{x}") for x in ("node", "n", "pos", "label")])
-    whole = m.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    whole = whole.select("key", "block", *[F.col(x).alias(f"b{x}") for x in ("node", "n", "pos", "label")])
-    out = rest.join(whole, ["key", "block"]).where((F.col("alabel") != F.col("blabel")) & _fits("a", "b", similarity))
-    out = stored(_in_order(out.select(F.col("anode").alias("a"), F.col("bnode").alias("b"))), "wide-across")
-    discard(m)
-    return out
+SIDE = ("node", "n", "pos", "label", "bits")
+
+
+def _open(met: DataFrame, lead: DataFrame, label: DataFrame, nodes: DataFrame) -> tuple[DataFrame, float]:
+    """met's rows of the keys whose nodes the links behind label leave in more than one component, without the leaders, with
+    label, bits, main (the key's largest component), rest (nodes outside it) and most (inside); a stored table. And how many
+    comparisons a row `_across` would make."""
+    m = met.join(_small(lead.where("all > 2").select("key", F.col("l.node").alias("lead"))), "key").where("node != lead")  # pairs with a leader are judged
+    m = m.join(label.select("node", "label"), "node", "left").select("key", "node", "n", "pos", F.coalesce("label", "node").alias("label"))
+    parts = m.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.sum("count").alias("all"), F.max("count").alias("most"))
+    parts = stored(parts.where("most < all").select("key", "main", "most", (F.col("all") - F.col("most")).alias("rest")), "wide-parts")
+    out = stored(m.join(_small(parts), "key").join(nodes.select("node", "bits"), "node"), "wide-open")
+    all_ = F.col("rest") + F.col("most")
+    cost = parts.agg((F.sum(F.col("rest") * all_) / F.sum(all_)).alias("c")).first()["c"]
+    discard(parts)
+    return out, cost or 0.0
+
+
+def _sides(rest: DataFrame, whole: DataFrame, by: str, similarity: float) -> DataFrame:
+    """a, b: pairs of rest with whole under one key and number `by` that may be similar and are in two components; stored."""
+    x = rest.select("key", by, *[F.col(c).alias(f"a{c}") for c in SIDE])
+    y = whole.select("key", by, *[F.col(c).alias(f"b{c}") for c in SIDE])
+    both = x.join(y, ["key", by]).where((F.col("alabel") != F.col("blabel")) & _fits("a", "b", similarity) & _near("a", "b", similarity))
+    return stored(_in_order(both.select(F.col("anode").alias("a"), F.col("bnode").alias("b"))), "wide-across")
+
+
+def _some(m: DataFrame, turn: int, similarity: float) -> DataFrame:
+    """Pairs of each node outside its key's largest component with a few nodes inside, other ones under each key and turn.
+
+    That joins most members of a family, so that few pairs are left for `_across`."""
+    bins = F.ceil(F.col("most") / FEW)
+    rest = m.where("label != main").withColumn("bin", F.pmod(F.xxhash64("node", "key", F.lit(turn)), bins))
+    return _sides(rest, m.where("label = main").withColumn("bin", F.pmod(F.xxhash64("key", "node", F.lit(turn)), bins)), "bin", similarity)
+
+
+def _across(m: DataFrame, similarity: float) -> DataFrame:
+    """All pairs of the rows of `_open` that are in two components: at most one end of such a pair is in the component with
+    most of its key's nodes, so the others, in blocks, meet all."""
+    blocks = F.ceil(F.col("rest") / BLOCK)
+    rest = m.where("label != main").withColumn("block", F.pmod(F.xxhash64("node"), blocks))
+    return _sides(rest, m.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))), "block", similarity)
 
 
 def wide_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -308,53 +412,44 @@ def wide_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
 
         for b in batches:
             for i, j, data, at in slices(b.column(2)):
-                row, h = _distinct(*shingle_hashes(data, at, shingle))
+                row, h = shingle_keys(data, at, shingle)
                 cut = np.searchsorted(row, np.arange(j - i + 1))
                 node = np.fromiter((xxhash.xxh64_intdigest(h[x:y].tobytes(), 7) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)), np.uint64, j - i)
                 size, ends, keys = prefix(row, h, j - i, similarity, *held.value)
-                keys = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(keys.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], b.column(1)[i:j], pa.array(node.view(np.int64)), pa.array(size, pa.int32()), keys], names=["id", "h", "node", "size", "keys"])
-
-    prints = stored(docs.select("id", "h", "text").mapInArrow(first, "id long, h long, node long, size int, keys array<bigint>"), "wide")
-    nodes = stored(prints.groupBy("node").agg(F.min(F.struct("id", "h")).alias("least"), F.first("size").alias("n"), F.first("keys").alias("keys")), "wide-nodes")
-    keyed = nodes.select("node", "n", F.posexplode("keys").alias("pos", "key"))
+                stops, bits = parity(row, h, size)
+                lists = [pa.ListArray.from_arrays(pa.array(np.r_[0, e], pa.int32()), pa.array(x)) for e, x in ((ends, keys.view(np.int64)), (stops, bits))]
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], b.column(1)[i:j], pa.array(node.view(np.int64)), pa.array(size, pa.int32()), *lists], names=["id", "h", "node", "size", "keys", "bits"])
+
+    prints = stored(docs.select("id", "h", "text").mapInArrow(first, "id long, h long, node long, size int, keys array<bigint>, bits array<bigint>"), "wide")
+    rows = stored(prints.groupBy("id", "h", "node").agg(F.count("*").alias("rows"), F.first("size").alias("n"), F.first("bits").alias("bits")), "wide-rows")
+    nodes = stored(rows.groupBy("node").agg(F.min(F.struct("id", "h", "rows")).alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits")), "wide-nodes")
+    keyed = prints.select("node", F.col("size").alias("n"), F.posexplode("keys").alias("pos", "key"))
     smaller = F.col("n") - F.col("pos") >= F.ceil(F.col("n") * (2 * similarity / (1 + similarity)) - 1e-6)  # can be the smaller side
-    shared = keyed.groupBy("key").agg(F.count("*").alias("all"), F.count_if(smaller).alias("small")).where("all > 1 and small > 0")
-    shared = stored(shared.select("key", (F.col("small") > CROWDED).alias("crowded")), "wide-keys")
-    met = stored(keyed.withColumn("small", smaller).join(_small(shared), "key"), "wide-met")
-    few, many = met.where("not crowded"), met.where("crowded")
-    side = lambda x, name: x.select("key", *[F.col(c).alias(f"{name}{c}") for c in ("node", "n", "pos")])
-    near = side(few.where("small"), "a").join(side(few, "b"), "key").where("anode != bnode").where(_fits("a", "b", similarity))
-    near = near.select(F.col("anode").alias("a"), F.col("bnode").alias("b"))
-    lead = many.where("small").groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.pmod("key", F.lit(LEADERS))).alias("o"), "node"))["node"].alias("a"))
-    star = many.join(lead, "key").where("node != a").select("a", F.col("node").alias("b"))
-    near = stored(_in_order(near.unionByName(star)), "wide-links")
-    ends = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-    wanted = stored(ends.join(nodes, "node").select("node", F.col("least.id").alias("id_"), F.col("least.h").alias("h_")), "wide-wanted")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, j, data, at in slices(b.column(1)):
-                row, h = _distinct(*shingle_hashes(data, at, shingle))
-                cut = pa.array(np.searchsorted(row, np.arange(j - i + 1)), pa.int32())
-                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.ListArray.from_arrays(cut, pa.array(h.view(np.int64)))], names=["node", "shingles"])
-
-    texts = docs.join(_small(wanted), F.col("id").eqNullSafe(F.col("id_")) & (F.col("h") == F.col("h_"))).select("node", "text")
-    sets = stored(texts.mapInArrow(run, "node long, shingles array<bigint>").dropDuplicates(["node"]), "wide-sets")
-    close = stored(_similar(near, sets, similarity), "wide-close")
+    shared = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.max(smaller).alias("small")).where("a < b and small")
+    shared = stored(shared.select("key"), "wide-keys")
+    met = stored(keyed.join(_small(shared), "key").dropDuplicates(["key", "node"]), "wide-met")
+    order = lambda turn: F.struct(F.xxhash64("node", turn).alias("o"), "node", "n", "pos")
+    lead = met.groupBy("key").agg(F.count("*").alias("all"), F.min(order(F.lit(0))).alias("few"), F.min(order(F.pmod("key", F.lit(LEADERS)))).alias("many"))
+    lead = stored(lead.select("key", "all", F.when(F.col("all") > CROWDED, F.col("many")).otherwise(F.col("few")).alias("l")), "wide-leaders")
+    led = met.select("key", F.col("node").alias("bnode"), F.col("n").alias("bn"), F.col("pos").alias("bpos")).join(_small(lead.select("key", *[F.col(f"l.{c}").alias(f"a{c}") for c in ("node", "n", "pos")])), "key")
+    near = _in_order(led.where("anode != bnode").where(_fits("a", "b", similarity)).select(F.col("anode").alias("a"), F.col("bnode").alias("b")))
+    close = _similar(_likely(near, nodes, similarity), nodes, docs, shingle, similarity)
     label = components(close)
-    if not many.isEmpty():
-        across = _across(many, label, similarity)
-        if not across.isEmpty():
-            more = stored(close.unionByName(_similar(across, sets, similarity)), "wide-close")
+    turn, last = 0, False
+    while not last:  # rounds of some pairs while they find links and save comparisons; the last round has all pairs
+        m, cost = _open(met, lead, label, nodes)
+        last = cost <= DEAR or turn == TURNS or (turn > 0 and more.isEmpty())
+        more = _similar(_across(m, similarity) if last else _some(m, turn, similarity), nodes, docs, shingle, similarity)
+        if not more.isEmpty():
+            whole = stored(close.unionByName(more), "wide-close")
             discard(label, close)
-            close, label = more, components(more)
-        discard(across)
-    discard(shared, met, near, wanted, sets)
-    out = prints.groupBy("id", "h", "node").agg(F.count("*").alias("n"))
-    out = out.join(label.select("node", "label"), "node", "left").select("id", "h", "n", F.coalesce("label", "node").alias("component"))
+            close, label = whole, components(whole)
+        discard(m)
+        turn += 1
+    discard(shared, met, lead, close, prints, nodes)
+    out = rows.join(label.select("node", "label"), "node", "left").select("id", "h", F.col("rows").alias("n"), F.coalesce("label", "node").alias("component"))
     out = stored(out, "wide-components")
-    discard(close, label, nodes, prints)
+    discard(label, rows)
     return out
 
 

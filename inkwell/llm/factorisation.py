@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.tables import discard, stored
+
 #: (texts, metadata) of a batch -> parts of (first row, last row + 1, row, feature, value), rows ascending.
 Features = Callable[[pa.Array, "pa.Array | None"], Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]]
 
@@ -51,11 +53,12 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def fit(rows: int, row: np.ndarray, feature: np.ndarray, value: np.ndarray, label: np.ndarray, factors: int = 8, epochs: int = 12, batch: int = 128, rate: float = 0.05, decay: float = 2e-4, least: int = 4, screen: float = 0.0, common: float = 0.05, seed: int = 7) -> Model:
+def fit(rows: int, row: np.ndarray, feature: np.ndarray, value: np.ndarray, label: np.ndarray, factors: int = 8, epochs: int = 12, batch: int = 128, rate: float = 0.05, decay: float = 2e-4, least: int = 4, screen: float = 0.0, pairs: int = 0, seed: int = 7) -> Model:
     """Logistic loss, both classes of equal weight up to a factor of 3, adaptive steps; features in fewer than `least` rows keep weight 0.
 
-    screen: so many standard deviations must a feature's count among rows of label 1 be off its expectation, unless at least
-    the share `common` of all rows has it; it keeps rare chance words out where labels are few."""
+    screen: so many standard deviations must a feature's count among rows of label 1 be off its expectation; it keeps rare
+    chance words out where labels are few. Of the `pairs` features that most rows have, those of a pair that tells more than both
+    of its features do are kept too (`interacting`), however little each tells alone."""
     random = np.random.default_rng(seed)
     ids, feature = np.unique(feature, return_inverse=True)
     size = len(ids)
@@ -65,7 +68,10 @@ def fit(rows: int, row: np.ndarray, feature: np.ndarray, value: np.ndarray, labe
         mean = label.mean()
         expected = count * mean
         spread = np.sqrt(expected * (1 - mean) * np.maximum(1 - count / rows, 1e-9)) + 1e-9
-        useful &= (np.abs(np.bincount(feature, label[row], size) - expected) >= screen * spread) | (count >= common * rows)
+        told = np.abs(np.bincount(feature, label[row], size) - expected) >= screen * spread
+        if pairs:
+            told |= interacting(rows, row, feature, count, label, pairs)
+        useful &= told
     used = np.flatnonzero(useful)
     place = np.full(size, -1)
     place[used] = np.arange(len(used))
@@ -104,8 +110,32 @@ def fit(rows: int, row: np.ndarray, feature: np.ndarray, value: np.ndarray, labe
     return Model(float(bias), ids[used], w.astype(np.float32), v.astype(np.float32))
 
 
-def learn(docs: DataFrame, labels: DataFrame, features: Features, sample: int = SAMPLE, **how) -> Model:
-    """Fits on at most `sample` of labels(doc_id, label). A repeated doc_id in labels counts once, with its highest label."""
+def interacting(rows: int, row: np.ndarray, feature: np.ndarray, count: np.ndarray, label: np.ndarray, most: int, off: float = 6.0, together: int = 10) -> np.ndarray:
+    """For each feature, whether it is in a pair whose share of label 1 is `off` standard deviations from what additive weights of
+    the two give, among pairs that `together` rows or more have of the `most` commonest features (rows x most numbers at once)."""
+    out = np.zeros(len(count), bool)
+    top = np.sort(np.argsort(-count, kind="stable")[:most])
+    place = np.full(len(count), -1)
+    place[top] = np.arange(len(top))
+    keep = place[feature] >= 0
+    x = np.zeros((rows, len(top)), np.float32)
+    x[row[keep], place[feature[keep]]] = 1
+    both, ones = x.T @ x, x[label > 0].T @ x[label > 0]
+    logit = lambda p: np.log(p / (1 - p))
+    mean = min(max(label.mean(), 0.5 / rows), 1 - 0.5 / rows)
+    alone = logit((np.diag(ones) + mean) / (np.diag(both) + 1))
+    expected = 1 / (1 + np.exp(-np.clip(alone[:, None] + alone[None, :] - logit(mean), -30, 30)))
+    spread = np.sqrt(both * expected * (1 - expected) + 0.5)
+    far = (np.abs(ones - both * expected) >= off * spread) & (both >= together)
+    np.fill_diagonal(far, False)
+    out[top] = far.any(1)
+    return out
+
+
+def learn(docs: DataFrame, labels: DataFrame, features: Features, sample: int = SAMPLE, least: int = 4, **how) -> Model:
+    """Fits on at most `sample` of labels(doc_id, label). A repeated doc_id in labels counts once, with its highest label.
+
+    Features of fewer than `least` rows of the sample, which most are, are left in the tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -114,22 +144,38 @@ def learn(docs: DataFrame, labels: DataFrame, features: Features, sample: int =
                 lists = [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x)) for x in (feature, value.astype(np.float32))]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id")[i:j], b.column("label")[i:j], *lists], names=["doc_id", "label", "feature", "value"])
 
+    spark = docs.sparkSession
     chosen = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     chosen = chosen.withColumn("_h", F.xxhash64("doc_id")).orderBy("_h", "doc_id").limit(sample).drop("_h")
     known = docs.select("doc_id", "text", "meta").join(F.broadcast(chosen), "doc_id")  # at most `sample` rows of two numbers
-    got = known.select("doc_id", "label", "text", "meta").mapInArrow(run, "doc_id long, label int, feature array<bigint>, value array<float>").toArrow()
-    got = got.take(pa.array(np.argsort(got["doc_id"].to_numpy(), kind="stable"))).combine_chunks()
-    lists = got["feature"].combine_chunks() if got.num_rows else None
-    if lists is None:
+    rows_ = stored(known.select("doc_id", "label", "text", "meta").mapInArrow(run, "doc_id long, label int, feature array<bigint>, value array<float>"), "sample")
+    ids = rows_.select(F.explode("feature").alias("f")).groupBy("f").count().where(F.col("count") >= least).select("f").toArrow()["f"].to_numpy()
+    held = spark.sparkContext.broadcast(np.sort(ids))
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = held.value
+        for b in batches:
+            feature, n = b.column(2).flatten().to_numpy(), np.diff(b.column(2).offsets.to_numpy())
+            place = np.searchsorted(known, feature)
+            place[place == len(known)] = 0
+            keep = known[place] == feature if len(known) else np.zeros(len(feature), bool)
+            row = np.repeat(np.arange(b.num_rows), n)[keep]
+            cut = pa.array(np.searchsorted(row, np.arange(b.num_rows + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(cut, pa.array(x)) for x in (place[keep].astype(np.int32), b.column(3).flatten().to_numpy()[keep])]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], names=["doc_id", "label", "place", "value"])
+
+    got = rows_.mapInArrow(coded, "doc_id long, label int, place array<int>, value array<float>").sort("doc_id").toArrow().combine_chunks()
+    discard(rows_)
+    held.unpersist()
+    flat = lambda name: got[name].chunk(0) if isinstance(got[name], pa.ChunkedArray) and got[name].num_chunks else got[name]
+    if not got.num_rows:
         return Model(0.0, np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros((0, 1), np.float32))
-    if isinstance(lists, pa.ChunkedArray):
-        lists = lists.chunk(0)
-    values = got["value"].combine_chunks()
-    values = values.chunk(0) if isinstance(values, pa.ChunkedArray) else values
     rows, label = got.num_rows, got["label"].to_numpy().astype(np.float64)
-    row = np.repeat(np.arange(rows, dtype=np.int32), np.diff(lists.offsets.to_numpy()))
-    model = fit(rows, row, lists.flatten().to_numpy(), values.flatten().to_numpy(), label, **how)
-    del got, lists, values
+    places, values = flat("place"), flat("value")
+    row = np.repeat(np.arange(rows, dtype=np.int32), np.diff(places.offsets.to_numpy()))
+    model = fit(rows, row, places.flatten().to_numpy(), values.flatten().to_numpy(), label, least=least, **how)
+    model = Model(model.bias, held_ids[model.ids], model.linear, model.factors) if len(held_ids := np.sort(ids)) else model
+    del got, places, values
     pa.default_memory_pool().release_unused()
     return model
 

@@ -1,8 +1,9 @@
 """Operator 6: toxicity by a factorisation machine over hashed terms.
 
-A document's features are its distinct terms (runs of letters, digits and non-ASCII bytes, A-Z lowered), hashed, and stems
-that two, three or four of its distinct terms share (inflected forms of one word), all with value 1; the machine learns single terms and pairs of them (an insult beside a group's name), which no additive
-weight can tell. Only texts and labels of training rows are used.
+A document's features are its distinct terms (runs of letters, digits and non-ASCII bytes, A-Z lowered) and the stems of longer
+terms (their first bytes, so that inflected forms meet), hashed, all with value 1. The machine learns single terms and pairs of
+them (an insult beside a group's name), which no additive weight can tell: features are kept that tell something alone or in a
+pair. Only texts and labels of training rows are used.
 
 Defined cases: null or empty text has no terms and scores the bias; a null doc_id is kept and is never held out by its
 remainder (crc32 of the empty text); repeated rows each get a row; labels of unknown documents are ignored; without labels
@@ -24,11 +25,12 @@ from inkwell.tables import table
 
 BITS = 44
 MASK = (1 << BITS) - 1
-#: Stems are the first so many bytes of longer terms; a stem counts once so many distinct terms share it.
-STEMS = (4, 5, 6, 7, 8)
-FORMS = (2, 3, 4)
+#: Stems are the first so many bytes of longer terms.
+STEMS = (4, 5, 6)
 THRESHOLD = 0.7
-SCREEN = 4.0
+SCREEN = 3.0
+#: Pairs are tested among so many of the sample's commonest features.
+PAIRED = 1024
 RATE = 0.3
 
 
@@ -53,11 +55,8 @@ def term_features(texts: pa.Array, meta: pa.Array | None) -> Iterator[tuple[int,
         for n in STEMS:
             long = end - start > n
             s = start[long]
-            stem, count = np.unique((row[long] << BITS) | _short(word_hashes(low, s, s + n)), return_counts=True)
-            for least in FORMS:
-                key = stem[count >= least]
-                salted = mixed((key & MASK).astype(np.uint64) * np.uint64(64) + np.uint64(n * 8 + least))
-                all_.append((key & ~np.int64(MASK)) | _short(salted))
+            salted = mixed(word_hashes(low, s, s + n) + np.uint64(n))
+            all_.append(np.unique((row[long] << BITS) | _short(salted)))
         all_ = np.sort(np.concatenate(all_))
         yield i, j, all_ >> BITS, all_ & MASK, np.ones(len(all_))
 
@@ -69,7 +68,7 @@ def remainder(doc_id: Column, by: int) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """labels: doc_id, label."""
-    return learn(docs.select("doc_id", "text", F.lit(None).cast("long").alias("meta")), labels, term_features, sample, screen=SCREEN, rate=RATE, common=2.0)
+    return learn(docs.select("doc_id", "text", F.lit(None).cast("long").alias("meta")), labels, term_features, sample, screen=SCREEN, rate=RATE, pairs=PAIRED)
 
 
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from inkwell.llm import chat_format, language_id, ppm_score, quality, toxicity
+from inkwell.llm import chat_format, factorisation, language_id, ppm_score, quality, toxicity
 from oracle import difference
 
 KINDS = "doc_id long, text string, lang string, source string, row string, d int"
@@ -125,6 +125,36 @@ def test_held_out_labels(spark, module, query, label, by, held, least):
     assert auc([(r.score, r[label]) for r in got if r.held_out]) >= least
 
 
+def test_linear_time_score_is_the_sum_over_pairs():
+    rng = np.random.default_rng(3)
+    model = factorisation.Model(0.3, np.arange(0, 60, 2), rng.normal(0, 1, 30).astype(np.float32), rng.normal(0, 0.7, (30, 5)).astype(np.float32))
+    rows = [sorted(rng.choice(60, 9, replace=False).tolist()) for _ in range(20)] + [[]]
+    value = [rng.normal(0, 1, len(r)) for r in rows]
+    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    got = model.score(len(rows), row, np.array([f for r in rows for f in r]), np.concatenate(value))
+    for s, r, x in zip(got, rows, value):
+        known = [(f // 2, v) for f, v in zip(r, x) if f % 2 == 0]
+        logit = 0.3 + sum(model.linear[f] * v for f, v in known)
+        logit += sum(float(model.factors[f] @ model.factors[g]) * v * w for i, (f, v) in enumerate(known) for g, w in known[i + 1 :])
+        assert s == pytest.approx(1 / (1 + math.exp(-logit)), rel=1e-5)
+
+
+def test_labels_that_only_an_interaction_tells(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(2_400):  # toxic: exactly one of two words; each alone says nothing
+        a, b = rng.random(2) < 0.5
+        words = [f"w{k}" for k in rng.integers(0, 2_000, 40)] + ["insult"] * int(a) + ["group"] * int(b)
+        rows.append((i, " ".join(rng.permutation(words)), int(a != b)))
+    known = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    model = toxicity.train(known, known.where("doc_id % 3 != 1").select("doc_id", "label"))
+    held = known.where("doc_id % 3 = 1")
+    score = lambda m: auc([(r.score, r.label) for r in toxicity.toxicity(held, m).join(held.select("doc_id", "label"), "doc_id").collect()])
+    assert score(model) >= 0.95
+    model.factors[:] = 0
+    assert score(model) <= 0.6
+
+
 def test_scores_of_odd_rows(spark):
     d = odd_docs(spark)
     labels = spark.createDataFrame([(1, 0), (4, 1), (4, 0), (99, 1), (None, 1), (3, None)], "doc_id long, label int")

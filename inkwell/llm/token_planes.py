@@ -9,12 +9,13 @@ Texts are encoded, documents sorted by doc_id and packed into shards. A shard is
 
 A shard closes when it holds `shard_ids` ids; a longer document gets a shard of its own. Shards are rows of a Parquet table
 in the shared folder (part, shard, first_doc ..., payload), so Spark's commit protocol covers lost executors and any store
-works. Rows sort by range, not in one task; starts come from sums over parts, then over a part's shards.
+works. Rows sort by range into parts of `part_bytes` bytes of text, as many as the data needs; starts come from sums over parts,
+then over a part's shards. (To encode first and sort ids instead of texts takes a table more; see the README for figures.)
 
 The tokenizer sees each distinct blank-separated word of a batch once: its normaliser and splitter never look across blanks
 (white space is dropped, patterns contain none), so ids of words in a row are the ids of the text.
 
-Defined cases: null text is empty (the end id alone); null doc_id sorts first; repeated doc_ids sort by text; an empty table
+Defined cases: null text is empty (the end id alone); null doc_id sorts first; repeated doc_ids sort by a hash of the text; an empty table
 gives an empty result; other columns are ignored.
 """
 
@@ -38,6 +39,7 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 BLOCK_IDS = 1 << 16
 SHARD_IDS = 1 << 20
+PART_BYTES = 1 << 24
 TABLE_BITS = 21
 CACHE_WORDS = 1_000_000
 #: Bytes of text at once; larger slices repeat more words.
@@ -196,8 +198,11 @@ def unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
 SHARDS = "part int, shard int, docs long, ids long, doc_ids array<bigint>, payload binary"
 
 
-def write_shards(docs: DataFrame, path: str | None = None, end_id: int = END_ID, block: int = BLOCK_IDS, shard_ids: int = SHARD_IDS) -> DataFrame:
-    """Encodes (doc_id, text), sorts by doc_id and stores the shards; returns the stored table."""
+def write_shards(docs: DataFrame, path: str | None = None, end_id: int = END_ID, block: int = BLOCK_IDS, shard_ids: int = SHARD_IDS, part_bytes: int = PART_BYTES) -> DataFrame:
+    """Encodes (doc_id, text), sorts by doc_id and stores the shards; returns the stored table.
+
+    Rows of one doc_id, however many, may be parted between tasks: they are told apart by a hash of the text and their place in
+    the input."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -226,9 +231,10 @@ def write_shards(docs: DataFrame, path: str | None = None, end_id: int = END_ID,
         if held:
             yield close()
 
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.monotonically_increasing_id().alias("place"))
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism if total > part_bytes else 1, -(-total // part_bytes))
+    sorted_ = rows.repartitionByRange(parts, "doc_id", "h", "place").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     return stored(sorted_.mapInArrow(run, SHARDS), "planes")
 
 

@@ -189,6 +189,19 @@ def test_tokens_are_those_of_whole_texts(spark):
     assert token_planes.read_shards(token_planes.write_shards(d.limit(0))).count() == 0
 
 
+def test_tokens_of_repeated_and_null_ids_are_parted(spark):
+    rows = [(None, "a b c")] * 300 + [(7, f"word {k % 3}") for k in range(300)] + [(9, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit("extra")).withColumn("h", F.lit(1.5))
+    shards = token_planes.write_shards(d, part_bytes=300)
+    assert shards.select("part").distinct().count() > 4
+    got = sorted(token_planes.read_shards(shards).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] * 300 + [7] * 300 + [9]
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
+    coder = token_planes.Encoder().model
+    want = sorted(zlib.crc32(np.array([*coder.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes()) for _, t in rows)
+    assert sorted(r.ids_crc32 for r in got) == want
+
+
 def test_planes_round_trip():
     for top in (1, 40_000, 1 << 20):
         ids = np.random.default_rng(1).integers(0, top, 3_001).astype(np.uint32)

@@ -280,6 +280,47 @@ def test_sequences_keep_order_and_lost_media(spark):
     assert [[(x.kind, x.text, x.digest, x.caption, x.media_bytes) for x in r.sequence] for r in got] == [[("text", "One", None, None, None), ("media", None, "aa", "Cap & tion", 5), ("text", "Two three", None, None, None), ("media", None, "zz", "alt", None)]]
 
 
+@pytest.mark.parametrize("html,want", [
+    ("<html><head><title>t</title><body><p>kept</p>", [("text", "kept", None)]),
+    ("<head><meta charset=x><p>no body tag</p>", [("text", "no body tag", None)]),
+    ('<figure><img src="media:a"><figcaption>cap</figure><p>after</p>', [("media", "a", "cap"), ("text", "after", None)]),
+    ('<img src="media:a" alt="old"><figcaption>loose</figcaption><p>x</p>', [("media", "a", "old"), ("text", "loose", None), ("text", "x", None)]),
+    ('<figure><img src="media:a"><figure><img src="media:b"><figcaption>in</figcaption></figure><figcaption>out</figcaption></figure>', [("media", "a", "out"), ("media", "b", "in")]),
+    ('<figure><img src="media:a"><figcaption>never closed <p>still here</p>', [("media", "a", None), ("text", "never closed still here", None)]),
+    ('<div><nav>menu</div><p>text</p>', [("text", "text", None)]),
+    ('<nav>menu<article><p>story</p></article>', [("text", "story", None)]),
+    ("a</p>b<br>c</div></section>d", [("text", "ab", None), ("text", "cd", None)]),
+    ("<script>x<p>y</script><style>z", []),
+])
+def test_broken_markup_loses_nothing(html, want):
+    assert [(k, t or d, c) for k, t, d, c, _ in media_sequences.elements(html)] == want
+
+
+def test_odd_sizes_of_media():
+    for size, want in (("12", 12), ("\u00b2", None), ("9" * 30, None), ("-1", None), ("", None)):
+        assert media_sequences.elements(f'<img src="media:a" data-bytes="{size}">')[0][4] == want
+
+
+def test_pages_become_sequences_in_order(spark, small):
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    got = media_sequences.interleave(media_sequences.parse_sequences(pages)).collect()
+    html = {r.page_id: r.html for r in pages.collect()}
+    assert {r.page_id: [(x.kind, x.text, x.digest) for x in r.sequence] for r in got} == {k: e for k, h in html.items() if (e := [(a, t, d) for a, t, d, _, _ in media_sequences.elements(h)])}
+    assert all([x.position for x in r.sequence] == list(range(len(r.sequence))) for r in got)
+
+
+def test_media_of_crowded_payloads_and_odd_rows(spark):
+    rows = [(None, None, "a", 1)] * 20 + [(3, "same", "a", None)] * 30 + [(k, f"text {k}", None, 2) for k in range(10)]
+    held = media_sequences.document_media(spark.createDataFrame(rows, "doc_id long, text string, html string, digest int"))
+    for hot, most in ((5, 100), (5, 0), (1_000, 100)):
+        got = media_sequences.document_sequences(held, hot, most).collect()
+        assert len(got) == len(rows) and sorted((r.page_id or -1) for r in got) == sorted((r[0] or -1) for r in rows)
+        assert all([x.kind for x in r.sequence] == ["text", "media"] and r.sequence[1].payload_bytes == 192 for r in got)
+        assert {r.sequence[0].text for r in got} == {f"Document {r[0]}" for r in rows}
+    empty = media_sequences.document_media(spark.createDataFrame([], "doc_id long, text string"))
+    assert media_sequences.document_sequences(empty).count() == 0
+
+
 def test_pipeline_stages_on_whole_tables(spark, small):
     d = spark.read.parquet(f"{small}/documents.parquet")
     ids = lambda x: {r.doc_id for r in x.select("doc_id").collect()}

@@ -87,12 +87,12 @@ def _prefix(ranked: DataFrame, budgets: DataFrame, bins: int) -> DataFrame:
     return whole.unionByName(last.where(F.col("_upto") <= F.col("_end.budget")).select("_row"))
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST, bins: int = BINS) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST, bins: int = BINS, row: str | None = None) -> DataFrame:
     """One row a document: _row, doc_id, source, size, source_size, target, copies, taken. Reruns agree on any cluster.
 
-    docs may bring unique row numbers (_row); else rows are numbered here."""
-    row = F.col("_row") if "_row" in docs.columns else F.monotonically_increasing_id()
-    base = docs.select(row.cast("long").alias("_row"), "doc_id", "source", words(F.col("text")).alias("size"))
+    row names a column of unique row numbers; without one, rows are numbered here."""
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    base = docs.select(number.cast("long").alias("_row"), "doc_id", "source", words(F.col("text")).alias("size"))
     base = stored(base.withColumn("u", unit(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), "mix")
     classes = base.where("size > 0").withColumn("_class", F.length(F.bin("size")) - 1).groupBy("source", "_class").agg(F.sum("size").alias("size"))
     targets = stored(source_targets(base.groupBy("source").agg(F.sum("size").alias("size")), weights, share, most), "mix-targets")
@@ -127,7 +127,7 @@ def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SH
     """The mix itself: each row of docs as often as it is taken, with the columns it came with."""
     held = docs.select(F.struct("*").alias("d")).withColumn("_row", F.monotonically_increasing_id())
     held = stored(held, "mix-docs")
-    copies = mix(held.select("_row", "d.doc_id", "d.source", "d.text"), weights, share, most).where("copies > 0").select("_row", "copies")
+    copies = mix(held.select("_row", "d.doc_id", "d.source", "d.text"), weights, share, most, row="_row").where("copies > 0").select("_row", "copies")
     return held.join(copies, "_row").select(F.explode(F.array_repeat("d", F.col("copies").cast("int"))).alias("d")).select("d.*")
 
 

@@ -2,7 +2,7 @@
 
 Template: each message is `<|turn|>ROLE\nTEXT<|end|>\n`; adjacent turns of one role are merged into one message, their
 texts parted by `<|more|>`, so the rows can be read back. Control strings inside roles and texts are broken by a backslash
-after their first character and backslashes are doubled, which `unescape` undoes. The result holds the formatted string and
+after their first character, backslashes are doubled and line breaks in roles follow a backslash, which `unescape` undoes. The result holds the formatted string and
 the spans (code points) of assistant texts, the loss mask.
 
 Defined cases: null text or role is empty; turns sort by (turn, role, text), null turn first, so ties and repeated rows have
@@ -26,6 +26,11 @@ def escape(c: Column) -> Column:
     return F.regexp_replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), CONTROL, r"$1$3$5\\$2$4$6")
 
 
+def escape_role(c: Column) -> Column:
+    """Line breaks too, since one ends the role."""
+    return F.replace(escape(c), F.lit("\n"), F.lit("\\\n"))
+
+
 def unescape(c: Column) -> Column:
     return F.regexp_replace(c, r"(?s)\\(.)", "$1")
 
@@ -38,7 +43,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
     opens = F.filter(F.sequence(F.lit(1), F.size("ts")), lambda i: (i == 1) | (F.element_at("ts", i)["role"] != F.element_at("ts", F.greatest(i - 1, F.lit(1)))["role"]))
     t = t.withColumn("opens", opens)
     upto = lambda k: F.coalesce(F.try_element_at("opens", (k + 2).cast("int")) - 1, F.size("ts"))
-    t = t.withColumn("ms", F.transform("opens", lambda i, k: F.struct(escape(F.element_at("ts", i)["role"]).alias("role"), F.transform(F.slice("ts", i, upto(k) - i + 1), lambda x: escape(x["text"])).alias("parts"))))
+    t = t.withColumn("ms", F.transform("opens", lambda i, k: F.struct(escape_role(F.element_at("ts", i)["role"]).alias("role"), F.transform(F.slice("ts", i, upto(k) - i + 1), lambda x: escape(x["text"])).alias("parts"))))
     # alternate marked-up pieces and texts; texts sit at known places, so spans come from running lengths
     t = t.withColumn("pieces", F.flatten(F.transform("ms", lambda m: F.transform(m["parts"], lambda p, j: F.struct(
         F.when(j == 0, F.concat(F.lit(TURN), m["role"], F.lit("\n"))).otherwise(F.lit(MORE)).alias("head"), p.alias("text"),
@@ -52,8 +57,9 @@ def format_chats(turns: DataFrame) -> DataFrame:
 def read_back(formatted: Column) -> Column:
     """array<struct<role,text>>: the rows that a formatted string holds."""
     messages = F.filter(F.split(formatted, r"<\|turn\|>"), lambda m: m != "")
-    body = lambda m: F.substring(m, F.instr(m, "\n") + 1, F.length(m) - F.instr(m, "\n") - len(END) - 1)
-    return F.flatten(F.transform(messages, lambda m: F.transform(F.split(body(m), r"<\|more\|>"), lambda x: F.struct(unescape(F.substring_index(m, "\n", 1)).alias("role"), unescape(x).alias("text")))))
+    head = lambda m: F.regexp_extract(m, r"(?s)^((?:[^\\\n]++|\\.)*+)\n", 1)
+    read = lambda m, role: F.transform(F.split(F.substring(m, F.length(role) + 2, F.length(m) - F.length(role) - len(END) - 2), r"<\|more\|>"), lambda x: F.struct(unescape(role).alias("role"), unescape(x).alias("text")))
+    return F.flatten(F.transform(messages, lambda m: read(m, head(m))))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

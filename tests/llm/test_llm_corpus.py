@@ -39,6 +39,13 @@ def test_mix_of_odd_rows(spark):
     assert source_mix.mixed_documents(d).columns == d.columns
 
 
+def test_mix_ignores_clashing_columns(spark):
+    d = spark.createDataFrame([(i, f"s{i % 3}", "word " * (i + 1), 7, 7, "x") for i in range(50)], "doc_id long, source string, text string, _row long, size long, u string")
+    got = source_mix.mix(d)
+    assert got.count() == 50 and got.where("taken > 2 * size").count() == 0
+    assert source_mix.mixed_documents(d).columns == d.columns
+
+
 def plain_print(text, n=3):
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text).split() if text.isascii() else text.split()
     if not low:
@@ -74,6 +81,25 @@ def test_fingerprints_and_components_by_brute_force(spark):
     assert {r.doc_id: r.component_id for r in got} == {i: root(i) for i in ids}
 
 
+def test_fingerprints_of_odd_rows(spark):
+    d = spark.createDataFrame([(None, "a b c d", 1), (None, "a b c d", 2), (5, "a b c d", 3), (6, None, 4), (7, "", 5)], "doc_id long, text string, node int").withColumn("fingerprint", F.lit("x")).withColumn("w0", F.lit(0))
+    got = simhash.near_duplicates(d).collect()
+    assert sorted((r.doc_id or 0, r.component_id) for r in got) == [(0, 5), (0, 5), (5, 5), (6, 6), (7, 6)]
+    assert simhash.near_duplicates(d.limit(0)).count() == 0
+
+
+def test_parity_bits_never_rule_out_a_similar_pair():
+    rng = np.random.default_rng(2)
+    for n, m, both in ((100, 120, 98), (60, 70, 58), (5, 5, 5), (500, 620, 498), (1, 1, 1)):
+        pool = rng.integers(0, 1 << 63, n + m, np.uint64)
+        sets = [np.sort(pool[:n]), np.sort(np.r_[pool[:both], pool[n : n + m - both]])]
+        ends, words = simhash.parity(np.repeat([0, 1], [n, m]), np.concatenate(sets), np.array([n, m]))
+        a, b = words[: ends[0]].view(np.uint64), words[ends[0] : ends[1]].view(np.uint64)
+        while len(a) != len(b):
+            a, b = (a[: len(a) // 2] ^ a[len(a) // 2 :], b) if len(a) > len(b) else (a, b[: len(b) // 2] ^ b[len(b) // 2 :])
+        assert np.bitwise_count(a ^ b).sum() <= n + m - 2 * both
+
+
 def test_crowded_keys_lose_no_link(spark):
     rng = random.Random(9)
     base = rng.getrandbits(64)

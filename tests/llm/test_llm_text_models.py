@@ -44,6 +44,14 @@ def test_chats_read_back_what_went_in(spark):
     assert lost == "".join(chat for chat in [spark.createDataFrame([(t,)], "x string").select(chat_format.escape(F.col("x"))).first()[0] for t in evil])
 
 
+def test_chats_of_odd_roles_and_tables(spark):
+    rows = [(1, 0, "us\ner", "er\nhi"), (1, 1, "us\ner", "again"), (1, 2, "\\\n", "\\"), (1, 3, "a\n\n", ""), (1, 3, "a\n\n", ""), (2, 0, "<|turn|>\n", "\n")]
+    made = lambda rows: spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("t", F.lit("clash")).withColumn("formatted", F.lit(0))
+    back = {r.conv_id: [(x.role, x.text) for x in r.b] for r in chat_format.format_chats(made(rows)).select("conv_id", chat_format.read_back(F.col("formatted")).alias("b")).collect()}
+    assert back == {k: [(r, t) for i, _, r, t in rows if i == k] for k in (1, 2)}
+    assert chat_format.format_chats(made([])).count() == 0
+
+
 def plain_ppm(train, text, order):
     """Prediction by partial matching by dictionaries: escape method D, exclusion, update exclusion, a uniform floor."""
     end = chr(ppm_score.END)

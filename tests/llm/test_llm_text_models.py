@@ -185,3 +185,23 @@ def test_language_of_pages(spark, small):
     assert (told.lang == told.text_lang).mean() > 0.9
     assert language_id.identify(pages.limit(0), docs).count() == 0
     assert language_id.identify(pages, docs.limit(0)).where("lang is not null").count() == 0
+
+
+def test_language_of_texts_it_has_not_seen(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null and text is not null")
+    pages = docs.where("doc_id % 2 = 1").select(F.col("doc_id").alias("page_id"), F.concat(F.lit("https://h"), F.col("doc_id").cast("string"), F.lit(".example/")).alias("url"), F.concat(F.lit("<body><p>"), "text", F.lit("</p>")).alias("html"))
+    got = language_id.identify(pages.withColumn("lang", F.lit("xx")).withColumn("host", F.lit(1)), docs.where("doc_id % 2 = 0").select("text", "lang")).select("page_id", F.col("lang").alias("found"))
+    right = got.join(docs.select(F.col("doc_id").alias("page_id"), "lang"), "page_id")
+    assert right.where("found = lang").count() >= 0.95 * right.count() > 0
+
+
+def test_language_evidence_by_hand(spark):
+    docs = spark.createDataFrame([("the cat and the dog and the house " * 5, "en"), ("der hund und die katze und das haus " * 5, "de"), ("nothing", None)], "text string, lang string")
+    page = lambda text: f"<html><body>{text}</body></html>"
+    rows = [(k, "https://a.site.de/x", page("der hund und die katze")) for k in range(30)] + [(k, "https://b.other.com/x", page("the cat and the dog")) for k in range(100, 120)]
+    rows += [(900, "https://a.site.de/y", page("")), (901, "https://c.site.de/y", page("")), (902, "https://b.other.com/y", None), (903, None, page("und das haus " * 200)), (903, None, page("und das haus " * 200))]
+    got = language_id.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), docs).collect()
+    lang = {r.page_id: r.lang for r in got}
+    assert len(got) == len(rows) and (lang[900], lang[901], lang[902], lang[903]) == ("de", "de", "en", "de")  # host, site, host, text
+    same = spark.createDataFrame([("x y z " * 9, "b"), ("x y z " * 9, "a")], "text string, lang string")
+    assert [r.lang for r in language_id.identify(spark.createDataFrame([(1, None, page("x y z"))], "page_id long, url string, html string"), same).collect()] == ["a"]

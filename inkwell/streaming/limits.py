@@ -1,13 +1,14 @@
 """Rate limits, paced budgets, quotas and breakers over logs of requests, as batch jobs and as streams.
 
-Batch forms order each visitor's (or service's) rows with a window or a fold over one group; stream forms keep one small state for
-each key, with a timer or a watermark that ends it."""
+Batch forms order each visitor's (or service's) rows with a window, or fold over sorted partitions with one small state (`folded`), so
+a hot visitor costs time but no memory; stream forms keep one small state for each key, with a timer or a watermark that ends it."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,23 +33,42 @@ def fixed_window(requests: DataFrame, limit: int, seconds: int) -> DataFrame:
     return r.select("visitor", "ts", "id", ok.alias("allowed"), F.greatest(F.lit(0), limit - F.col("n")).alias("remaining"), F.when(ok, F.lit(0).cast("long")).otherwise((F.col("window") + 1) * seconds * 1000 - at).alias("retry_ms"))
 
 
+def folded(rows: DataFrame, keys: tuple[str, ...], begin: Callable[[], list], step: Callable[..., tuple], out: str) -> DataFrame:
+    """keys, id and the columns of `out` (names with types): step(state, ms, id's row of further columns) for each row in order
+    of (ms, id), with a fresh state for each key. rows: keys, ms, id, further columns. One pass over sorted batches."""
+    extra = [c for c in rows.columns if c not in (*keys, "ms", "id")]
+    kept = [f"{c} {dict(rows.dtypes)[c]}" for c in (*keys, "id")]
+    names = [*keys, "id", *(x.split()[0] for x in out.split(", "))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, None
+        for b in batches:
+            cols = [c.to_pylist() for c in b.columns]
+            got = []
+            for *key, ms, _, x in zip(*cols[: len(keys)], cols[len(keys)], cols[len(keys) + 1], zip(*cols[len(keys) + 2 :]) if extra else [()] * b.num_rows, strict=True):
+                if state is None or key != last:
+                    last, state = key, begin()
+                got.append(step(state, ms, *x))
+            made = [pa.array(c) for c in zip(*got, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], b.columns[len(keys) + 1], *made], names=names)
+
+    ordered = rows.select(*keys, "ms", "id", *extra).repartition(*keys).sortWithinPartitions(*keys, "ms", "id")
+    return ordered.mapInArrow(run, ", ".join([*kept, out]))
+
+
 def anchored_window(requests: DataFrame, limit: int, seconds: int) -> DataFrame:
     """visitor, id, allowed, retry_ms: the window opens with a visitor's first request; refused requests don't prolong it."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows, reset, count = [], None, 0
-        for t, i in group.sort_values(["ms", "id"])[["ms", "id"]].itertuples(index=False):
-            if reset is None or reset <= t:
-                reset, count = t + seconds * 1000, 1
-                rows.append((i, True, 0))
-            elif count >= limit:
-                rows.append((i, False, reset - t))
-            else:
-                count += 1
-                rows.append((i, True, 0))
-        return pd.DataFrame(rows, columns=["id", "allowed", "retry_ms"]).assign(visitor=group.visitor.iloc[0])[["visitor", "id", "allowed", "retry_ms"]]
+    def step(state: list, ms: int) -> tuple:
+        if state[0] is None or state[0] <= ms:
+            state[:] = [ms + seconds * 1000, 1]
+            return True, 0
+        if state[1] >= limit:
+            return False, state[0] - ms
+        state[1] += 1
+        return True, 0
 
-    return requests.select("visitor", "id", millis(requests).alias("ms")).groupBy("visitor").applyInPandas(run, "visitor long, id long, allowed boolean, retry_ms long")
+    return folded(requests.select("visitor", "id", millis(requests).alias("ms")), ("visitor",), lambda: [None, 0], step, "allowed boolean, retry_ms long")
 
 
 def paced(requests: DataFrame, apart_ms: int, most: int) -> DataFrame:
@@ -57,24 +77,20 @@ def paced(requests: DataFrame, apart_ms: int, most: int) -> DataFrame:
     start(i) is the greatest of arrival(j) + (i - j) apart over j up to i: a running maximum."""
     order = W.partitionBy("service").orderBy("ms", "id")
     r = requests.select("service", "id", millis(requests).alias("ms")).withColumn("n", F.row_number().over(order) - 1)
-    first = r.where(F.col("n") < most)
     lead = F.max(F.col("ms") - F.col("n") * apart_ms).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
-    return first.withColumn("start_ms", lead + F.col("n") * apart_ms).select("service", "id", "n", "ms", "start_ms")
+    return r.withColumn("start_ms", F.when(F.col("n") < most, lead + F.col("n") * apart_ms)).select("service", "id", "n", "ms", "start_ms")
 
 
 def daily_quota(spends: DataFrame, most: int) -> DataFrame:
     """visitor, day, id, accepted, used: words are counted by UTC day; a request that would pass the quota is refused and not counted."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows, used = [], 0
-        for _, i, n in group.sort_values(["ms", "id"])[["ms", "id", "words"]].itertuples(index=False):
-            ok = used + n <= most
-            used += n if ok else 0
-            rows.append((i, bool(ok), int(used)))
-        return pd.DataFrame(rows, columns=["id", "accepted", "used"]).assign(visitor=group.visitor.iloc[0], day=group.day.iloc[0])[["visitor", "day", "id", "accepted", "used"]]
+    def step(state: list, ms: int, words: int) -> tuple:
+        ok = state[0] + (words or 0) <= most
+        state[0] += (words or 0) if ok else 0
+        return ok, state[0]
 
     s = spends.select("visitor", F.date_format("ts", "yyyy-MM-dd").alias("day"), "id", millis(spends).alias("ms"), "words")
-    return s.groupBy("visitor", "day").applyInPandas(run, "visitor long, day string, id long, accepted boolean, used long")
+    return folded(s, ("visitor", "day"), lambda: [0], step, "accepted boolean, used long")
 
 
 def route_limits(routes: DataFrame, per_minute: int) -> DataFrame:
@@ -92,17 +108,14 @@ def breaker(attempts: DataFrame, most: int = 4) -> DataFrame:
 def with_fallback(checks: DataFrame, cooldown_ms: int = 30_000) -> DataFrame:
     """service, id, used: 'primary' or 'fallback'. A failed primary is left alone for a while (checks: service, ts, id, ok)."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows, until = [], -1
-        for t, i, ok in group.sort_values(["ms", "id"])[["ms", "id", "ok"]].itertuples(index=False):
-            if t >= until and ok:
-                rows.append((i, "primary"))
-            else:
-                until = t + cooldown_ms if t >= until else until
-                rows.append((i, "fallback"))
-        return pd.DataFrame(rows, columns=["id", "used"]).assign(service=group.service.iloc[0])[["service", "id", "used"]]
+    def step(state: list, ms: int, ok: bool) -> tuple:
+        if ms >= state[0] and ok:
+            return ("primary",)
+        if ms >= state[0]:
+            state[0] = ms + cooldown_ms
+        return ("fallback",)
 
-    return checks.select("service", "id", millis(checks).alias("ms"), "ok").groupBy("service").applyInPandas(run, "service string, id long, used string")
+    return folded(checks.select("service", "id", millis(checks).alias("ms"), "ok"), ("service",), lambda: [-1], step, "used string")
 
 
 # streams
@@ -191,7 +204,7 @@ def s04(spark, sf_dir):
 
 
 S04 = f"""WITH r AS (SELECT event_type AS service, event_id AS id, {MS} AS ms, row_number() OVER (PARTITION BY event_type ORDER BY {MS}, event_id) - 1 AS n FROM events)
-SELECT service, id, n, ms, max(ms - n * 3600000) OVER (PARTITION BY service ORDER BY ms, id ROWS UNBOUNDED PRECEDING) + n * 3600000 AS start_ms FROM r WHERE n < 100"""
+SELECT service, id, n, ms, CASE WHEN n < 100 THEN max(ms - n * 3600000) OVER (PARTITION BY service ORDER BY ms, id ROWS UNBOUNDED PRECEDING) + n * 3600000 END AS start_ms FROM r"""
 
 
 def s05(spark, sf_dir):

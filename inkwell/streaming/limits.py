@@ -76,7 +76,7 @@ def paced(requests: DataFrame, apart_ms: int, most: int) -> DataFrame:
 
     start(i) is the greatest of arrival(j) + (i - j) apart over j up to i: a running maximum."""
     order = W.partitionBy("service").orderBy("ms", "id")
-    r = requests.select("service", "id", millis(requests).alias("ms")).withColumn("n", F.row_number().over(order) - 1)
+    r = requests.select("service", "id", millis(requests).alias("ms")).withColumn("n", (F.row_number().over(order) - 1).cast("long"))
     lead = F.max(F.col("ms") - F.col("n") * apart_ms).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
     return r.withColumn("start_ms", F.when(F.col("n") < most, lead + F.col("n") * apart_ms)).select("service", "id", "n", "ms", "start_ms")
 

@@ -360,15 +360,15 @@ def _in_order(pairs: DataFrame) -> DataFrame:
 SIDE = ("node", "n", "pos", "label", "bits")
 
 
-def _open(met: DataFrame, lead: DataFrame, label: DataFrame, nodes: DataFrame) -> tuple[DataFrame, float]:
-    """met's rows of the keys whose nodes the links behind label leave in more than one component, without the leaders, with
-    label, bits, main (the key's largest component), rest (nodes outside it) and most (inside); a stored table. And how many
-    comparisons a row `_across` would make."""
-    m = met.join(_small(lead.where("all > 2").select("key", F.col("l.node").alias("lead"))), "key").where("node != lead")  # pairs with a leader are judged
-    m = m.join(label.select("node", "label"), "node", "left").select("key", "node", "n", "pos", F.coalesce("label", "node").alias("label"))
+def _open(rows: DataFrame, label: DataFrame, nodes: DataFrame) -> tuple[DataFrame, float]:
+    """Those of rows (key, node, n, pos) whose key's nodes the links behind label leave in more than one component, with label,
+    bits (if rows have none yet), main (the key's largest component), rest (nodes outside it) and most (inside); a stored table.
+    And how many comparisons a row `_across` would make."""
+    m = rows.join(label.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     parts = m.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.sum("count").alias("all"), F.max("count").alias("most"))
     parts = stored(parts.where("most < all").select("key", "main", "most", (F.col("all") - F.col("most")).alias("rest")), "wide-parts")
-    out = stored(m.join(_small(parts), "key").join(nodes.select("node", "bits"), "node"), "wide-open")
+    out = m.join(_small(parts), "key")
+    out = stored(out if "bits" in rows.columns else out.join(nodes.select("node", "bits"), "node"), "wide-open")
     all_ = F.col("rest") + F.col("most")
     cost = parts.agg((F.sum(F.col("rest") * all_) / F.sum(all_)).alias("c")).first()["c"]
     discard(parts)
@@ -435,17 +435,22 @@ def wide_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     near = _in_order(led.where("anode != bnode").where(_fits("a", "b", similarity)).select(F.col("anode").alias("a"), F.col("bnode").alias("b")))
     close = _similar(_likely(near, nodes, similarity), nodes, docs, shingle, similarity)
     label = components(close)
+    leaders = _small(lead.where("all > 2").select("key", F.col("l.node").alias("lead")))
+    m, cost = _open(met.join(leaders, "key").where("node != lead").drop("lead"), label, nodes)  # pairs with a leader are judged
     turn, last = 0, False
     while not last:  # rounds of some pairs while they find links and save comparisons; the last round has all pairs
-        m, cost = _open(met, lead, label, nodes)
         last = cost <= DEAR or turn == TURNS or (turn > 0 and more.isEmpty())
         more = _similar(_across(m, similarity) if last else _some(m, turn, similarity), nodes, docs, shingle, similarity)
         if not more.isEmpty():
             whole = stored(close.unionByName(more), "wide-close")
             discard(label, close)
             close, label = whole, components(whole)
-        discard(m)
+        if not last:
+            was = m
+            m, cost = _open(was.select("key", "node", "n", "pos", "bits"), label, nodes)
+            discard(was)
         turn += 1
+    discard(m)
     discard(shared, met, lead, close, prints, nodes)
     out = rows.join(label.select("node", "label"), "node", "left").select("id", "h", F.col("rows").alias("n"), F.coalesce("label", "node").alias("component"))
     out = stored(out, "wide-components")

@@ -53,14 +53,14 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def fit(rows: int, row: np.ndarray, feature: np.ndarray, value: np.ndarray, label: np.ndarray, factors: int = 8, epochs: int = 12, batch: int = 128, rate: float = 0.05, decay: float = 2e-4, least: int = 4, screen: float = 0.0, pairs: int = 0, seed: int = 7) -> Model:
+def fit(rows: int, row: np.ndarray, feature: np.ndarray, value: np.ndarray, label: np.ndarray, factors: int = 8, epochs: int = 12, batch: int = 128, rate: float = 0.05, decay: float = 2e-4, least: int = 4, screen: float = 0.0, pairs: int = 0, places: int | None = None, seed: int = 7) -> Model:
     """Logistic loss, both classes of equal weight up to a factor of 3, adaptive steps; features in fewer than `least` rows keep weight 0.
 
     screen: so many standard deviations must a feature's count among rows of label 1 be off its expectation; it keeps rare
     chance words out where labels are few. Of the `pairs` features that most rows have, those of a pair that tells more than both
     of its features do are kept too (`interacting`), however little each tells alone."""
     random = np.random.default_rng(seed)
-    ids, feature = np.unique(feature, return_inverse=True)
+    ids, feature = np.unique(feature, return_inverse=True) if places is None else (np.arange(places), feature)
     size = len(ids)
     count = np.bincount(feature, minlength=size)
     useful = count >= least
@@ -112,15 +112,21 @@ def fit(rows: int, row: np.ndarray, feature: np.ndarray, value: np.ndarray, labe
 
 def interacting(rows: int, row: np.ndarray, feature: np.ndarray, count: np.ndarray, label: np.ndarray, most: int, off: float = 6.0, together: int = 10) -> np.ndarray:
     """For each feature, whether it is in a pair whose share of label 1 is `off` standard deviations from what additive weights of
-    the two give, among pairs that `together` rows or more have of the `most` commonest features (rows x most numbers at once)."""
+    the two give, among pairs that `together` rows or more have of the `most` commonest features (most x most numbers at once)."""
     out = np.zeros(len(count), bool)
     top = np.sort(np.argsort(-count, kind="stable")[:most])
     place = np.full(len(count), -1)
     place[top] = np.arange(len(top))
     keep = place[feature] >= 0
-    x = np.zeros((rows, len(top)), np.float32)
-    x[row[keep], place[feature[keep]]] = 1
-    both, ones = x.T @ x, x[label > 0].T @ x[label > 0]
+    r, f = row[keep], place[feature[keep]]
+    both, ones = (np.zeros((len(top), len(top)), np.float32) for _ in range(2))
+    for i in range(0, rows, 1_000):  # rows ascend
+        a, b = np.searchsorted(r, [i, i + 1_000])
+        x = np.zeros((min(1_000, rows - i), len(top)), np.float32)
+        x[r[a:b] - i, f[a:b]] = 1
+        both += x.T @ x
+        x = x[label[i : i + 1_000] > 0]
+        ones += x.T @ x
     logit = lambda p: np.log(p / (1 - p))
     mean = min(max(label.mean(), 0.5 / rows), 1 - 0.5 / rows)
     alone = logit((np.diag(ones) + mean) / (np.diag(both) + 1))
@@ -155,14 +161,16 @@ def learn(docs: DataFrame, labels: DataFrame, features: Features, sample: int =
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = held.value
         for b in batches:
+            one = not bool(np.any(b.column(3).flatten().to_numpy() != 1))
             feature, n = b.column(2).flatten().to_numpy(), np.diff(b.column(2).offsets.to_numpy())
             place = np.searchsorted(known, feature)
             place[place == len(known)] = 0
             keep = known[place] == feature if len(known) else np.zeros(len(feature), bool)
             row = np.repeat(np.arange(b.num_rows), n)[keep]
             cut = pa.array(np.searchsorted(row, np.arange(b.num_rows + 1)), pa.int32())
-            lists = [pa.ListArray.from_arrays(cut, pa.array(x)) for x in (place[keep].astype(np.int32), b.column(3).flatten().to_numpy()[keep])]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], names=["doc_id", "label", "place", "value"])
+            places = pa.ListArray.from_arrays(cut, pa.array(place[keep].astype(np.int32)))
+            values = pa.nulls(b.num_rows, pa.list_(pa.float32())) if one else pa.ListArray.from_arrays(cut, pa.array(b.column(3).flatten().to_numpy()[keep]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), places, values], names=["doc_id", "label", "place", "value"])  # no values: all are 1
 
     got = rows_.mapInArrow(coded, "doc_id long, label int, place array<int>, value array<float>").sort("doc_id").toArrow().combine_chunks()
     discard(rows_)
@@ -171,11 +179,20 @@ def learn(docs: DataFrame, labels: DataFrame, features: Features, sample: int =
     if not got.num_rows:
         return Model(0.0, np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros((0, 1), np.float32))
     rows, label = got.num_rows, got["label"].to_numpy().astype(np.float64)
-    places, values = flat("place"), flat("value")
-    row = np.repeat(np.arange(rows, dtype=np.int32), np.diff(places.offsets.to_numpy()))
-    model = fit(rows, row, places.flatten().to_numpy(), values.flatten().to_numpy(), label, least=least, **how)
-    model = Model(model.bias, held_ids[model.ids], model.linear, model.factors) if len(held_ids := np.sort(ids)) else model
-    del got, places, values
+    places = flat("place")
+    row, feature = np.repeat(np.arange(rows, dtype=np.int32), np.diff(places.offsets.to_numpy())), places.flatten().to_numpy()
+    none = got["value"].null_count
+    value = np.ones(1, np.float32) if none == rows else flat("value").flatten().to_numpy() if not none else None
+    if value is None:  # a batch without values has only ones
+        held_values = got["value"].to_pylist()
+        value = np.concatenate([np.ones(n, np.float32) if v is None else np.array(v, np.float32) for v, n in zip(held_values, np.diff(places.offsets.to_numpy()).tolist(), strict=True)])
+        del held_values
+    elif none:
+        value = np.broadcast_to(value, len(feature))
+    known = np.sort(ids)
+    model = fit(rows, row, feature, value, label, least=least, places=len(known), **how)
+    model = Model(model.bias, known[model.ids], model.linear, model.factors) if len(known) else model
+    del got, places, row, feature, value
     pa.default_memory_pool().release_unused()
     return model
 

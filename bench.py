@@ -11,7 +11,7 @@ import tempfile
 import time
 
 NAMES = (
-    "p04_overlap_similarity w06_span_credit u08_corpus_shared p06_self_repeats t03_tokens a08_sentence_length_stats w01_mattr io07_html_text w15_stratified_sample a24_auroc s01_fixed_window s05_daily_quota"
+    "p04_overlap_similarity w06_span_credit u08_corpus_shared p06_self_repeats t03_tokens a08_sentence_length_stats w01_mattr io07_html_text w15_stratified_sample a24_auroc s01_fixed_window s05_daily_quota p12_paraphrases t29_language p01_report"
 ).split()
 
 

@@ -360,15 +360,15 @@ def _in_order(pairs: DataFrame) -> DataFrame:
 SIDE = ("node", "n", "pos", "label", "bits")
 
 
-def _open(rows: DataFrame, label: DataFrame, nodes: DataFrame) -> tuple[DataFrame, float]:
-    """Those of rows (key, node, n, pos) whose key's nodes the links behind label leave in more than one component, with label,
-    bits (if rows have none yet), main (the key's largest component), rest (nodes outside it) and most (inside); a stored table.
-    And how many comparisons a row `_across` would make."""
-    m = rows.join(label.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+def _open(held: DataFrame, label: DataFrame) -> tuple[DataFrame, float]:
+    """Rows (key, node, n, pos, bits) of held (node, n, bits, at) under keys whose nodes the links behind label leave in more than one
+    component, with label, main (the key's largest component), rest (nodes outside it) and most (inside); a stored table.
+    And how many comparisons a row `_across` would make. Nodes take their labels before their keys are rows."""
+    named = held.join(label.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    m = named.select("node", "label", "n", "bits", F.inline("at"))
     parts = m.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.sum("count").alias("all"), F.max("count").alias("most"))
     parts = stored(parts.where("most < all").select("key", "main", "most", (F.col("all") - F.col("most")).alias("rest")), "wide-parts")
-    out = m.join(_small(parts), "key")
-    out = stored(out if "bits" in rows.columns else out.join(nodes.select("node", "bits"), "node"), "wide-open")
+    out = stored(m.join(_small(parts), "key"), "wide-open")
     all_ = F.col("rest") + F.col("most")
     cost = parts.agg((F.sum(F.col("rest") * all_) / F.sum(all_)).alias("c")).first()["c"]
     discard(parts)
@@ -405,7 +405,7 @@ def wide_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     more; a stored table with a row for each (id, h), which n rows of docs have. h is a hash of the text.
 
     All pairs are found, as the module's text says, and verified on the shingle sets themselves."""
-    held = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, shingle))
+    order_of = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, shingle))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -415,7 +415,7 @@ def wide_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
                 row, h = shingle_keys(data, at, shingle)
                 cut = np.searchsorted(row, np.arange(j - i + 1))
                 node = np.fromiter((xxhash.xxh64_intdigest(h[x:y].tobytes(), 7) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)), np.uint64, j - i)
-                size, ends, keys = prefix(row, h, j - i, similarity, *held.value)
+                size, ends, keys = prefix(row, h, j - i, similarity, *order_of.value)
                 stops, bits = parity(row, h, size)
                 lists = [pa.ListArray.from_arrays(pa.array(np.r_[0, e], pa.int32()), pa.array(x)) for e, x in ((ends, keys.view(np.int64)), (stops, bits))]
                 yield pa.RecordBatch.from_arrays([b.column(0)[i:j], b.column(1)[i:j], pa.array(node.view(np.int64)), pa.array(size, pa.int32()), *lists], names=["id", "h", "node", "size", "keys", "bits"])
@@ -436,7 +436,9 @@ def wide_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     close = _similar(_likely(near, nodes, similarity), nodes, docs, shingle, similarity)
     label = components(close)
     leaders = _small(lead.where("all > 2").select("key", F.col("l.node").alias("lead")))
-    m, cost = _open(met.join(leaders, "key").where("node != lead").drop("lead"), label, nodes)  # pairs with a leader are judged
+    at = met.join(leaders, "key").where("node != lead").groupBy("node").agg(F.collect_list(F.struct("key", "pos")).alias("at"))  # pairs with a leader are judged
+    held = stored(nodes.select("node", "n", "bits").join(at, "node"), "wide-held")
+    m, cost = _open(held, label)
     turn, last = 0, False
     while not last:  # rounds of some pairs while they find links and save comparisons; the last round has all pairs
         last = cost <= DEAR or turn == TURNS or (turn > 0 and more.isEmpty())
@@ -447,10 +449,10 @@ def wide_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
             close, label = whole, components(whole)
         if not last:
             was = m
-            m, cost = _open(was.select("key", "node", "n", "pos", "bits"), label, nodes)
+            m, cost = _open(held, label)
             discard(was)
         turn += 1
-    discard(m)
+    discard(m, held)
     discard(shared, met, lead, close, prints, nodes)
     out = rows.join(label.select("node", "label"), "node", "left").select("id", "h", F.col("rows").alias("n"), F.coalesce("label", "node").alias("component"))
     out = stored(out, "wide-components")

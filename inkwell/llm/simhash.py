@@ -60,6 +60,7 @@ TURNS = 4
 DEAR = 8  # comparisons a row
 SAVED = 0.2  # of the comparisons a row: a round that saves less is followed by the last one
 LEADERS = 4
+PARTS = 16
 SAMPLE_ROWS, SAMPLE_PART = 20_000, 10  # the shingles of a tenth of the rows, or of so many if that is more, are counted for the order of the sets
 HOT = 400_000  # shingles of known count at most: two numbers each, broadcast
 ROWS_AT_ONCE = 1 << 15
@@ -472,8 +473,13 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     Rows are known by doc_id and a hash of the text; of rows that agree in both, the least by all columns stays."""
     keyed = docs.select(F.struct("*").alias("d")).select("d", F.col("d.doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("d.text", F.lit(""))).alias("h"))
     group = wide_duplicates(keyed.select("id", "h", F.col("d.text").alias("text")), shingle, similarity)
-    stays = group.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "h")).alias("s"))
-    judged = group.join(stays, "component").withColumn("stays", F.col("id").eqNullSafe(F.col("s.id")) & (F.col("h") == F.col("s.h")))
+    stays = group.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "h")).alias("s"), F.sum("n").alias("all"))
+    stays = stored(stays.where("all > 1").select("component", "s"), "near-stays")
+    few = _small(stays)
+    if few is stays:  # not broadcast: a large group is dealt to PARTS tasks
+        parts = F.sequence(F.lit(0), F.lit(PARTS - 1)).cast("array<bigint>")
+        group, few = group.withColumn("part", F.pmod(F.xxhash64("id", "h"), F.lit(PARTS))), stays.withColumn("part", F.explode(parts))
+    judged = group.join(few, [c for c in ("component", "part") if c in few.columns]).withColumn("stays", F.col("id").eqNullSafe(F.col("s.id")) & (F.col("h") == F.col("s.h")))
     goes = stored(judged.where("not stays or n > 1").select(F.col("id").alias("id_"), F.col("h").alias("h_"), "stays"), "near-goes")
     same = F.col("id").eqNullSafe(F.col("id_")) & (F.col("h") == F.col("h_"))
     out = keyed.join(_small(goes), same, "left_anti").select("d")

@@ -111,7 +111,7 @@ def test_crowded_keys_lose_no_link(spark):
     assert len({label[n] for n in near}) == 1
 
 
-def test_one_of_each_group_stays(spark):
+def test_one_of_each_group_stays(spark, monkeypatch):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
     rows, kept = [], set()
@@ -129,6 +129,8 @@ def test_one_of_each_group_stays(spark):
     assert got.columns == d.columns
     assert sorted((r.doc_id, r.lang) for r in got.collect()) == sorted((i, "de" if i == 0 else "en") for i in kept | {9_001})
     assert simhash.keep_one(d.limit(0)).count() == 0
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", 0)
+    assert sorted((r.doc_id, r.lang) for r in simhash.keep_one(d).collect()) == sorted((i, "de" if i == 0 else "en") for i in kept | {9_001})
 
 
 def kept_by_brute_force(texts, similarity=0.8, n=5):

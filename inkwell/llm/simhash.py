@@ -24,7 +24,7 @@ finds them by an exact prefix join, at every input size:
 * Keys of one node only, which most are, are found by partial aggregation and leave before anything is joined.
 * Each key's nodes are compared with one of them first (crowded keys, over CROWDED nodes, take one of LEADERS turns, so a family
   has a few). While all pairs that are left would be many, nodes outside a key's largest component are compared with a few inside
-  (FEW on average), in up to TURNS rounds, while a round saves at least SAVED of what is left. Of the pairs that are left then, those inside one component of the
+  (FEW on average), in up to TURNS rounds, while a round finds FRUITFUL links a node. Of the pairs that are left then, those inside one component of the
   links found so far can't change the result; all others are compared, in blocks of BLOCK nodes.
   Families just under t that share their rarest shingles cost a comparison of bits for each pair; none is left out.
 * A pair is first judged by parity bits: bit k of a set's bits tells whether an odd number of its shingles falls to place k, so two
@@ -58,7 +58,7 @@ BLOCK = 256
 FEW = 2
 TURNS = 4
 DEAR = 8  # comparisons a row
-SAVED = 0.2  # of the comparisons a row: a round that saves less is followed by the last one
+FRUITFUL = 0.02  # links a node: a round that finds fewer is followed by the last one
 LEADERS = 4
 PARTS = 16
 SAMPLE_ROWS, SAMPLE_PART = 20_000, 10  # the shingles of a tenth of the rows, or of so many if that is more, are counted for the order of the sets
@@ -441,19 +441,23 @@ def wide_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     at = met.join(leaders, "key").where("node != lead").groupBy("node").agg(F.collect_list(F.struct("key", "pos")).alias("at"))  # pairs with a leader are judged
     held = stored(nodes.select("node", "n", "bits").join(at, "node"), "wide-held")
     m, cost = _open(held, label)
-    turn, last, before = 0, False, float("inf")
-    while not last:  # rounds of some pairs while they find links and save comparisons; the last round has all pairs
-        last = cost <= DEAR or turn == TURNS or cost > (1 - SAVED) * before
+    turn, fruitful, last = 0, FRUITFUL * held.count(), cost <= DEAR
+    while True:  # rounds of some pairs while they find many links; the last round has all pairs
         more = _similar(_across(m, similarity) if last else _some(m, turn, similarity), nodes, docs, shingle, similarity)
-        if not more.isEmpty():
+        joined = more.count()
+        if joined:
             whole = stored(close.unionByName(more), "wide-close")
             discard(label, close)
             close, label = whole, components(whole)
-        if not last:
-            was, before = m, cost
+        if last:
+            break
+        turn += 1
+        last = turn == TURNS or joined < fruitful
+        if joined >= fruitful:  # else the rows of m, with the labels they have, serve the last round
+            was = m
             m, cost = _open(held, label)
             discard(was)
-        turn += 1
+            last = last or cost <= DEAR
     discard(m, held)
     discard(shared, met, lead, close, prints, nodes)
     out = rows.join(label.select("node", "label"), "node", "left").select("id", "h", F.col("rows").alias("n"), F.coalesce("label", "node").alias("component"))

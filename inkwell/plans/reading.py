@@ -72,10 +72,23 @@ c AS (SELECT id, unnest(fs) AS f, generate_subscripts(fs, 1) - 1 AS ix FROM b) S
 LATEX = ((1, r"\documentclass{article}\begin{document}\title{On \emph{things}} % note" + "\n" + r"\section{Start} We cite \cite{a} and use 50\% of it~here---``quoted''. \begin{figure}\includegraphics{x}\caption{A \textbf{bold} caption}\end{figure} \begin{equation} a = b \end{equation}" + "\n\n" + r"\begin{itemize}\item one\item two\end{itemize} \begin{thebibliography}{9}\bibitem{a} First. \bibitem{b} Second.\end{thebibliography}\end{document} after"),)
 
 
-def io04(spark, sf_dir):
-    return spark.createDataFrame(list(LATEX), "id long, s string").select("id", M.latex_text(F.col("s")).alias("text"))
+LATEX_TEXT = "On things\n\nStart\n\nWe cite \\cite{a} and use 50% of it here—“quoted”.\n\nA bold caption\n\n$$a = b$$\n\none\n\ntwo\n\nReferences\n\n[1] First.\n\n[2] Second."
 
 
+def io04(spark, sf_dir):
+    """Each document as an article whose words with t are emphasised in bold, and a short article of our own, back as text."""
+    x = F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), "\\~`", "   "), "([%&$#_{}])", r"\\$1")
+    x = F.regexp_replace(x, "(^|[^A-Za-z])(t[a-z]+)", r"$1\\emph{\\textbf{$2}}")
+    s = F.concat(F.lit("\\documentclass{article}\n\\begin{document}\n\\section{Document "), F.col("doc_id").cast("string"), F.lit("}\n% a note\n"), x, F.lit("\n\\end{document}\n"))
+    own = spark.createDataFrame([(-i, t) for i, t in LATEX], "doc_id long, s string")
+    t = table(spark, sf_dir, "documents").select("doc_id", s.alias("s")).unionByName(own).select("doc_id", L.latex_text(F.col("s")).alias("t"))
+    return t.select("doc_id", F.length("t").alias("chars"), F.md5(F.col("t").cast("binary")).alias("md5"))
+
+
+IO04 = rf"""WITH a AS (SELECT doc_id, replace(replace(replace(translate(coalesce(text, ''), '\~`', '   '), '''''', '”'), '---', '—'), '--', '–') AS x FROM documents),
+p AS (SELECT doc_id, list_prepend('Document ' || doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(x, '\r\n?', chr(10), 'g'), '\n[ \t\n\r\f]*\n'), lambda b: trim(regexp_replace(regexp_replace(b, '[ \t\n\r\f]*\n[ \t\n\r\f]*', ' ', 'g'), '[ \t]{{2,}}', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(13) || chr(12))), lambda b: b != '')) AS ps FROM a),
+t AS (SELECT doc_id, array_to_string(ps, chr(10) || chr(10)) AS t FROM p UNION ALL SELECT * FROM {values([(-1, LATEX_TEXT)], 'doc_id', 't')})
+SELECT doc_id, length(t) AS chars, md5(t) AS md5 FROM t"""
 FILES = ((1, "a.pdf", "25504446"), (2, "b.docx", "504B0304"), (3, "c.TXT", "48656C6C6F"), (4, "d.doc", "D0CF11E0"), (5, "e.pdf", "48656C6C"), (6, "f.xyz", "00"), (7, "g.docx", "25504446"), (8, "h.tex", "5C62"))
 
 
@@ -174,7 +187,7 @@ QUERIES = {
     "io30_phrase_search": io30, "io31_keyword_search": io31, "io36_all_words_search": io36,
 }
 ORACLES = {
-    "io07_html_text": IO07, "io08_entities": f"SELECT id, {sql_entities('s')} AS text FROM {values(ENCODED, 'id', 's')}", "io09_jats_text": IO09, "io42_figures": IO42, "io01_file_kinds": IO01, "io15_uploads": IO15, "io16_json_bodies": IO16, "io21_history": IO21, "io41_inverted_index": IO41, "io44_reply_json": IO44,
+    "io07_html_text": IO07, "io08_entities": f"SELECT id, {sql_entities('s')} AS text FROM {values(ENCODED, 'id', 's')}", "io09_jats_text": IO09, "io42_figures": IO42, "io04_latex_text": IO04, "io01_file_kinds": IO01, "io15_uploads": IO15, "io16_json_bodies": IO16, "io21_history": IO21, "io41_inverted_index": IO41, "io44_reply_json": IO44,
     "f22_failure_reasons": F22, "f22_redacted_urls": "SELECT page_id, regexp_replace(url, '[?#].*$', '') AS url FROM pages", "io30_phrase_search": IO30,
     "io31_keyword_search": f"{KEYS} SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY shared DESC, source_id) <= 10",
     "io36_all_words_search": f"{KEYS} SELECT query, source_id, shared FROM s JOIN n USING (query) WHERE shared = n QUALIFY row_number() OVER (PARTITION BY query ORDER BY shared DESC, source_id) <= 10",

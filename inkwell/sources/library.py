@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import text as T
 from inkwell.operators.tokens import ngrams, with_words
-from inkwell.sources.markup import decoded, file_kind, latex_text
+from inkwell.sources.latex import latex_text
+from inkwell.sources.markup import decoded, file_kind
 
 
 def folder(spark: SparkSession, path: str) -> DataFrame:
@@ -18,7 +19,7 @@ def folder(spark: SparkSession, path: str) -> DataFrame:
     name = F.substring_index("path", "/", -1)
     f = f.select(name.alias("name"), "content").where(~F.col("name").rlike(r"(?i)^(?:\.|readme)"))
     kind = file_kind(F.col("name"), F.col("content"))
-    text = F.when(kind.isin("txt", "md"), decoded(F.col("content"))).when(kind == "tex", latex_text(decoded(F.col("content"))))
+    text = F.when(kind.isin("txt", "md"), decoded(F.col("content"))).otherwise(latex_text(F.when(kind == "tex", decoded(F.col("content")))))  # other kinds reach the UDF as null
     return f.select("name", kind.alias("kind"), text.alias("text"))
 
 

@@ -215,9 +215,15 @@ def test_training_separates(spark):
 
 def test_latex_becomes_text(spark):
     from inkwell.plans import reading
-
-    got = one(spark, M.latex_text, reading.LATEX[0][1])
-    assert "On things" in got and "A bold caption" in got and "$$a = b$$" in got and "[2] Second." in got and "after" not in got and "\\begin" not in got and "“quoted”" in got and "note" not in got
+    from inkwell.sources.latex import latex_text, plain
+
+    assert one(spark, latex_text, reading.LATEX[0][1]) == reading.LATEX_TEXT
+    assert spark.createDataFrame([(None,), ("",)], "s string").select(latex_text(F.col("s")).alias("t")).collect() == [(None,), ("",)]
+    assert plain(r"\section{A {nested \emph{b}} c} x") == "A {nested b} c\n\nx"
+    assert plain(r"a \href{http://x}{t} b \url{u}\footnote{n \textbf{q}} \cite{k} $x_{1}$") == r"a t (http://x) b u (n q) \cite{k} $x_{1}$"
+    assert plain(r"\begin{table}[h]\caption{C \emph{d}}{\begin{tabular}{ll}a & b\end{tabular}\end{table} after") == "C d\n\nafter"
+    assert plain(r"open {\emph{x") == r"open {\emph{x" and plain(r"\href{a}{b") == r"\href{a}{b" and plain("50\\% % note\nnext } z") == "50% next } z" and plain("\\") == "\\"
+    assert plain("a" + " " * 200_000 + r"{\emph{" * 2000 + "b").startswith("a {")
 
 
 def test_folder_reads_files(spark, tmp_path):

@@ -137,9 +137,12 @@ def language(docs: DataFrame) -> DataFrame:
     odd = F.col("t").rlike("[" + "".join(r for _, r in SCRIPTS) + "]")
     by_script = F.lit(None).cast("struct<code:string,confidence:double>")
     for code, r in reversed(SCRIPTS):
-        by_script = F.when(odd & (share(r) > 0.3), F.struct(F.lit(code).alias("code"), F.least(F.lit(1.0), share(r) + 0.2).alias("confidence"))).otherwise(by_script)
-    hits = F.array(*[F.struct((F.size(F.filter("w", _among(words))) / F.greatest(F.size("w"), F.lit(1))).alias("score"), F.lit(-k).alias("first"), F.lit(code).alias("code")) for k, (code, _, words) in enumerate(LANGUAGE_WORDS)])
-    d = d.withColumn("by_script", by_script).withColumn("hits", F.sort_array(hits, asc=False))
+        by_script = F.when(share(r) > 0.3, F.struct(F.lit(code).alias("code"), F.least(F.lit(1.0), share(r) + 0.2).alias("confidence"))).otherwise(by_script)
+    by_script = F.when(odd, by_script)  # around all cases: within them it would be looked at once a script
+    listed = " ".join(words for _, _, words in LANGUAGE_WORDS)
+    hits = F.array(*[F.struct((F.size(F.filter("known", _among(words))) / F.greatest(F.size("w"), F.lit(1))).alias("score"), F.lit(-k).alias("first"), F.lit(code).alias("code")) for k, (code, _, words) in enumerate(LANGUAGE_WORDS)])
+    d = d.withColumn("by_script", by_script).withColumn("known", F.filter("w", _among(listed)))  # one look at each word; the lists share those that are left
+    d = d.withColumn("hits", F.sort_array(hits, asc=False))
     best, second = F.col("hits")[0], F.col("hits")[1]["score"]
     words = F.when(best["score"] > 0, F.struct(best["code"].alias("code"), F.least(F.lit(1.0), (best["score"] - second) / best["score"] + 0.3).alias("confidence"))).otherwise(F.struct(F.lit("en").alias("code"), F.lit(0.0).alias("confidence")))
     d = d.select("doc_id", F.coalesce("by_script", words).alias("l"))

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as T
-from inkwell.operators.tokens import ngrams, with_words
+from inkwell.operators.tokens import hashed_ngrams, ngrams, with_words
 
 SEED = 3
 MIN_RUN = 6
@@ -130,7 +130,7 @@ def corpus_shared(docs: DataFrame, n: int = 8) -> DataFrame:
     """doc_id, words, shared_words, shared_percent: the part of each document in n-grams that another document has too.
 
     Linear in the corpus whatever the groups: grams are counted by document, never paired."""
-    g = ngrams(docs, n).select("doc_id", "pos", F.xxhash64("gram").alias("g"))
+    g = hashed_ngrams(docs, n)
     common = g.groupBy("g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("g")
     hit = g.join(common, "g").groupBy("doc_id").agg(F.array_sort(F.collect_list("pos")).alias("at"))
     # covered words: each hit adds n, less what the hit before already covers
@@ -142,7 +142,7 @@ def corpus_shared(docs: DataFrame, n: int = 8) -> DataFrame:
 
 def self_repeats(docs: DataFrame, min_run: int = 12) -> DataFrame:
     """doc_id, start, again, words: maximal stretches that a document repeats later without overlap (first partner only)."""
-    g = ngrams(docs, min_run).select("doc_id", "pos", F.xxhash64("gram").alias("g"))
+    g = hashed_ngrams(docs, min_run)
     nxt = F.lead("pos").over(W.partitionBy("doc_id", "g").orderBy("pos"))
     p = g.withColumn("again", nxt).where(F.col("again") - F.col("pos") >= min_run)
     k = F.col("again") - F.col("pos")

@@ -37,6 +37,13 @@ def ngrams(docs: DataFrame, n: int) -> DataFrame:
     return w.select("doc_id", F.posexplode(shifted).alias("pos", "g")).select("doc_id", "pos", F.concat_ws(" ", *[F.col(f"g.w{k}") for k in range(n)]).alias("gram"))
 
 
+def hashed_ngrams(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, pos, g: a 64-bit hash of n words in a row. Words are hashed once, so rows carry numbers and no strings."""
+    w = docs.select("doc_id", F.transform(T.words(F.coalesce("text", F.lit(""))), lambda x: F.xxhash64(x)).alias("h")).where(F.size("h") >= n)
+    shifted = F.arrays_zip(*[F.slice("h", k + 1, F.size("h") - n + 1).alias(f"h{k}") for k in range(n)])
+    return w.select("doc_id", F.posexplode(shifted).alias("pos", "x")).select("doc_id", "pos", F.xxhash64(*[F.col(f"x.h{k}") for k in range(n)]).alias("g"))
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
     """doc_id, ix, text: blocks between blank lines, trimmed, empty ones left out."""
     blocks = F.filter(F.transform(F.split("text", r"\n[ \t]*\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")

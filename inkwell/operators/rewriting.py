@@ -29,10 +29,11 @@ STOCK = (
     "(?:offers?|provides?) (?:valuable|meaningful|important) insights?", "contributes? (?:significantly )?to (?:the|a) (?:broader|better|deeper) understanding", "(?:holds|hold) (?:great|significant|immense|tremendous) (?:promise|potential)", "in conclusion",
     "future research (?:should|could|may) (?:explore|investigate|focus)",
 )
+#: Patterns that decide scores and must match for right results: openers, the passive, concrete detail.
 OPENERS = r"^(?:Moreover|Furthermore|Additionally|In addition|Notably|Importantly|Overall|Ultimately|Consequently|Thus|Hence),"
 REWRITE_OPENERS = r"^(?:Moreover|Furthermore|Additionally|In addition|Notably|Importantly|Overall|In conclusion|Ultimately|Consequently),"
 PASSIVE = r"(?i)(?:is|are|was|were|be|been|being)\s+(?:[A-Za-z0-9_]+ly\s+)?[A-Za-z0-9_]+(?:ed|en|wn|lt|ght)"
-#: Numbers with units, citations with years, numeric citations, names inside sentences.
+#: Fixed value: numbers with units, citations with years, numeric citations, names inside sentences.
 SPECIFIC = r"[0-9][0-9.,]*\s*(?:%|[a-zµ°]{1,4})?|\([A-Za-z0-9_][^()]{0,40}[0-9]{4}[a-z]?\)|\[[0-9]+(?:[,–-]\s*[0-9]+)*\]|[a-z,;] (?:[A-Z][a-z]+(?:-[A-Z][a-z]+)?|[A-Z]{2,}[a-z]?s?)"
 #: Accepted length of a rewrite, as a share of the original's words, by strength.
 LENGTHS = {"light": (0.75, 1.25), "balanced": (0.65, 1.35), "strong": (0.55, 1.45)}

@@ -11,7 +11,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from inkwell.llm import periodic_runs
+from inkwell.llm import periodic_runs, vector_codes
+from oracle import difference
 from test_llm_text_models import odd_docs
 
 
@@ -97,3 +98,65 @@ def test_runs_of_odd_rows_and_collapsing(spark):
     assert long == {3: (0, 60_000, 1)}
     out = periodic_runs.collapsed(d)
     assert out.columns == d.columns and {r.doc_id: r.text for r in out.collect()} == {r.doc_id: r.text for r in d.collect()} | {3: "wort"}
+
+
+def plain_codes(rows, parts, entries, rounds):
+    """Lloyd's algorithm by plain loops: (codes, errors, codebooks)."""
+    rows = sorted(rows)
+    width = len(rows[0][1]) // parts
+    x = [[tuple(int(np.floor(4096 * c)) for c in v[p * width : (p + 1) * width]) for p in range(parts)] for _, v in rows]
+    books = [[x[i][p] for i in range(min(entries, len(x)))] for p in range(parts)]
+    far = lambda a, b: sum((s - t) ** 2 for s, t in zip(a, b, strict=True))
+    near = lambda a, p: min(range(len(books[p])), key=lambda e: (far(a, books[p][e]), e))
+    for _ in range(rounds):
+        got = [[near(v[p], p) for p in range(parts)] for v in x]
+        for p in range(parts):
+            for e in range(len(books[p])):
+                if own := [v[p] for v, g in zip(x, got, strict=True) if g[p] == e]:
+                    books[p][e] = tuple(sum(c) // len(own) for c in zip(*own, strict=True))
+    got = [[near(v[p], p) for p in range(parts)] for v in x]
+    return [(i, "".join(f"{e:02x}" for e in g), sum(far(v[p], books[p][g[p]]) for p in range(parts))) for (i, _), v, g in zip(rows, x, got, strict=True)], books
+
+
+KIND = "vec_id long, embedding array<float>, label int, code string, n int"
+
+
+@pytest.mark.parametrize(("n", "entries", "rounds"), [(400, 16, 6), (90, 5, 9), (3, 16, 6), (1, 16, 2)])
+def test_codes_by_brute_force(spark, n, entries, rounds):
+    rng = np.random.default_rng(n)
+    centres = rng.normal(size=(7, 12)) / 200
+    rows = [(int(i), (centres[rng.integers(7)] + rng.normal(size=12) / 900).astype("float32").tolist()) for i in rng.permutation(n) * 3]
+    rows += [(10**6 + i, rows[0][1]) for i in range(n // 4)]
+    want, books = plain_codes(rows, 4, entries, rounds)
+    got = vector_codes.codes(spark.createDataFrame([(i, v, i % 3, "x", 1) for i, v in rows], KIND), 4, entries, rounds).collect()
+    assert sorted((r.vec_id, r.code, r.error) for r in got) == sorted(want)
+    told = hashlib.sha256(",".join(str(c) for p in books for e in p for c in e).encode()).hexdigest()
+    by = {k: sum(e for i, _, e in want if i % 3 == k) for k in range(3)}
+    assert all(r.codebooks_sha256 == told and r.label_error == by[r.vec_id % 3] for r in got)
+
+
+def test_heaps_scan_few_parts_again(spark):
+    kept = vector_codes.usable(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"))
+    *_, scanned = vector_codes.trained(kept, 64)
+    assert len(scanned) == 7 and scanned[0] == 8 * kept.count() and scanned[-1] < scanned[1] < scanned[0]
+
+
+def test_codes_agree_with_sql(spark, small):
+    assert difference(vector_codes.op12(spark, small), vector_codes.ORACLES["op12_vector_codes"], small) == ""
+
+
+def test_codes_of_odd_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    good = [0.5, -0.25, 1e-5, -1e-5, 3.0, 4.0, 0.0, 9e9]
+    rows = [(1, None, 1), (2, [nan] + good[1:], 1), (3, [inf] + good[1:], None), (4, [None] + good[1:], 1), (5, good, None), (5, good, None), (None, good[::-1], 2), (6, good[:4], 1), (7, [], 1), (8, [-x for x in good], None)]
+    d = spark.createDataFrame([(*r, "c", 2) for r in rows], KIND)
+    got = vector_codes.codes(d).collect()
+    assert sorted((str(r.vec_id), r.error) for r in got) == sorted([("5", 0), ("5", 0), ("None", 0), ("8", 0)])
+    assert vector_codes.codes(d.where("vec_id < 5")).count() == 0 and vector_codes.codes(d.limit(0)).count() == 0
+    assert vector_codes.codes(d.where("vec_id = 6"), 4).count() == 1
+
+
+def test_sums_of_hot_and_rare_labels(spark):
+    d = spark.range(5000).select((F.when(F.col("id") < 2000, F.lit(None)).when(F.col("id") < 4000, 1).otherwise(F.col("id"))).alias("label"), F.col("id").alias("error"))
+    got = {(r.label, r.label_error) for r in vector_codes.with_label_sums(d).collect()}
+    assert got == {(None, sum(range(2000))), (1, sum(range(2000, 4000)))} | {(i, i) for i in range(4000, 5000)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that define QUERIES and ORACLES.
-MODULES = ("chat_format", "ppm_score", "source_mix", "token_planes", "quality", "toxicity", "simhash", "language_id", "decontaminate", "media_sequences", "periodic_runs", "vector_codes")
+MODULES = ("chat_format", "ppm_score", "source_mix", "token_planes", "quality", "toxicity", "simhash", "language_id", "decontaminate", "media_sequences", "shard_balance", "vector_codes", "periodic_runs")
 
 
 def entries() -> tuple[dict, dict]:

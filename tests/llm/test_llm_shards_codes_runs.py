@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from inkwell.llm import periodic_runs, vector_codes
+from inkwell.llm import periodic_runs, shard_balance, vector_codes
 from oracle import difference
 from test_llm_text_models import odd_docs
 
@@ -160,3 +160,81 @@ def test_sums_of_hot_and_rare_labels(spark):
     d = spark.range(5000).select((F.when(F.col("id") < 2000, F.lit(None)).when(F.col("id") < 4000, 1).otherwise(F.col("id"))).alias("label"), F.col("id").alias("error"))
     got = {(r.label, r.label_error) for r in vector_codes.with_label_sums(d).collect()}
     assert got == {(None, sum(range(2000))), (1, sum(range(2000, 4000)))} | {(i, i) for i in range(4000, 5000)}
+
+
+def shards_hold(rows, texts, shards):
+    """Sizes, checksums, slots and even bytes, recomputed from the texts; returns shards by text and the mean of bytes."""
+    want = sorted((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in texts)
+    assert sorted((r.doc_id, r.size, r.text_crc32) for r in rows) == want
+    slots, loads, where = {}, [0] * shards, {}
+    by = {}
+    for i, t in texts:
+        by.setdefault(i, t or "")
+    for r in rows:
+        assert r.law == "bytes" and r.grown_shard is None and 0 <= r.shard < shards
+        slots.setdefault(r.shard, []).append(r.slot)
+        loads[r.shard] += r.size
+        where.setdefault(by[r.doc_id], []).append(r.shard)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    mean, largest = sum(loads) / shards, max(w[1] for w in want)
+    assert max(loads) <= max(mean * 1.04, largest + 8) and (largest > mean or min(loads) >= mean * 0.94), (min(loads), mean, max(loads))
+    return where, mean
+
+
+def cut_edges(where):
+    """Pairs of equal texts in different shards: all pairs, and those cut."""
+    pairs = sum(len(s) * (len(s) - 1) // 2 for s in where.values())
+    return pairs, pairs - sum(s.count(x) * (s.count(x) - 1) // 2 for s in where.values() for x in set(s))
+
+
+def test_shards_keep_groups_whole_and_even(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = []
+    for k in range(900):
+        t = " ".join(word() for _ in range(rng.randrange(5, 90)))
+        texts += [t] * rng.choice([1, 1, 1, 1, 2, 3, 8, 20])
+    texts += ["the hot text is here again " * 8] * (len(texts) // 2)
+    rng.shuffle(texts)
+    texts = list(enumerate(texts))
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    where, mean = shards_hold(shard_balance.assigned(d).collect(), texts, 24)
+    hot = where.pop("the hot text is here again " * 8)
+    assert len(set(hot)) <= 12  # it fills 6 by itself and starts in 24
+    started = {t: [zlib.crc32(str(i).encode()) % 24 for i, x in texts if x == t] for t in where}
+    assert cut_edges(started)[1] > 0.8 * cut_edges(started)[0] and cut_edges(where)[1] <= 0.05 * cut_edges(where)[0]
+
+
+def test_shards_of_copies_only_and_of_a_giant(spark):
+    texts = list(enumerate(["one text of some length"] * 500 + ["another text of the same kind"] * 700))
+    where, _ = shards_hold(shard_balance.assigned(spark.createDataFrame(texts, "doc_id long, text string"), 6).collect(), texts, 6)
+    scattered = {t: [i % 6 for i in range(len(s))] for t, s in where.items()}
+    assert cut_edges(where)[1] < 0.9 * cut_edges(scattered)[1]  # nothing but two groups: no document can give way freely
+    texts = [(0, "giant " * 5000), *((i, f"small text {i % 40}") for i in range(1, 300))]
+    shards_hold(shard_balance.assigned(spark.createDataFrame(texts, "doc_id long, text string"), 4).collect(), texts, 4)
+
+
+def test_shards_of_the_table_and_reruns(spark):
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    got = shard_balance.assigned(d).collect()
+    where, _ = shards_hold(got, [tuple(r) for r in d.collect()], 24)
+    pairs, cut = cut_edges(where)
+    assert pairs > 100 and cut <= 0.02 * pairs
+    again = shard_balance.assigned(d.repartition(9, "text")).collect()
+    assert {(r.doc_id, r.shard, r.slot) for r in got} == {(r.doc_id, r.shard, r.slot) for r in again}
+
+
+def test_shards_of_odd_rows_and_written_shards(spark, tmp_path):
+    d = odd_docs(spark).withColumn("shard", F.lit("mine")).withColumn("k1", F.lit(1))
+    rows = [(r.doc_id, r.text) for r in d.collect()]
+    got = shard_balance.assigned(d, 3).collect()
+    assert len(got) == len(rows) and shard_balance.assigned(d.limit(0)).count() == 0
+    shard_balance.write_shards(d, str(tmp_path / "out"), 3)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(back.columns) == sorted([*d.columns, "shard_"]) and back.count() == len(rows)
+    assert back.groupBy("shard_").count().count() == len({r.shard for r in got})
+    assert shard_balance.assigned(d, 2, group=F.col("source")).count() == len(rows)
+
+
+def test_level_of_loads():
+    assert shard_balance.level_of([5, 1, 3], 3) == 3.5 and shard_balance.level_of([5, 1, 3], 6) == 5 and shard_balance.level_of([9, 0], 2) == 2

@@ -1,19 +1,27 @@
 """Rate limits, paced budgets, quotas and breakers over logs of requests, as batch jobs and as streams.
 
-Batch forms order each visitor's (or service's) rows with a window, or fold over sorted partitions with one small state (`folded`), so
-a hot visitor costs time but no memory; stream forms keep one small state for each key, with a timer or a watermark that ends it."""
+Batch forms order each visitor's rows with a window, or fold over sorted partitions with one small state (`folded`), so a hot
+visitor costs time but no memory. Logs of services, of which one may have most rows, are cut into blocks of rows by (service,
+time) whatever the service (`blocked`): a first pass sums a block up, the summaries are put together in order (sums and maxima
+for paced requests, the failing tail for breakers, a step function for fallbacks), and a second pass does each block from the
+state it starts in. Tasks so grow with the blocks, not with services. Stream forms keep one small state for each key, with a
+timer or a watermark that ends it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from inkwell.tables import table
+from inkwell.tables import stored, table
+
+#: Rows of a block, about.
+BLOCK = 100_000
 
 
 def millis(df: DataFrame, column: str = "ts") -> Column:
@@ -71,14 +79,31 @@ def anchored_window(requests: DataFrame, limit: int, seconds: int) -> DataFrame:
     return folded(requests.select("visitor", "id", millis(requests).alias("ms")), ("visitor",), lambda: [None, 0], step, "allowed boolean, retry_ms long")
 
 
-def paced(requests: DataFrame, apart_ms: int, most: int) -> DataFrame:
-    """service, id, start_ms: requests go one at a time, apart_ms apart; those past the first `most` of a service are refused (null).
+def blocked(log: DataFrame, rows: int = BLOCK) -> DataFrame:
+    """A stored log (service, ms, id, ...) with `block`: blocks follow each other in the order of (service, ms, id)."""
+    n = log.count()
+    cut = log.repartitionByRange(max(1, -(-n // rows)), "service", "ms", "id")
+    return stored(cut.withColumn("block", F.spark_partition_id()), "log-blocks")
+
+
+IN_BLOCK = ("service", "block")
+
 
-    start(i) is the greatest of arrival(j) + (i - j) apart over j up to i: a running maximum."""
-    order = W.partitionBy("service").orderBy("ms", "id")
-    r = requests.select("service", "id", millis(requests).alias("ms")).withColumn("n", (F.row_number().over(order) - 1).cast("long"))
-    lead = F.max(F.col("ms") - F.col("n") * apart_ms).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
-    return r.withColumn("start_ms", F.when(F.col("n") < most, lead + F.col("n") * apart_ms)).select("service", "id", "n", "ms", "start_ms")
+def paced(requests: DataFrame, apart_ms: int, most: int, block: int = BLOCK) -> DataFrame:
+    """service, id, n, ms, start_ms: requests go one at a time, apart_ms apart; those past the first `most` of a service are refused (null).
+
+    start(i) is the greatest of arrival(j) + (i - j) apart over j up to i: a running maximum. A block's summary is its number
+    of rows and its greatest arrival(j) - j apart."""
+    log = blocked(requests.select("service", "id", millis(requests).alias("ms")), block)
+    order = W.partitionBy(*IN_BLOCK).orderBy("ms", "id")
+    r = log.withColumn("k", (F.row_number().over(order) - 1).cast("long")).withColumn("lead", F.max(F.col("ms") - F.col("k") * apart_ms).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    sums = r.groupBy(*IN_BLOCK).agg(F.count("*").alias("rows"), F.max("lead").alias("best"))
+    before = W.partitionBy("service").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.withColumn("first", F.coalesce(F.sum("rows").over(before), F.lit(0)))
+    sums = sums.withColumn("carried", F.max(F.col("best") - F.col("first") * apart_ms).over(before)).select(*IN_BLOCK, "first", "carried")
+    r = r.join(sums, list(IN_BLOCK)).withColumn("n", F.col("first") + F.col("k"))
+    lead = F.greatest(F.col("lead") - F.col("first") * apart_ms, "carried")
+    return r.select("service", "id", "n", "ms", F.when(F.col("n") < most, lead + F.col("n") * apart_ms).alias("start_ms"))
 
 
 def daily_quota(spends: DataFrame, most: int) -> DataFrame:
@@ -97,25 +122,68 @@ def route_limits(routes: DataFrame, per_minute: int) -> DataFrame:
     return routes.select("route", "weight", F.greatest(F.lit(1), F.floor(F.lit(per_minute) * F.col("weight"))).cast("int").alias("limit"))
 
 
-def breaker(attempts: DataFrame, most: int = 4) -> DataFrame:
-    """service, stopped_ms: when a service has failed `most` times in a row for the first time (attempts: service, ts, id, ok)."""
-    order = W.partitionBy("service").orderBy("ts", "id")
-    a = attempts.withColumn("island", F.count_if("ok").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    a = a.where("not ok").withColumn("run", F.row_number().over(W.partitionBy("service", "island").orderBy("ts", "id")))
-    return a.where(F.col("run") == most).groupBy("service").agg(F.min(millis(attempts)).alias("stopped_ms"), F.count("*").alias("times"))
+def breaker(attempts: DataFrame, most: int = 4, block: int = BLOCK) -> DataFrame:
+    """service, stopped_ms, times: when a service has failed `most` times in a row for the first time (attempts: service, ts, id, ok).
+
+    A block's summary is its number of rows, whether any of them went well, and the failures at its end."""
+    log = blocked(attempts.select("service", "id", millis(attempts).alias("ms"), F.coalesce("ok", F.lit(False)).alias("ok")), block)
+    order = W.partitionBy(*IN_BLOCK).orderBy("ms", "id")
+    a = log.withColumn("island", F.count_if("ok").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    a = a.withColumn("run", F.count_if(~F.col("ok")).over(W.partitionBy(*IN_BLOCK, "island").orderBy("ms", "id").rowsBetween(W.unboundedPreceding, W.currentRow)))
+    sums = a.groupBy(*IN_BLOCK).agg(F.count("*").alias("rows"), F.bool_or("ok").alias("well"), F.max_by("run", F.struct("ms", "id")).alias("tail"))
+    upto = W.partitionBy("service").orderBy("block")
+    sums = sums.withColumn("end", F.sum("rows").over(upto))
+    # failures carried in: those at the end of the last block that had a success, and all rows since
+    sums = sums.withColumn("carried", F.col("end") - F.col("rows") + F.coalesce(F.last(F.when(F.col("well"), F.col("tail") - F.col("end")), True).over(upto.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    a = a.where("not ok").join(sums.select(*IN_BLOCK, "carried"), list(IN_BLOCK))
+    run = F.col("run") + F.when(F.col("island") == 0, F.col("carried")).otherwise(0)
+    return a.where(run == most).groupBy("service").agg(F.min("ms").alias("stopped_ms"), F.count("*").alias("times"))
+
 
+def cooldown_steps(failed_ms: np.ndarray, cooldown_ms: int) -> tuple[list[int], list[int]]:
+    """A block's map from the time until which the primary is left alone to that time at its end: (last failures of a step, results).
 
-def with_fallback(checks: DataFrame, cooldown_ms: int = 30_000) -> DataFrame:
+    A block that starts with `until` first trips at its first failure from then on; what follows depends on that failure only."""
+    follows = np.searchsorted(failed_ms, failed_ms + cooldown_ms).tolist()
+    times, ends = failed_ms.tolist(), [0] * len(failed_ms)
+    for i in range(len(times) - 1, -1, -1):
+        ends[i] = ends[follows[i]] if follows[i] < len(times) else times[i] + cooldown_ms
+    last = [i for i in range(len(times)) if i + 1 == len(times) or ends[i + 1] != ends[i]]
+    return [times[i] for i in last], [ends[i] for i in last]
+
+
+def with_fallback(checks: DataFrame, cooldown_ms: int = 30_000, block: int = BLOCK) -> DataFrame:
     """service, id, used: 'primary' or 'fallback'. A failed primary is left alone for a while (checks: service, ts, id, ok)."""
+    log = blocked(checks.select("service", "id", millis(checks).alias("ms"), F.coalesce("ok", F.lit(False)).alias("ok")), block)
+    kind = dict(log.dtypes)["service"]
+
+    def sum_up(key: tuple, t: pa.Table) -> pa.Table:
+        froms, ends = cooldown_steps(np.sort(t.column("ms").to_numpy()), cooldown_ms)
+        one = pa.list_(pa.int64())
+        return pa.table({"service": t.column("service").slice(0, 1), "block": t.column("block").slice(0, 1), "froms": pa.array([froms], one), "ends": pa.array([ends], one)})
+
+    steps = log.where("not ok").select(*IN_BLOCK, "ms").groupBy(*IN_BLOCK).applyInArrow(sum_up, f"service {kind}, block int, froms array<long>, ends array<long>")
+    all_ = log.select(*IN_BLOCK).distinct().join(steps, list(IN_BLOCK), "left")
+    of = all_.groupBy("service").agg(F.array_sort(F.collect_list(F.struct("block", F.coalesce("froms", F.array().cast("array<long>")).alias("froms"), F.coalesce("ends", F.array().cast("array<long>")).alias("ends")))).alias("xs"))
+
+    def apply(acc: Column, x: Column) -> Column:
+        at = F.size(F.filter(x["froms"], lambda f: f < acc["until"])) + 1
+        out = F.coalesce(F.try_element_at(x["ends"], at), acc["until"])
+        return F.struct(out.alias("until"), F.array_append(acc["held"], F.struct(x["block"].alias("block"), acc["until"].alias("until"))).alias("held"))
+
+    start = F.struct(F.lit(-1).cast("long").alias("until"), F.array().cast("array<struct<block:int,until:long>>").alias("held"))
+    starts = of.select("service", F.explode(F.aggregate("xs", start, apply)["held"]).alias("h")).select("service", "h.block", "h.until")
 
-    def step(state: list, ms: int, ok: bool) -> tuple:
+    def step(state: list, ms: int, ok: bool, until: int) -> tuple:
+        if not state:
+            state.append(until)
         if ms >= state[0] and ok:
             return ("primary",)
         if ms >= state[0]:
             state[0] = ms + cooldown_ms
         return ("fallback",)
 
-    return folded(checks.select("service", "id", millis(checks).alias("ms"), "ok"), ("service",), lambda: [-1], step, "used string")
+    return folded(log.join(starts, list(IN_BLOCK)).select(*IN_BLOCK, "ms", "id", "ok", "until"), IN_BLOCK, list, step, "used string").drop("block")
 
 
 # streams

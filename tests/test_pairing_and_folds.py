@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from inkwell.operators import pairing
 from inkwell.plans import pairing as pairing_plans
+from inkwell.streaming import limits
 from oracle import difference
 
 SF = "/root/testdata/sf0.01"
@@ -41,3 +42,51 @@ def test_pairs_and_passages_tell_all_shared_runs(spark):
         together = linked | {(a, b) for s in common.values() for a in s for b in s if a < b}
         assert {(i, j) for i in of for j in of if i < j and of[i] != of[j] and tuple(sorted((of[i], of[j]))) in together} == want
         assert (hot == 1) == (not linked) and (hot == 1000) == (not common)
+
+
+def log_rows(n=900, seed=1):
+    """A log in which one service has most rows; ties, bursts and long failing stretches."""
+    rng = random.Random(seed)
+    t, out = 1_700_000_000_000, []
+    for i in range(n):
+        t += rng.choice([0, 0, 1, 5, 40, 400])
+        out.append(("hot" if rng.random() < 0.8 else rng.choice(["b", "c"]), t, n - i, rng.random() < (0.05 if 300 < i < 500 else 0.6)))
+    return out
+
+
+def in_order(rows):
+    by = {}
+    for s, t, i, ok in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        by.setdefault(s, []).append((t, i, ok))
+    return by
+
+
+def log_table(spark, rows):
+    d = spark.createDataFrame(rows, "service string, t long, id long, ok boolean")
+    return d.select("service", F.timestamp_millis("t").alias("ts"), "id", "ok")
+
+
+@pytest.mark.parametrize("block", [1, 7, 100, 10_000])
+def test_blocks_of_a_hot_service_give_what_one_pass_gives(spark, block):
+    rows = log_rows()
+    d, by = log_table(spark, rows), in_order(rows)
+    paced, used, broken = {}, {}, {}
+    for s, log in by.items():
+        free, until, run = None, -1, 0
+        for n, (t, i, ok) in enumerate(log):
+            free = t if free is None else max(t, free + 50)
+            paced[i] = (n, t, free if n < 500 else None)
+            used[i] = "primary" if t >= until and ok else "fallback"
+            until = t + 700 if t >= until and not ok else until
+            run = 0 if ok else run + 1
+            if run == 4:
+                first, times = broken.get(s, (t, 0))
+                broken[s] = (first, times + 1)
+    assert {r.id: (r.n, r.ms, r.start_ms) for r in limits.paced(d, 50, 500, block).collect()} == paced
+    assert {r.id: r.used for r in limits.with_fallback(d, 700, block).collect()} == used
+    assert {r.service: (r.stopped_ms, r.times) for r in limits.breaker(d, 4, block).collect()} == broken
+
+
+def test_blocks_of_no_rows(spark):
+    d = log_table(spark, [])
+    assert limits.paced(d, 5, 5).count() == limits.with_fallback(d, 5).count() == limits.breaker(d).count() == 0

@@ -7,7 +7,6 @@ small tables; the words of a run are looked up in its document's word array by a
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -77,39 +76,51 @@ def credited_spans(runs: DataFrame, sources: DataFrame) -> DataFrame:
     return who.groupBy("doc_id", "start", "end").agg(F.min_by("source_id", F.struct(-F.col("count"), "year", "source_id")).alias("source_id"), F.count("*").alias("n_sources"))
 
 
+def bridged(runs: DataFrame, max_gap: int = 2) -> DataFrame:
+    """runs with neighbours joined that go on in both texts after at most max_gap words; runs inside the one before fall out.
+
+    A fold over a pair's runs in order of their start (longest first): the run before is what has been joined so far."""
+    r = runs.groupBy("doc_id", "source_id").agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("end")).alias("less"), "source_start", "words"))).alias("rs"))
+    one = lambda x: F.struct(x["start"].alias("start"), (-x["less"]).alias("end"), x["source_start"].alias("source_start"), x["words"].alias("words"))
+    kind = "struct<start:bigint,end:bigint,source_start:bigint,words:bigint>"
+    begin = F.struct(F.array().cast(f"array<{kind}>").alias("done"), F.lit(None).cast(kind).alias("last"))
+
+    def put(acc: Column, x: Column) -> Column:
+        last, run = acc["last"], one(x).cast(kind)
+        gap, source_gap = run["start"] - last["end"], run["source_start"] - (last["source_start"] + last["end"] - last["start"])
+        joined = F.struct(last["start"].alias("start"), run["end"].alias("end"), last["source_start"].alias("source_start"), (last["words"] + run["words"]).alias("words")).cast(kind)
+        goes_on = gap.between(0, max_gap) & source_gap.between(0, max_gap)
+        inside = (run["start"] < last["end"]) & (run["end"] <= last["end"])
+        more = lambda done, now: F.struct(done.alias("done"), now.alias("last"))
+        return F.when(last.isNull(), more(acc["done"], run)).when(goes_on, more(acc["done"], joined)).when(inside, acc).otherwise(more(F.array_append(acc["done"], last), run))
+
+    out = F.aggregate("rs", begin, put, lambda acc: F.array_append(acc["done"], acc["last"]))
+    return r.select("doc_id", "source_id", F.inline(out))
+
+
+def without_overlaps(runs: DataFrame) -> DataFrame:
+    """runs of a pair, most words first (then by place); one of which more than half is covered by those before falls out.
+
+    Covered words are kept as a list of stretches apart from each other: a run and all stretches it meets make one."""
+    kind = "struct<start:bigint,end:bigint,source_start:bigint,words:bigint>"
+    r = runs.groupBy("doc_id", "source_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("words")).alias("less"), "start", "end", "source_start"))).alias("rs"))
+    begin = F.struct(F.array().cast("array<struct<s:bigint,e:bigint>>").alias("cover"), F.array().cast(f"array<{kind}>").alias("kept"))
+
+    def put(acc: Column, x: Column) -> Column:
+        meets = lambda c: (c["s"] < x["end"]) & (c["e"] > x["start"])
+        met = F.filter(acc["cover"], meets)
+        already = F.aggregate(met, F.lit(0).cast("long"), lambda n, c: n + F.least(c["e"], x["end"]) - F.greatest(c["s"], x["start"]))
+        whole = F.struct(F.least(x["start"], F.array_min(F.transform(met, lambda c: c["s"]))).alias("s"), F.greatest(x["end"], F.array_max(F.transform(met, lambda c: c["e"]))).alias("e"))
+        run = F.struct(x["start"].alias("start"), x["end"].alias("end"), x["source_start"].alias("source_start"), (-x["less"]).alias("words")).cast(kind)
+        taken = F.struct(F.array_append(F.filter(acc["cover"], lambda c: ~meets(c)), whole).alias("cover"), F.array_append(acc["kept"], run).alias("kept"))
+        return F.when(already * 2 > x["end"] - x["start"], acc).otherwise(taken)
+
+    return r.select("doc_id", "source_id", F.inline(F.aggregate("rs", begin, put, lambda acc: acc["kept"])))
+
+
 def bridged_runs(hits: DataFrame, docs: DataFrame, min_run: int = MIN_RUN, max_gap: int = 2, seed: int = SEED) -> DataFrame:
-    """Runs with small edits bridged and overlapping weaker runs dropped: the sequential form, for each document and source.
-
-    A pair's exact runs are few; their order-dependent merge is a small fold over one pair's rows."""
-    schema = "doc_id long, source_id long, start long, end long, source_start long, words long"
-
-    def merge(pair: pd.DataFrame) -> pd.DataFrame:
-        runs: list[list[int]] = []
-        for start, end, source_start, words in pair.sort_values(["start", "end", "source_start"], ascending=[True, False, True])[["start", "end", "source_start", "words"]].itertuples(index=False):
-            if runs:
-                last = runs[-1]
-                gap, source_gap = start - last[1], source_start - (last[2] + last[1] - last[0])
-                if 0 <= gap <= max_gap and 0 <= source_gap <= max_gap:
-                    last[1], last[3] = end, last[3] + words
-                    continue
-                if start < last[1] and end <= last[1]:
-                    continue
-            runs.append([start, end, source_start, words])
-        out = pd.DataFrame(runs, columns=["start", "end", "source_start", "words"])
-        return out.assign(doc_id=pair.doc_id.iloc[0], source_id=pair.source_id.iloc[0])[["doc_id", "source_id", "start", "end", "source_start", "words"]]
-
-    def keep(pair: pd.DataFrame) -> pd.DataFrame:
-        taken: set[int] = set()
-        kept = []
-        for row in pair.sort_values(["words", "start"], ascending=[False, True]).itertuples(index=False):
-            span = set(range(row.start, row.end))
-            if len(span & taken) * 2 <= len(span):
-                taken |= span
-                kept.append(row)
-        return pd.DataFrame(kept, columns=pair.columns)
-
-    merged = exact_runs(hits, seed).groupBy("doc_id", "source_id").applyInPandas(merge, schema)
-    return accepted(merged, docs, min_run).groupBy("doc_id", "source_id").applyInPandas(keep, schema)
+    """doc_id, source_id, start, end, source_start, words: runs with small edits bridged, weaker runs inside stronger ones dropped."""
+    return without_overlaps(accepted(bridged(exact_runs(hits, seed), max_gap), docs, min_run))
 
 
 def compare_papers(papers: DataFrame, min_run: int = 8) -> DataFrame:

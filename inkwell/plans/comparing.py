@@ -55,6 +55,24 @@ def p05(spark, sf_dir):
     return O.bridged_runs(O.seed_hits(docs, _sources(spark, sf_dir)), docs)
 
 
+#: One step of the joining of runs, and of the dropping of overlaps, for each pair of a document and a source.
+BRIDGED = f"""{RUNS},
+ord AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source_id ORDER BY "start", "end" DESC, source_start) AS n FROM run0),
+br(doc_id, source_id, n, s, e, ss, w, done) AS (SELECT doc_id, source_id, n, "start", "end", source_start, words, []::STRUCT(s BIGINT, e BIGINT, ss BIGINT, w BIGINT)[] FROM ord WHERE n = 1
+ UNION ALL SELECT o.doc_id, o.source_id, o.n, CASE WHEN k = 'new' THEN o."start" ELSE s END, CASE WHEN k = 'inside' THEN e ELSE o."end" END, CASE WHEN k = 'new' THEN o.source_start ELSE ss END,
+  CASE k WHEN 'new' THEN o.words WHEN 'on' THEN w + o.words ELSE w END, CASE WHEN k = 'new' THEN list_append(done, {{'s': s, 'e': e, 'ss': ss, 'w': w}}) ELSE done END
+ FROM (SELECT b.*, o AS o, CASE WHEN o."start" - e BETWEEN 0 AND 2 AND o.source_start - (ss + e - s) BETWEEN 0 AND 2 THEN 'on' WHEN o."start" < e AND o."end" <= e THEN 'inside' ELSE 'new' END AS k
+  FROM br b JOIN ord o ON o.doc_id = b.doc_id AND o.source_id = b.source_id AND o.n = b.n + 1)),
+brl AS (SELECT doc_id, source_id, unnest(list_append(done, {{'s': s, 'e': e, 'ss': ss, 'w': w}})) AS r FROM br QUALIFY row_number() OVER (PARTITION BY doc_id, source_id ORDER BY n DESC) = 1),
+acc0 AS (SELECT doc_id, source_id, r.s AS s, r.e AS e, r.ss AS ss, r.w AS w FROM brl WHERE r.w >= 6),
+acc AS (SELECT a.* FROM acc0 a JOIN tok t ON t.doc_id = a.doc_id AND t.pos >= s AND t.pos < e GROUP BY ALL HAVING avg((t.word NOT IN {STOP})::INT) >= 0.4 AND count(DISTINCT t.word) >= 4),
+by_w AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source_id ORDER BY w DESC, s, e, ss) AS n FROM acc),
+kept(doc_id, source_id, n, s, e, ss, w, ok, held) AS (SELECT doc_id, source_id, n, s, e, ss, w, true, range(s, e) FROM by_w WHERE n = 1
+ UNION ALL SELECT doc_id, source_id, n, s, e, ss, w, ok, CASE WHEN ok THEN list_distinct(held || range(s, e)) ELSE held END
+ FROM (SELECT b.*, k.held, 2 * len(list_intersect(k.held, range(b.s, b.e))) <= b.e - b.s AS ok FROM kept k JOIN by_w b ON b.doc_id = k.doc_id AND b.source_id = k.source_id AND b.n = k.n + 1)),
+bridged AS (SELECT doc_id, source_id, s AS "start", e AS "end", ss AS source_start, w AS words FROM kept WHERE ok)"""
+
+
 def a02(spark, sf_dir):
     return O.covered_positions(_runs(spark, sf_dir)).groupBy("doc_id", "source_id").agg(F.count("*").alias("words"))
 
@@ -255,6 +273,7 @@ QUERIES = {
 }
 ORACLES = {
     "p03_exact_runs": f'WITH {RUNS} SELECT doc_id, source_id, "start", "end", source_start, words FROM run0',
+    "p05_bridged_runs": f"WITH RECURSIVE {BRIDGED} SELECT * FROM bridged",
     "p04_overlap_similarity": f"""WITH {RUNS}, m AS (SELECT doc_id, count(DISTINCT pos) AS matched FROM cov GROUP BY doc_id),
 b AS (SELECT doc_id, source_id FROM (SELECT doc_id, source_id, count(*) AS n FROM cov GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, source_id) = 1),
 d AS (SELECT ws.doc_id, len(words) AS words, coalesce(matched, 0) AS matched, floor(coalesce(matched, 0) * 1000 / greatest(len(words), 1) + 0.5) / 10 AS similarity, source_id FROM ws LEFT JOIN m USING (doc_id) LEFT JOIN b USING (doc_id))

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from inkwell.operators import pairing
+from inkwell.operators import overlap, pairing
 from inkwell.plans import pairing as pairing_plans
 from inkwell.streaming import limits
 from oracle import difference
@@ -90,3 +90,43 @@ def test_blocks_of_a_hot_service_give_what_one_pass_gives(spark, block):
 def test_blocks_of_no_rows(spark):
     d = log_table(spark, [])
     assert limits.paced(d, 5, 5).count() == limits.with_fallback(d, 5).count() == limits.breaker(d).count() == 0
+
+
+def plain_bridges(runs, gap=2):
+    merged = []
+    for r in sorted(runs, key=lambda r: (r[0], -r[1], r[2])):
+        if merged:
+            last = merged[-1]
+            if 0 <= r[0] - last[1] <= gap and 0 <= r[2] - (last[2] + last[1] - last[0]) <= gap:
+                merged[-1] = (last[0], r[1], last[2], last[3] + r[3])
+                continue
+            if r[0] < last[1] and r[1] <= last[1]:
+                continue
+        merged.append(r)
+    return merged
+
+
+def plain_drops(runs):
+    taken, kept = set(), []
+    for r in sorted(runs, key=lambda r: (-r[3], r[0], r[1], r[2])):
+        span = set(range(r[0], r[1]))
+        if 2 * len(span & taken) <= len(span):
+            taken |= span
+            kept.append(r)
+    return kept
+
+
+def test_runs_are_bridged_and_dropped_as_by_plain_loops(spark):
+    rng = random.Random(2)
+    rows = []
+    for pair in range(60):
+        for _ in range(rng.randrange(1, 25)):
+            s, n = rng.randrange(0, 80), rng.randrange(3, 20)
+            rows.append((pair, pair % 7, s, s + n, rng.choice([s, s + 1, s + 2, rng.randrange(0, 80)]), n))
+    d = spark.createDataFrame(rows, "doc_id long, source_id long, start long, end long, source_start long, words long")
+    for made, plain in ((overlap.bridged, plain_bridges), (overlap.without_overlaps, plain_drops)):
+        got = {}
+        for r in made(d).collect():
+            got.setdefault(r.doc_id, []).append(tuple(r)[2:])
+        assert {k: sorted(v) for k, v in got.items()} == {k: sorted(plain([r[2:] for r in rows if r[0] == k])) for k in range(60)}
+    assert overlap.bridged(d.limit(0)).count() == 0

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from inkwell.operators import overlap, pairing
+from inkwell.operators import overlap, pairing, pieces
 from inkwell.plans import pairing as pairing_plans
 from inkwell.streaming import limits
 from oracle import difference
@@ -130,3 +130,133 @@ def test_runs_are_bridged_and_dropped_as_by_plain_loops(spark):
             got.setdefault(r.doc_id, []).append(tuple(r)[2:])
         assert {k: sorted(v) for k, v in got.items()} == {k: sorted(plain([r[2:] for r in rows if r[0] == k])) for k in range(60)}
     assert overlap.bridged(d.limit(0)).count() == 0
+
+
+# pieces of texts
+
+ODD = [
+    "See $a$ and $$b\n c$$ in (Smith et al., 2020) or Jones (2019, p. 4); https://x.org/a)b 10.1000/ab,c [1, 2-3] \\cite[x]{k} Figure 3a – 4.",
+    "$x (Smith, 2020) y$ then \\(a $b$ c\\) and Table 2 [7] [8;9], $$$$ $ $ $",
+    "", "plain words", "\\[ \\( x \\] \\) $1 [2] 3$ https://a.b/10.1000/x. Fig. 2 Figures 3-5",
+]
+
+
+def spans_by_loop(text):
+    import regex
+
+    found = []
+    for i, (kind, p) in enumerate(pieces.STREAMS):
+        found += [(m.start(), m.start() - m.end(), i, kind) for m in regex.finditer(p, text)]
+    out, end = [], 0
+    for s, less, _, kind in sorted(found):
+        if s >= end:
+            end = s - less
+            out.append((len(out) + 1, kind, s, end, text[s:end]))
+    return out
+
+
+def documents(spark, sf, extra=()):
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    return d.unionByName(spark.createDataFrame([(-i - 1, t) for i, t in enumerate(extra)], "doc_id long, text string")) if extra else d
+
+
+def test_protected_stretches_are_those_of_a_plain_scan(spark):
+    d = documents(spark, SF, ODD)
+    got = {}
+    for r in pieces.protected_spans(d).collect():
+        got.setdefault(r.doc_id, []).append(tuple(r)[1:])
+    want = {r.doc_id: s for r in d.collect() if (s := spans_by_loop(r.text or ""))}
+    assert got == want and any(k < 0 for k in got)
+    kept = spark.createDataFrame([(1, "Keep this: Keep Thistle, keep this. [1]")], "doc_id long, text string")
+    assert [(r.kind, r.start) for r in pieces.protected_spans(kept, ("keep this",)).collect()] == [("keep", 0), ("keep", 25), ("cite", 36)]
+    t = F.coalesce("text", F.lit(""))
+    masks = d.where("doc_id < 0").select("doc_id", pieces.masked(t, pieces.protected(t)).alias("m")).collect()
+    for r in masks:
+        text, at, out = ODD[-r.doc_id - 1], 0, ""
+        for i, _, s, e, _ in spans_by_loop(text):
+            out, at = out + text[at:s] + f"{{{{P{i}}}}}", e
+        assert r.m == out + text[at:]
+
+
+def brackets_by_loop(text):
+    import re
+
+    out = []
+    at = 0
+    for part, gap in zip(re.split(r"\n\s*\n", text), [*re.findall(r"\n\s*\n", text), ""], strict=True):
+        body = re.sub(r"(?m)^[ \t]*(?:\d+|[a-zA-Z])\)", lambda m: " " * len(m[0]), part)
+        stack = []
+        for i, c in enumerate(body):
+            if c in "([{“":
+                stack.append((c, i))
+            elif c in pieces.CLOSERS:
+                if stack and stack[-1][0] == pieces.CLOSERS[c]:
+                    stack.pop()
+                else:
+                    out.append(("unbalanced-brackets", at + i, c))
+        out += [("unbalanced-brackets", at + i, c) for c, i in stack]
+        q = [i for i, c in enumerate(body) if c == '"']
+        if len(q) % 2:
+            out.append(("unbalanced-quotes", at + q[-1], '"'))
+        at += len(part) + len(gap)
+    return sorted(out)
+
+
+def test_brackets_pair_as_on_a_stack(spark):
+    rng = random.Random(4)
+    made = ["".join(rng.choice(list("()[]{}“”\"ab \n\n1)")) for _ in range(rng.randrange(0, 90))) for _ in range(300)]
+    d = documents(spark, SF, ["1) fine\n a) too\n x (open\n\nclose) here ]", *made])
+    got = {}
+    for r in pieces.bracket_issues(d).collect():
+        assert r.end == r.start + 1
+        got.setdefault(r.doc_id, []).append((r.rule, r.start, r.mark))
+    assert {k: sorted(v) for k, v in got.items()} == {r.doc_id: b for r in d.collect() if (b := brackets_by_loop(r.text or ""))}
+
+
+PAPER = (
+    "1. INTRODUCTION\nThe first paragraph has more than eight words and it stands under its heading here.\nE = mc² + x (3)\nIt goes on after the formula with some more words, e.g. these ones. And it ends.\n\n"
+    "  Results and Discussion\nB. Some Heading\n" + "A sentence of the long paragraph stands here, Fig. 2 shows it. " * 60 + "\n\n\n  * short\n\nReferences\n\n[1] Smith, J. A book with a title. Some press, 2001, and other words that follow it."
+)
+
+
+def test_plans_rebuild_every_text(spark):
+    d = documents(spark, SF, [PAPER, "", " \n\n ", "\n\nx\n\n"])
+    plan = pairing.stored(pieces.planned(d))
+    none = spark.createDataFrame([], "doc_id long, ix int, new string")
+    texts = {r.doc_id: r.text or "" for r in d.collect()}
+    assert {r.doc_id: r.text for r in pieces.rebuilt(d, plan, none).collect()} == texts
+    rows = {}
+    for r in plan.orderBy("doc_id", "ix").collect():
+        rows.setdefault(r.doc_id, []).append(r)
+    for k, ps in rows.items():
+        assert [p.ix for p in ps] == list(range(len(ps))) and all(texts[k][p.start : p.end].strip() == texts[k][p.start : p.end] != "" for p in ps)
+        assert all(a.end <= b.start and not texts[k][a.end : b.start].strip() for a, b in zip(ps, ps[1:], strict=False)) and not texts[k][: ps[0].start].strip() and not texts[k][ps[-1].end :].strip()
+        assert all(p.end - p.start <= 2500 or texts[k][p.start : p.end].count(". ") < 2 for p in ps if p.rewrite)
+    own = [(p.kind, texts[-1][p.start : p.end][:20], p.rewrite) for p in rows[-1]]
+    assert own[:4] == [("heading", "1. INTRODUCTION", False), ("paragraph", "The first paragraph ", True), ("formula", "E = mc² + x (3)", False), ("paragraph", "It goes on after the", True)]
+    assert [k for k, *_ in own[4:6]] == ["heading", "heading"] and sum(t.startswith("A sentence") and w for _, t, w in own) == 2 and not own[-1][2]
+    new = plan.where("rewrite").select("doc_id", "ix", F.lit("New  text.").alias("new"))
+    assert next(r.text for r in pieces.rebuilt(d, plan, new).collect() if r.doc_id == -1).startswith("1. INTRODUCTION\nNew  text.\nE = mc² + x (3)\nNew  text.\n\n  Results")
+    edits = [(r.start, r.text) for r in pieces.paragraph_edits(d, plan, new).where("doc_id = -1").orderBy("start").collect()]
+    assert [t for _, t in edits] == ["New text.", "New text.", "New text. New text."] and pieces.paragraph_edits(d, plan, none).count() == 0
+    cut = pieces.planned_chunks(d, 300).collect()
+    assert {r.doc_id: r.text for r in pieces.rebuilt(d, spark.createDataFrame(cut), none).collect()} == texts
+
+
+def test_words_in_pieces_of_a_vocabulary(spark, small):
+    rng = random.Random(6)
+    vocab = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(1, 4))) for _ in range(25)} | {"##" + "".join(rng.choice("abcé") for _ in range(rng.randrange(1, 4))) for _ in range(25)} | {".", "a"})
+
+    def split(w):
+        out, at = [], 0
+        while at < len(w):
+            end = next((e for e in range(len(w), at, -1) if ("##" if at else "") + w[at:e] in vocab), None)
+            if end is None or len(w) > 100:
+                return ["[UNK]"]
+            out.append(("##" if at else "") + w[at:end])
+            at = end
+        return out
+
+    texts = [" ".join("".join(rng.choice("abcab") for _ in range(rng.randrange(1, 9))) + rng.choice(["", ".", "!"]) for _ in range(12)) for _ in range(60)] + ["a" * 101, "", None, "ÀB"]
+    got = pieces.wordpieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame([(v,) for v in vocab], "piece string")).collect()
+    assert len(got) > 700 and all(r.pieces == split(r.token) for r in got) and any(len(r.pieces) > 1 for r in got)

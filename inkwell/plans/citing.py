@@ -1,4 +1,4 @@
-"""Queries on citations. Reference lists and works are short tables of our own; in-text citations and claims run over all texts."""
+"""Queries on citations. Lists of references, works, names and the like are made of documents, pages and events, a row each, beside a few rows of our own."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import text as T
 from inkwell.operators import citations as C
 from inkwell.operators import preparing as P
-from inkwell.plans.common import SENTENCES, STOP, TEXTS, quote, sql_normal, sql_raw_words, texts, values
+from inkwell.plans.common import FIXTURES, SENTENCES, STOP, TEXTS, TITLE, given, given_sql, quote, sql_name, sql_normal, sql_raw_words, texts, values
 from inkwell.plans.texts_and_statistics import sql_count
 
 LISTS = (
@@ -30,35 +30,45 @@ WORKS = (
     (7, "Big team paper", "A|Ann;B|Bob;C|Cy;D|Di;E|Ed;F|Fay;G|Gus;H|Hal;I|Ida;J|Jo;K|Kim", 2021, "Proc. Teams", None, "7", "10–20", "10.1000/t7", None, "ACM", "proceedings-article", None, 3, None, None, "crossref"),
     (8, "Deep models of weather", "Garcia|Maria", 2017, "Nature Weather", None, None, None, "10.1000/w4", "https://w.example.org", None, None, None, 12, "Short.", None, "openalex"),
 )
+A, B, C_, D_ = (sql_name("doc_id", k) for k in "abcd")
+#: A list of two or three entries for each document: its first line as a title, other parts from its id and checksum.
+LISTS_FROM = f"""SELECT doc_id + 1000, '[1] ' || {A} || ', ' || upper(substr({B}, 1, 1)) || '. (' || CAST(1950 + doc_id % 77 AS STRING) || '). ' || {TITLE} || '. Journal of Things, ' || CAST(doc_id % 30 + 1 AS STRING) || '(' || CAST(doc_id % 6 + 1 AS STRING) || '), ' || CAST(doc_id % 90 + 1 AS STRING) || '-' || CAST(doc_id % 90 + 9 AS STRING) || '. doi:10.1000/' || substr(md5(coalesce(text, '')), 1, 10) || '.' || chr(10)
+ || '[2] ' || {C_} || ', K., & ' || {D_} || ', S. (' || CAST(1960 + doc_id % 60 AS STRING) || 'b). On ' || lower({B}) || ' and ' || chr(10) || lower({C_}) || ' in the north. Science Letters, 4, 1-9. arXiv:1905.' || CAST(10000 + doc_id % 90000 AS STRING) || 'v2'
+ || CASE WHEN doc_id % 3 = 0 THEN chr(10) || '[3] ' || {D_} || ' Association. Report on ' || lower({A}) || '. 2018. https://' || lower({A}) || '.example.org/report.' ELSE '' END FROM {{documents}}"""
+#: A work for each document; copies of a text have one DOI, so they merge.
+WORKS_FROM = f"""SELECT doc_id + 1000, {TITLE}, {A} || '|' || {B} || CASE WHEN doc_id % 4 > 0 THEN ';' || {C_} || '|' || {D_} || '-' || {A} ELSE '' END || CASE WHEN doc_id % 4 > 1 THEN ';' || {D_} || ' Group||o' ELSE '' END, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE CAST(1950 + doc_id % 77 AS INT) END,
+ CASE WHEN doc_id % 5 = 0 THEN NULL ELSE 'Journal of ' || coalesce(source, 'Things') END, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE CAST(doc_id % 30 + 1 AS STRING) END, CASE WHEN doc_id % 2 = 0 THEN NULL ELSE CAST(doc_id % 6 + 1 AS STRING) END, CASE WHEN doc_id % 3 = 0 THEN 'e' || CAST(doc_id AS STRING) ELSE CAST(doc_id % 90 + 1 AS STRING) || ' - ' || CAST(doc_id % 90 + 9 AS STRING) END,
+ CASE WHEN doc_id % 3 = 0 THEN NULL ELSE '10.1000/' || substr(md5(coalesce(text, '')), 1, 12) END, CASE WHEN doc_id % 2 = 0 THEN NULL ELSE 'https://' || lower({A}) || '.example.org/' || CAST(doc_id AS STRING) END, CASE WHEN doc_id % 6 = 0 THEN {B} || ' Press' ELSE NULL END, CASE WHEN doc_id % 6 = 0 THEN 'book' WHEN doc_id % 6 = 1 THEN 'proceedings-article' WHEN doc_id % 6 = 2 THEN NULL ELSE 'journal-article' END,
+ CASE WHEN doc_id % 9 = 0 THEN '1905.' || CAST(10000 + doc_id % 90000 AS STRING) || 'v2' ELSE NULL END, CAST(n_chars % 500 AS INT), CASE WHEN doc_id % 4 = 0 THEN NULL ELSE split_part(text, chr(10), 2) END, CASE WHEN doc_id % 50 = 7 THEN 'retracted' ELSE NULL END, CASE WHEN doc_id % 2 = 0 THEN 'crossref' ELSE 'openalex' END FROM {{documents}}"""
 COLUMNS = ("work_id", "title", "authors", "year", "container", "volume", "issue", "pages", "doi", "url", "publisher", "type", "arxiv_id", "citations", "abstract", "retraction", "source")
 KINDS = "work_id long, title string, authors string, year int, container string, volume string, issue string, pages string, doi string, url string, publisher string, type string, arxiv_id string, citations int, abstract string, retraction string, source string"
 
 
-def works(spark) -> DataFrame:
+def works(spark, sf_dir) -> DataFrame:
     a = F.filter(F.split("authors", ";"), lambda x: x != "")
     one = lambda x: F.split(x, r"\|")
     named = F.transform(a, lambda x: F.struct(one(x)[0].alias("family"), F.when(one(x)[1] != "", one(x)[1]).alias("given"), F.coalesce(F.get(one(x), 2) == "o", F.lit(False)).alias("organization")))
-    return spark.createDataFrame(list(WORKS), KINDS).withColumn("authors", named).withColumn("number", F.col("work_id"))
+    return given(spark, sf_dir, WORKS, KINDS, WORKS_FROM).withColumn("authors", named).withColumn("number", F.col("work_id"))
 
 
 def _typed(rows) -> str:
     """The first row's columns as NULLs of the right type, so DuckDB infers text columns that begin with NULL."""
-    return f"SELECT work_id, title, authors, year::INT AS year, container, volume, issue, pages, doi, url, publisher, type, arxiv_id, citations::INT AS citations, abstract, retraction, source FROM {values(rows, *COLUMNS)}"
+    return f"SELECT work_id, title, authors, year::INT AS year, container, volume, issue, pages, doi, url, publisher, type, arxiv_id, citations::INT AS citations, abstract, retraction, source FROM {given_sql(rows, WORKS_FROM, *COLUMNS)}"
 
 
 WORKS_SQL = f"""w0 AS ({_typed(WORKS)}),
 w AS (SELECT * REPLACE (list_transform(list_filter(string_split(authors, ';'), lambda x: x != ''), lambda a: {{'family': split_part(a, '|', 1), 'given': nullif(split_part(a, '|', 2), ''), 'organization': split_part(a, '|', 3) = 'o'}}) AS authors), work_id AS number FROM w0)"""
 
 
-def lists(spark) -> DataFrame:
-    return spark.createDataFrame(list(LISTS), "doc_id long, text string")
+def lists(spark, sf_dir) -> DataFrame:
+    return given(spark, sf_dir, LISTS, "doc_id long, text string", LISTS_FROM)
 
 
 def c01(spark, sf_dir):
-    return C.split_references(lists(spark))
+    return C.split_references(lists(spark, sf_dir))
 
 
-C01 = rf"""l0 AS (SELECT doc_id, regexp_split_to_array(text, '\r\n|\r|\n') AS ls FROM {values(LISTS, 'doc_id', 'text')}), l1 AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS ix FROM l0),
+C01 = rf"""l0 AS (SELECT doc_id, regexp_split_to_array(text, '\r\n|\r|\n') AS ls FROM {given_sql(LISTS, LISTS_FROM, 'doc_id', 'text')}), l1 AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS ix FROM l0),
 l2 AS (SELECT *, regexp_replace(line, '\s', '', 'g') != '' AS f FROM l1), l3 AS (SELECT *, count(*) FILTER (f) OVER d AS n, count(*) FILTER (regexp_matches(line, {quote(C.BRACKET)})) OVER d AS br, count(*) FILTER (regexp_matches(line, {quote(C.DOT)})) OVER d AS dt, f AND NOT coalesce(lag(f) OVER o, false) AS opens, count(*) FILTER (f) OVER o AS nf FROM l2 WINDOW d AS (PARTITION BY doc_id), o AS (PARTITION BY doc_id ORDER BY ix)),
 l4 AS (SELECT *, count(*) FILTER (opens) OVER (PARTITION BY doc_id) AS blocks FROM l3), l5 AS (SELECT *, CASE WHEN br >= greatest(2, floor(n * 0.25)) THEN 'bracket' WHEN dt >= greatest(2, floor(n * 0.25)) THEN 'dot' WHEN blocks >= 2 THEN 'block' ELSE 'name' END AS kind FROM l4 WHERE f),
 l6 AS (SELECT *, CASE kind WHEN 'bracket' THEN regexp_matches(line, {quote(C.BRACKET)}) WHEN 'dot' THEN regexp_matches(line, {quote(C.DOT)}) WHEN 'block' THEN opens ELSE regexp_matches(line, {quote(C.SURNAME)}) OR nf = 1 END AS s, CASE kind WHEN 'bracket' THEN regexp_replace(line, {quote(C.BRACKET)}, '') WHEN 'dot' THEN regexp_replace(line, {quote(C.DOT)}, '') ELSE line END AS b FROM l5),
@@ -93,15 +103,18 @@ cites AS (SELECT doc_id, 'numeric' AS kind, ix, '[' || spec || ']' AS raw, {EXPA
  UNION ALL SELECT doc_id, 'narrative', ix, raw, NULL, regexp_extract(raw, {quote(C.NARRATIVE)}, 1), regexp_extract(raw, {quote(C.NARRATIVE)}, 2)::INT, nullif(regexp_extract(raw, {quote(C.NARRATIVE)}, 3), '') FROM a1 WHERE NOT regexp_matches(regexp_extract(raw, {quote(C.NARRATIVE)}, 1), {quote(C.NO_NAME)}))"""
 
 REFERENCES = tuple((d, i, f, o, y, s) for d in (-1, -3) for i, f, o, y, s in ((1, "Smith", False, 2020, None), (2, "Lee", False, 2019, None), (3, "Garcia", False, 2016, None), (4, "van Dyke", False, 2017, "b"), (5, "World Things", True, 2018, None)))
+#: An entry of each document, which the text cites in the last sentence that `CITING` adds.
+REFERENCES_FROM = f"SELECT doc_id, CAST(doc_id % 3 + 1 AS INT), {A}, doc_id % 10 = 0, CAST(1950 + doc_id % 70 + CASE WHEN doc_id % 8 = 0 THEN 1 ELSE 0 END AS INT), CASE WHEN doc_id % 9 = 0 THEN 'a' ELSE NULL END FROM {{documents}}"
+CITING = f"SELECT doc_id, coalesce(text, '') || ' It is known (' || {A} || ' et al., ' || CAST(1950 + doc_id % 70 AS STRING) || CASE WHEN doc_id % 6 = 0 THEN 'a' ELSE '' END || '; ' || {B} || ', 2001) and ' || CASE WHEN doc_id % 4 = 0 THEN 'shown [1, 3] and [2].' ELSE {A} || ' (1999) says so.' END FROM {{documents}}"
 REF_COLS = ("doc_id", '"index"', "family", "organization", "year", "year_suffix")
 
 
 def _check(spark, sf_dir):
-    refs = spark.createDataFrame(list(REFERENCES), "doc_id long, index int, family string, organization boolean, year int, year_suffix string")
-    return C.cross_check(C.in_text(texts(spark, sf_dir).where("doc_id < 0")), refs)
+    refs = given(spark, sf_dir, REFERENCES, "doc_id long, index int, family string, organization boolean, year int, year_suffix string", REFERENCES_FROM)
+    return C.cross_check(C.in_text(given(spark, sf_dir, FIXTURES, "doc_id long, text string", CITING)), refs)
 
 
-CHECK = f"""WITH {TEXTS.replace('SELECT doc_id, text FROM documents UNION ALL ', '')}, {CITES}, rf AS (SELECT * FROM {values(REFERENCES, *REF_COLS)}),
+CHECK = f"""WITH texts AS (SELECT * FROM {given_sql(FIXTURES, CITING, 'doc_id', 'text')}), {CITES}, rf AS (SELECT * FROM {given_sql(REFERENCES, REFERENCES_FROM, *REF_COLS)}),
 nn AS (SELECT doc_id, ix, raw, unnest(ns) AS n FROM cites WHERE kind = 'numeric'),
 au AS (SELECT c.doc_id, c.kind, c.ix, c.raw, r."index", coalesce(lower(c.surname) = lower(r.family) OR ends_with(lower(r.family), ' ' || lower(c.surname)) OR ends_with(lower(c.surname), ' ' || lower(r.family)) OR (r.organization AND (starts_with(lower(r.family), lower(c.surname)) OR starts_with(lower(c.surname), lower(r.family)))), false) AS same, r.year = c.year AND (c.year_suffix IS NULL OR r.year_suffix IS NULL OR c.year_suffix = r.year_suffix) AS fits FROM cites c LEFT JOIN rf r USING (doc_id) WHERE kind != 'numeric'),
 oc AS (SELECT doc_id, kind, ix, raw, bool_or(same AND coalesce(fits, false)) AS exact, bool_or(same) AS same FROM au GROUP BY ALL)"""
@@ -113,16 +126,18 @@ def _mask_names(spark, sf_dir, k):
 
 def c20(spark, sf_dir):
     """Scores of entries against works on pairs of our own, from the parts."""
-    return spark.createDataFrame(list(PARTS), "id long, score double, title double, authors double, year double, container double").select("id", C.status(*[F.col(c) for c in ("score", "title", "authors", "year", "container")]).alias("status"))
+    return given(spark, sf_dir, PARTS, "id long, score double, title double, authors double, year double, container double", PARTS_FROM).select("id", C.status(*[F.col(c) for c in ("score", "title", "authors", "year", "container")]).alias("status"))
 
 
 PARTS = ((1, 0.95, 0.99, 1.0, 1.0, 0.9), (2, 0.82, 0.75, None, None, None), (3, 0.7, 0.6, 0.5, 0.6, 0.2), (4, 0.9, 0.96, 0.0, 1.0, 0.4), (5, 0.9, 0.96, 0.0, 1.0, None), (6, 0.9, 0.9, 0.0, 1.0, 0.9), (7, 0.61, 0.9, 1.0, 0.0, 0.0), (8, 0.83, 0.54, 1.0, 1.0, 1.0))
-C20 = f"""SELECT id, CASE WHEN coalesce(authors = 0, false) AND (title < 0.95 OR coalesce(year = 0, false) OR coalesce(container < 0.5, false)) THEN 'not_found' WHEN score >= 0.82 AND title >= 0.75 THEN 'verified' WHEN score >= 0.62 AND title >= 0.55 THEN 'likely' ELSE 'not_found' END AS status FROM {values(PARTS, 'id', 'score', 'title', 'authors', 'year', 'container')}"""
+PARTS_FROM = "SELECT doc_id + 100, doc_id * 37 % 101 / 100.0, doc_id * 53 % 97 / 96.0, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE doc_id % 3 / 2.0 END, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE doc_id % 2 * 1.0 END, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE n_chars % 10 / 10.0 END FROM {documents}"
+C20 = f"""SELECT id, CASE WHEN coalesce(authors = 0, false) AND (title < 0.95 OR coalesce(year = 0, false) OR coalesce(container < 0.5, false)) THEN 'not_found' WHEN score >= 0.82 AND title >= 0.75 THEN 'verified' WHEN score >= 0.62 AND title >= 0.55 THEN 'likely' ELSE 'not_found' END AS status FROM {given_sql(PARTS, PARTS_FROM, 'id', 'score', 'title', 'authors', 'year', 'container')}"""
 TITLES = ((1, "Deep Learning", "deep learning"), (2, "A Study of <i>Interesting</i> Things", "Study of interesting things: a review"), (3, "Rivers and tides", "Mountains and valleys of the north"), (4, "", "Nothing"), (5, "Effets du café sur l’été", "effets du cafe sur l'ete"), (6, "the cat the cat", "the cat sat"))
+TITLES_FROM = f"SELECT doc_id + 100, {TITLE}, CASE doc_id % 4 WHEN 0 THEN upper(replace({TITLE}, 'ß', 'ss')) WHEN 1 THEN 'A review: ' || {TITLE} || ' <b>and more</b>' WHEN 2 THEN substr({TITLE}, 1, 30) ELSE {A} || ' ' || {TITLE} || ' ' || {B} END FROM {{documents}}"
 
 
 def f04(spark, sf_dir):
-    d = spark.createDataFrame(list(TITLES), "id long, a string, b string")
+    d = given(spark, sf_dir, TITLES, "id long, a string, b string", TITLES_FROM)
     a, b = F.col("a"), F.col("b")
     return d.select("id", T.normal_title(a).alias("normal"), F.round(T.dice(T.title_tokens(a), T.title_tokens(b)), 6).alias("dice"), F.round(T.title_similarity(a, b), 6).alias("similarity"), F.round(C.contained(a, b), 6).alias("contained"))
 
@@ -135,26 +150,27 @@ def sql_tokens(x: str) -> str:
     return f"list_filter(string_split({sql_title(x)}, ' '), lambda t: t != '')"
 
 
-F04 = f"""WITH t AS (SELECT id, {sql_title('a')} AS normal, {sql_tokens('a')} AS ta, {sql_tokens('b')} AS tb FROM {values(TITLES, 'id', 'a', 'b')}),
+F04 = f"""WITH t AS (SELECT id, {sql_title('a')} AS normal, {sql_tokens('a')} AS ta, {sql_tokens('b')} AS tb FROM {given_sql(TITLES, TITLES_FROM, 'id', 'a', 'b')}),
 d AS (SELECT *, CASE WHEN len(ta) = 0 OR len(tb) = 0 THEN 0 ELSE 2 * list_sum(list_transform(list_distinct(ta), lambda t: least(len(list_filter(ta, lambda x: x = t)), len(list_filter(tb, lambda x: x = t))))) / (len(ta) + len(tb)) END AS dice, CASE WHEN len(ta) <= len(tb) THEN ta ELSE tb END AS s, CASE WHEN len(ta) <= len(tb) THEN tb ELSE ta END AS l FROM t)
 SELECT id, normal, round(dice, 6) AS dice, round(CASE WHEN len(s) >= 4 AND len(list_filter(s, lambda t: list_contains(l, t))) / len(s) >= 0.95 THEN greatest(dice, 0.9) ELSE dice END, 6) AS similarity, round(CASE WHEN len(ta) = 0 THEN 0 ELSE len(list_filter(ta, lambda t: list_contains(tb, t))) / len(ta) END, 6) AS contained FROM d"""
 
 
 def c24(spark, sf_dir):
     r = C.identifiers(c01(spark, sf_dir)).select("doc_id", F.col("index").alias("ref_id"), "doi", "title", "year", "raw")
-    again = r.where("doc_id = 1").withColumn("ref_id", F.col("ref_id") + 10)
+    again = r.where("doc_id = 1 or doc_id % 5 = 0").withColumn("ref_id", F.col("ref_id") + 10)
     return C.duplicates(r.unionByName(again))
 
 
 NOTICES = ((1, "RETRACTED: A paper", "", ""), (2, "A paper", "correction,Retraction", ""), (3, "A paper", "", "cites,is-retracted-by"), (4, "Withdrawn - a paper", "", ""), (5, "A paper on retracted work", "erratum", "has-review"), (6, "A paper", "expression_of_concern", ""))
+NOTICES_FROM = f"SELECT doc_id + 100, CASE doc_id % 5 WHEN 0 THEN 'Retracted: ' WHEN 1 THEN 'WITHDRAWN - ' ELSE '' END || {TITLE}, CASE doc_id % 7 WHEN 0 THEN 'correction,Retraction' WHEN 1 THEN 'removal' WHEN 2 THEN 'expression_of_concern' ELSE '' END, CASE WHEN doc_id % 9 = 0 THEN 'cites,is-retracted-by' ELSE 'has-review' END FROM {{documents}}"
 
 
 def c25(spark, sf_dir):
-    d = spark.createDataFrame(list(NOTICES), "id long, title string, updates string, relations string")
+    d = given(spark, sf_dir, NOTICES, "id long, title string, updates string, relations string", NOTICES_FROM)
     return d.select("id", C.retraction(F.col("title"), F.split("updates", ","), F.split("relations", ",")).alias("status"))
 
 
-C25 = rf"""WITH n AS (SELECT *, list_filter(list_transform(string_split(updates, ','), lambda u: lower(u)), lambda u: u IN ('retraction', 'withdrawal', 'removal', 'expression_of_concern'))[1] AS u FROM {values(NOTICES, 'id', 'title', 'updates', 'relations')})
+C25 = rf"""WITH n AS (SELECT *, list_filter(list_transform(string_split(updates, ','), lambda u: lower(u)), lambda u: u IN ('retraction', 'withdrawal', 'removal', 'expression_of_concern'))[1] AS u FROM {given_sql(NOTICES, NOTICES_FROM, 'id', 'title', 'updates', 'relations')})
 SELECT id, CASE WHEN u = 'retraction' THEN 'retracted' WHEN u = 'withdrawal' THEN 'withdrawn' WHEN u = 'removal' THEN 'removed' WHEN u IS NOT NULL THEN u WHEN regexp_matches(relations, '(?i)retracted-by|has-retraction') THEN 'retracted' WHEN regexp_matches(title, '(?i)^\s*withdrawn\s*[:\-–]') THEN 'withdrawn' WHEN regexp_matches(title, '(?i)^\s*retracted\s*[:\-–]') THEN 'retracted' END AS status FROM n"""
 
 
@@ -181,22 +197,24 @@ SELECT doc_id, ix, string_agg(word, ' ' ORDER BY f) AS keyphrases FROM top GROUP
 
 
 def c28(spark, sf_dir):
-    claims = spark.createDataFrame([(1, 0, "Deep neural weather models improve forecasts substantially."), (2, 0, "Interesting things deserve a careful study.")], "doc_id long, ix int, text string")
-    return C.rank_works(claims, works(spark))
+    own = ((1, 0, "Deep neural weather models improve forecasts substantially."), (2, 0, "Interesting things deserve a careful study."))
+    claims = given(spark, sf_dir, own, "doc_id long, ix int, text string", "SELECT item_id + 100, 0, text FROM {benchmark}")
+    return C.rank_works(claims, works(spark, sf_dir))
 
 
 def j14(spark, sf_dir):
-    refs = C.identifiers(c01(spark, sf_dir)).select((F.col("doc_id") * 100 + F.col("index")).alias("ref_id"), "raw", "title", "year", "doi", "lead")
+    listed = given(spark, sf_dir, LISTS, "doc_id long, text string", LISTS_FROM.replace("{documents}", "(SELECT item_id AS doc_id, text FROM {benchmark})"))
+    refs = C.identifiers(C.split_references(listed)).select((F.col("doc_id") * 100 + F.col("index")).alias("ref_id"), "raw", "title", "year", "doi", "lead")
     family = F.regexp_extract("lead", r"^([\p{L}'’\- ]+),", 1)
     named = F.when(F.coalesce(family, F.lit("")) != "", F.array(F.struct(family.alias("family"), F.lit(None).cast("string").alias("given"), F.lit(False).alias("organization")))).otherwise(F.array().cast("array<struct<family:string,given:string,organization:boolean>>"))
     refs = refs.withColumn("authors", named).drop("lead")
     for c in ("container", "volume", "pages"):
         refs = refs.withColumn(c, F.lit(None).cast("string"))
-    return C.best_matches(refs, works(spark))
+    return C.best_matches(refs, works(spark, sf_dir))
 
 
 def a30(spark, sf_dir):
-    return C.dedupe_works(works(spark).drop("authors", "number")).select("work_id", "title", "year", "doi", "url", "citations", "abstract", "retraction", "sources")
+    return C.dedupe_works(works(spark, sf_dir).drop("authors", "number")).select("work_id", "title", "year", "doi", "url", "citations", "abstract", "retraction", "sources")
 
 
 A30 = f"""WITH w AS (SELECT *, {sql_title('title')} || ':' || coalesce(year::VARCHAR, '') AS t FROM ({_typed(WORKS)})),
@@ -205,20 +223,21 @@ SELECT min(work_id) AS work_id, first(title ORDER BY length(title) DESC, work_id
  first(retraction ORDER BY work_id) FILTER (retraction IS NOT NULL) AS retraction, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources FROM k1 GROUP BY key"""
 
 NAMES = ((1, "John Ronald Tolkien"), (2, "Ludwig van Beethoven"), (3, "Smith, Jane Q."), (4, "Plato"), (5, "Martin Luther King Jr."), (6, "Maria de la Cruz"), (7, "Doe,"))
+NAMES_FROM = f"SELECT doc_id + 100, CASE doc_id % 6 WHEN 0 THEN {A} || ', ' || {B} || ' Q.' WHEN 1 THEN {A} || ' van der ' || {B} WHEN 2 THEN {A} WHEN 3 THEN {A} || '  ' || {B} || ' Jr.' WHEN 4 THEN {A} || ' ' || {B} || ' de la ' || {C_} ELSE {A} || ' ' || {B} || ' ' || {C_} || ' III' END FROM {{documents}}"
 
 
 def f14(spark, sf_dir):
-    return spark.createDataFrame(list(NAMES), "id long, name string").select("id", C.split_name(F.col("name")).alias("n")).select("id", "n.family", F.coalesce("n.given", F.lit("")).alias("given"))
+    return given(spark, sf_dir, NAMES, "id long, name string", NAMES_FROM).select("id", C.split_name(F.col("name")).alias("n")).select("id", "n.family", F.coalesce("n.given", F.lit("")).alias("given"))
 
 
 PARTICLES = "van von de der den di da del della la le bin ibn al el ter ten du dos das".split()
-F14 = f"""WITH RECURSIVE n AS (SELECT id, trim(regexp_replace(name, '\\s+', ' ', 'g')) AS n FROM {values(NAMES, 'id', 'name')}), p AS (SELECT id, n, list_filter(string_split(n, ' '), lambda x: lower(x) NOT IN ('jr', 'jr.', 'sr', 'sr.', 'ii', 'iii', 'iv', 'phd', 'md')) AS ps FROM n),
+F14 = f"""WITH RECURSIVE n AS (SELECT id, trim(regexp_replace(name, '\\s+', ' ', 'g')) AS n FROM {given_sql(NAMES, NAMES_FROM, 'id', 'name')}), p AS (SELECT id, n, list_filter(string_split(n, ' '), lambda x: lower(x) NOT IN ('jr', 'jr.', 'sr', 'sr.', 'ii', 'iii', 'iv', 'phd', 'md')) AS ps FROM n),
 r(id, n, ps, s) AS (SELECT id, n, ps, len(ps) FROM p UNION ALL SELECT id, n, ps, s - 1 FROM r WHERE s > 2 AND lower(ps[s - 1]) IN ({', '.join(quote(x) for x in PARTICLES)})), m AS (SELECT id, n, ps, min(s) AS s FROM r GROUP BY ALL)
 SELECT id, CASE WHEN contains(n, ',') THEN trim(split_part(n, ',', 1)) ELSE array_to_string(ps[s : len(ps)], ' ') END AS family, CASE WHEN contains(n, ',') THEN trim(substr(n, instr(n, ',') + 1)) WHEN len(ps) <= 1 THEN '' ELSE array_to_string(ps[1 : s - 1], ' ') END AS given FROM m"""
 
 
 def c29(spark, sf_dir):
-    w = works(spark)
+    w = works(spark, sf_dir)
     return reduce(DataFrame.unionByName, [C.formatted(w, s).withColumn("style", F.lit(s)) for s in C.STYLES])
 
 
@@ -261,7 +280,7 @@ c AS (SELECT *, CASE WHEN n > 10 THEN array_to_string(list_append(mx[1:7], 'et a
 
 
 def c29_in_text(spark, sf_dir):
-    w = works(spark)
+    w = works(spark, sf_dir)
     return reduce(DataFrame.unionByName, [C.formatted_in_text(w, s).withColumn("style", F.lit(s)) for s in C.STYLES])
 
 
@@ -275,7 +294,7 @@ UNION ALL SELECT work_id, 'apa', CASE n WHEN 0 THEN '(' || array_to_string(strin
 
 
 def c30(spark, sf_dir):
-    return C.bibtex(works(spark))
+    return C.bibtex(works(spark, sf_dir))
 
 
 def _safe(x: str) -> str:
@@ -297,7 +316,7 @@ SELECT work_id, '@' || kind || '{{' || key || ',' || chr(10) || array_to_string(
 
 
 def c31(spark, sf_dir):
-    return C.ris(works(spark))
+    return C.ris(works(spark, sf_dir))
 
 
 C31 = f"""WITH {WORKS_SQL}, k AS (SELECT *, CASE WHEN type = 'book' THEN 'BOOK' WHEN type = 'proceedings-article' THEN 'CONF' WHEN container IS NOT NULL THEN 'JOUR' ELSE 'GEN' END AS kind, regexp_split_to_array(pages, '\\s*[-–—]\\s*') AS cut FROM w)
@@ -305,16 +324,17 @@ SELECT work_id, array_to_string(list_filter(['TY  - ' || kind] || list_transform
 
 
 def x01(spark, sf_dir):
-    return C.to_sources(works(spark))
+    return C.to_sources(works(spark, sf_dir))
 
 
 X01 = f"""WITH {WORKS_SQL} SELECT coalesce('doi:' || doi, url, 'title:' || lower(title)) AS source_id, title, concat_ws('. ', title, abstract) AS text, nullif(array_to_string(list_transform(authors[1:3], lambda a: a.family), ', ') || CASE WHEN len(authors) > 3 THEN ' et al.' ELSE '' END, '') AS authors, year, coalesce('https://doi.org/' || doi, url) AS url FROM w"""
 
 SPECS = ((1, "1-4, 7"), (2, "3"), (3, "5–2"), (4, "1-100"), (5, "2,2;3 - 4"), (6, "x, 9"))
+SPECS_FROM = "SELECT doc_id + 100, CAST(doc_id % 9 AS STRING) || CASE WHEN doc_id % 2 = 0 THEN '–' ELSE ' - ' END || CAST(doc_id % 9 + doc_id % 70 AS STRING) || ', ' || CAST(n_chars % 100 AS STRING) || CASE WHEN doc_id % 3 = 0 THEN ';x' ELSE ';' || CAST(doc_id % 4 AS STRING) END FROM {documents}"
 
 
 def f12(spark, sf_dir):
-    return spark.createDataFrame(list(SPECS), "id long, spec string").select("id", F.array_join(F.array_sort(T.expand_numbers(F.col("spec"))).cast("array<string>"), ",").alias("numbers"))
+    return given(spark, sf_dir, SPECS, "id long, spec string", SPECS_FROM).select("id", F.array_join(F.array_sort(T.expand_numbers(F.col("spec"))).cast("array<string>"), ",").alias("numbers"))
 
 
 QUERIES = {
@@ -328,5 +348,5 @@ ORACLES = {
     "c11_style": f"""{CHECK}, f AS (SELECT doc_id, n, min(ix) AS ix FROM nn GROUP BY ALL), o AS (SELECT doc_id, n, row_number() OVER (PARTITION BY doc_id ORDER BY ix, n) AS i FROM f), q AS (SELECT doc_id, count(*) > 2 AND bool_or(i != n) AS odd FROM o GROUP BY doc_id), s AS (SELECT doc_id, count(*) FILTER (kind = 'numeric') AS n, count(*) FILTER (kind != 'numeric') AS a FROM cites GROUP BY doc_id)
 SELECT doc_id, CASE WHEN n > 0 AND a > 0 THEN 'mixed' WHEN n > 0 THEN 'numeric' ELSE 'author-year' END AS style, n >= 5 AND coalesce(odd, false) AS out_of_order FROM s LEFT JOIN q USING (doc_id)""",
     "c22_status": C20, "f04_title_similarity": F04, "c25_retraction": C25, "c26_claims": C26, "c27_keyphrases": C27, "a30_merged_works": A30, "f14_names": F14, "c29_formatted": C29, "c29_in_text": C29T, "c30_bibtex": C30, "c31_ris": C31, "x01_sources": X01,
-    "f12_expand_numbers": f"SELECT id, array_to_string(list_sort({EXPAND}), ',') AS numbers FROM {values(SPECS, 'id', 'spec')}",
+    "f12_expand_numbers": f"SELECT id, array_to_string(list_sort({EXPAND}), ',') AS numbers FROM {given_sql(SPECS, SPECS_FROM, 'id', 'spec')}",
 }

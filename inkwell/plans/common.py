@@ -6,7 +6,10 @@ the table has none of: citations, quotations, disguised letters, stock phrases,
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from inkwell.functions import text as T
 from inkwell.functions.lexicons import LOOKALIKES, STOPWORDS
@@ -40,6 +43,30 @@ def values(rows, *columns: str) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(one(v) for v in r) + ")" for r in rows) + f") v({', '.join(columns)})"
 
 
+def given(spark: SparkSession, sf_dir: str, rows, ddl: str, select: str) -> DataFrame:
+    """A few rows of our own together with those that `select` derives from given tables.
+
+    select is SQL that Spark and DuckDB both read; {documents} and the like stand for tables, columns go by position."""
+    own = spark.createDataFrame(list(rows), ddl)
+    made = spark.sql(select, **{n: table(spark, sf_dir, n) for n in set(re.findall(r"\{(\w+)\}", select))})
+    return own.unionByName(made.toDF(*own.columns).select(*[F.col(f"`{c.name}`").cast(c.dataType) for c in own.schema]))
+
+
+def given_sql(rows, select: str, *columns: str) -> str:
+    """The rows of `given` for DuckDB."""
+    return f"(SELECT * FROM {values(rows, *columns)} UNION ALL {re.sub(r'[{}]', '', select)}) v({', '.join(columns)})"
+
+
+def sql_name(key: str, seed: str) -> str:
+    """A made name of a key, in SQL that Spark and DuckDB both read."""
+    x = f"translate(md5(CAST({key} AS STRING) || '{seed}'), '0123456789', 'ghijklmnop')"
+    return f"(upper(substr({x}, 1, 1)) || substr({x}, 2, 6))"
+
+
+#: The first line of a document as a title.
+TITLE = "coalesce(nullif(trim(substr(split_part(text, chr(10), 1), 1, 80)), ''), 'Untitled')"
+
+
 TEXTS = f"texts AS (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM {values(FIXTURES, 'doc_id', 'text')})"
 
 _ODD, _PLAIN = "".join(a for a, _ in LOOKALIKES), "".join(b for _, b in LOOKALIKES)

@@ -9,7 +9,7 @@ from inkwell.functions import text as T
 
 from inkwell.operators import overlap as O
 from inkwell.operators.tokens import ngrams, sentences
-from inkwell.plans.common import SENTENCES, STOP, TEXTS, TOKENS, WORDS, sql_normal, sql_raw_words, sql_simple_sentences, sql_words, texts, values
+from inkwell.plans.common import SENTENCES, STOP, TEXTS, TOKENS, WORDS, given, given_sql, sql_normal, sql_raw_words, sql_simple_sentences, sql_words, texts, values
 from inkwell.tables import table
 
 
@@ -221,17 +221,20 @@ SELECT doc_id, unnest(list_transform(qs, lambda q: regexp_replace(q, '\s+', ' ',
 
 SPANS = ((1, "a,b", 20), (1, "b", 7), (2, "c", 30), (3, "b,c", 4), (3, "c", 12))
 LENGTHS = ((1, 100), (2, 120), (3, 90), (4, 0))
+#: Lines of orders as spans of a document, their parts and suppliers as sources.
+SPANS_FROM = "SELECT l_orderkey + 100, CASE l_suppkey % 4 WHEN 0 THEN 'b' WHEN 1 THEN 'b,' || CAST(l_partkey AS STRING) ELSE CAST(l_partkey AS STRING) || ',' || CAST(l_suppkey AS STRING) END, CAST(floor(l_quantity) AS INT) FROM {lineitem}"
+LENGTHS_FROM = "SELECT o_orderkey + 100, CAST(floor(o_totalprice % 900) AS INT) FROM {orders}"
 
 
 def p19(spark, sf_dir):
     """A reader leaves out source b and matches under 5 words."""
-    spans = spark.createDataFrame(list(SPANS), "doc_id long, s string, words long").select("doc_id", F.split("s", ",").alias("source_ids"), "words")
-    return O.review(spans, spark.createDataFrame(list(LENGTHS), "doc_id long, words long"), 5, ("b",))
+    spans = given(spark, sf_dir, SPANS, "doc_id long, s string, words long", SPANS_FROM).select("doc_id", F.split("s", ",").alias("source_ids"), "words")
+    return O.review(spans, given(spark, sf_dir, LENGTHS, "doc_id long, words long", LENGTHS_FROM), 5, ("b",))
 
 
-P19 = f"""WITH sp AS (SELECT doc_id, list_filter(string_split(s, ','), lambda x: x != 'b') AS ids, words FROM {values(SPANS, 'doc_id', 's', 'words')}),
+P19 = f"""WITH sp AS (SELECT doc_id, list_filter(string_split(s, ','), lambda x: x != 'b') AS ids, words FROM {given_sql(SPANS, SPANS_FROM, 'doc_id', 's', 'words')}),
 m AS (SELECT doc_id, sum(words) AS matched FROM sp WHERE len(ids) > 0 AND words >= 5 GROUP BY doc_id),
-d AS (SELECT doc_id, d.words, coalesce(matched, 0) AS matched, floor(coalesce(matched, 0) * 1000 / greatest(d.words, 1) + 0.5) / 10 AS similarity FROM {values(LENGTHS, 'doc_id', 'words').replace(' v(', ' d(')} LEFT JOIN m USING (doc_id))
+d AS (SELECT doc_id, d.words, coalesce(matched, 0) AS matched, floor(coalesce(matched, 0) * 1000 / greatest(d.words, 1) + 0.5) / 10 AS similarity FROM {given_sql(LENGTHS, LENGTHS_FROM, 'doc_id', 'words').replace(' v(', ' d(')} LEFT JOIN m USING (doc_id))
 SELECT *, CASE WHEN similarity < 10 THEN 'low' WHEN similarity < 25 THEN 'moderate' ELSE 'high' END AS verdict FROM d"""
 
 

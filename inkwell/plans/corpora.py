@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from inkwell.operators import corpora as K
 from inkwell.operators import detector as D
-from inkwell.plans.common import TEXTS, quote, texts, values
+from inkwell.plans.common import given, given_sql, TEXTS, quote, texts, values
 from inkwell.tables import table
 
 
@@ -100,11 +100,12 @@ K08 = f"WITH {SCORED}, t AS (SELECT round(quantile_cont(round(score, 4), 0.95),
 
 
 def k10(spark, sf_dir):
-    w = spark.range(1000).select(F.col("id").alias("h"), (((F.col("id") * 7919) % 1009 - 504) / 2520.0).alias("w"))
+    v = table(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", F.posexplode("embedding").alias("i", "x"))
+    w = v.where("x is not null and not isnan(x)").select((F.col("vec_id") * 64 + F.col("i")).alias("h"), F.col("x").cast("double").alias("w"))
     return K.quantised(w).withColumn("scale", F.round("scale", 9))
 
 
-K10 = "WITH w AS (SELECT h, ((h * 7919) % 1009 - 504) / 2520.0::DOUBLE AS w FROM range(1000) r(h)), s AS (SELECT max(abs(w)) / 127 AS scale FROM w) SELECT h, least(127, greatest(-127, round(w / scale)))::INT AS q, round(scale, 9) AS scale FROM w, s"
+K10 = "WITH w AS (SELECT vec_id * 64 + i AS h, x::DOUBLE AS w FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) WHERE x IS NOT NULL AND NOT isnan(x)), s AS (SELECT max(abs(w)) / 127 AS scale FROM w) SELECT h, least(127, greatest(-127, round(w / scale)))::INT AS q, round(scale, 9) AS scale FROM w, s"
 
 REPLIES = (
     (-1, "Here is the paragraph:\n" + "Clear words follow one another here. " * 12), (-2, "I can't help with that request. " * 12), (-3, "Short reply."), (-4, "“" + "A quoted paragraph of many words goes on and on. " * 8 + "”"), (-5, "word " * 70), (-6, "As asked, here's the revised text. " + "More words follow. " * 30),
@@ -134,14 +135,15 @@ def _share(k: str) -> str:
 K12 = f"""WITH u AS (SELECT doc_id AS id, {_share("'13:' || doc_id")} AS u, {_share("'kind:13:' || doc_id")} AS v FROM documents), f AS (SELECT *, row_number() OVER (ORDER BY u, id) - 1 AS n FROM u ORDER BY u, id LIMIT 60)
 SELECT id, ['alpha', 'beta', 'gamma'][(n % 3 + 1)::INT] AS model, CASE WHEN v < 0.2 THEN 'write' WHEN v < {0.2 + 0.35} THEN 'polish' WHEN v < {0.2 + 0.35 + 0.15} THEN 'paraphrase' WHEN v < {0.2 + 0.35 + 0.15 + 0.15} THEN 'humanise' ELSE 'translate' END AS kind, floor(n / 3)::BIGINT AS turn FROM f"""
 LEVELS = ((1, "degree-based", "major", None), (2, "degree-based", "minor", None), (3, "degree-based", "extreme_minor", None), (4, "percent", None, 35), (5, "percent", None, 20), (6, "percent", None, 5))
+LEVELS_FROM = "SELECT doc_id + 100, CASE WHEN doc_id % 2 = 0 THEN 'degree-based' ELSE 'percent' END, CASE WHEN doc_id % 2 = 1 THEN NULL WHEN doc_id % 8 = 0 THEN 'major' WHEN doc_id % 8 = 2 THEN 'slight_major' WHEN doc_id % 8 = 4 THEN 'minor' ELSE 'extreme_minor' END, CASE WHEN doc_id % 2 = 0 THEN NULL ELSE CAST(n_chars % 60 AS INT) END FROM {documents}"
 
 
 def k13(spark, sf_dir):
-    d = spark.createDataFrame(list(LEVELS), "id long, kind string, degree string, percent int")
+    d = given(spark, sf_dir, LEVELS, "id long, kind string, degree string, percent int", LEVELS_FROM)
     return d.select("id", K.polish_label(F.col("kind"), F.col("degree"), F.col("percent")).alias("label"))
 
 
-K13 = f"SELECT id, CASE WHEN kind = 'degree-based' THEN CASE WHEN degree IN ('major', 'slight_major') THEN 'ai' WHEN degree = 'extreme_minor' THEN 'human' END WHEN percent >= 35 THEN 'ai' WHEN percent <= 5 THEN 'human' END AS label FROM {values(LEVELS, 'id', 'kind', 'degree', 'percent')}"
+K13 = f"SELECT id, CASE WHEN kind = 'degree-based' THEN CASE WHEN degree IN ('major', 'slight_major') THEN 'ai' WHEN degree = 'extreme_minor' THEN 'human' END WHEN percent >= 35 THEN 'ai' WHEN percent <= 5 THEN 'human' END AS label FROM {given_sql(LEVELS, LEVELS_FROM, 'id', 'kind', 'degree', 'percent')}"
 HOSTS = ((-401, "However, the results show that our new method can improve the main analysis of several large data sets in this study today. A short one. Another sentence that has enough words in it to count as good for the purposes of this small test case here."),)
 
 
@@ -154,12 +156,16 @@ def k14(spark, sf_dir):
 POLISHED, ORIGINALS = ((1, "a", "the red fox jumps over lazy dogs"), (2, "a", "weather models are improving fast"), (3, "b", "the red fox jumps")), ((10, "a", "a red fox jumps over dogs"), (11, "a", "weather models improve"), (12, "b", "nothing in common red"), (13, "b", "the fox"))
 
 
+#: Benchmark items as polished texts, documents as what they may come from.
+POLISHED_FROM, ORIGINALS_FROM = "SELECT item_id + 100, CASE WHEN item_id % 2 = 0 THEN 'even' ELSE 'odd' END, text FROM {benchmark}", "SELECT doc_id + 100, CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END, text FROM {documents} WHERE text IS NOT NULL"
+
+
 def j22(spark, sf_dir):
     kind = "id long, domain string, text string"
-    return K.best_originals(spark.createDataFrame(list(POLISHED), kind), spark.createDataFrame(list(ORIGINALS), kind))
+    return K.best_originals(given(spark, sf_dir, POLISHED, kind, POLISHED_FROM), given(spark, sf_dir, ORIGINALS, kind, ORIGINALS_FROM))
 
 
-J22 = f"""WITH a AS (SELECT id, domain, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM {values(POLISHED, 'id', 'domain', 'text')}), b AS (SELECT id AS original, domain, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM {values(ORIGINALS, 'id', 'domain', 'text')}),
+J22 = f"""WITH a AS (SELECT id, domain, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM {given_sql(POLISHED, POLISHED_FROM, 'id', 'domain', 'text')}), b AS (SELECT id AS original, domain, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM {given_sql(ORIGINALS, ORIGINALS_FROM, 'id', 'domain', 'text')}),
 j AS (SELECT id, original, len(list_intersect(a.w, b.w)) AS c, len(a.w) + len(b.w) AS n FROM a JOIN b USING (domain)) SELECT id, original, round(c / (n - c), 6) AS similarity FROM j WHERE c > 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY c / (n - c) DESC, original DESC) = 1"""
 
 

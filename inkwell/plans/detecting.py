@@ -8,7 +8,7 @@ from inkwell.functions import text as T
 from inkwell.functions.lexicons import CLICHES
 from inkwell.operators import detector as D
 from inkwell.operators import preparing as P
-from inkwell.plans.common import SENTENCES, STOP, TEXTS, quote, sql_simple_sentences, texts, values
+from inkwell.plans.common import given, given_sql, SENTENCES, STOP, TEXTS, quote, sql_simple_sentences, texts, values
 from inkwell.plans.texts_and_statistics import W01, quote_lower, sql_count, sql_matches
 
 LOWER = quote_lower("text")
@@ -70,9 +70,11 @@ c AS (SELECT doc_id, h, sum(c)::BIGINT AS c FROM kc JOIN kh USING (key) GROUP BY
 
 
 def m03(spark, sf_dir):
-    return spark.createDataFrame([(k,) for k in KEYS], "s string").select("s", T.fnv18(F.col("s")).alias("h"))
+    """Feature keys of our own, and the pair of first words of each document."""
+    return given(spark, sf_dir, [(k,) for k in KEYS], "s string", KEYS_FROM).distinct().select("s", T.fnv18(F.col("s")).alias("h"))
 
 
+KEYS_FROM = "SELECT 'b:' || split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) FROM {documents} WHERE text IS NOT NULL"
 KEYS = ("", "u:the", "b:of the", "f:the _ of", "u:ü", "u:<num>")
 
 
@@ -140,9 +142,14 @@ SCORES = tuple((d, s, m, round(((d * 37 + s * 11 + m * 5) % 100) / 100, 2)) for
 SEGMENTS = tuple((d, s, 60 + 30 * s, round(((d * 13 + s * 7) % 50) / 50, 2)) for d in (*range(1, 7), 9) for s in range(1, 9))
 
 
+#: Eight events in a row are the segments of a document, their values its scores by two models.
+SEGMENTS_FROM = "SELECT CAST(floor(event_id / 8) AS BIGINT) + 100, CAST(event_id % 8 AS INT), CAST(60 + event_id % 300 AS INT), event_id * 13 % 50 / 50.0 FROM {events}"
+SCORES_FROM = "SELECT CAST(floor(event_id / 8) AS BIGINT) + 100, CAST(event_id % 8 AS INT), 1, event_id * 37 % 100 / 100.0 FROM {events} WHERE event_id % 9 > 0 UNION ALL SELECT CAST(floor(event_id / 8) AS BIGINT) + 100, CAST(event_id % 8 AS INT), 2, CASE WHEN event_id % 5 = 0 THEN 0.95 ELSE user_id % 90 / 100.0 END FROM {events}"
+
+
 def d14(spark, sf_dir):
-    seg = spark.createDataFrame(list(SEGMENTS), "doc_id long, segment int, words int, probability double")
-    sc = spark.createDataFrame(list(SCORES), "doc_id long, segment int, model int, score double").withColumn("quantiles", F.array(*[F.lit(q) for q in QUANTILES]))
+    seg = given(spark, sf_dir, SEGMENTS, "doc_id long, segment int, words int, probability double", SEGMENTS_FROM)
+    sc = given(spark, sf_dir, SCORES, "doc_id long, segment int, model int, score double", SCORES_FROM).withColumn("quantiles", F.array(*[F.lit(q) for q in QUANTILES]))
     return D.merge_neural(seg, sc)
 
 
@@ -153,7 +160,7 @@ def sql_percentile(p: str) -> str:
     return f"CASE {' '.join(parts)} ELSE {c[0]} * {p} / {q[0]} END"
 
 
-D14 = f"""WITH seg AS (SELECT * FROM {values(SEGMENTS, 'doc_id', 'segment', 'words', 'probability')}), sc AS (SELECT * FROM {values(SCORES, 'doc_id', 'segment', 'model', 'score')}),
+D14 = f"""WITH seg AS (SELECT * FROM {given_sql(SEGMENTS, SEGMENTS_FROM, 'doc_id', 'segment', 'words', 'probability')}), sc AS (SELECT * FROM {given_sql(SCORES, SCORES_FROM, 'doc_id', 'segment', 'model', 'score')}),
 m AS (SELECT doc_id, segment, model, avg(score)::DOUBLE AS m FROM sc GROUP BY ALL), p AS (SELECT *, ({sql_percentile('m')})::DOUBLE AS pct FROM m),
 n AS (SELECT *, CASE WHEN m >= {QUANTILES[-1]} THEN {D.LIKELY_AI} + (m - {QUANTILES[-1]}) / (1 - {QUANTILES[-1]}) * (1 - {D.LIKELY_AI}) WHEN pct <= 0.8 THEN pct / 0.8 * 0.15 ELSE 0.15 + power((pct - 0.8) / ({D.PERCENTILES[-1]} - 0.8), 2) * ({D.LIKELY_AI} - 0.15) END AS neural FROM p),
 g AS (SELECT doc_id, segment, max(pct) AS pct, max(neural) AS neural FROM n GROUP BY ALL),
@@ -184,5 +191,5 @@ ORACLES = {
     "d04_signals": D04, "d09_top_contributors": D09, "d12_verdict": D12, "d10_sentence_scores": D10, "d14_neural_merge": D14, "d15_breakdown": D15,
     "d06_hashed_features": f"WITH {TEXTS}, {FEATURES} SELECT doc_id, count(*) AS features, sum(h)::BIGINT AS h_sum, round(sum(value * (h % 97)), 4) AS checksum, round(sum(value * value), 6) AS norm FROM fv GROUP BY doc_id",
     "d07_model_probability": f"WITH {TEXTS}, {FEATURES}, {SEEDED}, z AS (SELECT doc_id, sum(value * w) - 0.1 AS z FROM fv JOIN wt USING (h) GROUP BY doc_id) SELECT doc_id, round(z, 6) AS logit, round(1 / (1 + exp(-z)), 6) AS probability FROM z",
-    "m03_fnv": f"SELECT s, CASE WHEN s = '' THEN 40389 ELSE list_reduce(list_prepend(2166136261::HUGEINT, list_transform(string_split(s, ''), lambda c: unicode(c)::HUGEINT)), lambda h, c: ((xor(h::UBIGINT, c::UBIGINT)::HUGEINT * 16777619) % 4294967296)::HUGEINT)::BIGINT & 262143 END AS h FROM {values([(k,) for k in KEYS], 's')}",
+    "m03_fnv": f"SELECT s, CASE WHEN s = '' THEN 40389 ELSE list_reduce(list_prepend(2166136261::HUGEINT, list_transform(string_split(s, ''), lambda c: unicode(c)::HUGEINT)), lambda h, c: ((xor(h::UBIGINT, c::UBIGINT)::HUGEINT * 16777619) % 4294967296)::HUGEINT)::BIGINT & 262143 END AS h FROM (SELECT DISTINCT s FROM {given_sql([(k,) for k in KEYS], KEYS_FROM, 's')})",
 }

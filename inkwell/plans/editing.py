@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import text as T
 from inkwell.operators import preparing as P
 from inkwell.operators import rewriting as R
-from inkwell.plans.common import TEXTS, quote, sql_simple_sentences, texts, values
+from inkwell.plans.common import TEXTS, given, given_sql, quote, sql_simple_sentences, texts, values
 from inkwell.plans.texts_and_statistics import sql_count, sql_matches, sql_syllables
 
 PAIRS = (
@@ -18,10 +18,15 @@ PAIRS = (
     (5, "same words here", "same words here"),
 )
 REPLIES = ((1, "```text\nHello there.\n```"), (2, "Sure, here is the rewritten passage:\nThe cat sat."), (3, "“Quoted whole.”"), (4, "Revised version: plain"), (5, '"A" and "B"'), (6, "  spaced  "))
+REPLIES_FROM = """SELECT conv_id * 1000 + turn, CASE turn % 6 WHEN 0 THEN '```text' || chr(10) || text || chr(10) || '```' WHEN 1 THEN 'Sure, here is the revised text:' || chr(10) || text WHEN 2 THEN '“' || text || '”' WHEN 3 THEN 'Rewritten passage: ' || text WHEN 4 THEN ' ' || text || chr(10) ELSE text END FROM {conversations} WHERE text IS NOT NULL"""
 
 
-def _pairs(spark):
-    return spark.createDataFrame(list(PAIRS), "id long, before string, after string")
+#: Each turn of a conversation and a changed form of it.
+PAIRS_FROM = """SELECT conv_id * 1000 + turn, text, CASE turn % 5 WHEN 0 THEN text WHEN 1 THEN 'Moreover, we delve into ' || CAST(turn AS STRING) || ' things. ' || replace(text, ' the ', ' a ') WHEN 2 THEN replace(text, ', ', ' — ') WHEN 3 THEN upper(substr(text, 1, 20)) || ' not only this, but also **that** ' || CAST(conv_id AS STRING) ELSE '' END FROM {conversations} WHERE text IS NOT NULL"""
+
+
+def _pairs(spark, sf_dir):
+    return given(spark, sf_dir, PAIRS, "id long, before string, after string", PAIRS_FROM)
 
 
 def sql_hits(text: str, patterns) -> str:
@@ -31,7 +36,7 @@ def sql_hits(text: str, patterns) -> str:
 
 
 def w21(spark, sf_dir):
-    return _pairs(spark).select("id", F.array_join(R.problems(F.col("before"), F.col("after"), "balanced"), "; ").alias("problems"))
+    return _pairs(spark, sf_dir).select("id", F.array_join(R.problems(F.col("before"), F.col("after"), "balanced"), "; ").alias("problems"))
 
 
 def _bag(x: str) -> str:
@@ -42,20 +47,20 @@ def _more(a: str, b: str) -> str:
     return f"len(list_filter({a}, lambda x: len(list_filter({a}, lambda y: y = x)) > len(list_filter({b}, lambda y: y = x)))) > 0"
 
 
-W21 = rf"""WITH p AS (SELECT id, before, "after", regexp_extract_all(before, '{P.PLACEHOLDER}', 1) AS want, regexp_extract_all("after", '{P.PLACEHOLDER}', 1) AS got, {_bag('before')} AS nb, {_bag('"after"')} AS na, {sql_count('before', T.WORD)} AS n, {sql_count('"after"', T.WORD)} AS m FROM {values(PAIRS, 'id', 'before', '"after"')})
+W21 = rf"""WITH p AS (SELECT id, before, "after", regexp_extract_all(before, '{P.PLACEHOLDER}', 1) AS want, regexp_extract_all("after", '{P.PLACEHOLDER}', 1) AS got, {_bag('before')} AS nb, {_bag('"after"')} AS na, {sql_count('before', T.WORD)} AS n, {sql_count('"after"', T.WORD)} AS m FROM {given_sql(PAIRS, PAIRS_FROM, 'id', 'before', '"after"')})
 SELECT id, array_to_string(list_filter([CASE WHEN len(list_filter(want, lambda x: NOT list_contains(got, x))) > 0 THEN 'placeholders missing' END, CASE WHEN len(list_filter(got, lambda x: NOT list_contains(want, x))) > 0 OR len(got) > len(list_distinct(got)) THEN 'placeholders invented or repeated' END,
  CASE WHEN {_more('nb', 'na')} THEN 'numbers dropped' END, CASE WHEN {_more('na', 'nb')} THEN 'numbers added' END, CASE WHEN n >= 12 AND (m / n < 0.65 OR m / n > 1.35) THEN 'length' END, CASE WHEN regexp_matches("after", '(?m)\*\*|__|^#+\s') THEN 'markdown' END, CASE WHEN trim("after") = '' THEN 'empty' END], lambda x: x IS NOT NULL), '; ') AS problems FROM p"""
 
 
 def w23(spark, sf_dir):
-    return _pairs(spark).select("id", F.array_join(R.style_issues(F.col("before"), F.col("after")), "; ").alias("issues"))
+    return _pairs(spark, sf_dir).select("id", F.array_join(R.style_issues(F.col("before"), F.col("after")), "; ").alias("issues"))
 
 
 def _parts(x: str) -> str:
     return f"list_filter({sql_simple_sentences(x)}, lambda s: {sql_count('s', T.WORD)} >= 3)"
 
 
-W23 = rf"""WITH p AS (SELECT id, before, "after", {_parts('before')} AS a, {_parts('"after"')} AS b FROM {values(PAIRS, 'id', 'before', '"after"')}), q AS (SELECT *, len(list_filter(a, lambda s: regexp_matches(s, {quote(R.REWRITE_OPENERS)}))) AS oa, len(list_filter(b, lambda s: regexp_matches(s, {quote(R.REWRITE_OPENERS)}))) AS ob, list_transform(b, lambda s: {sql_count('s', T.WORD)}) AS l FROM p)
+W23 = rf"""WITH p AS (SELECT id, before, "after", {_parts('before')} AS a, {_parts('"after"')} AS b FROM {given_sql(PAIRS, PAIRS_FROM, 'id', 'before', '"after"')}), q AS (SELECT *, len(list_filter(a, lambda s: regexp_matches(s, {quote(R.REWRITE_OPENERS)}))) AS oa, len(list_filter(b, lambda s: regexp_matches(s, {quote(R.REWRITE_OPENERS)}))) AS ob, list_transform(b, lambda s: {sql_count('s', T.WORD)}) AS l FROM p)
 SELECT id, array_to_string(list_filter([CASE WHEN {sql_hits('"after"', R.INFLATED)} > 0 THEN 'inflated words' END, CASE WHEN ob > 0 AND ob >= oa THEN 'stock openers' END, CASE WHEN len(l) >= 4 AND list_stddev_pop(l) < 0.22 * list_avg(l) THEN 'flat rhythm' END,
  CASE WHEN {sql_count('"after"', '—|[ ]–[ ]')} > {sql_count('before', '—|[ ]–[ ]')} THEN 'dashes' END, CASE WHEN regexp_matches("after", '(?i)not only[^.]*but also') AND NOT regexp_matches(before, '(?i)not only') THEN 'not only' END], lambda x: x IS NOT NULL), '; ') AS issues FROM q"""
 
@@ -105,26 +110,27 @@ F19 = f"WITH {TEXTS}, p AS (SELECT doc_id, text, {_plain_sql()} AS p FROM texts)
 
 
 def f18(spark, sf_dir):
-    return spark.createDataFrame(list(REPLIES), "id long, reply string").select("id", R.clean_reply(F.col("reply")).alias("text"))
+    return given(spark, sf_dir, REPLIES, "id long, reply string", REPLIES_FROM).select("id", R.clean_reply(F.col("reply")).alias("text"))
 
 
-F18 = rf"""WITH a AS (SELECT id, regexp_replace(reply, '^\s+|\s+$', '', 'g') AS t FROM {values(REPLIES, 'id', 'reply')}), b AS (SELECT id, regexp_replace(t, '(?s)^```[a-z]*\n(.*?)\n?```$', '\1') AS t FROM a),
+F18 = rf"""WITH a AS (SELECT id, regexp_replace(reply, '^\s+|\s+$', '', 'g') AS t FROM {given_sql(REPLIES, REPLIES_FROM, 'id', 'reply')}), b AS (SELECT id, regexp_replace(t, '(?s)^```[a-z]*\n(.*?)\n?```$', '\1') AS t FROM a),
 c AS (SELECT id, regexp_replace(t, '(?i)^(?:sure[,!.]?\s*)?(?:here(?:''s| is) (?:the |a |your )?(?:rewritten|revised|paraphrased|edited|simplified|expanded|condensed|shortened)[^\n:]*:)\s*', '') AS t FROM b), d AS (SELECT id, regexp_replace(t, '(?i)^(?:rewritten|revised) (?:passage|text|version):\s*', '') AS t FROM c)
 SELECT id, trim(regexp_replace(t, '(?s)^["“]([^"“”]*)["”]$', '\1')) AS text FROM d"""
 
 CASES = ((1, "NASA", "space"), (2, "Hello", "world"), (3, "x", "Y"), (4, "A", "an"))
+CASES_FROM = "SELECT doc_id + 100, CASE WHEN doc_id % 3 = 0 THEN upper(replace(split_part(text, ' ', 1), 'ß', 'ss')) ELSE split_part(text, ' ', 2) END, replace(split_part(text, ' ', 3), 'ß', 'ss') FROM {documents} WHERE text IS NOT NULL"  # engines differ in the capital of ß
 
 
 def f11(spark, sf_dir):
-    return spark.createDataFrame(list(CASES), "id long, a string, b string").select("id", T.match_case(F.col("a"), F.col("b")).alias("text"))
+    return given(spark, sf_dir, CASES, "id long, a string, b string", CASES_FROM).select("id", T.match_case(F.col("a"), F.col("b")).alias("text"))
 
 
 def a28(spark, sf_dir):
-    return R.diff_share(_pairs(spark))
+    return R.diff_share(_pairs(spark, sf_dir))
 
 
 QUERIES = {"w21_rewrite_problems": w21, "w23_style_issues": w23, "w24_writing_quality": w24, "a19_most_generic": a19, "f19_plain_wording": f19, "f18_clean_reply": f18, "f11_match_case": f11, "a28_changed_share": a28}
 ORACLES = {
     "w21_rewrite_problems": W21, "w23_style_issues": W23, "w24_writing_quality": W24, "a19_most_generic": A19, "f19_plain_wording": F19, "f18_clean_reply": F18,
-    "f11_match_case": f"SELECT id, CASE WHEN length(a) > 1 AND a = upper(a) AND a != lower(a) THEN upper(b) WHEN regexp_matches(a, '^[A-Z]') THEN upper(left(b, 1)) || substr(b, 2) ELSE b END AS text FROM {values(CASES, 'id', 'a', 'b')}",
+    "f11_match_case": f"SELECT id, CASE WHEN length(a) > 1 AND a = upper(a) AND a != lower(a) THEN upper(b) WHEN regexp_matches(a, '^[A-Z]') THEN upper(left(b, 1)) || substr(b, 2) ELSE b END AS text FROM {given_sql(CASES, CASES_FROM, 'id', 'a', 'b')}",
 }

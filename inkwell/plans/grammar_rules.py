@@ -9,7 +9,7 @@ from inkwell.functions.lexicons import ACRONYMS
 from inkwell.operators import grammar as G
 from inkwell.operators import preparing as P
 from inkwell.operators import statistics as S
-from inkwell.plans.common import TEXTS, quote, sql_raw_words, sql_simple_sentences, sql_words, texts, values
+from inkwell.plans.common import given, given_sql, TEXTS, quote, sql_raw_words, sql_simple_sentences, sql_words, texts, values
 from inkwell.plans.texts_and_statistics import sql_count, sql_matches
 
 CHECKED = f"""{TEXTS}, mk AS (SELECT doc_id, regexp_split_to_array(text, {quote(P.ANY_PROTECTED)}) AS gaps, {sql_matches('text', P.ANY_PROTECTED)} AS hits FROM texts),
@@ -142,21 +142,29 @@ FIXES = ((1, 0, 1, "An"), (1, 0, 3, "lost"), (1, 8, 13, "fruit"), (2, 4, 4, "new
 FIXED_TEXTS = ((1, "A apple tastes good."), (2, "The day"), (3, "abcdefg"), (4, "untouched"))
 
 
+#: Events as findings of two checkers in a document of 200 of them, half of the time in places of their own.
+OWN_FROM = "SELECT CAST(floor(event_id / 200) AS BIGINT) + 100, 'rule' || CAST(event_id % 5 AS STRING), CASE event_id % 3 WHEN 0 THEN 'grammar' WHEN 1 THEN 'clarity' ELSE 'spelling' END, event_id % 200 * 10, event_id % 200 * 10 + event_id % 13 + 1 FROM {events} WHERE event_id % 2 = 0"
+OTHERS_FROM = "SELECT CAST(floor(event_id / 200) AS BIGINT) + 100, 'LT' || CAST(event_id % 4 AS STRING), CASE event_id % 4 WHEN 0 THEN 'grammar' WHEN 1 THEN 'style' WHEN 2 THEN 'spelling' ELSE 'punctuation' END, event_id % 200 * 10 + 5, event_id % 200 * 10 + 9 FROM {events} WHERE event_id % 3 = 0"
+#: Two fixes for each document, which may overlap.
+FIXES_FROM = "SELECT doc_id + 100, n_chars % 20, n_chars % 20 + doc_id % 6, 'new' FROM {documents} WHERE text IS NOT NULL UNION ALL SELECT doc_id + 100, n_chars % 20 + 4, n_chars % 20 + 9, '' FROM {documents} WHERE text IS NOT NULL"
+FIXED_FROM = "SELECT doc_id + 100, text || ' and a few words more at the end of it' FROM {documents} WHERE text IS NOT NULL"
+
+
 def j17(spark, sf_dir):
     kind = "doc_id long, rule string, category string, start long, end long"
-    return G.merge_issues(spark.createDataFrame(list(OWN), kind), spark.createDataFrame(list(OTHERS), kind))
+    return G.merge_issues(given(spark, sf_dir, OWN, kind, OWN_FROM), given(spark, sf_dir, OTHERS, kind, OTHERS_FROM))
 
 
 COLS = ("doc_id", "rule", "category", '"start"', '"end"')
-J17 = f"""WITH m AS (SELECT DISTINCT * FROM {values(OWN, *COLS)}), o AS (SELECT DISTINCT * FROM {values(OTHERS, *COLS)})
+J17 = f"""WITH m AS (SELECT DISTINCT * FROM {given_sql(OWN, OWN_FROM, *COLS)}), o AS (SELECT DISTINCT * FROM {given_sql(OTHERS, OTHERS_FROM, *COLS)})
 SELECT * FROM m UNION ALL SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.doc_id = o.doc_id AND o."start" < m."end" AND m."start" < o."end" AND o.category IN ('grammar', 'spelling', 'punctuation'))"""
 
 
 def r22(spark, sf_dir):
-    return G.apply_fixes(spark.createDataFrame(list(FIXED_TEXTS), "doc_id long, text string"), spark.createDataFrame(list(FIXES), "doc_id long, start long, end long, suggestion string"))
+    return G.apply_fixes(given(spark, sf_dir, FIXED_TEXTS, "doc_id long, text string", FIXED_FROM), given(spark, sf_dir, FIXES, "doc_id long, start long, end long, suggestion string", FIXES_FROM))
 
 
-R22 = f"""WITH RECURSIVE t AS (SELECT * FROM {values(FIXED_TEXTS, 'doc_id', 'text')}), f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s, e, x) AS i FROM {values(FIXES, 'doc_id', 's', 'e', 'x')}),
+R22 = f"""WITH RECURSIVE t AS (SELECT * FROM {given_sql(FIXED_TEXTS, FIXED_FROM, 'doc_id', 'text')}), f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s, e, x) AS i FROM {given_sql(FIXES, FIXES_FROM, 'doc_id', 's', 'e', 'x')}),
 g(doc_id, text, out, at_, n, i) AS (SELECT doc_id, text, '', 0, 0, 1 FROM t UNION ALL SELECT g.doc_id, g.text, CASE WHEN f.s < at_ THEN out ELSE out || substr(text, at_ + 1, f.s - at_) || f.x END, CASE WHEN f.s < at_ THEN at_ ELSE f.e END, CASE WHEN f.s < at_ THEN n ELSE n + 1 END, g.i + 1 FROM g JOIN f ON f.doc_id = g.doc_id AND f.i = g.i)
 SELECT doc_id, out || substr(text, at_ + 1) AS text, n AS applied FROM g QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) = 1"""
 

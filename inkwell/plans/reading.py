@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from inkwell.plans.common import quote, sql_words, values
+from inkwell.plans.common import given, given_sql, quote, sql_words, values
 from inkwell.plans.texts_and_statistics import sql_matches
 from inkwell.sources import library as L
 from inkwell.sources import markup as M
@@ -39,17 +39,19 @@ def _html_sql() -> str:
 IO07 = f"""WITH a AS (SELECT page_id, coalesce(html, '') AS html, regexp_extract(coalesce(html, ''), '(?is)<body\\b[^>]*>(.*)</body>', 1) AS i FROM pages), b AS (SELECT page_id, {_html_sql()} AS x FROM a), c AS (SELECT page_id, {sql_entities('x')} AS x FROM b), d AS (SELECT page_id, {sql_lines('x')} AS t FROM c)
 SELECT page_id, length(t) AS chars, md5(t) AS md5 FROM d"""
 ENCODED = ((1, "a &lt; b &amp;amp; c"), (2, "&#233;&#xe9;&#X20AC;&#0;&#99999999;"), (3, "&NBSP;x&unknown;&ndash;&hellip;"), (4, "plain"), (5, "&#128512; smile"))
+ENCODED_FROM = "SELECT page_id + 100, html FROM {pages}"
 
 
 def io08(spark, sf_dir):
-    return spark.createDataFrame(list(ENCODED), "id long, s string").select("id", M.decode_entities(F.col("s")).alias("text"))
+    return given(spark, sf_dir, ENCODED, "id long, s string", ENCODED_FROM).select("id", M.decode_entities(F.col("s")).alias("text"))
 
 
 XML = ((1, "<article><title>On things</title><abstract><p>First &amp; last.</p></abstract><sec><p>Body<xref>1</xref> text.</p><fig id='f1'><label>Figure 1</label><caption><p>A <i>fine</i> figure.</p></caption><graphic xlink:href=\"fig1.jpg\"/></fig><fig><label>Bad</label><caption>x</caption><graphic xlink:href=\"../etc\"/></fig></sec><ref-list><ref>Gone</ref></ref-list></article>"), (2, "<p>Only one</p>"))
+XML_FROM = """SELECT doc_id + 100, '<article><title>Text ' || CAST(doc_id AS STRING) || ' &amp; more</title><abstract><p>' || replace(replace(coalesce(text, ''), '<', ' '), '&', '&amp;') || '</p></abstract><sec><p>See<xref>' || CAST(doc_id % 9 AS STRING) || '</xref>.</p><fig id="f' || CAST(doc_id AS STRING) || '"><label>Figure <b>' || CAST(doc_id % 7 AS STRING) || '</b></label><caption><p>Of ' || replace(replace(split_part(coalesce(text, ''), chr(10), 1), '<', ' '), '&', '&amp;') || '</p></caption><graphic xlink:href="' || CASE WHEN doc_id % 8 = 0 THEN '../' ELSE '' END || 'fig' || CAST(doc_id AS STRING) || '.png"/></fig></sec><ref-list><ref>Gone</ref></ref-list></article>' FROM {documents}"""
 
 
 def io09(spark, sf_dir):
-    return spark.createDataFrame(list(XML), "id long, x string").select("id", M.jats_text(F.col("x")).alias("text"))
+    return given(spark, sf_dir, XML, "id long, x string", XML_FROM).select("id", M.jats_text(F.col("x")).alias("text"))
 
 
 def _jats_sql() -> str:
@@ -59,14 +61,14 @@ def _jats_sql() -> str:
     return f"regexp_replace(regexp_replace({t}, '(?i)</(?:p|title|sec|abstract)\\s*>', chr(10), 'g'), '<[^>]+>', ' ', 'g')"
 
 
-IO09 = f"WITH a AS (SELECT id, {_jats_sql()} AS x FROM {values(XML, 'id', 'x')}), b AS (SELECT id, {sql_entities('x')} AS x FROM a) SELECT id, {sql_lines('x')} AS text FROM b"
+IO09 = f"WITH a AS (SELECT id, {_jats_sql()} AS x FROM {given_sql(XML, XML_FROM, 'id', 'x')}), b AS (SELECT id, {sql_entities('x')} AS x FROM a) SELECT id, {sql_lines('x')} AS text FROM b"
 
 
 def io42(spark, sf_dir):
-    return spark.createDataFrame(list(XML), "id long, x string").select("id", F.posexplode(M.jats_figures(F.col("x"))).alias("ix", "f")).select("id", "ix", "f.*")
+    return given(spark, sf_dir, XML, "id long, x string", XML_FROM).select("id", F.posexplode(M.jats_figures(F.col("x"))).alias("ix", "f")).select("id", "ix", "f.*")
 
 
-IO42 = rf"""WITH a AS (SELECT id, regexp_extract_all(x, '(?is)<fig\b[^>]*>(.*?)</fig>', 1) AS fs FROM {values(XML, 'id', 'x')}), b AS (SELECT id, list_filter(list_transform(fs, lambda f: {{'label': trim(regexp_replace(regexp_replace(regexp_extract(f, '(?is)<label>(.*?)</label>', 1), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')),
+IO42 = rf"""WITH a AS (SELECT id, regexp_extract_all(x, '(?is)<fig\b[^>]*>(.*?)</fig>', 1) AS fs FROM {given_sql(XML, XML_FROM, 'id', 'x')}), b AS (SELECT id, list_filter(list_transform(fs, lambda f: {{'label': trim(regexp_replace(regexp_replace(regexp_extract(f, '(?is)<label>(.*?)</label>', 1), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')),
  'caption': left(trim(regexp_replace(regexp_replace(regexp_extract(f, '(?is)<caption>(.*?)</caption>', 1), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), 300), 'file': regexp_extract(f, '<graphic[^>]*href="([A-Za-z0-9_.-]+)"', 1)}}), lambda f: f.file != '') AS fs FROM a),
 c AS (SELECT id, unnest(fs) AS f, generate_subscripts(fs, 1) - 1 AS ix FROM b) SELECT id, ix, f.label AS label, f.caption AS caption, f.file AS file FROM c"""
 LATEX = ((1, r"\documentclass{article}\begin{document}\title{On \emph{things}} % note" + "\n" + r"\section{Start} We cite \cite{a} and use 50\% of it~here---``quoted''. \begin{figure}\includegraphics{x}\caption{A \textbf{bold} caption}\end{figure} \begin{equation} a = b \end{equation}" + "\n\n" + r"\begin{itemize}\item one\item two\end{itemize} \begin{thebibliography}{9}\bibitem{a} First. \bibitem{b} Second.\end{thebibliography}\end{document} after"),)
@@ -90,13 +92,14 @@ p AS (SELECT doc_id, list_prepend('Document ' || doc_id, list_filter(list_transf
 t AS (SELECT doc_id, array_to_string(ps, chr(10) || chr(10)) AS t FROM p UNION ALL SELECT * FROM {values([(-1, LATEX_TEXT)], 'doc_id', 't')})
 SELECT doc_id, length(t) AS chars, md5(t) AS md5 FROM t"""
 FILES = ((1, "a.pdf", "25504446"), (2, "b.docx", "504B0304"), (3, "c.TXT", "48656C6C6F"), (4, "d.doc", "D0CF11E0"), (5, "e.pdf", "48656C6C"), (6, "f.xyz", "00"), (7, "g.docx", "25504446"), (8, "h.tex", "5C62"))
+FILES_FROM = "SELECT page_id + 100, 'page' || CAST(page_id AS STRING) || CASE page_id % 7 WHEN 0 THEN '.pdf' WHEN 1 THEN '.docx' WHEN 2 THEN '.TXT' WHEN 3 THEN '.doc' WHEN 4 THEN '.md' WHEN 5 THEN '' ELSE '.html' END, CASE page_id % 5 WHEN 0 THEN '25504446' WHEN 1 THEN '504B0304' WHEN 2 THEN 'D0CF11E0' ELSE upper(substr(md5(url), 1, 8)) END FROM {pages}"
 
 
 def io01(spark, sf_dir):
-    return spark.createDataFrame(list(FILES), "id long, name string, h string").select("id", M.file_kind(F.col("name"), F.unhex("h")).alias("kind"))
+    return given(spark, sf_dir, FILES, "id long, name string, h string", FILES_FROM).select("id", M.file_kind(F.col("name"), F.unhex("h")).alias("kind"))
 
 
-IO01 = f"""WITH f AS (SELECT id, left(h, 8) AS head, lower(regexp_extract(name, '\\.([A-Za-z0-9]+)$', 1)) AS e FROM {values(FILES, 'id', 'name', 'h')})
+IO01 = f"""WITH f AS (SELECT id, left(h, 8) AS head, lower(regexp_extract(name, '\\.([A-Za-z0-9]+)$', 1)) AS e FROM {given_sql(FILES, FILES_FROM, 'id', 'name', 'h')})
 SELECT id, CASE WHEN head = '25504446' THEN CASE WHEN e = 'docx' THEN 'mismatch' ELSE 'pdf' END WHEN starts_with(head, '504B') THEN CASE WHEN e = 'docx' THEN 'docx' WHEN e = 'pdf' THEN 'mismatch' ELSE 'unknown' END WHEN e IN ('txt', 'md', 'tex') THEN e WHEN e = 'doc' THEN 'old-word' WHEN e IN ('pdf', 'docx') THEN 'mismatch' ELSE 'unknown' END AS kind FROM f"""
 
 
@@ -129,27 +132,31 @@ INVERTED = ((1, {"the": [0, 3], "cat": [1], "saw": [2], "dog": [4]}), (2, {"alon
 
 
 def io41(spark, sf_dir):
-    return L.from_inverted_index(spark.createDataFrame(list(INVERTED), "id long, index map<string, array<int>>"))
+    w = table(spark, sf_dir, "documents").select((F.col("doc_id") + 100).alias("id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), " ", -1)).alias("p", "w"))
+    index = w.groupBy("id", "w").agg(F.array_sort(F.collect_list("p")).alias("ps")).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("index"))
+    return L.from_inverted_index(spark.createDataFrame(list(INVERTED), "id long, index map<string, array<int>>").unionByName(index))
 
 
-IO41 = f"SELECT id, string_agg(word, ' ' ORDER BY p) AS text FROM {values([(i, w, p) for i, m in INVERTED for w, ps in m.items() for p in ps], 'id', 'word', 'p')} GROUP BY id"
+IO41 = f"SELECT id, string_agg(word, ' ' ORDER BY p) AS text FROM {values([(i, w, p) for i, m in INVERTED for w, ps in m.items() for p in ps], 'id', 'word', 'p')} GROUP BY id UNION ALL SELECT doc_id + 100, coalesce(text, '') FROM documents"
 REPLIES = ((1, 'Sure:\n```json\n{"a": 1}\n```'), (2, 'The answer is {"p": 0.5, "r": ["x"]} I think'), (3, "no json"), (4, '{"whole": true}'))
+REPLIES_FROM = """SELECT conv_id * 1000 + turn, CASE turn % 4 WHEN 0 THEN 'Sure:' || chr(10) || '```json' || chr(10) || chr(123) || '"turn": ' || CAST(turn AS STRING) || chr(125) || chr(10) || '```' WHEN 1 THEN text || ' ' || chr(123) || '"conv": [' || CAST(conv_id AS STRING) || ']' || chr(125) || ' it is' ELSE text END FROM {conversations} WHERE text IS NOT NULL"""
 
 
 def io44(spark, sf_dir):
-    return spark.createDataFrame(list(REPLIES), "id long, s string").select("id", M.reply_json(F.col("s")).alias("json"))
+    return given(spark, sf_dir, REPLIES, "id long, s string", REPLIES_FROM).select("id", M.reply_json(F.col("s")).alias("json"))
 
 
-IO44 = rf"WITH r AS (SELECT id, regexp_extract(s, '(?s)```(?:json)?\s*(\{{.*?\}})\s*```', 1) AS f, regexp_extract(s, '(?s)(\{{.*\}})', 1) AS b FROM {values(REPLIES, 'id', 's')}) SELECT id, nullif(CASE WHEN f != '' THEN f ELSE b END, '') AS json FROM r"
+IO44 = rf"WITH r AS (SELECT id, regexp_extract(s, '(?s)```(?:json)?\s*(\{{.*?\}})\s*```', 1) AS f, regexp_extract(s, '(?s)(\{{.*\}})', 1) AS b FROM {given_sql(REPLIES, REPLIES_FROM, 'id', 's')}) SELECT id, nullif(CASE WHEN f != '' THEN f ELSE b END, '') AS json FROM r"
 ERRORS = ((1, "HTTP 429 Too Many"), (2, "TimeoutError: timed out"), (3, "status 503"), (4, "401 unauthorized"), (5, "ECONNRESET"), (6, "code 4290"))
+ERRORS_FROM = "SELECT event_id + 100, event_type || ' ' || CAST(400 + event_id * 7 % 110 AS STRING) || CASE event_id % 6 WHEN 0 THEN ' Timed out' WHEN 1 THEN ' rate-limit' ELSE '' END FROM {events}"
 
 
 def f22(spark, sf_dir):
-    return spark.createDataFrame(list(ERRORS), "id long, m string").select("id", M.failure_reason(F.col("m")).alias("reason"))
+    return given(spark, sf_dir, ERRORS, "id long, m string", ERRORS_FROM).select("id", M.failure_reason(F.col("m")).alias("reason"))
 
 
 F22 = rf"""SELECT id, CASE WHEN regexp_matches(m, '(?i)\b429\b|rate.?limit|too many') THEN 'the service was busy and asked us to slow down' WHEN regexp_matches(m, '(?i)timeout|timed out|abort') THEN 'the service did not answer in time' WHEN regexp_matches(m, '\b5[0-9][0-9]\b') THEN 'the service had a server error'
- WHEN regexp_matches(m, '\b40[13]\b') THEN 'the service refused the request; an API key may be needed' ELSE 'the service could not be reached' END AS reason FROM {values(ERRORS, 'id', 'm')}"""
+ WHEN regexp_matches(m, '\b40[13]\b') THEN 'the service refused the request; an API key may be needed' ELSE 'the service could not be reached' END AS reason FROM {given_sql(ERRORS, ERRORS_FROM, 'id', 'm')}"""
 
 
 def f22_urls(spark, sf_dir):
@@ -187,7 +194,7 @@ QUERIES = {
     "io30_phrase_search": io30, "io31_keyword_search": io31, "io36_all_words_search": io36,
 }
 ORACLES = {
-    "io07_html_text": IO07, "io08_entities": f"SELECT id, {sql_entities('s')} AS text FROM {values(ENCODED, 'id', 's')}", "io09_jats_text": IO09, "io42_figures": IO42, "io04_latex_text": IO04, "io01_file_kinds": IO01, "io15_uploads": IO15, "io16_json_bodies": IO16, "io21_history": IO21, "io41_inverted_index": IO41, "io44_reply_json": IO44,
+    "io07_html_text": IO07, "io08_entities": f"SELECT id, {sql_entities('s')} AS text FROM {given_sql(ENCODED, ENCODED_FROM, 'id', 's')}", "io09_jats_text": IO09, "io42_figures": IO42, "io04_latex_text": IO04, "io01_file_kinds": IO01, "io15_uploads": IO15, "io16_json_bodies": IO16, "io21_history": IO21, "io41_inverted_index": IO41, "io44_reply_json": IO44,
     "f22_failure_reasons": F22, "f22_redacted_urls": "SELECT page_id, regexp_replace(url, '[?#].*$', '') AS url FROM pages", "io30_phrase_search": IO30,
     "io31_keyword_search": f"{KEYS} SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY shared DESC, source_id) <= 10",
     "io36_all_words_search": f"{KEYS} SELECT query, source_id, shared FROM s JOIN n USING (query) WHERE shared = n QUALIFY row_number() OVER (PARTITION BY query ORDER BY shared DESC, source_id) <= 10",

@@ -9,7 +9,7 @@ from inkwell.functions.lexicons import LANGUAGE_WORDS
 from inkwell.operators import preparing as P
 from inkwell.operators import statistics as S
 from inkwell.operators.tokens import paragraphs, token_spans, tokens
-from inkwell.plans.common import SENTENCES, STOP, TEXTS, TOKENS, WORDS, quote, sql_normal, sql_raw_words, sql_simple_sentences, sql_unconfuse, texts, values
+from inkwell.plans.common import given, given_sql, SENTENCES, STOP, TEXTS, TOKENS, WORDS, quote, sql_normal, sql_raw_words, sql_simple_sentences, sql_unconfuse, texts, values
 from inkwell.plans.comparing import sql_stem
 
 
@@ -91,16 +91,21 @@ REPLIES = (
 )
 
 
-def _replies(spark):
-    return spark.createDataFrame(list(REPLIES), "id long, output string, spans string, before string, after string").withColumn("spans", F.when(F.col("spans") == "", F.array().cast("array<string>")).otherwise(F.split("spans", r"\|")))
+#: Each document as an answer that keeps, loses, repeats or invents placeholders and numbers.
+REPLIES_FROM = """SELECT doc_id + 100, coalesce(text, '') || ' ' || chr(123) || chr(123) || 'P1' || chr(125) || chr(125) || CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN chr(123) || chr(123) || ' P2 ' || chr(125) || chr(125) WHEN 2 THEN chr(123) || chr(123) || 'P1' || chr(125) || chr(125) ELSE chr(123) || chr(123) || 'P7' || chr(125) || chr(125) END, 'one' || CASE WHEN doc_id % 3 = 0 THEN '|two' ELSE '' END,
+ coalesce(text, '') || ' 12 of ' || CAST(doc_id % 50 AS STRING), replace(coalesce(text, ''), '2', '3') || ' 12 and ' || CAST(doc_id % 7 AS STRING) FROM {documents}"""
+
+
+def _replies(spark, sf_dir):
+    return given(spark, sf_dir, REPLIES, "id long, output string, spans string, before string, after string", REPLIES_FROM).withColumn("spans", F.when(F.col("spans") == "", F.array().cast("array<string>")).otherwise(F.split("spans", r"\|")))
 
 
 def t14(spark, sf_dir):
     r = P.restored(F.col("output"), F.col("spans"))
-    return _replies(spark).select("id", r.alias("r")).select("id", "r.text", *[F.array_join(F.array_sort(F.col(f"r.{k}")).cast("array<string>"), ",").alias(k) for k in ("missing", "duplicated", "unknown")])
+    return _replies(spark, sf_dir).select("id", r.alias("r")).select("id", "r.text", *[F.array_join(F.array_sort(F.col(f"r.{k}")).cast("array<string>"), ",").alias(k) for k in ("missing", "duplicated", "unknown")])
 
 
-T14 = rf"""WITH r AS (SELECT id, output, CASE WHEN spans = '' THEN []::VARCHAR[] ELSE string_split(spans, '|') END AS spans, list_transform(regexp_extract_all(output, '{P.PLACEHOLDER}', 1), lambda x: x::INT) AS ids FROM {values(REPLIES, 'id', 'output', 'spans', 'before', 'after')}),
+T14 = rf"""WITH r AS (SELECT id, output, CASE WHEN spans = '' THEN []::VARCHAR[] ELSE string_split(spans, '|') END AS spans, list_transform(regexp_extract_all(output, '{P.PLACEHOLDER}', 1), lambda x: x::INT) AS ids FROM {given_sql(REPLIES, REPLIES_FROM, 'id', 'output', 'spans', 'before', 'after')}),
 s AS (SELECT *, range(1, len(spans) + 1) AS issued FROM r),
 f AS (SELECT *, list_filter(issued, lambda i: NOT list_contains(ids, i)) AS miss, list_filter(issued, lambda i: len(list_filter(ids, lambda j: j = i)) > 1) AS dup, list_sort(list_distinct(list_filter(ids, lambda i: NOT list_contains(issued, i)))) AS unk,
   list_transform(list_zip(regexp_split_to_array(output, '\{{\{{\s*P[0-9]+\s*\}}\}}'), ids), lambda x: x[1] || coalesce(spans[x[2]], '')) AS parts FROM s)
@@ -113,14 +118,14 @@ def t15(spark, sf_dir):
 
 def t16(spark, sf_dir):
     a, b = P.numbers(F.col("before")), P.numbers(F.col("after"))
-    return _replies(spark).select("id", F.array_join(P.multiset_less(a, b), " ").alias("missing"), F.array_join(P.multiset_less(b, a), " ").alias("added"))
+    return _replies(spark, sf_dir).select("id", F.array_join(P.multiset_less(a, b), " ").alias("missing"), F.array_join(P.multiset_less(b, a), " ").alias("added"))
 
 
 def _bag(a: str) -> str:
     return f"SELECT id, x, count(*) AS n FROM (SELECT id, unnest(list_transform({sql_matches(a, P.NUMBER, 1)}, lambda n: replace(n, '−', '-'))) AS x FROM r) GROUP BY id, x"
 
 
-T16 = f"""WITH r AS (SELECT * FROM {values(REPLIES, 'id', 'output', 'spans', 'before', 'after')}), a AS ({_bag('before')}), b AS ({_bag('after')}),
+T16 = f"""WITH r AS (SELECT * FROM {given_sql(REPLIES, REPLIES_FROM, 'id', 'output', 'spans', 'before', 'after')}), a AS ({_bag('before')}), b AS ({_bag('after')}),
 d AS (SELECT id, x, coalesce(a.n, 0) - coalesce(b.n, 0) AS d FROM a FULL JOIN b USING (id, x)), e AS (SELECT id, x, d, unnest(range(abs(d))) AS k FROM d)
 SELECT r.id, coalesce((SELECT string_agg(x, ' ' ORDER BY x) FROM e WHERE e.id = r.id AND d > 0), '') AS missing, coalesce((SELECT string_agg(x, ' ' ORDER BY x) FROM e WHERE e.id = r.id AND d < 0), '') AS added FROM r"""
 

@@ -286,7 +286,11 @@ ROUTES = (("overlap", 0.5), ("detect", 1.0), ("figures", 2.0), ("report", 0.1),
 
 
 def s06(spark, sf_dir):
-    return route_limits(spark.createDataFrame(list(ROUTES), "route string, weight double"), 30)
+    """Routes of our own, and event types with their share of all events as weight."""
+    e = table(spark, sf_dir, "events")
+    n = e.count()
+    seen = e.groupBy(F.concat(F.lit("type "), "event_type").alias("route")).agg((F.count("*") / F.lit(n)).alias("weight"))
+    return route_limits(spark.createDataFrame(list(ROUTES), "route string, weight double").unionByName(seen), 30)
 
 
 def s09(spark, sf_dir):
@@ -307,5 +311,5 @@ SELECT visitor, min(ts) AS start, count(*) AS requests FROM s GROUP BY visitor,
 QUERIES = {"s01_fixed_window": s01, "s02_anchored_window": s02, "s03_fallback": s03, "s04_paced": s04, "s05_daily_quota": s05, "s06_route_limits": s06, "s09_breaker": s09, "s10_sessions": s10}
 ORACLES = {
     "s01_fixed_window": S01, "s02_anchored_window": S02, "s03_fallback": S03, "s04_paced": S04, "s05_daily_quota": S05, "s09_breaker": S09, "s10_sessions": S10,
-    "s06_route_limits": "SELECT route, weight::DOUBLE AS weight, greatest(1, floor(30 * weight))::INT AS \"limit\" FROM (VALUES " + ", ".join(f"('{r}', {w})" for r, w in ROUTES) + ") v(route, weight)",
+    "s06_route_limits": "SELECT route, weight::DOUBLE AS weight, greatest(1, floor(30 * weight))::INT AS \"limit\" FROM (VALUES " + ", ".join(f"('{r}', {w})" for r, w in ROUTES) + ") v(route, weight) UNION ALL SELECT 'type ' || event_type, count(*) / (SELECT count(*) FROM events), greatest(1, floor(30 * count(*) / (SELECT count(*) FROM events)))::INT FROM events GROUP BY event_type",
 }

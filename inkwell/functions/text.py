@@ -21,6 +21,11 @@ def _array(words) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: a lambda's variable holds it, where an expression would be repeated."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 

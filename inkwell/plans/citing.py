@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as T
+from inkwell.operators import authors as A_
 from inkwell.operators import citations as C
 from inkwell.operators import preparing as P
 from inkwell.plans.common import FIXTURES, SENTENCES, STOP, TEXTS, TITLE, given, given_sql, quote, sql_name, sql_normal, sql_raw_words, texts, values
@@ -89,6 +90,18 @@ SELECT doc_id, "index", nullif(lower(regexp_replace(regexp_extract(raw, {quote(C
  CASE WHEN good IS NOT NULL THEN regexp_replace(regexp_extract(body, '^(.*?)\(\s*[0-9]{{4}}', 1), '[\s,;:.]+$', '') END AS lead FROM z"""
 
 
+def lead_blocks(spark, sf_dir):
+    """What stands before the year of each entry: its author block."""
+    return c02(spark, sf_dir).where("lead is not null").select("doc_id", "index", "lead")
+
+
+def c03(spark, sf_dir):
+    """Authors of all entries; compared with plain scans in the tests."""
+    p = A_.parsed(F.col("lead"))
+    names = F.array_join(F.transform(F.col("p.authors"), lambda a: F.concat_ws("|", a["family"], a["given"])), "; ")
+    return lead_blocks(spark, sf_dir).withColumn("p", p).select("doc_id", "index", names.alias("authors"), F.size("p.authors").alias("n"), F.col("p.truncated").alias("truncated"))
+
+
 def c10(spark, sf_dir):
     return C.in_text(texts(spark, sf_dir)).withColumn("numbers", F.array_join(F.array_sort("numbers").cast("array<string>"), ","))
 
@@ -338,7 +351,7 @@ def f12(spark, sf_dir):
 
 
 QUERIES = {
-    "c01_reference_entries": c01, "c02_identifiers": c02, "c10_in_text_citations": c10, "c11_missing": lambda s, d: _mask_names(s, d, 0), "c11_uncited": lambda s, d: _mask_names(s, d, 1), "c11_style": lambda s, d: _mask_names(s, d, 2), "c22_status": c20, "f04_title_similarity": f04, "c24_duplicates": c24, "c25_retraction": c25,
+    "c01_reference_entries": c01, "c02_identifiers": c02, "c03_authors": c03, "c10_in_text_citations": c10, "c11_missing": lambda s, d: _mask_names(s, d, 0), "c11_uncited": lambda s, d: _mask_names(s, d, 1), "c11_style": lambda s, d: _mask_names(s, d, 2), "c22_status": c20, "f04_title_similarity": f04, "c24_duplicates": c24, "c25_retraction": c25,
     "c26_claims": c26, "c27_keyphrases": c27, "c28_ranked_works": c28, "j14_best_matches": j14, "a30_merged_works": a30, "f14_names": f14, "c29_formatted": c29, "c29_in_text": c29_in_text, "c30_bibtex": c30, "c31_ris": c31, "x01_sources": x01, "f12_expand_numbers": f12,
 }
 ORACLES = {

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from inkwell.operators import lines as LN
 from inkwell.plans.common import given, given_sql, quote, sql_words, values
 from inkwell.plans.texts_and_statistics import sql_matches
 from inkwell.sources import library as L
@@ -91,6 +92,27 @@ IO04 = rf"""WITH a AS (SELECT doc_id, replace(replace(replace(translate(coalesce
 p AS (SELECT doc_id, list_prepend('Document ' || doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(x, '\r\n?', chr(10), 'g'), '\n[ \t\n\r\f]*\n'), lambda b: trim(regexp_replace(regexp_replace(b, '[ \t\n\r\f]*\n[ \t\n\r\f]*', ' ', 'g'), '[ \t]{{2,}}', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(13) || chr(12))), lambda b: b != '')) AS ps FROM a),
 t AS (SELECT doc_id, array_to_string(ps, chr(10) || chr(10)) AS t FROM p UNION ALL SELECT * FROM {values([(-1, LATEX_TEXT)], 'doc_id', 't')})
 SELECT doc_id, length(t) AS chars, md5(t) AS md5 FROM t"""
+
+
+def broken(spark, sf_dir):
+    """All documents broken into lines of up to 60 characters, with a page number after every line that ends in a full stop."""
+    t = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), "(.{1,60})( |$)", "$1\n"), r"\.\n", ".\n12\n")
+    return table(spark, sf_dir, "documents").select("doc_id", t.alias("text"))
+
+
+def io05(spark, sf_dir):
+    return broken(spark, sf_dir).select("doc_id", LN.rejoined(F.col("text")).alias("t")).select("doc_id", F.length("t").alias("chars"), F.md5(F.col("t").cast("binary")).alias("md5"))
+
+
+IO05 = rf"""WITH r AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '(.{{1,60}})( |$)', '\1' || chr(10), 'g'), '\.' || chr(10), '.' || chr(10) || '12' || chr(10), 'g') AS text FROM documents),
+l0 AS (SELECT doc_id, list_transform(string_split(regexp_replace(replace(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(173), ''), '[ \t]+', ' ', 'g'), chr(10)), lambda x: trim(x)) AS ls FROM r),
+l1 AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM l0), l2 AS (SELECT *, count(*) FILTER (line = '') OVER (PARTITION BY doc_id ORDER BY i) AS block, regexp_matches(line, {quote(LN.PAGE)}) AS page FROM l1),
+l3 AS (SELECT *, coalesce(lag(line) OVER (PARTITION BY doc_id, block ORDER BY i), '') AS before, avg(CASE WHEN NOT page THEN length(line) END) OVER (PARTITION BY doc_id) AS mean FROM l2 WHERE line != ''),
+l4 AS (SELECT *, lag(line) OVER o AS last, lead(line) OVER o AS nxt FROM l3 WHERE NOT page WINDOW o AS (PARTITION BY doc_id, block ORDER BY i)),
+l5 AS (SELECT doc_id, block, i, CASE WHEN last IS NULL OR (regexp_matches(last, '[a-z]-$') AND regexp_matches(line, '^[a-z]')) THEN '' WHEN (regexp_matches(before, '[.!?:]["”)]?$') AND length(before) < mean * 0.7::DOUBLE AND regexp_matches(line, '^[A-Z0-9\[“"(]')) OR regexp_matches(line, {quote(LN.HEADING)}) OR regexp_matches(before, {quote(LN.HEADING)}) THEN chr(10) || chr(10) ELSE ' ' END
+ || CASE WHEN regexp_matches(line, '[a-z]-$') AND coalesce(regexp_matches(nxt, '^[a-z]'), false) THEN left(line, length(line) - 1) ELSE line END AS part FROM l4),
+b AS (SELECT doc_id, block, string_agg(part, '' ORDER BY i) AS t FROM l5 GROUP BY doc_id, block), d AS (SELECT r.doc_id, coalesce(string_agg(b.t, chr(10) || chr(10) ORDER BY block), '') AS t FROM r LEFT JOIN b USING (doc_id) GROUP BY r.doc_id)
+SELECT doc_id, length(t) AS chars, md5(t) AS md5 FROM d"""
 FILES = ((1, "a.pdf", "25504446"), (2, "b.docx", "504B0304"), (3, "c.TXT", "48656C6C6F"), (4, "d.doc", "D0CF11E0"), (5, "e.pdf", "48656C6C"), (6, "f.xyz", "00"), (7, "g.docx", "25504446"), (8, "h.tex", "5C62"))
 FILES_FROM = "SELECT page_id + 100, 'page' || CAST(page_id AS STRING) || CASE page_id % 7 WHEN 0 THEN '.pdf' WHEN 1 THEN '.docx' WHEN 2 THEN '.TXT' WHEN 3 THEN '.doc' WHEN 4 THEN '.md' WHEN 5 THEN '' ELSE '.html' END, CASE page_id % 5 WHEN 0 THEN '25504446' WHEN 1 THEN '504B0304' WHEN 2 THEN 'D0CF11E0' ELSE upper(substr(md5(url), 1, 8)) END FROM {pages}"
 
@@ -190,11 +212,11 @@ KEYS = f"""WITH k AS (SELECT DISTINCT query, unnest(ws) AS word FROM (SELECT ite
 w AS (SELECT DISTINCT source_id, unnest(ws) AS word FROM (SELECT doc_id AS source_id, {sql_words('text')} AS ws FROM documents)), s AS (SELECT query, source_id, count(*) AS shared FROM w JOIN k USING (word) GROUP BY ALL)"""
 
 QUERIES = {
-    "io07_html_text": io07, "io08_entities": io08, "io09_jats_text": io09, "io42_figures": io42, "io04_latex_text": io04, "io01_file_kinds": io01, "io15_uploads": io15, "io16_json_bodies": io16, "io21_history": io21, "io41_inverted_index": io41, "io44_reply_json": io44, "f22_failure_reasons": f22, "f22_redacted_urls": f22_urls,
+    "io07_html_text": io07, "io08_entities": io08, "io09_jats_text": io09, "io42_figures": io42, "io04_latex_text": io04, "io05_broken_lines": io05, "io01_file_kinds": io01, "io15_uploads": io15, "io16_json_bodies": io16, "io21_history": io21, "io41_inverted_index": io41, "io44_reply_json": io44, "f22_failure_reasons": f22, "f22_redacted_urls": f22_urls,
     "io30_phrase_search": io30, "io31_keyword_search": io31, "io36_all_words_search": io36,
 }
 ORACLES = {
-    "io07_html_text": IO07, "io08_entities": f"SELECT id, {sql_entities('s')} AS text FROM {given_sql(ENCODED, ENCODED_FROM, 'id', 's')}", "io09_jats_text": IO09, "io42_figures": IO42, "io04_latex_text": IO04, "io01_file_kinds": IO01, "io15_uploads": IO15, "io16_json_bodies": IO16, "io21_history": IO21, "io41_inverted_index": IO41, "io44_reply_json": IO44,
+    "io07_html_text": IO07, "io08_entities": f"SELECT id, {sql_entities('s')} AS text FROM {given_sql(ENCODED, ENCODED_FROM, 'id', 's')}", "io09_jats_text": IO09, "io42_figures": IO42, "io04_latex_text": IO04, "io05_broken_lines": IO05, "io01_file_kinds": IO01, "io15_uploads": IO15, "io16_json_bodies": IO16, "io21_history": IO21, "io41_inverted_index": IO41, "io44_reply_json": IO44,
     "f22_failure_reasons": F22, "f22_redacted_urls": "SELECT page_id, regexp_replace(url, '[?#].*$', '') AS url FROM pages", "io30_phrase_search": IO30,
     "io31_keyword_search": f"{KEYS} SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY shared DESC, source_id) <= 10",
     "io36_all_words_search": f"{KEYS} SELECT query, source_id, shared FROM s JOIN n USING (query) WHERE shared = n QUALIFY row_number() OVER (PARTITION BY query ORDER BY shared DESC, source_id) <= 10",

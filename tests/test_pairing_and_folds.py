@@ -7,7 +7,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from inkwell.operators import overlap, pairing, pieces
+from inkwell.operators import authors, lines, overlap, pairing, pieces
+from inkwell.plans import citing, reading
 from inkwell.plans import pairing as pairing_plans
 from inkwell.streaming import limits
 from oracle import difference
@@ -260,3 +261,91 @@ def test_words_in_pieces_of_a_vocabulary(spark, small):
     texts = [" ".join("".join(rng.choice("abcab") for _ in range(rng.randrange(1, 9))) + rng.choice(["", ".", "!"]) for _ in range(12)) for _ in range(60)] + ["a" * 101, "", None, "ÀB"]
     got = pieces.wordpieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame([(v,) for v in vocab], "piece string")).collect()
     assert len(got) > 700 and all(r.pieces == split(r.token) for r in got) and any(len(r.pieces) > 1 for r in got)
+
+
+# authors and lines
+
+BLOCKS = [
+    "Smith, J., & Lee, K.", "J. A. Smith, K. Lee, and P. van Dyke", "Garcia M, Chen LP, Diaz Q", "Smith, John, Kate Lee, and Ann de la Cruz.", "World Health Organization", "Brown, A., et al.",
+    "Müller-Lüdenscheidt, H.-J.; O’Neil, S.", "Plato", "Lee, K. ... Park, S.-J.", "lower case only", "", "The University Press and Ann Lee", "Kim, J.; 12 monkeys", "A. B. Cee & D. Eff", "van der Berg, T., Ng, X",
+]
+
+
+def authors_by_loop(raw):
+    import regex
+
+    block = regex.sub(r"[,;:\s]+$", "", raw.strip())
+    block = regex.sub(r"([\p{Ll}0-9)])\.$", r"\1", block)
+    truncated = bool(regex.search(r"(?i)\bet\s+al\.?$", block))
+    block = regex.sub(r"\s*\.\.\.\s*", ", ", regex.sub(r"(?i),?\s*\bet\s+al\.?$", "", block)).strip()
+    if not block:
+        return [], truncated
+    if regex.search(authors.ORGANISATION, block) and not regex.search(r",\s*\p{Lu}\.|(?:^|\s)\p{Lu}\.\s*\p{Lu}", block) and not regex.search(r"\sand\s\p{Lu}\p{Ll}+\s\p{Lu}\p{Ll}+$", block):
+        return [(block, None, True)], truncated
+    best = (0, [])
+    for layout in authors.LAYOUTS:
+        names, at, consumed = [], 0, 0
+        while True:
+            hit = next(((m, f, g, bare) for p, f, g, bare in layout if (m := regex.compile(p).match(block, at))), None)
+            if hit is None:
+                break
+            m, f, g, bare = hit
+            given = " ".join(c + "." for c in m[g]) if bare else regex.sub(r"\s*-\s*", "-", regex.sub(r"\s+", " ", m[g]).strip())
+            names.append((m[f].strip(), given, False))
+            at = consumed = m.end()
+            gap = regex.compile(authors.SEPARATOR).match(block, at)
+            if not gap:
+                break
+            at = gap.end()
+        if names and (consumed > best[0] or (consumed == best[0] and len(names) > len(best[1]))):
+            best = (consumed, names)
+    if best[1] and best[0] >= 0.85 * len(block):
+        return best[1], truncated
+    if regex.match(r"^\p{Lu}[\p{L}&'’\-. ]{2,}$", block) and "," not in block:
+        return [(block, None, True)], truncated
+    return best[1], truncated
+
+
+def test_author_blocks_are_read_as_by_plain_scans(spark, small):
+    d = spark.createDataFrame([(b,) for b in BLOCKS], "b string").unionByName(citing.lead_blocks(spark, small).select(F.col("lead").alias("b")))
+    rows = d.select("b", authors.parsed(F.col("b")).alias("p")).collect()
+    assert len(rows) > 300
+    for r in rows:
+        assert ([tuple(a) for a in r.p.authors], r.p.truncated) == authors_by_loop(r.b), r.b
+    assert [a.family for a in rows[1].p.authors] == ["Smith", "Lee", "van Dyke"] and rows[5].p.truncated and rows[4].p.authors[0].organization
+
+
+def lines_by_loop(raw):
+    import re
+
+    page = re.compile(r"(?i)^(?:page\s+)?\d{1,4}(?:\s*(?:of|/)\s*\d{1,4})?$")
+    ls = [x.strip(" ") for x in re.sub(r"[ \t]+", " ", re.sub(r"\r\n?", "\n", raw).replace("­", "")).split("\n")]
+    content = [x for x in ls if x and not page.match(x)]
+    mean = sum(map(len, content)) / len(content) if content else 0
+    out = ""
+    for i, x in enumerate(ls):
+        if not x:
+            out += "\n\n" if out and not out.endswith("\n\n") else ""
+        elif page.match(x):
+            continue
+        elif not out or out.endswith("\n\n"):
+            out += x
+        else:
+            before = next(y for y in reversed(ls[:i]) if y)
+            if re.search(r"[a-z]-$", out) and re.match("[a-z]", x):
+                out = out[:-1] + x
+            elif (re.search(r'[.!?:]["”)]?$', before) and len(before) < mean * 0.7 and re.match(r'[A-Z0-9\[“"(]', x)) or re.match(lines.HEADING, x) or re.match(lines.HEADING, before):
+                out += "\n\n" + x
+            else:
+                out += " " + x
+    return re.sub(r"\n{3,}", "\n\n", out).strip()
+
+
+def test_broken_lines_are_joined_as_by_a_plain_loop(spark, small):
+    rng = random.Random(9)
+    made = []
+    for _ in range(200):
+        made.append("\n".join(rng.choice(["", " ", "12", "Page 3 of 9", "Results", "2.1 Methods", "a broken wo-", "rd goes on here and on", "The end.", "A short one.", "Another line of some length stands here", "with\tmore  blanks", "x-"]) for _ in range(rng.randrange(0, 14))))
+    d = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").unionByName(reading.broken(spark, small))
+    rows = d.select("text", lines.rejoined(F.col("text")).alias("t")).collect()
+    assert all(r.t == lines_by_loop(r.text) for r in rows) and len(rows) > 350

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inkwell.operators import lines as LN
-from inkwell.plans.common import given, given_sql, quote, sql_words, values
+from inkwell.plans.common import given, given_sql, quote, sql_name, sql_words, values
 from inkwell.plans.texts_and_statistics import sql_matches
 from inkwell.sources import library as L
 from inkwell.sources import markup as M
+from inkwell.sources import records as RC
 from inkwell.tables import table
 
 
@@ -211,12 +212,58 @@ def io36(spark, sf_dir):
 KEYS = f"""WITH k AS (SELECT DISTINCT query, unnest(ws) AS word FROM (SELECT item_id AS query, {sql_words("array_to_string(string_split(text, ' ')[3:8], ' ')")} AS ws FROM benchmark)), n AS (SELECT query, count(*) AS n FROM k GROUP BY query),
 w AS (SELECT DISTINCT source_id, unnest(ws) AS word FROM (SELECT doc_id AS source_id, {sql_words('text')} AS ws FROM documents)), s AS (SELECT query, source_id, count(*) AS shared FROM w JOIN k USING (word) GROUP BY ALL)"""
 
+#: Records of five services, one for each page. Slots between % are SQL; angle quotes stand for braces.
+N1, N2, N3 = (sql_name("page_id", k) for k in "xyz")
+SHAPES = (
+    """⟨"DOI":"10.1000/AB%id%.","title":["On <i>%n1%</i> &amp; %n2%"],"author":[⟨"family":"%n1%","given":"%n2%"⟩,⟨"name":"%n3% Group"⟩,⟨"given":"lost"⟩],"issued":⟨"date-parts":[[%year%,3]]⟩,"container-title":["J. of <b>%n3%</b>"],"volume":"%vol%","page":"%vol%-9","URL":"https://x.example.org/%id%","type":"journal-article","is-referenced-by-count":%vol%,"abstract":"<p>About %n1%.</p>","relation":⟨"%rel%":[]⟩⟩""",
+    """⟨"id":"https://o.example.org/W%id%","display_name":" %n1% of %n2% ","authorships":[⟨"author":⟨"display_name":"%n1% %n2%"⟩⟩,⟨"author":⟨"display_name":null⟩⟩],"publication_year":%year%,"primary_location":⟨"source":⟨"display_name":"%n3% Letters"⟩⟩,"biblio":⟨"volume":"%vol%","issue":"2","first_page":"5","last_page":"%vol%"⟩,"doi":"https://doi.org/10.1000/%id%","type":"article","cited_by_count":%vol%,"is_retracted":true,"abstract_inverted_index":⟨"we":[0,2],"saw":[1],"%n1%":[3]⟩⟩""",
+    """⟨"data":⟨"attributes":⟨"doi":"10.5281/Z%id%","creators":[⟨"familyName":"%n1%","givenName":"%n2%"⟩,⟨"name":"%n3% Lab"⟩],"titles":[⟨"title":"Data of %n1%"⟩],"publicationYear":%year%,"publisher":⟨"name":"%n3%"⟩,"url":"https://z.example.org/%id%","types":⟨"resourceTypeGeneral":"Dataset"⟩,"descriptions":[⟨"descriptionType":"Other","description":"no"⟩,⟨"descriptionType":"Abstract","description":"Rows of %n2%."⟩]⟩⟩⟩""",
+    """⟨"title":"%n2% again","authors":[⟨"name":"%n1% %n3%"⟩,⟨"name":null⟩],"year":%year%,"venue":"%n3% Conf","journal":⟨"volume":"%vol%"⟩,"externalIds":⟨"ArXiv":"1905.%vol%"⟩,"citationCount":%vol%,"publicationTypes":["Conference"],"url":"https://s.example.org/%id%"⟩""",
+    """<entry><id>http://arxiv.org/abs/1905.%vol%v2</id><title>A preprint on
+   %n1%</title><published>%year%-01-02T00:00:00Z</published><summary>It &lt;says&gt; %n2%.</summary><author><name>%n1% %n2%</name></author><author> <name>%n3%</name></author><arxiv:doi>10.48550/X%id%</arxiv:doi></entry>""",
+)
+SERVICES = ("crossref", "openalex", "datacite", "semanticscholar", "arxiv")
+
+
+def _shape(text: str) -> str:
+    slots = {"id": "CAST(page_id AS STRING)", "n1": N1, "n2": N2, "n3": N3, "year": "CAST(1950 + page_id % 70 AS STRING)", "vol": "CAST(page_id % 900 + 1000 AS STRING)", "rel": "CASE WHEN page_id % 3 = 0 THEN 'is-retracted-by' ELSE 'has-review' END"}
+    parts = [slots[p] if i % 2 else quote(p) for i, p in enumerate(text.split("%"))]
+    return f"translate({' || '.join(parts)}, '⟨⟩', chr(123) || chr(125))"
+
+
+RECORDS_FROM = "SELECT page_id, CASE page_id % 5 " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(SERVICES)) + " END, CASE page_id % 5 " + " ".join(f"WHEN {i} THEN {_shape(t)}" for i, t in enumerate(SHAPES)) + " END FROM {pages}"
+BAD_RECORDS = ((-1, "crossref", "not json"), (-2, "elsewhere", "{}"), (-3, "openalex", "{}"))
+
+
+def io40(spark, sf_dir):
+    w = RC.works(given(spark, sf_dir, BAD_RECORDS, "work_id long, service string, body string", RECORDS_FROM))
+    return w.withColumn("authors", F.array_join(F.transform("authors", lambda a: F.concat_ws("|", a["family"], a["given"])), "; "))
+
+
+def _json(path: str) -> str:
+    return f"json_extract_string(j, '$.{path}')"
+
+
+_BARE = lambda x: f"nullif(trim(regexp_replace(replace(regexp_replace({x}, '<[^>]+>', ' ', 'g'), '&amp;', '&'), '\\s+', ' ', 'g')), '')"
+_DOI = lambda x: f"nullif(lower(regexp_replace(regexp_extract({x}, '(10\\.[0-9]{{4,9}}/[^\\s\"<>]+)', 1), '[.,;:)]+$', '')), '')"
+_ONE = lambda x: f"split_part({x}, ' ', 2) || '|' || split_part({x}, ' ', 1)"
+IO40 = f"""WITH r AS (SELECT * FROM {given_sql(BAD_RECORDS, RECORDS_FROM, 'work_id', 'service', 'body')}), k AS (SELECT *, CASE WHEN service != 'arxiv' THEN try_cast(body AS JSON) END AS j, regexp_replace(body, '\\s+', ' ', 'g') AS x FROM r)
+SELECT work_id, {_BARE(_json('title[0]'))} AS title, {_json('author[0].family')} || '|' || {_json('author[0].given')} || '; ' || {_json('author[1].name')} AS authors, {_json('issued.date-parts[0][0]').replace('date-parts', '"date-parts"')}::INT AS year, {_BARE(_json('container-title[0]').replace('container-title', '"container-title"'))} AS container, {_json('volume')} AS volume, NULL AS issue, {_json('page')} AS pages, {_DOI(_json('DOI'))} AS doi, {_json('URL')} AS url, NULL AS publisher,
+ {_json('type')} AS type, NULL AS arxiv_id, {_json('is-referenced-by-count').replace('is-', '"is-').replace("count'", "count" + chr(34) + "'")}::INT AS citations, {_BARE(_json('abstract'))} AS abstract, CASE WHEN body LIKE '%is-retracted-by%' THEN 'retracted' END AS retraction, service AS source FROM k WHERE service = 'crossref' AND j IS NOT NULL
+UNION ALL SELECT work_id, coalesce(trim({_json('display_name')}), '(untitled)'), coalesce({_ONE(_json('authorships[0].author.display_name'))}, ''), {_json('publication_year')}::INT, {_json('primary_location.source.display_name')}, {_json('biblio.volume')}, {_json('biblio.issue')}, {_json('biblio.first_page')} || '-' || {_json('biblio.last_page')}, {_DOI(_json('doi'))}, {_json('id')}, NULL,
+ CASE WHEN {_json('type')} = 'article' THEN 'journal-article' END, NULL, {_json('cited_by_count')}::INT, CASE WHEN {_json('id')} IS NOT NULL THEN 'we saw we ' || list_filter(json_keys(j, '$.abstract_inverted_index'), lambda w: w NOT IN ('we', 'saw'))[1] END, CASE WHEN {_json('is_retracted')} = 'true' THEN 'retracted' END, service FROM k WHERE service = 'openalex'
+UNION ALL SELECT work_id, {_json('data.attributes.titles[0].title')}, {_json('data.attributes.creators[0].familyName')} || '|' || {_json('data.attributes.creators[0].givenName')} || '; ' || {_json('data.attributes.creators[1].name')}, {_json('data.attributes.publicationYear')}::INT, NULL, NULL, NULL, NULL, {_DOI(_json('data.attributes.doi'))}, {_json('data.attributes.url')}, {_json('data.attributes.publisher.name')},
+ lower({_json('data.attributes.types.resourceTypeGeneral')}), NULL, NULL, {_json('data.attributes.descriptions[1].description')}, NULL, service FROM k WHERE service = 'datacite'
+UNION ALL SELECT work_id, {_json('title')}, {_ONE(_json('authors[0].name'))}, {_json('year')}::INT, {_json('venue')}, {_json('journal.volume')}, NULL, NULL, NULL, {_json('url')}, NULL, 'proceedings-article', {_json('externalIds.ArXiv')}, {_json('citationCount')}::INT, NULL, NULL, service FROM k WHERE service = 'semanticscholar'
+UNION ALL SELECT work_id, regexp_extract(x, '<title>(.*?)</title>', 1), {_ONE("regexp_extract(x, '<name>(.*?)</name>', 1)")} || '; ' || regexp_extract(x, '</author><author> <name>(.*?)</name>', 1), regexp_extract(x, '<published>([0-9]{{4}})', 1)::INT, NULL, NULL, NULL, NULL, {_DOI("regexp_extract(x, '<arxiv:doi>(.*?)<', 1)")}, 'https://arxiv.org/abs/' || regexp_extract(x, 'abs/(.*?)<', 1), NULL,
+ 'preprint', regexp_extract(x, 'abs/(.*?)v2<', 1), NULL, replace(replace(regexp_extract(x, '<summary>(.*?)</summary>', 1), '&lt;', '<'), '&gt;', '>'), NULL, service FROM k WHERE service = 'arxiv'"""
+
 QUERIES = {
-    "io07_html_text": io07, "io08_entities": io08, "io09_jats_text": io09, "io42_figures": io42, "io04_latex_text": io04, "io05_broken_lines": io05, "io01_file_kinds": io01, "io15_uploads": io15, "io16_json_bodies": io16, "io21_history": io21, "io41_inverted_index": io41, "io44_reply_json": io44, "f22_failure_reasons": f22, "f22_redacted_urls": f22_urls,
+    "io40_works": io40, "io07_html_text": io07, "io08_entities": io08, "io09_jats_text": io09, "io42_figures": io42, "io04_latex_text": io04, "io05_broken_lines": io05, "io01_file_kinds": io01, "io15_uploads": io15, "io16_json_bodies": io16, "io21_history": io21, "io41_inverted_index": io41, "io44_reply_json": io44, "f22_failure_reasons": f22, "f22_redacted_urls": f22_urls,
     "io30_phrase_search": io30, "io31_keyword_search": io31, "io36_all_words_search": io36,
 }
 ORACLES = {
-    "io07_html_text": IO07, "io08_entities": f"SELECT id, {sql_entities('s')} AS text FROM {given_sql(ENCODED, ENCODED_FROM, 'id', 's')}", "io09_jats_text": IO09, "io42_figures": IO42, "io04_latex_text": IO04, "io05_broken_lines": IO05, "io01_file_kinds": IO01, "io15_uploads": IO15, "io16_json_bodies": IO16, "io21_history": IO21, "io41_inverted_index": IO41, "io44_reply_json": IO44,
+    "io40_works": IO40, "io07_html_text": IO07, "io08_entities": f"SELECT id, {sql_entities('s')} AS text FROM {given_sql(ENCODED, ENCODED_FROM, 'id', 's')}", "io09_jats_text": IO09, "io42_figures": IO42, "io04_latex_text": IO04, "io05_broken_lines": IO05, "io01_file_kinds": IO01, "io15_uploads": IO15, "io16_json_bodies": IO16, "io21_history": IO21, "io41_inverted_index": IO41, "io44_reply_json": IO44,
     "f22_failure_reasons": F22, "f22_redacted_urls": "SELECT page_id, regexp_replace(url, '[?#].*$', '') AS url FROM pages", "io30_phrase_search": IO30,
     "io31_keyword_search": f"{KEYS} SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY shared DESC, source_id) <= 10",
     "io36_all_words_search": f"{KEYS} SELECT query, source_id, shared FROM s JOIN n USING (query) WHERE shared = n QUALIFY row_number() OVER (PARTITION BY query ORDER BY shared DESC, source_id) <= 10",

@@ -233,6 +233,32 @@ def duplicates(references: DataFrame) -> DataFrame:
     return p.where(same).groupBy(F.col("a.doc_id").alias("doc_id"), F.col("a.ref_id").alias("ref_id")).agg(F.min("b.ref_id").alias("duplicate_of"))
 
 
+STATUSES = ("verified", "likely", "mismatch", "not_found", "unchecked")
+#: Flags that say nothing against an entry.
+HARMLESS = ("incomplete_reference", "duplicate")
+
+
+def verification_counts(checks: DataFrame) -> DataFrame:
+    """doc_id, a column for each status, flagged: entries of a list by status, and those with a flag that counts (checks: doc_id,
+    status, flags array<string>)."""
+    bad = F.exists(F.coalesce("flags", F.array().cast("array<string>")), lambda f: ~f.isin(*HARMLESS))
+    return checks.groupBy("doc_id").agg(*[F.count_if(F.col("status") == s).alias(s) for s in STATUSES], F.count_if(bad).alias("flagged"))
+
+
+def corrected_list(checks: DataFrame, works: DataFrame, style: str) -> DataFrame:
+    """doc_id, text: each list (doc_id, index, raw, status, work_id) with found entries as their works are formatted, others as they were."""
+    made = formatted(works, style).select("work_id", F.col("text").alias("_made"))
+    found = F.col("status").isin("verified", "likely", "mismatch") & F.col("_made").isNotNull()
+    j = checks.join(made, "work_id", "left").withColumn("line", F.when(found, F.col("_made")).otherwise(F.col("raw")))
+    return j.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", "line"))), lambda x: x["line"]), "\n").alias("text"))
+
+
+def corrected_bibtex(checks: DataFrame, works: DataFrame) -> DataFrame:
+    """doc_id, text: BibTeX of the works found for each list, in the order of its entries, each work once."""
+    first = checks.where(F.col("status").isin("verified", "likely", "mismatch")).groupBy("doc_id", "work_id").agg(F.min("index").alias("index"))
+    return first.join(bibtex(works), "work_id").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
+
+
 def retraction(title: Column, updates: Column, relations: Column) -> Column:
     """A status from update types (array), relation names (array) or the title; null if none."""
     kinds = {"retraction": "retracted", "withdrawal": "withdrawn", "removal": "removed", "expression_of_concern": "expression_of_concern"}

@@ -3,6 +3,8 @@ and the cutting of texts for it: front matter, prose, chunks of sentences, windo
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -95,13 +97,28 @@ def own_works(sources: DataFrame, dois: DataFrame) -> DataFrame:
     return s.withColumn("kind", F.when(F.col("_own"), F.lit("own")).otherwise(F.col("kind"))).drop("_doi", "_own")
 
 
-def upgraded(sources: DataFrame, full: DataFrame, longer: float = 1.5) -> DataFrame:
-    """sources (source_id, text) with the full text (source_id, text; one a source) where it is `longer` times as long or more."""
-    f = full.groupBy("source_id").agg(F.max_by("text", F.length("text")).alias("_full"))
-    better = F.length("_full") >= longer * F.length(F.coalesce("text", F.lit("")))
+def upgraded(sources: DataFrame, full: DataFrame) -> DataFrame:
+    """sources (source_id, text) with the full text (source_id, text; the longest of a source) where that is longer."""
+    f = full.groupBy("source_id").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("_full"))
+    better = F.length("_full") > F.length(F.coalesce("text", F.lit("")))
     return sources.join(f, "source_id", "left").withColumn("upgraded", F.coalesce(better, F.lit(False))).withColumn("text", F.when(F.col("upgraded"), F.col("_full")).otherwise(F.col("text"))).drop("_full")
 
 
+def upgraded_runs(docs: DataFrame, sources: DataFrame, full: DataFrame, runs_of: Callable[[DataFrame, DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(sources as used, runs): matched sources are compared in full; one whose full text has no run keeps its old text and runs.
+
+    runs_of(docs, sources) gives runs with doc_id, source_id, start, end. Sources without a match at first are not looked up."""
+    old = runs_of(docs, sources)
+    matched = old.select("source_id").distinct()
+    longer = upgraded(sources.join(matched, "source_id", "left_semi"), full)
+    new = runs_of(docs, longer.where("upgraded"))
+    again = new.select("source_id").distinct().withColumn("_again", F.lit(True))
+    used = longer.select("source_id", "upgraded", F.col("text").alias("_text")).join(again, "source_id", "left").withColumn("upgraded", F.col("upgraded") & F.col("_again").isNotNull())
+    used = sources.join(used, "source_id").select("source_id", "upgraded", F.when(F.col("upgraded"), F.col("_text")).otherwise(F.col("text")).alias("text"))
+    kept = old.join(used.where("not upgraded").select("source_id"), "source_id", "left_semi").select(new.columns)
+    return used, new.unionByName(kept)
+
+
 def hidden(ranges: DataFrame, docs: DataFrame) -> DataFrame:
     """doc_id, start, end, text, count of ranges (doc_id, start, end in characters) that lie inside their document."""
     j = ranges.join(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_t")), "doc_id").where((F.col("end") > F.col("start")) & (F.col("end") <= F.length("_t")) & (F.col("start") >= 0))

@@ -350,12 +350,41 @@ def f12(spark, sf_dir):
     return given(spark, sf_dir, SPECS, "id long, spec string", SPECS_FROM).select("id", F.array_join(F.array_sort(T.expand_numbers(F.col("spec"))).cast("array<string>"), ",").alias("numbers"))
 
 
+CHECKS_FROM = """SELECT CAST(floor(doc_id / 10) AS BIGINT) + 100, CAST(doc_id % 10 AS INT), 'Raw entry ' || CAST(doc_id AS STRING), CASE doc_id % 7 WHEN 0 THEN 'not_found' WHEN 1 THEN 'likely' WHEN 2 THEN 'mismatch' WHEN 3 THEN 'unchecked' ELSE 'verified' END, doc_id - doc_id % 3 + 1000, CASE doc_id % 4 WHEN 0 THEN 'duplicate' WHEN 1 THEN 'retracted,duplicate' ELSE '' END FROM {documents}"""
+CHECKS = ((1, 1, "Lost entry", "verified", -5, ""), (1, 2, "Known entry", "verified", 1, "incomplete_reference"), (1, 3, "Open entry", "not_found", 2, "missing"))
+CHECK_COLS = ("doc_id", '"index"', "raw", "status", "work_id", "flags")
+
+
+def _checks(spark, sf_dir):
+    """Entries of ten documents each as checked lists; their works are those made of documents."""
+    c = given(spark, sf_dir, CHECKS, "doc_id long, index int, raw string, status string, work_id long, flags string", CHECKS_FROM)
+    return c.withColumn("flags", F.filter(F.split("flags", ","), lambda f: f != ""))
+
+
+def a20(spark, sf_dir):
+    return C.verification_counts(_checks(spark, sf_dir))
+
+
+def c32(spark, sf_dir):
+    return C.corrected_list(_checks(spark, sf_dir), works(spark, sf_dir), "apa")
+
+
+def c32_bibtex(spark, sf_dir):
+    return C.corrected_bibtex(_checks(spark, sf_dir), works(spark, sf_dir))
+
+
+CHECKS_SQL = f"ck AS (SELECT * FROM {given_sql(CHECKS, CHECKS_FROM, *CHECK_COLS)})"
+COUNTS = ", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in C.STATUSES)
+A20 = f"WITH {CHECKS_SQL} SELECT doc_id, {COUNTS}, count(*) FILTER (len(list_filter(string_split(flags, ','), lambda f: f NOT IN ('', 'incomplete_reference', 'duplicate'))) > 0) AS flagged FROM ck GROUP BY doc_id"
+C32 = f"""WITH {CHECKS_SQL}, fm AS ({C29}) SELECT doc_id, string_agg(CASE WHEN status IN ('verified', 'likely', 'mismatch') AND fm.text IS NOT NULL THEN fm.text ELSE raw END, chr(10) ORDER BY "index") AS text FROM ck LEFT JOIN fm ON fm.work_id = ck.work_id AND style = 'apa' GROUP BY doc_id"""
+C32_BIBTEX = f"""WITH {CHECKS_SQL}, bt AS ({C30}), f AS (SELECT doc_id, work_id, min("index") AS i FROM ck WHERE status IN ('verified', 'likely', 'mismatch') GROUP BY ALL) SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY i) AS text FROM f JOIN bt USING (work_id) GROUP BY doc_id"""
+
 QUERIES = {
-    "c01_reference_entries": c01, "c02_identifiers": c02, "c03_authors": c03, "c10_in_text_citations": c10, "c11_missing": lambda s, d: _mask_names(s, d, 0), "c11_uncited": lambda s, d: _mask_names(s, d, 1), "c11_style": lambda s, d: _mask_names(s, d, 2), "c22_status": c20, "f04_title_similarity": f04, "c24_duplicates": c24, "c25_retraction": c25,
+    "a20_verification_counts": a20, "c32_corrected_list": c32, "c32_corrected_bibtex": c32_bibtex, "c01_reference_entries": c01, "c02_identifiers": c02, "c03_authors": c03, "c10_in_text_citations": c10, "c11_missing": lambda s, d: _mask_names(s, d, 0), "c11_uncited": lambda s, d: _mask_names(s, d, 1), "c11_style": lambda s, d: _mask_names(s, d, 2), "c22_status": c20, "f04_title_similarity": f04, "c24_duplicates": c24, "c25_retraction": c25,
     "c26_claims": c26, "c27_keyphrases": c27, "c28_ranked_works": c28, "j14_best_matches": j14, "a30_merged_works": a30, "f14_names": f14, "c29_formatted": c29, "c29_in_text": c29_in_text, "c30_bibtex": c30, "c31_ris": c31, "x01_sources": x01, "f12_expand_numbers": f12,
 }
 ORACLES = {
-    "c01_reference_entries": f"WITH {C01} SELECT * FROM refs", "c02_identifiers": C02, "c10_in_text_citations": f"WITH {TEXTS}, {CITES} SELECT * EXCLUDE (ns), array_to_string(list_sort(ns), ',') AS numbers FROM cites",
+    "a20_verification_counts": A20, "c32_corrected_list": C32, "c32_corrected_bibtex": C32_BIBTEX, "c01_reference_entries": f"WITH {C01} SELECT * FROM refs", "c02_identifiers": C02, "c10_in_text_citations": f"WITH {TEXTS}, {CITES} SELECT * EXCLUDE (ns), array_to_string(list_sort(ns), ',') AS numbers FROM cites",
     "c11_missing": f"""{CHECK} SELECT doc_id, raw, 'no reference ' || n AS reason FROM nn WHERE NOT EXISTS (SELECT 1 FROM rf WHERE rf.doc_id = nn.doc_id AND rf."index" = nn.n) UNION ALL SELECT doc_id, raw, CASE WHEN same THEN 'other year' ELSE 'no such author' END FROM oc WHERE NOT exact""",
     "c11_uncited": f"""{CHECK} SELECT doc_id, "index" FROM rf WHERE NOT EXISTS (SELECT 1 FROM nn WHERE nn.doc_id = rf.doc_id AND n = rf."index") AND NOT EXISTS (SELECT 1 FROM au WHERE au.doc_id = rf.doc_id AND au."index" = rf."index" AND same AND fits)""",
     "c11_style": f"""{CHECK}, f AS (SELECT doc_id, n, min(ix) AS ix FROM nn GROUP BY ALL), o AS (SELECT doc_id, n, row_number() OVER (PARTITION BY doc_id ORDER BY ix, n) AS i FROM f), q AS (SELECT doc_id, count(*) > 2 AND bool_or(i != n) AS odd FROM o GROUP BY doc_id), s AS (SELECT doc_id, count(*) FILTER (kind = 'numeric') AS n, count(*) FILTER (kind != 'numeric') AS a FROM cites GROUP BY doc_id)

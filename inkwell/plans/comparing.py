@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import text as T
 
 from inkwell.operators import overlap as O
+from inkwell.operators import translated as X
 from inkwell.operators.tokens import ngrams, sentences
 from inkwell.plans.common import SENTENCES, STOP, TEXTS, TOKENS, WORDS, given, given_sql, sql_normal, sql_raw_words, sql_simple_sentences, sql_words, texts, values
 from inkwell.tables import table
@@ -270,12 +271,40 @@ def t06(spark, sf_dir):
 T06 = f"""WITH {WORDS}, g AS (SELECT doc_id, array_to_string(words[p + 1 : p + 3], ' ') AS gram FROM (SELECT doc_id, words, unnest(range(len(words) - 2)) AS p FROM ws WHERE len(words) >= 3))
 SELECT gram, count(*) AS n, count(DISTINCT doc_id) AS documents FROM g GROUP BY gram ORDER BY n DESC, gram LIMIT 100"""
 
+def _renderings(spark, sf_dir):
+    """Sentences of documents in other languages, rendered in English: every fifth as the words of a benchmark item, backwards in
+    every second of these (which no run of words can find), the others as a sentence of their own."""
+    s = sentences(table(spark, sf_dir, "documents").where("lang != 'en'").select("doc_id", "text")).withColumn("k", F.col("doc_id") + F.col("ix"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("_item"), F.col("text").alias("_text"))
+    s = s.join(F.broadcast(items), (F.col("k") % 5 == 0) & (F.col("k") % 40 == F.col("_item")), "left")
+    back = F.array_join(F.reverse(F.split("_text", " ")), " ")
+    own = F.concat(F.lit("This is plain sentence "), F.col("k").cast("string"), F.lit(" about other matters."))
+    return s.select("doc_id", "ix", F.when(F.col("_text").isNull(), own).when(F.col("k") % 2 == 0, F.col("_text")).otherwise(back).alias("english"))
+
+
+def p13(spark, sf_dir):
+    return X.translated_copies(table(spark, sf_dir, "documents").select("doc_id", "text"), _renderings(spark, sf_dir), _sources(spark, sf_dir))
+
+
+P13 = f"""WITH RECURSIVE own AS (SELECT doc_id, unnest(ss) AS text, generate_subscripts(ss, 1) - 1 AS ix FROM (SELECT doc_id, {sql_simple_sentences('text')} AS ss FROM documents WHERE lang != 'en')),
+ren AS (SELECT doc_id, ix, CASE WHEN b.text IS NULL THEN 'This is plain sentence ' || (doc_id + ix) || ' about other matters.' WHEN (doc_id + ix) % 2 = 0 THEN b.text ELSE array_to_string(list_reverse(string_split(b.text, ' ')), ' ') END AS english FROM own LEFT JOIN benchmark b ON (doc_id + ix) % 5 = 0 AND (doc_id + ix) % 40 = item_id),
+sh AS (SELECT doc_id, string_agg(trim(english), ' ' ORDER BY ix) AS text FROM ren GROUP BY doc_id), {BRIDGED.replace('FROM documents)', 'FROM sh)')},
+n AS (SELECT doc_id, ix, len({sql_raw_words('english')}) AS n FROM ren), pl AS (SELECT doc_id, ix, sum(n) OVER (PARTITION BY doc_id ORDER BY ix) - n AS f, sum(n) OVER (PARTITION BY doc_id ORDER BY ix) AS l FROM n),
+ex AS (SELECT pl.doc_id, ix, source_id, 1.0::DOUBLE AS similarity FROM pl JOIN bridged b ON b.doc_id = pl.doc_id AND f < b."end" AND l > b."start" WHERE b."end" - b."start" >= 6),
+heads AS (SELECT * FROM {values(sorted(T.concept_heads().items()), 'stem', 'head')}), asn AS (SELECT doc_id, ix, english AS sentence FROM ren), bsn AS (SELECT doc_id, unnest(ss) AS sentence, generate_subscripts(ss, 1) - 1 AS ix FROM (SELECT item_id AS doc_id, {sql_simple_sentences('text')} AS ss FROM benchmark)),
+{_concept_sql('ac', 'asn')}, {_concept_sql('bc', 'bsn')},
+an AS (SELECT *, count(*) OVER (PARTITION BY doc_id, ix) AS n FROM ac), bn AS (SELECT *, count(*) OVER (PARTITION BY doc_id, ix) AS m FROM bc),
+pa AS (SELECT a.doc_id, a.ix, b.doc_id AS source_id, b.ix AS source_ix, (count(*) / n + count(*) / m) / 2 AS sim FROM an a JOIN bn b USING (concept) WHERE n >= 7 AND m >= 5 GROUP BY a.doc_id, a.ix, b.doc_id, b.ix, n, m HAVING count(*) >= 5 AND (count(*) / n + count(*) / m) / 2 >= 0.6),
+fr AS (SELECT doc_id, ix, source_id, round(sim, 2) AS similarity FROM pa QUALIFY row_number() OVER (PARTITION BY doc_id, ix ORDER BY round(sim, 9) DESC, source_id, source_ix) = 1),
+bs AS (SELECT * FROM (SELECT * FROM ex UNION ALL SELECT * FROM fr) QUALIFY row_number() OVER (PARTITION BY doc_id, ix ORDER BY similarity DESC, source_id) = 1)
+SELECT doc_id, ix, regexp_replace(own.text, '\\s+', ' ', 'g') AS text, english, source_id, similarity FROM bs JOIN own USING (doc_id, ix) JOIN ren USING (doc_id, ix)"""
+
 QUERIES = {
-    "p04_overlap_similarity": p04, "p03_exact_runs": p03, "p05_bridged_runs": p05, "a02_source_words": a02, "a03_credited_words": a03, "w06_span_credit": w06, "p07_significant_runs": p07, "j02_pair_overlap": j02,
+    "p13_translated_copies": p13, "p04_overlap_similarity": p04, "p03_exact_runs": p03, "p05_bridged_runs": p05, "a02_source_words": a02, "a03_credited_words": a03, "w06_span_credit": w06, "p07_significant_runs": p07, "j02_pair_overlap": j02,
     "u08_corpus_shared": u08, "p06_self_repeats": p06, "p12_paraphrases": p12, "w11_best_phrase": w11, "p14_passages": p14, "p11_quotations": p11, "p19_review": p19, "l10_top_sources": l10, "j11_open_passages": j11, "t06_top_trigrams": t06,
 }
 ORACLES = {
-    "p03_exact_runs": f'WITH {RUNS} SELECT doc_id, source_id, "start", "end", source_start, words FROM run0',
+    "p13_translated_copies": P13, "p03_exact_runs": f'WITH {RUNS} SELECT doc_id, source_id, "start", "end", source_start, words FROM run0',
     "p05_bridged_runs": f"WITH RECURSIVE {BRIDGED} SELECT * FROM bridged",
     "p04_overlap_similarity": f"""WITH {RUNS}, m AS (SELECT doc_id, count(DISTINCT pos) AS matched FROM cov GROUP BY doc_id),
 b AS (SELECT doc_id, source_id FROM (SELECT doc_id, source_id, count(*) AS n FROM cov GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, source_id) = 1),

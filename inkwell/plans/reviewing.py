@@ -120,13 +120,21 @@ P20 = "SELECT page_id, url AS doi, CASE WHEN lower(url) IN (SELECT lower(url) FR
 
 
 def p17(spark, sf_dir):
-    """Documents known by their first line; full texts where they are 1.5 times as long."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), "text")
-    out = R.upgraded(d.withColumn("text", F.substring_index("text", "\n", 1)), d)
-    return out.select("source_id", "upgraded", F.length("text").alias("chars"))
-
-
-P17 = r"SELECT doc_id AS source_id, coalesce(length(text) >= 1.5 * length(split_part(text, chr(10), 1)), false) AS upgraded, CASE WHEN length(text) >= 1.5 * length(split_part(text, chr(10), 1)) THEN length(text) ELSE length(split_part(text, chr(10), 1)) END AS chars FROM documents"
+    """Benchmark items known by their first 14 words; in full, even ones are whole and odd ones turn out to be a document of that number."""
+    items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents").select("doc_id", "text")
+    short = items.select(F.col("item_id").alias("source_id"), F.array_join(F.slice(F.split("text", " "), 1, 14), " ").alias("text"))
+    full = items.where("item_id % 2 = 0").select(F.col("item_id").alias("source_id"), "text").unionByName(docs.join(F.broadcast(items.where("item_id % 2 = 1").select("item_id")), F.col("doc_id") == F.col("item_id")).select(F.col("item_id").alias("source_id"), "text"))
+    others = docs.join(F.broadcast(items.select("item_id")), F.col("doc_id") == F.col("item_id"), "left_anti")
+    used, runs = R.upgraded_runs(others, short, full, lambda d, s: O.accepted(O.exact_runs(O.seed_hits(d, s)), d))
+    n = runs.groupBy("source_id").agg(F.count_distinct("doc_id").alias("documents"), F.sum("words").alias("words"))
+    return used.join(n, "source_id").select("source_id", "upgraded", F.length("text").alias("chars"), "documents", "words")
+
+
+P17 = f"""WITH others AS (SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT item_id FROM benchmark)), s0 AS (SELECT item_id, array_to_string(string_split(text, ' ')[1:14], ' ') AS text FROM benchmark),
+f0 AS (SELECT item_id, text FROM benchmark WHERE item_id % 2 = 0 UNION ALL SELECT doc_id, text FROM documents WHERE doc_id % 2 = 1 AND doc_id IN (SELECT item_id FROM benchmark)),
+both0 AS (SELECT s0.item_id * 2 AS item_id, s0.text FROM s0 UNION ALL SELECT s0.item_id * 2 + 1, f0.text FROM s0 JOIN f0 USING (item_id) WHERE length(f0.text) > length(s0.text)), {RUNS.replace('FROM documents)', 'FROM others)').replace('FROM benchmark)', 'FROM both0)')},
+c AS (SELECT source_id // 2 AS item_id, source_id % 2 AS is_full, count(DISTINCT doc_id) AS documents, sum(words)::BIGINT AS words FROM runs GROUP BY ALL), o AS (SELECT * FROM c WHERE is_full = 0), n AS (SELECT * FROM c WHERE is_full = 1)
+SELECT o.item_id AS source_id, n.item_id IS NOT NULL AS upgraded, CASE WHEN n.item_id IS NOT NULL THEN length(f0.text) ELSE length(s0.text) END AS chars, coalesce(n.documents, o.documents) AS documents, coalesce(n.words, o.words) AS words FROM o JOIN s0 USING (item_id) LEFT JOIN f0 USING (item_id) LEFT JOIN n USING (item_id)"""
 
 
 def g04(spark, sf_dir):

@@ -6,10 +6,12 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo
 
 from inkwell.operators import authors, lines, overlap, pairing, pieces
 from inkwell.plans import citing, reading
 from inkwell.plans import pairing as pairing_plans
+from inkwell.sources import extensions
 from inkwell.streaming import limits
 from oracle import difference
 
@@ -349,3 +351,17 @@ def test_broken_lines_are_joined_as_by_a_plain_loop(spark, small):
     d = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").unionByName(reading.broken(spark, small))
     rows = d.select("text", lines.rejoined(F.col("text")).alias("t")).collect()
     assert all(r.t == lines_by_loop(r.text) for r in rows) and len(rows) > 350
+
+
+def test_library_reader_leaves_files_unread(spark, tmp_path):
+    for name, text in {"a.txt": "one", "b.md": "two\n", "sub/c.TEX": "three", "README.md": "no", ".x.txt": "no", "d.pdf": "no"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    extensions.register(spark)
+    r = spark.read.format("inkwell_library")
+    all_ = r.load(str(tmp_path))
+    assert {(x.name, x.kind, x.text) for x in all_.collect()} == {("a.txt", "txt", "one"), ("b.md", "md", "two\n"), ("c.TEX", "tex", "three")}
+    assert [x.name for x in all_.where("kind in ('tex', 'pdf') and length(text) > 2").collect()] == ["c.TEX"] and all_.where("name = 'b.md'").count() == 1
+    assert r.option("taskBytes", 4).load(f"file://{tmp_path}").rdd.getNumPartitions() == 3
+    reader = extensions.LibraryReader({"path": str(tmp_path)})
+    assert list(reader.pushFilters([EqualTo(("kind",), "md")])) == [] and [len(p.paths) for p in reader.partitions()] == [1]

@@ -8,8 +8,9 @@ from inkwell.functions import text as T
 from inkwell.functions.lexicons import CLICHES
 from inkwell.operators import detector as D
 from inkwell.operators import preparing as P
-from inkwell.plans.common import given, given_sql, SENTENCES, STOP, TEXTS, quote, sql_simple_sentences, texts, values
+from inkwell.plans.common import SENTENCES, STOP, TEXTS, given, given_sql, quote, sql_simple_sentences, texts, values
 from inkwell.plans.texts_and_statistics import W01, quote_lower, sql_count, sql_matches
+from inkwell.tables import stored, table
 
 LOWER = quote_lower("text")
 FULL = D.CLICHE + r"(?:[^A-Za-z0-9_]|$)"
@@ -78,40 +79,64 @@ KEYS_FROM = "SELECT 'b:' || split_part(text, ' ', 1) || ' ' || split_part(text,
 KEYS = ("", "u:the", "b:of the", "f:the _ of", "u:ü", "u:<num>")
 
 
-def _seeded(spark):
-    """A weight table that stands in for a trained one: w from the hash itself."""
-    return spark.range(1 << 18).select(F.col("id").alias("h"), (((F.col("id") * 7919) % 1009 - 504) / 2520.0).alias("w"))
+def fitted(spark, sf_dir):
+    """h, w: log odds of a feature among labelled documents of low quality against the others, one added to each count.
 
+    A model that SQL can give too; `corpora.train` fits a regression to the same features."""
+    f = D.hashed_features(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "h")
+    y = table(spark, sf_dir, "labels").where("quality is not null").select("doc_id", (F.col("quality") == 0).alias("y"))
+    n = y.agg(F.count_if("y").alias("n1"), F.count_if(~F.col("y")).alias("n0"))
+    c = f.join(y, "doc_id").groupBy("h").agg(F.count_if("y").alias("c1"), F.count_if(~F.col("y")).alias("c0"))
+    w = F.log((F.col("c1") + 1) / (F.col("n1") + 2)) - F.log((F.col("c0") + 1) / (F.col("n0") + 2))
+    return stored(c.crossJoin(F.broadcast(n)).select("h", F.round(w, 6).alias("w")), "weights")
 
-SEEDED = "wt AS (SELECT h, ((h * 7919) % 1009 - 504) / 2520.0::DOUBLE AS w FROM range(262144) r(h))"
+
+FITTED = f"""y AS (SELECT doc_id, quality = 0 AS y FROM labels WHERE quality IS NOT NULL), yn AS (SELECT count(*) FILTER (y) AS n1, count(*) FILTER (NOT y) AS n0 FROM y),
+wt AS MATERIALIZED (WITH texts AS (SELECT doc_id, text FROM documents), {FEATURES} SELECT h, round(ln((count(*) FILTER (y) + 1) / (n1 + 2)) - ln((count(*) FILTER (NOT y) + 1) / (n0 + 2)), 6) AS w FROM fv JOIN y USING (doc_id), yn GROUP BY h, n1, n0)"""
+BIAS = -0.1
+
+
+def scored(pieces, weights):
+    """pieces (doc_id, ix, text) with probability: what the model gives for each, 0.5 where there is no feature."""
+    key = F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("ix").cast("string"))
+    p = D.model_probability(D.hashed_features(pieces.select(key.alias("doc_id"), "text")), weights, BIAS).select(F.col("doc_id").alias("_key"), "probability")
+    return pieces.join(p, key == F.col("_key"), "left").withColumn("probability", F.coalesce(F.round("probability", 4), F.lit(0.5))).drop("_key")
+
+
+def sql_scored(name: str, pieces: str) -> str:
+    """name(doc_id, ix, probability) of pieces (doc_id, ix, text)."""
+    return f"""{name}_z AS MATERIALIZED (WITH texts AS (SELECT doc_id || ':' || ix AS doc_id, text FROM {pieces}), {FEATURES} SELECT doc_id AS id, 1 / (1 + exp(-(sum(value * coalesce(w, 0)) - 0.1::DOUBLE))) AS p FROM fv LEFT JOIN wt USING (h) GROUP BY doc_id),
+{name} AS (SELECT doc_id, ix, coalesce(round(p, 4), 0.5) AS probability FROM {pieces} LEFT JOIN {name}_z ON id = doc_id || ':' || ix)"""
 
 
 def d07(spark, sf_dir):
-    p = D.model_probability(D.hashed_features(texts(spark, sf_dir)), _seeded(spark), -0.1)
+    p = D.model_probability(D.hashed_features(texts(spark, sf_dir)), fitted(spark, sf_dir), BIAS)
     return p.select("doc_id", F.round("logit", 6).alias("logit"), F.round("probability", 6).alias("probability"))
 
 
 def d09(spark, sf_dir):
-    return D.top_contributors(texts(spark, sf_dir), _seeded(spark))
+    return D.top_contributors(texts(spark, sf_dir), fitted(spark, sf_dir))
 
 
 D09 = f"""WITH {TEXTS}, t AS (SELECT doc_id, list_transform({sql_matches(LOWER, T.FEATURE_TOKEN)}, lambda t: CASE WHEN regexp_full_match(t, '[0-9]+') THEN '<num>' ELSE t END) AS t FROM texts),
 p AS (SELECT DISTINCT doc_id, unnest(list_filter(t, lambda a: regexp_full_match(a, '\\p{{L}}{{3,}}')) || list_transform(list_filter(range(1, len(t)), lambda i: regexp_matches(t[i], '^\\p{{L}}') AND regexp_matches(t[i + 1], '^\\p{{L}}')), lambda i: t[i] || ' ' || t[i + 1])) AS phrase FROM t),
 u AS (SELECT DISTINCT phrase, CASE WHEN contains(phrase, ' ') THEN 'b:' ELSE 'u:' END || phrase AS key FROM p),
 kh AS (SELECT phrase, list_reduce(list_prepend(2166136261::HUGEINT, list_transform(string_split(key, ''), lambda c: unicode(c)::HUGEINT)), lambda h, c: ((xor(h::UBIGINT, c::UBIGINT)::HUGEINT * 16777619) % 4294967296)::HUGEINT)::BIGINT & 262143 AS h FROM u),
-{SEEDED} SELECT doc_id, phrase, round(w, 2) AS weight FROM p JOIN kh USING (phrase) JOIN wt USING (h) WHERE w > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, phrase) <= 8"""
+{FITTED} SELECT doc_id, phrase, round(w, 2) AS weight FROM p JOIN kh USING (phrase) JOIN wt USING (h) WHERE w > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, phrase) <= 8"""
 
 
 def _window_probabilities(spark, sf_dir):
-    """Windows of 300 words with stand-in probabilities, as a scoring model would give."""
+    """Windows of 300 words with the probability that the fitted model gives each."""
     w = F.filter(F.split("text", r"\s+"), lambda t: t != "")
-    x = texts(spark, sf_dir).select("doc_id", F.size(w).alias("words"), F.posexplode(P.windows(w, 300, 200)).alias("ix", "w"))
-    return x.select("doc_id", "words", "ix", "w.start", "w.end", (F.pmod(F.col("doc_id") * 31 + F.col("ix") * 17, F.lit(100)) / 100.0).alias("probability"))
+    x = texts(spark, sf_dir).select("doc_id", w.alias("w")).select("doc_id", "w", F.size("w").alias("words"), F.posexplode(P.windows(F.col("w"), 300, 200)).alias("ix", "at"))
+    x = x.select("doc_id", "words", "ix", "at.start", "at.end", F.array_join(F.slice("w", F.col("at.start") + 1, F.col("at.end") - F.col("at.start")), " ").alias("text"))
+    return scored(x, fitted(spark, sf_dir)).drop("text")
 
 
-WINDOWS = rf"""n AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda t: t != '')) AS words FROM texts),
-i AS (SELECT doc_id, words, unnest(range(greatest(ceil((words - 300) / 200.0)::INT, 0) + 1)) AS ix FROM n WHERE words > 0),
-wp AS (SELECT doc_id, words, ix, ix * 200 AS "start", least(ix * 200 + 300, words) AS "end", (((doc_id * 31 + ix * 17) % 100 + 100) % 100) / 100.0::DOUBLE AS probability FROM i)"""
+WINDOWS = rf"""{FITTED}, nw AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda t: t != '') AS w FROM texts), n AS (SELECT doc_id, len(w) AS words FROM nw),
+i AS (SELECT doc_id, w, len(w) AS words, unnest(range(greatest(ceil((len(w) - 300) / 200.0)::INT, 0) + 1)) AS ix FROM nw WHERE len(w) > 0),
+wx AS (SELECT doc_id, words, ix, ix * 200 AS "start", least(ix * 200 + 300, words) AS "end", array_to_string(w[ix * 200 + 1 : least(ix * 200 + 300, words)], ' ') AS text FROM i), {sql_scored('ws_', 'wx')},
+wp AS (SELECT wx.doc_id, words, ix, "start", "end", probability FROM wx JOIN ws_ USING (doc_id, ix))"""
 
 
 def d12(spark, sf_dir):
@@ -190,6 +215,6 @@ ORACLES = {
     "d03_openers": f"WITH {SENTENCES}, o AS (SELECT doc_id, ix, regexp_extract(lower(sentence), {quote(D.OPENER)}, 1) AS opener FROM sen) SELECT * FROM o WHERE opener != ''",
     "d04_signals": D04, "d09_top_contributors": D09, "d12_verdict": D12, "d10_sentence_scores": D10, "d14_neural_merge": D14, "d15_breakdown": D15,
     "d06_hashed_features": f"WITH {TEXTS}, {FEATURES} SELECT doc_id, count(*) AS features, sum(h)::BIGINT AS h_sum, round(sum(value * (h % 97)), 4) AS checksum, round(sum(value * value), 6) AS norm FROM fv GROUP BY doc_id",
-    "d07_model_probability": f"WITH {TEXTS}, {FEATURES}, {SEEDED}, z AS (SELECT doc_id, sum(value * w) - 0.1 AS z FROM fv JOIN wt USING (h) GROUP BY doc_id) SELECT doc_id, round(z, 6) AS logit, round(1 / (1 + exp(-z)), 6) AS probability FROM z",
+    "d07_model_probability": f"WITH {TEXTS}, {FEATURES}, {FITTED}, z AS (SELECT doc_id, sum(value * coalesce(w, 0)) - 0.1 AS z FROM fv LEFT JOIN wt USING (h) GROUP BY doc_id) SELECT doc_id, round(z, 6) AS logit, round(1 / (1 + exp(-z)), 6) AS probability FROM z",
     "m03_fnv": f"SELECT s, CASE WHEN s = '' THEN 40389 ELSE list_reduce(list_prepend(2166136261::HUGEINT, list_transform(string_split(s, ''), lambda c: unicode(c)::HUGEINT)), lambda h, c: ((xor(h::UBIGINT, c::UBIGINT)::HUGEINT * 16777619) % 4294967296)::HUGEINT)::BIGINT & 262143 END AS h FROM (SELECT DISTINCT s FROM {given_sql([(k,) for k in KEYS], KEYS_FROM, 's')})",
 }

@@ -11,6 +11,7 @@ from inkwell.operators import preparing as P
 from inkwell.plans.citing import WORKS_SQL, works
 from inkwell.plans.common import TEXTS, given, given_sql, sql_raw_words, sql_simple_sentences, sql_words, texts, values
 from inkwell.plans.comparing import RUNS, _docs, w06
+from inkwell.plans.detecting import FITTED, fitted, scored, sql_scored
 
 
 def _sentences(spark, sf_dir):
@@ -18,17 +19,18 @@ def _sentences(spark, sf_dir):
 
 
 def _regions(spark, sf_dir):
-    """Windows of 60 words with stand-in values."""
+    """Windows of 60 words with the probability that the fitted model gives each."""
     from inkwell.functions import text as T
 
-    w = texts(spark, sf_dir).select("doc_id", F.posexplode(P.windows(T.raw_words(F.coalesce("text", F.lit(""))), 60, 40)).alias("ix", "w"))
-    return w.select("doc_id", F.col("w.start").cast("long").alias("start"), F.col("w.end").cast("long").alias("end"), (F.pmod(F.col("doc_id") * 31 + F.col("ix") * 17, F.lit(100)) / 100.0).alias("value"))
+    w = texts(spark, sf_dir).select("doc_id", T.raw_words(F.coalesce("text", F.lit(""))).alias("w")).select("doc_id", "w", F.posexplode(P.windows(F.col("w"), 60, 40)).alias("ix", "at"))
+    w = w.select("doc_id", "ix", F.col("at.start").cast("long").alias("start"), F.col("at.end").cast("long").alias("end"), F.array_join(F.slice("w", F.col("at.start") + 1, F.col("at.end") - F.col("at.start")), " ").alias("text"))
+    return scored(w, fitted(spark, sf_dir)).select("doc_id", "start", "end", F.col("probability").alias("value"))
 
 
 PARTS = f"""{TEXTS}, s0 AS (SELECT doc_id, {sql_simple_sentences('text')} AS ss FROM texts), s1 AS (SELECT doc_id, unnest(ss) AS s, generate_subscripts(ss, 1) - 1 AS ix FROM s0), s2 AS (SELECT doc_id, ix, len({sql_raw_words('s')}) AS w FROM s1),
 s3 AS (SELECT doc_id, ix, w, sum(w) OVER (PARTITION BY doc_id ORDER BY ix)::BIGINT - w AS st FROM s2), sp AS (SELECT doc_id, st AS "start", st + w AS "end" FROM s3 WHERE w > 0),
-n AS (SELECT doc_id, len({sql_raw_words('text')}) AS n FROM texts), wi AS (SELECT doc_id, n, unnest(range(greatest(ceil((n - 60) / 40.0)::INT, 0) + 1)) AS ix FROM n WHERE n > 0),
-rg AS (SELECT doc_id, ix * 40 AS s, least(ix * 40 + 60, n) AS e, (((doc_id * 31 + ix * 17) % 100 + 100) % 100) / 100.0::DOUBLE AS value FROM wi)"""
+{FITTED}, nr AS (SELECT doc_id, {sql_raw_words('text')} AS raws FROM texts), n AS (SELECT doc_id, len(raws) AS n FROM nr), wi AS (SELECT doc_id, raws, len(raws) AS n, unnest(range(greatest(ceil((len(raws) - 60) / 40.0)::INT, 0) + 1)) AS ix FROM nr WHERE len(raws) > 0),
+wx AS (SELECT doc_id, ix, ix * 40 AS s, least(ix * 40 + 60, n) AS e, array_to_string(raws[ix * 40 + 1 : least(ix * 40 + 60, n)], ' ') AS text FROM wi), {sql_scored('wq', 'wx')}, rg AS (SELECT wx.doc_id, s, e, probability AS value FROM wx JOIN wq USING (doc_id, ix))"""
 
 
 def j07(spark, sf_dir):

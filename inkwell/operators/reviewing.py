@@ -97,6 +97,21 @@ def own_works(sources: DataFrame, dois: DataFrame) -> DataFrame:
     return s.withColumn("kind", F.when(F.col("_own"), F.lit("own")).otherwise(F.col("kind"))).drop("_doi", "_own")
 
 
+def own_documents(works: DataFrame, people: DataFrame, most: int = 40) -> DataFrame:
+    """who, source_id, title, text, year of the latest `most` works of each person (who, family, given) as sources of kind own.
+
+    works: work_id, title, abstract, year, doi, authors. Names are compared without case; an initial fits a given name that begins
+    with it. The limit is the feature: an author's latest works are what a text is compared with."""
+    a = works.select("work_id", "title", "abstract", "year", "doi", F.explode("authors").alias("a")).where(~F.col("a.organization"))
+    a = a.select("work_id", "title", "abstract", "year", "doi", F.lower("a.family").alias("_f"), F.lower(F.coalesce("a.given", F.lit(""))).alias("_g"))
+    p = people.select("who", F.lower("family").alias("_f"), F.regexp_replace(F.lower(F.coalesce("given", F.lit(""))), r"\.$", "").alias("_p"))
+    j = a.join(p, "_f").where(F.startswith("_g", "_p")).dropDuplicates(["who", "work_id"])
+    j = j.withColumn("n", F.row_number().over(W.partitionBy("who").orderBy(F.col("year").desc_nulls_last(), "work_id"))).where(F.col("n") <= most)
+    known = F.coalesce(F.concat(F.lit("own:doi:"), F.lower("doi")), F.concat(F.lit("own:"), F.col("work_id").cast("string")))
+    out = j.select("who", known.alias("source_id"), "title", F.concat_ws(". ", "title", F.nullif("abstract", F.lit(""))).alias("text"), "year")
+    return out.where(F.length("text") > 40)
+
+
 def upgraded(sources: DataFrame, full: DataFrame) -> DataFrame:
     """sources (source_id, text) with the full text (source_id, text; the longest of a source) where that is longer."""
     f = full.groupBy("source_id").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("_full"))

@@ -11,6 +11,7 @@ from inkwell.functions import text as T
 from inkwell.operators import authors as A_
 from inkwell.operators import citations as C
 from inkwell.operators import preparing as P
+from inkwell.operators import reviewing as R
 from inkwell.plans.common import FIXTURES, SENTENCES, STOP, TEXTS, TITLE, given, given_sql, quote, sql_name, sql_normal, sql_raw_words, texts, values
 from inkwell.plans.texts_and_statistics import sql_count
 
@@ -379,12 +380,23 @@ A20 = f"WITH {CHECKS_SQL} SELECT doc_id, {COUNTS}, count(*) FILTER (len(list_fil
 C32 = f"""WITH {CHECKS_SQL}, fm AS ({C29}) SELECT doc_id, string_agg(CASE WHEN status IN ('verified', 'likely', 'mismatch') AND fm.text IS NOT NULL THEN fm.text ELSE raw END, chr(10) ORDER BY "index") AS text FROM ck LEFT JOIN fm ON fm.work_id = ck.work_id AND style = 'apa' GROUP BY doc_id"""
 C32_BIBTEX = f"""WITH {CHECKS_SQL}, bt AS ({C30}), f AS (SELECT doc_id, work_id, min("index") AS i FROM ck WHERE status IN ('verified', 'likely', 'mismatch') GROUP BY ALL) SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY i) AS text FROM f JOIN bt USING (work_id) GROUP BY doc_id"""
 
+def io39(spark, sf_dir):
+    """The latest works of the first author of each tenth work (at most three each)."""
+    w = works(spark, sf_dir)
+    people = w.where("work_id % 10 = 0 and size(authors) > 0").select(F.col("work_id").alias("who"), F.col("authors")[0]["family"].alias("family"), F.concat(F.left(F.col("authors")[0]["given"], F.lit(1)), F.lit(".")).alias("given"))
+    return R.own_documents(w, people, 3).select("who", "source_id", "title", F.md5("text").alias("md5"), "year")
+
+
+IO39 = f"""WITH {WORKS_SQL}, a AS (SELECT work_id, title, abstract, year, doi, unnest(authors) AS a FROM w), p AS (SELECT work_id AS who, lower(authors[1].family) AS f, lower(left(authors[1].given, 1)) AS g FROM w WHERE work_id % 10 = 0 AND len(authors) > 0 AND authors[1].given IS NOT NULL),
+j AS (SELECT DISTINCT who, work_id, title, abstract, year, doi FROM a JOIN p ON lower(a.family) = f AND starts_with(lower(coalesce(a.given, '')), g) WHERE NOT a.organization), t AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY who ORDER BY year DESC NULLS LAST, work_id) <= 3)
+SELECT who, coalesce('own:doi:' || lower(doi), 'own:' || work_id) AS source_id, title, md5(concat_ws('. ', title, nullif(abstract, ''))) AS md5, year FROM t WHERE length(concat_ws('. ', title, nullif(abstract, ''))) > 40"""
+
 QUERIES = {
-    "a20_verification_counts": a20, "c32_corrected_list": c32, "c32_corrected_bibtex": c32_bibtex, "c01_reference_entries": c01, "c02_identifiers": c02, "c03_authors": c03, "c10_in_text_citations": c10, "c11_missing": lambda s, d: _mask_names(s, d, 0), "c11_uncited": lambda s, d: _mask_names(s, d, 1), "c11_style": lambda s, d: _mask_names(s, d, 2), "c22_status": c20, "f04_title_similarity": f04, "c24_duplicates": c24, "c25_retraction": c25,
+    "io39_own_works": io39, "a20_verification_counts": a20, "c32_corrected_list": c32, "c32_corrected_bibtex": c32_bibtex, "c01_reference_entries": c01, "c02_identifiers": c02, "c03_authors": c03, "c10_in_text_citations": c10, "c11_missing": lambda s, d: _mask_names(s, d, 0), "c11_uncited": lambda s, d: _mask_names(s, d, 1), "c11_style": lambda s, d: _mask_names(s, d, 2), "c22_status": c20, "f04_title_similarity": f04, "c24_duplicates": c24, "c25_retraction": c25,
     "c26_claims": c26, "c27_keyphrases": c27, "c28_ranked_works": c28, "j14_best_matches": j14, "a30_merged_works": a30, "f14_names": f14, "c29_formatted": c29, "c29_in_text": c29_in_text, "c30_bibtex": c30, "c31_ris": c31, "x01_sources": x01, "f12_expand_numbers": f12,
 }
 ORACLES = {
-    "a20_verification_counts": A20, "c32_corrected_list": C32, "c32_corrected_bibtex": C32_BIBTEX, "c01_reference_entries": f"WITH {C01} SELECT * FROM refs", "c02_identifiers": C02, "c10_in_text_citations": f"WITH {TEXTS}, {CITES} SELECT * EXCLUDE (ns), array_to_string(list_sort(ns), ',') AS numbers FROM cites",
+    "io39_own_works": IO39, "a20_verification_counts": A20, "c32_corrected_list": C32, "c32_corrected_bibtex": C32_BIBTEX, "c01_reference_entries": f"WITH {C01} SELECT * FROM refs", "c02_identifiers": C02, "c10_in_text_citations": f"WITH {TEXTS}, {CITES} SELECT * EXCLUDE (ns), array_to_string(list_sort(ns), ',') AS numbers FROM cites",
     "c11_missing": f"""{CHECK} SELECT doc_id, raw, 'no reference ' || n AS reason FROM nn WHERE NOT EXISTS (SELECT 1 FROM rf WHERE rf.doc_id = nn.doc_id AND rf."index" = nn.n) UNION ALL SELECT doc_id, raw, CASE WHEN same THEN 'other year' ELSE 'no such author' END FROM oc WHERE NOT exact""",
     "c11_uncited": f"""{CHECK} SELECT doc_id, "index" FROM rf WHERE NOT EXISTS (SELECT 1 FROM nn WHERE nn.doc_id = rf.doc_id AND n = rf."index") AND NOT EXISTS (SELECT 1 FROM au WHERE au.doc_id = rf.doc_id AND au."index" = rf."index" AND same AND fits)""",
     "c11_style": f"""{CHECK}, f AS (SELECT doc_id, n, min(ix) AS ix FROM nn GROUP BY ALL), o AS (SELECT doc_id, n, row_number() OVER (PARTITION BY doc_id ORDER BY ix, n) AS i FROM f), q AS (SELECT doc_id, count(*) > 2 AND bool_or(i != n) AS odd FROM o GROUP BY doc_id), s AS (SELECT doc_id, count(*) FILTER (kind = 'numeric') AS n, count(*) FILTER (kind != 'numeric') AS a FROM cites GROUP BY doc_id)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from inkwell.operators import lines as LN
@@ -10,7 +12,7 @@ from inkwell.plans.texts_and_statistics import sql_matches
 from inkwell.sources import library as L
 from inkwell.sources import markup as M
 from inkwell.sources import records as RC
-from inkwell.tables import table
+from inkwell.tables import shared_dir, table
 
 
 def io07(spark, sf_dir):
@@ -258,12 +260,25 @@ UNION ALL SELECT work_id, {_json('title')}, {_ONE(_json('authors[0].name'))}, {_
 UNION ALL SELECT work_id, regexp_extract(x, '<title>(.*?)</title>', 1), {_ONE("regexp_extract(x, '<name>(.*?)</name>', 1)")} || '; ' || regexp_extract(x, '</author><author> <name>(.*?)</name>', 1), regexp_extract(x, '<published>([0-9]{{4}})', 1)::INT, NULL, NULL, NULL, NULL, {_DOI("regexp_extract(x, '<arxiv:doi>(.*?)<', 1)")}, 'https://arxiv.org/abs/' || regexp_extract(x, 'abs/(.*?)<', 1), NULL,
  'preprint', regexp_extract(x, 'abs/(.*?)v2<', 1), NULL, replace(replace(regexp_extract(x, '<summary>(.*?)</summary>', 1), '&lt;', '<'), '&gt;', '>'), NULL, service FROM k WHERE service = 'arxiv'"""
 
+def io23(spark, sf_dir):
+    """Labelled documents written as JSON lines, with lines that are none or have other labels, and read back."""
+    path = f"{shared_dir(spark)}/labelled-{uuid.uuid4().hex}"
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").where("quality is not null"), "doc_id")
+    label = F.when(F.col("doc_id") % 17 == 0, "other").when(F.col("quality") == 1, "human").otherwise("ai")
+    line = F.when(F.col("doc_id") % 13 == 0, F.lit("{not json")).otherwise(F.to_json(F.struct("text", label.alias("label"), F.when(F.col("doc_id") % 3 > 0, F.col("source")).alias("source"))))
+    d.select(line.alias("value")).write.text(path)
+    rows = L.labelled(spark, path)
+    return rows.groupBy("label", "source").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+IO23 = "SELECT CASE WHEN quality = 1 THEN 'human' ELSE 'ai' END AS label, CASE WHEN d.doc_id % 3 > 0 THEN coalesce(source, '') ELSE '' END AS source, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents d JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND trim(text) != '' AND d.doc_id % 17 != 0 AND d.doc_id % 13 != 0 GROUP BY ALL"
+
 QUERIES = {
-    "io40_works": io40, "io07_html_text": io07, "io08_entities": io08, "io09_jats_text": io09, "io42_figures": io42, "io04_latex_text": io04, "io05_broken_lines": io05, "io01_file_kinds": io01, "io15_uploads": io15, "io16_json_bodies": io16, "io21_history": io21, "io41_inverted_index": io41, "io44_reply_json": io44, "f22_failure_reasons": f22, "f22_redacted_urls": f22_urls,
+    "io23_labelled_lines": io23, "io40_works": io40, "io07_html_text": io07, "io08_entities": io08, "io09_jats_text": io09, "io42_figures": io42, "io04_latex_text": io04, "io05_broken_lines": io05, "io01_file_kinds": io01, "io15_uploads": io15, "io16_json_bodies": io16, "io21_history": io21, "io41_inverted_index": io41, "io44_reply_json": io44, "f22_failure_reasons": f22, "f22_redacted_urls": f22_urls,
     "io30_phrase_search": io30, "io31_keyword_search": io31, "io36_all_words_search": io36,
 }
 ORACLES = {
-    "io40_works": IO40, "io07_html_text": IO07, "io08_entities": f"SELECT id, {sql_entities('s')} AS text FROM {given_sql(ENCODED, ENCODED_FROM, 'id', 's')}", "io09_jats_text": IO09, "io42_figures": IO42, "io04_latex_text": IO04, "io05_broken_lines": IO05, "io01_file_kinds": IO01, "io15_uploads": IO15, "io16_json_bodies": IO16, "io21_history": IO21, "io41_inverted_index": IO41, "io44_reply_json": IO44,
+    "io23_labelled_lines": IO23, "io40_works": IO40, "io07_html_text": IO07, "io08_entities": f"SELECT id, {sql_entities('s')} AS text FROM {given_sql(ENCODED, ENCODED_FROM, 'id', 's')}", "io09_jats_text": IO09, "io42_figures": IO42, "io04_latex_text": IO04, "io05_broken_lines": IO05, "io01_file_kinds": IO01, "io15_uploads": IO15, "io16_json_bodies": IO16, "io21_history": IO21, "io41_inverted_index": IO41, "io44_reply_json": IO44,
     "f22_failure_reasons": F22, "f22_redacted_urls": "SELECT page_id, regexp_replace(url, '[?#].*$', '') AS url FROM pages", "io30_phrase_search": IO30,
     "io31_keyword_search": f"{KEYS} SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY shared DESC, source_id) <= 10",
     "io36_all_words_search": f"{KEYS} SELECT query, source_id, shared FROM s JOIN n USING (query) WHERE shared = n QUALIFY row_number() OVER (PARTITION BY query ORDER BY shared DESC, source_id) <= 10",

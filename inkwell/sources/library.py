@@ -23,6 +23,13 @@ def folder(spark: SparkSession, path: str) -> DataFrame:
     return f.select("name", kind.alias("kind"), text.alias("text"))
 
 
+def labelled(spark: SparkSession, path: str) -> DataFrame:
+    """text, label ('human' or 'ai'), source of evaluation rows, one JSON object a line; lines without a text or with another label,
+    and lines that are no JSON, are left out."""
+    rows = spark.read.schema("text string, label string, source string").json(path)
+    return rows.where((F.trim("text") != "") & F.col("label").isin("human", "ai")).select("text", "label", F.coalesce("source", F.lit("")).alias("source"))
+
+
 def uploads(docs: DataFrame, most: int = 20, chars: int = 800_000, title: int = 200) -> DataFrame:
     """A request's documents (request, ix, title, text): the first `most`, while they hold up to `chars` characters."""
     order = W.partitionBy("request").orderBy("ix")

@@ -72,7 +72,8 @@ class LibraryReader(DataSourceReader):
     def _store(self) -> tuple[pa.fs.FileSystem, str]:
         import pyarrow.fs as fs
 
-        return fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (fs.LocalFileSystem(), self.path)
+        path = "file://" + self.path.removeprefix("file:") if self.path.startswith("file:/") and not self.path.startswith("file://") else self.path
+        return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
     def partitions(self) -> list[Files]:
         import pyarrow.fs as fs

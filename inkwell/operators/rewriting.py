@@ -122,31 +122,38 @@ def clean_reply(reply: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"(?s)^[\"“]([^\"“”]*)[\"”]$", "$1"))
 
 
-def diff_share(pairs: DataFrame, most: int = 4_000_000) -> DataFrame:
-    """id, kept, changed_share of pairs (id, before, after): words outside a longest common subsequence, by both sides' words.
-
-    Pairs whose table would have over `most` cells after common ends are cut off count as wholly changed there."""
+def common_words(p: list[str], q: list[str]) -> int:
+    """Words of a longest common subsequence: a bit for each word of q, all rows of the table at once in whole numbers.
+
+    Time is len(p) * len(q) / 64, memory that of the words, so long texts need no other rule."""
+    at: dict[str, int] = {}
+    for k, w in enumerate(q):
+        at[w] = at.get(w, 0) | 1 << k
+    whole = (1 << len(q)) - 1
+    row = whole
+    for w in p:
+        met = row & at.get(w, 0)
+        row = (row + met | row - met) & whole
+    return len(q) - row.bit_count()
+
+
+def diff_share(pairs: DataFrame) -> DataFrame:
+    """id, kept, changed_share of pairs (id, before, after; null: empty): words outside a longest common subsequence, by both sides'
+    words, exact at every length."""
     import pandas as pd
 
     def run(batches):
-        import numpy as np
-
         for b in batches:
             rows = []
             for i, x, y in zip(b.id, b.before, b.after, strict=True):
                 p, q = (x or "").split(), (y or "").split()
-                total, kept = len(p) + len(q), 0
-                while p and q and p[0] == q[0]:
-                    p, q, kept = p[1:], q[1:], kept + 1
-                while p and q and p[-1] == q[-1]:
-                    p, q, kept = p[:-1], q[:-1], kept + 1
-                if p and q and len(p) * len(q) <= most:
-                    names = {w: k for k, w in enumerate(dict.fromkeys(p + q))}
-                    right, row = np.array([names[w] for w in q]), np.zeros(len(q) + 1, np.int64)
-                    for w in p:
-                        best = np.maximum(row[1:], np.where(right == names[w], row[:-1] + 1, 0))
-                        row = np.concatenate([[0], np.maximum.accumulate(best)])
-                    kept += int(row[-1])
+                n, first, last = min(len(p), len(q)), 0, 0
+                while first < n and p[first] == q[first]:
+                    first += 1
+                while last < n - first and p[-1 - last] == q[-1 - last]:
+                    last += 1
+                kept = first + last + common_words(p[first : len(p) - last], q[first : len(q) - last])
+                total = len(p) + len(q)
                 rows.append((i, kept, round((total - 2 * kept) / max(total, 1), 6)))
             yield pd.DataFrame(rows, columns=["id", "kept", "changed_share"])
 

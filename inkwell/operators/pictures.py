@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,22 +35,25 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(as_number(a).bitwiseXOR(as_number(b)))
 
 
-def near_pairs(images: DataFrame, others: DataFrame | None = None, limit: int = SAME) -> DataFrame:
+def near_pairs(images: DataFrame, others: DataFrame | None = None, limit: int = SAME, together: int = 2) -> DataFrame:
     """a, b, transform, distance: pictures (id, hash, variants array<struct<transform, hash>>) that differ in `limit` bits or fewer in
     any transform of b. Within one table a < b.
 
-    64 bits in limit + 1 blocks: near hashes agree in one block at least, so pairs come from an equi-join on blocks."""
-    n = limit + 1
+    64 bits in limit + `together` blocks: near hashes agree in `together` blocks at least, so pairs come from an equi-join on the bits of
+    so many blocks. Equal hashes meet once; their pictures join what was found."""
+    n = limit + together
     cuts = [64 * k // n for k in range(n + 1)]
-    block = lambda v: F.array(*[F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(v, cuts[k]).bitwiseAND(F.lit((1 << (cuts[k + 1] - cuts[k])) - 1)).alias("bits")) for k in range(n)])
+    ones = lambda k: ((1 << (cuts[k + 1] - cuts[k])) - 1) << cuts[k]
+    masks = [sum(map(ones, ks)) for ks in combinations(range(n), together)]
+    keys = lambda v: F.array(*[F.struct(F.lit(i).alias("i"), v.bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("bits")) for i, m in enumerate(masks)])
     left = images.select(F.col("id").alias("a"), as_number(F.col("hash")).alias("x"))
-    left = left.withColumn("key", F.explode(block(F.col("x"))))
     right = images if others is None else others
     right = right.select(F.col("id").alias("b"), F.explode(F.concat(F.array(F.struct(F.lit("same").alias("transform"), "hash")), "variants")).alias("v")).select("b", "v.transform", as_number(F.col("v.hash")).alias("y"))
-    right = right.withColumn("key", F.explode(block(F.col("y"))))
-    p = left.join(right, "key")
+    mine, theirs = left.select("x").distinct(), right.select("y").distinct()
+    near = mine.withColumn("key", F.explode(keys(F.col("x")))).join(theirs.withColumn("key", F.explode(keys(F.col("y")))), "key")
+    near = near.withColumn("distance", F.bit_count(F.col("x").bitwiseXOR(F.col("y")))).where(F.col("distance") <= limit).select("x", "y", "distance").distinct()
+    p = left.join(near, "x").join(right, "y")
     p = p.where("a < b") if others is None else p
-    p = p.withColumn("distance", F.bit_count(F.col("x").bitwiseXOR(F.col("y")))).where(F.col("distance") <= limit)
     return p.groupBy("a", "b").agg(F.min(F.struct("distance", (F.col("transform") != "same").alias("other"), "transform")).alias("m")).select("a", "b", "m.transform", "m.distance")
 
 

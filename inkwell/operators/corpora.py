@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import text as T
 from inkwell.operators.preparing import packed
+from inkwell.tables import stored
 
 
 def scored_rates(scores: DataFrame, keys: list[str]) -> DataFrame:
@@ -178,12 +179,14 @@ def libsvm_lines(features: DataFrame, labels: DataFrame) -> DataFrame:
 def train(features: DataFrame, labels: DataFrame, c: float = 4.0, weight: float = 1.5, size: int = 1 << 18) -> tuple[DataFrame, float]:
     """(weights (h, w), bias) of a logistic regression by Spark ML; label 0 weighs `weight`. What leaves Spark is `size` numbers."""
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector  # noqa: F401  (the vectors below are sparse)
-    from pyspark.ml.linalg import SparseVector, VectorUDT
+    from pyspark.ml.linalg import VectorUDT
+    from pyspark.sql.types import DoubleType, StructType
 
     g = features.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("h").cast("int").alias("h"), "value"))).alias("f")).join(labels, "doc_id")
-    sparse = F.udf(lambda f: SparseVector(size, [x["h"] for x in f], [x["value"] for x in f]), VectorUDT())
-    rows = g.select(sparse("f").alias("features"), F.col("label").cast("double").alias("label"), F.when(F.col("label") == 0, weight).otherwise(1.0).alias("w"))
+    # a sparse vector is stored as a struct of this form, so a stored struct reads back as vectors without any Python
+    sparse = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(size).alias("size"), F.transform("f", lambda x: x["h"]).alias("indices"), F.transform("f", lambda x: x["value"].cast("double")).alias("values"))
+    kept = stored(g.select(sparse.alias("features"), F.col("label").cast("double").alias("label"), F.when(F.col("label") == 0, weight).otherwise(1.0).alias("w")), "vectors")
+    rows = features.sparkSession.read.schema(StructType().add("features", VectorUDT()).add("label", DoubleType()).add("w", DoubleType())).parquet(kept.stored_at)
     n = rows.count()
     model = LogisticRegression(regParam=1.0 / (c * max(n, 1)), weightCol="w", maxIter=60, standardization=False).fit(rows)
     found = [(int(i), float(v)) for i, v in zip(*((model.coefficients.indices, model.coefficients.values) if hasattr(model.coefficients, "indices") else (range(size), model.coefficients.toArray())), strict=True) if v]

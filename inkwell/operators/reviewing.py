@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import text as T
 from inkwell.operators import citations as C
 from inkwell.operators.overlap import sentence_words, verdict
+from inkwell.tables import stored
 
 #: Headings that end the prose of a text; words of author blocks; headings of abstracts.
 LIST_HEADING = r"(?i)^(?:references|bibliography|works cited|literature cited|reference list)\s*:?$"
@@ -201,10 +202,15 @@ def untagged(text: Column) -> Column:
 def corpus_windows(docs: DataFrame, size: int = 300, most: int = 150) -> DataFrame:
     """source, doc_id, ix, words: whole windows of `size` words; the first `most` of a source by doc_id and place.
 
-    The cap is what the corpus asks for; sources are ranked after counting windows of each document, so no text moves."""
+    The cap is what the corpus asks for. No text moves, and no source is ordered whole: documents are parted by ranges of source and
+    id, sums by range tell where the cap falls, and only documents of ranges up to there are ranked, each range by itself."""
     n = docs.select("source", "doc_id", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")).alias("n")).withColumn("w", F.floor(F.col("n") / size)).where("w > 0")
-    before = F.sum("w").over(W.partitionBy("source").orderBy("doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("w")
-    d = n.withColumn("left", F.lit(most) - before).where("left > 0")
+    n = stored(n.select("source", "doc_id", "w").repartitionByRange("source", "doc_id").withColumn("part", F.spark_partition_id()), "windows")
+    upto = lambda c, *by: F.sum(c).over(W.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(W.unboundedPreceding, W.currentRow))
+    per = n.groupBy("source", "part").agg(F.sum("w").alias("all"))
+    per = per.select(F.col("source").alias("_s"), F.col("part").alias("_p"), (upto("all", "source", "part") - F.col("all")).alias("first")).where(F.col("first") < most)
+    d = n.join(per, F.col("source").eqNullSafe(F.col("_s")) & (F.col("part") == F.col("_p")))
+    d = d.withColumn("left", F.lit(most) - F.col("first") - (upto("w", "source", "part", "doc_id") - F.col("w"))).where("left > 0")
     return d.select("source", "doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.least("w", "left") - 1)).alias("ix")).select("source", "doc_id", "ix", F.lit(size).alias("words"))
 
 

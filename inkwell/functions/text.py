@@ -17,6 +17,27 @@ WORD = rf"[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}{INVISIBLE}]*(?:['’\-][\p{{L}}\p{{N}}
 FEATURE_TOKEN = r"[\p{L}\p{N}]+(?:['’][\p{L}]+)?|[.,;:!?()\"“”'‘’\-–—]"
 
 
+#: Compatibility forms that stand for other letters: ligatures, full-width letters and digits, raised and lowered digits.
+LIGATURES = (("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬅ", "st"), ("ﬆ", "st"))
+WIDE = "".join(map(chr, (*range(0xFF10, 0xFF1A), *range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B)))) + "⁰¹²³⁴⁵⁶⁷⁸⁹₀₁₂₃₄₅₆₇₈₉"
+NARROW = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567890123456789"
+
+
+def _ranges(letters: str, gap: int = 32) -> str:
+    """Ranges for a pattern that hold all letters and whatever lies between near ones."""
+    out: list[list[int]] = []
+    for c in sorted(map(ord, letters)):
+        if out and c - out[-1][1] <= gap:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in out)
+
+
+#: Letters that may need folding, as few ranges: a class of many single letters takes a test for each of them at every letter.
+RARE = f"[{_ranges(''.join(a for a, _ in LOOKALIKES) + ''.join(a for a, _ in LIGATURES) + WIDE)}{INVISIBLE}]"
+
+
 def _array(words) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
@@ -37,10 +58,16 @@ def unconfuse(word: Column) -> Column:
     return F.when(word.rlike(f"[{odd}]") & (only | word.rlike("[A-Za-z]")), F.translate(word, odd, plain)).otherwise(word)
 
 
+def compatible(word: Column) -> Column:
+    """Ligatures, full-width forms and raised or lowered digits as plain letters and digits."""
+    return reduce(lambda w, p: F.replace(w, F.lit(p[0]), F.lit(p[1])), LIGATURES, F.translate(word, WIDE, NARROW))
+
+
 def normal(raw: Column) -> Column:
-    """Lower-cased, invisible characters dropped, look-alikes mapped, apostrophes unified."""
-    odd = F.replace(F.lower(unconfuse(F.regexp_replace(raw, f"[{INVISIBLE}]", ""))), F.lit("’"), F.lit("'"))
-    return F.when(raw.rlike(r"^[\x00-\x7f]*$"), F.lower(raw)).otherwise(odd)
+    """Lower-cased, invisible characters dropped, compatibility forms and look-alikes mapped, apostrophes unified."""
+    same = lambda word: F.replace(F.lower(word), F.lit("’"), F.lit("'"))
+    odd = same(let(compatible(F.regexp_replace(raw, f"[{INVISIBLE}]", "")), unconfuse))
+    return F.when(F.octet_length(raw) == F.length(raw), F.lower(raw)).when(~raw.rlike(RARE), same(raw)).otherwise(odd)
 
 
 def raw_words(text: Column) -> Column:

@@ -16,7 +16,7 @@ def with_words(docs: DataFrame) -> DataFrame:
 
 def tokens(docs: DataFrame) -> DataFrame:
     """doc_id, pos, word: exploded in the scan's own tasks, no shuffle."""
-    return with_words(docs).select("doc_id", F.posexplode("words").alias("pos", "word"))
+    return docs.select("doc_id", F.posexplode(T.words(F.coalesce("text", F.lit("")))).alias("pos", "word"))
 
 
 def token_spans(docs: DataFrame) -> DataFrame:
@@ -31,16 +31,18 @@ def token_spans(docs: DataFrame) -> DataFrame:
 
 
 def ngrams(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, pos, gram: n words in a row, by shifted slices of the word array (no shuffle)."""
-    w = with_words(docs).where(F.size("words") >= n)
-    shifted = F.arrays_zip(*[F.slice("words", k + 1, F.size("words") - n + 1).alias(f"w{k}") for k in range(n)])
+    """doc_id, pos, gram: n words in a row, by shifted slices of the word array (no shuffle).
+
+    Short texts give empty slices: a filter on the array's size would go below the projection and cut every text twice."""
+    w = with_words(docs)
+    shifted = F.arrays_zip(*[F.slice("words", k + 1, F.greatest(F.size("words") - n + 1, F.lit(0))).alias(f"w{k}") for k in range(n)])
     return w.select("doc_id", F.posexplode(shifted).alias("pos", "g")).select("doc_id", "pos", F.concat_ws(" ", *[F.col(f"g.w{k}") for k in range(n)]).alias("gram"))
 
 
 def hashed_ngrams(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, pos, g: a 64-bit hash of n words in a row. Words are hashed once, so rows carry numbers and no strings."""
-    w = docs.select("doc_id", F.transform(T.words(F.coalesce("text", F.lit(""))), lambda x: F.xxhash64(x)).alias("h")).where(F.size("h") >= n)
-    shifted = F.arrays_zip(*[F.slice("h", k + 1, F.size("h") - n + 1).alias(f"h{k}") for k in range(n)])
+    w = docs.select("doc_id", F.transform(T.words(F.coalesce("text", F.lit(""))), lambda x: F.xxhash64(x)).alias("h"))
+    shifted = F.arrays_zip(*[F.slice("h", k + 1, F.greatest(F.size("h") - n + 1, F.lit(0))).alias(f"h{k}") for k in range(n)])
     return w.select("doc_id", F.posexplode(shifted).alias("pos", "x")).select("doc_id", "pos", F.xxhash64(*[F.col(f"x.h{k}") for k in range(n)]).alias("g"))
 
 

@@ -79,7 +79,11 @@ def sql_unconfuse(x: str) -> str:
 
 def sql_normal(x: str) -> str:
     clean = f"regexp_replace({x}, '[{T.INVISIBLE}]', '', 'g')"
-    return f"CASE WHEN regexp_full_match({x}, '[\\x00-\\x7f]*') THEN lower({x}) ELSE replace(lower({sql_unconfuse(clean)}), '’', '''') END"
+    folded = f"translate({clean}, '{T.WIDE}', '{T.NARROW}')"
+    for form, letters in T.LIGATURES:
+        folded = f"replace({folded}, '{form}', '{letters}')"
+    rare = f"replace(lower(list_transform([{folded}], lambda c: {sql_unconfuse('c')})[1]), '’', '''')"
+    return f"CASE WHEN regexp_full_match({x}, '[\\x00-\\x7f]*') THEN lower({x}) ELSE {rare} END"
 
 
 def sql_raw_words(text: str) -> str:

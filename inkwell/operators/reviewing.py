@@ -204,8 +204,9 @@ def corpus_windows(docs: DataFrame, size: int = 300, most: int = 150) -> DataFra
 
     The cap is what the corpus asks for. No text moves, and no source is ordered whole: documents are parted by ranges of source and
     id, sums by range tell where the cap falls, and only documents of ranges up to there are ranked, each range by itself."""
-    n = docs.select("source", "doc_id", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")).alias("n")).withColumn("w", F.floor(F.col("n") / size)).where("w > 0")
-    n = stored(n.select("source", "doc_id", "w").repartitionByRange("source", "doc_id").withColumn("part", F.spark_partition_id()), "windows")
+    n = docs.select("source", "doc_id", F.floor(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"\S+")) / size).alias("w"))
+    # written before it is parted, since ranges are found by a pass over the rows of their own
+    n = stored(stored(n, "windows").where("w > 0").repartitionByRange("source", "doc_id").withColumn("part", F.spark_partition_id()), "windows-parted")
     upto = lambda c, *by: F.sum(c).over(W.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(W.unboundedPreceding, W.currentRow))
     per = n.groupBy("source", "part").agg(F.sum("w").alias("all"))
     per = per.select(F.col("source").alias("_s"), F.col("part").alias("_p"), (upto("all", "source", "part") - F.col("all")).alias("first")).where(F.col("first") < most)

@@ -12,7 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as T
-from inkwell.operators.tokens import hashed_ngrams, ngrams, with_words
+from inkwell.operators.tokens import grams_of, hashed_ngrams, ngrams, with_words, word_hashes
+from inkwell.tables import stored
 
 SEED = 3
 MIN_RUN = 6
@@ -140,8 +141,9 @@ def compare_papers(papers: DataFrame, min_run: int = 8) -> DataFrame:
 def corpus_shared(docs: DataFrame, n: int = 8) -> DataFrame:
     """doc_id, words, shared_words, shared_percent: the part of each document in n-grams that another document has too.
 
-    Linear in the corpus whatever the groups: grams are counted by document, never paired."""
-    g = hashed_ngrams(docs, n)
+    Linear in the corpus whatever the groups: grams are counted by document, never paired. Grams are made twice (counted, then met), so
+    the texts' word hashes are stored."""
+    g = grams_of(stored(word_hashes(docs), "word-hashes"), n)
     common = g.groupBy("g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("g")
     hit = g.join(common, "g").groupBy("doc_id").agg(F.array_sort(F.collect_list("pos")).alias("at"))
     # covered words: each hit adds n, less what the hit before already covers

@@ -39,9 +39,18 @@ def ngrams(docs: DataFrame, n: int) -> DataFrame:
     return w.select("doc_id", F.posexplode(shifted).alias("pos", "g")).select("doc_id", "pos", F.concat_ws(" ", *[F.col(f"g.w{k}") for k in range(n)]).alias("gram"))
 
 
+def word_hashes(docs: DataFrame) -> DataFrame:
+    """doc_id, h array<long>: a 64-bit hash of each word."""
+    return docs.select("doc_id", F.transform(T.words(F.coalesce("text", F.lit(""))), lambda x: F.xxhash64(x)).alias("h"))
+
+
 def hashed_ngrams(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, pos, g: a 64-bit hash of n words in a row. Words are hashed once, so rows carry numbers and no strings."""
-    w = docs.select("doc_id", F.transform(T.words(F.coalesce("text", F.lit(""))), lambda x: F.xxhash64(x)).alias("h"))
+    return grams_of(word_hashes(docs), n)
+
+
+def grams_of(w: DataFrame, n: int) -> DataFrame:
+    """hashed_ngrams of word_hashes, for users that need grams more than once and store the hashes."""
     shifted = F.arrays_zip(*[F.slice("h", k + 1, F.greatest(F.size("h") - n + 1, F.lit(0))).alias(f"h{k}") for k in range(n)])
     return w.select("doc_id", F.posexplode(shifted).alias("pos", "x")).select("doc_id", "pos", F.xxhash64(*[F.col(f"x.h{k}") for k in range(n)]).alias("g"))
 

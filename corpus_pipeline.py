@@ -21,7 +21,8 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more) stays."""
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more) stays: SimHash fingerprints
+    and pivot tables link them, verified on the shingles, and an exact join finds those too far apart for fingerprints."""
     return simhash.keep_one(docs)
 
 

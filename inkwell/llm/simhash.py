@@ -14,15 +14,17 @@ Crowded keys: up to CROWD nodes of a key are paired. For keys with more, nodes a
 bit or none: nodes within 2 bits share such a centre, a centre has at most 65 nodes, each star links all of them, so nothing is
 lost and no group is paired out.
 
-Shingle sets that are similar (Jaccard) at a threshold t, 0.8 for instance, differ in too many bits for fingerprints; `wide_duplicates`
-finds them by an exact prefix join, at every input size:
+Shingle sets that are similar (Jaccard) at a threshold t, 0.8 for instance: `wide_duplicates` first links them by fingerprints and
+pivot tables (`print_pairs`: WIDE_TABLES tables of WIDE_BITS bits, in each key a star around one of its nodes, the pivot test and
+WIDE_LIMIT bits at most), and verifies each such pair on the sets. At t sets can differ in more bits than that; what fingerprints leave is found by
+an exact prefix join, at every input size:
 
 * Nodes are distinct shingle sets. Each set is put in one order for all, common shingles last (counts of a sample; any order gives
   the same result). Two sets of sizes n, m that reach t share at least t / (1 + t) * (n + m) shingles, so their first common shingle
   is in both prefixes (`prefix`), and at places i, j with min(n - i, m - j) no less than that. Only such pairs are looked at, so
   members of a family with a common template that stay under t share no key in most cases.
 * Keys of one node only, which most are, are found by partial aggregation and leave before anything is joined.
-* Each key's nodes are compared with one of them first (crowded keys, over CROWDED nodes, take one of LEADERS turns, so a family
+* Each key's nodes are compared with one of them first, but where fingerprints have linked them already (crowded keys, over CROWDED nodes, take one of LEADERS turns, so a family
   has a few). While all pairs that are left would be many, nodes outside a key's largest component are compared with a few inside
   (FEW on average), in up to TURNS rounds, while a round finds FRUITFUL links a node. Of the pairs that are left then, those inside one component of the
   links found so far can't change the result; all others are compared by their bits, in blocks of BLOCK nodes. Where the bits leave many
@@ -62,6 +64,7 @@ TURNS = 4
 DEAR = 8  # comparisons a row
 FRUITFUL = 0.02  # links a node: a round that finds fewer is followed by the last one
 LEADERS = 4
+WIDE_TABLES, WIDE_BITS, WIDE_LIMIT = 12, 24, 8
 PARTS = 16
 SAMPLE_ROWS, SAMPLE_PART = 20_000, 10  # the shingles of a tenth of the rows, or of so many if that is more, are counted for the order of the sets
 HOT = 400_000  # shingles of known count at most: two numbers each, broadcast
@@ -139,6 +142,12 @@ def exact_tables(limit: int = 2, longs: int = 1) -> np.ndarray:
     return np.stack([_mask(np.isin(owner, c)) for c in combinations(range(limit + 2), 2)])
 
 
+def wide_tables() -> np.ndarray:
+    """Masks (WIDE_TABLES x 1, uint64) of WIDE_BITS bits each, the same in every run."""
+    rng = np.random.default_rng(11)
+    return np.stack([_mask(np.isin(np.arange(64), rng.permutation(64)[:WIDE_BITS])) for _ in range(WIDE_TABLES)])
+
+
 def _mask(bits: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(">u8").astype(np.uint64)
 
@@ -210,6 +219,19 @@ def links(nodes: DataFrame, longs: int, masks: np.ndarray, limit: int, exact: bo
     return out
 
 
+def print_pairs(nodes: DataFrame) -> DataFrame:
+    """a, b: nodes (node, w0) that meet in a pivot table, pass the pivot test and differ in WIDE_LIMIT bits or fewer; a stored table.
+
+    Each key's nodes meet one of them, another one in another table, so there are at most WIDE_TABLES pairs a node."""
+    keyed = stored(table_keys(nodes, 1, wide_tables()), "wide-tables")
+    first = keyed.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.pmod("key", F.lit(LEADERS))), "node")).alias("l"), F.count("*").alias("all"))
+    first = stored(first.where("all > 1").select("key", F.col("l.node").alias("a")), "wide-centres")
+    met = keyed.withColumnRenamed("node", "b").join(_small(first), "key").where("a != b")
+    out = stored(_close(_in_order(met), nodes, 1, WIDE_LIMIT).select("a", "b"), "wide-prints")
+    discard(keyed, first)
+    return out
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label: the least node that can be reached over edges (a, b); a stored table.
 
@@ -477,12 +499,18 @@ def wide_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
                 node = np.fromiter((xxhash.xxh64_intdigest(h[x:y].tobytes(), 7) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)), np.uint64, j - i)
                 size, ends, keys = prefix(row, h, j - i, similarity, *order_of.value)
                 stops, bits = parity(row, h, size)
+                prints = majority(row, h, j - i)[:, 0]
                 lists = [pa.ListArray.from_arrays(pa.array(np.r_[0, e], pa.int32()), pa.array(x)) for e, x in ((ends, keys.view(np.int64)), (stops, bits))]
-                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], b.column(1)[i:j], pa.array(node.view(np.int64)), pa.array(size, pa.int32()), *lists], names=["id", "h", "node", "size", "keys", "bits"])
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], b.column(1)[i:j], pa.array(node.view(np.int64)), pa.array(size, pa.int32()), pa.array(np.ascontiguousarray(prints)), *lists], names=["id", "h", "node", "size", "w0", "keys", "bits"])
 
-    prints = stored(docs.select("id", "h", "text").mapInArrow(first, "id long, h long, node long, size int, keys array<bigint>, bits array<bigint>"), "wide")
-    rows = stored(prints.groupBy("id", "h", "node").agg(F.count("*").alias("rows"), F.first("size").alias("n"), F.first("bits").alias("bits")), "wide-rows")
-    nodes = stored(rows.groupBy("node").agg(F.min(F.struct("id", "h", "rows")).alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits")), "wide-nodes")
+    prints = stored(docs.select("id", "h", "text").mapInArrow(first, "id long, h long, node long, size int, w0 long, keys array<bigint>, bits array<bigint>"), "wide")
+    rows = stored(prints.groupBy("id", "h", "node").agg(F.count("*").alias("rows"), F.first("size").alias("n"), F.first("w0").alias("w0"), F.first("bits").alias("bits")), "wide-rows")
+    nodes = stored(rows.groupBy("node").agg(F.min(F.struct("id", "h", "rows")).alias("least"), F.first("n").alias("n"), F.first("w0").alias("w0"), F.first("bits").alias("bits")), "wide-nodes")
+    similar = lambda pairs: _similar(pairs, nodes, docs, shingle, similarity)
+    met = print_pairs(nodes)
+    close = similar(_likely(met, nodes, similarity))
+    label = components(close)
+    discard(met, close)
     keyed = prints.select("node", F.col("size").alias("n"), F.posexplode("keys").alias("pos", "key"))
     smaller = F.col("n") - F.col("pos") >= F.ceil(F.col("n") * (2 * similarity / (1 + similarity)) - 1e-6)  # can be the smaller side
     shared = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.max(smaller).alias("small")).where("a < b and small")
@@ -493,14 +521,12 @@ def wide_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     lead = stored(lead.select("key", "all", F.when(F.col("all") > CROWDED, F.col("many")).otherwise(F.col("few")).alias("l")), "wide-leaders")
     led = met.select("key", F.col("node").alias("bnode"), F.col("n").alias("bn"), F.col("pos").alias("bpos")).join(_small(lead.select("key", *[F.col(f"l.{c}").alias(f"a{c}") for c in ("node", "n", "pos")])), "key")
     near = _in_order(led.where("anode != bnode").where(_fits("a", "b", similarity)).select(F.col("anode").alias("a"), F.col("bnode").alias("b")))
-    close = _similar(_likely(near, nodes, similarity), nodes, docs, shingle, similarity)
-    label = components(close)
-    discard(close)
+    parted = _named(near, label).where("la != lb").select("a", "b")  # fingerprints have linked the others
+    label, _ = _followed(label, similar(_likely(parted, nodes, similarity)))
     leaders = _small(lead.where("all > 2").select("key", F.col("l.node").alias("lead")))
     at = met.join(leaders, "key").where("node != lead").groupBy("node").agg(F.collect_list(F.struct("key", "pos")).alias("at"))  # pairs with a leader are judged
     held = stored(nodes.select("node", "n", "bits").join(at, "node"), "wide-held")
     m, cost = _open(held, label)
-    similar = lambda pairs: _similar(pairs, nodes, docs, shingle, similarity)
     turn, fruitful, last = 0, FRUITFUL * held.count(), cost <= DEAR
     while not last:  # rounds of some pairs while they find many links
         label, joined = _followed(label, similar(_some(m, turn, similarity)))

@@ -212,6 +212,21 @@ def test_copies_of_one_text_are_not_paired_out(spark, monkeypatch):
     assert sum(judged) <= 16 * len(texts), judged  # of 44,850 pairs
 
 
+def test_near_duplicates_come_through_fingerprints_first(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = []
+    for i in range(60):  # one of 300 words changed: a few bits differ
+        t = [f"{i}w{k}" for k in range(300)]
+        rows.append((2 * i, " ".join(t)))
+        t[rng.randrange(300)] = "other"
+        rows.append((2 * i + 1, " ".join(t)))
+    found, prints = [], simhash.print_pairs
+    monkeypatch.setattr(simhash, "print_pairs", lambda nodes: (out := prints(nodes), found.append(out.count()))[0])
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in got.select("doc_id").collect()} == set(range(0, 120, 2))
+    assert found and 40 <= found[0] <= 60  # most pairs meet in the pivot tables
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(8)
     edges = [(i, i + 1) for i in range(200)] + [(500 + rng.randrange(60), 600 + k) for k in range(60)] + [(777, 700 + k) for k in range(150) if k != 77]

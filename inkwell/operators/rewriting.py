@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,14 +47,28 @@ def hits(text: Column, patterns: tuple[str, ...]) -> Column:
     return F.regexp_count(t, F.lit(f"(?i){EDGE}(?:" + "|".join(p.replace(" ", "  ") for p in patterns) + f"){EDGE}"))
 
 
-def plain_wording(text: Column) -> Column:
-    """Wordy phrases become plain ones, capitals kept, double blanks single."""
+def _needle(pattern: str) -> str:
+    """The longest literal stretch of a phrase's pattern."""
+    return max(re.split(r"\(\?:[^)]*\)\??", pattern), key=len)
+
+
+def _plainer(text: Column, phrase: str, plain: str) -> Column:
+    rest = phrase[1:].replace("s", "[s\u017f]").replace("k", "[k\u212a]")
+    has = F.contains(F.replace(F.lower(text), F.lit("\u017f"), F.lit("s")), F.lit(_needle(phrase)))
     out = text
+    for a, b in ((phrase[0], plain), (phrase[0].upper(), plain[:1].upper() + plain[1:])):
+        out = F.regexp_replace(out, rf"(^|{EDGE}){a}(?i:{rest})(\z|{EDGE})", f"$1{b}$2")
+    return F.when(has, out).otherwise(text)
+
+
+def plain_wording(text: Column) -> Column:
+    """Wordy phrases become plain ones, capitals kept, double blanks single.
+
+    A text without a phrase's letters is not searched for it: what the steps before made of a text is tested each time."""
+    step = lambda p, plain: lambda t: _plainer(t, p, plain)
     for p, plain in PLAIN:
-        first, rest = p[0], p[1:]
-        for a, b in ((first, plain), (first.upper(), plain[:1].upper() + plain[1:])):
-            out = F.regexp_replace(out, rf"(^|{EDGE}){a}(?i:{rest})($|{EDGE})", f"$1{b}$2")
-    return F.regexp_replace(out, " {2,}", " ")
+        text = T.let(text, step(p, plain))
+    return F.regexp_replace(text, " {2,}", " ")
 
 
 def problems(masked: Column, output: Column, strength: str) -> Column:

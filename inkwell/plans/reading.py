@@ -157,8 +157,7 @@ INVERTED = ((1, {"the": [0, 3], "cat": [1], "saw": [2], "dog": [4]}), (2, {"alon
 
 
 def io41(spark, sf_dir):
-    w = table(spark, sf_dir, "documents").select((F.col("doc_id") + 100).alias("id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), " ", -1)).alias("p", "w"))
-    index = w.groupBy("id", "w").agg(F.array_sort(F.collect_list("p")).alias("ps")).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("index"))
+    index = L.inverted_index(table(spark, sf_dir, "documents").select((F.col("doc_id") + 100).alias("id"), "text"))
     return L.from_inverted_index(spark.createDataFrame(list(INVERTED), "id long, index map<string, array<int>>").unionByName(index))
 
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +16,9 @@ from inkwell.operators.tokens import ngrams, with_words
 from inkwell.sources.latex import latex_text
 from inkwell.sources.markup import decoded, file_kind
 
+#: Words of a slice of an inverted index; a longer text is a slice of its own.
+SLICE = 150_000
+
 
 def folder(spark: SparkSession, path: str) -> DataFrame:
     """name, kind, text: text, Markdown and LaTeX files under a folder of any store, read by Spark. Hidden files and read-mes are
@@ -48,10 +56,35 @@ def latest_results(history: DataFrame) -> DataFrame:
     return history.groupBy("key").agg(F.max("created").alias("created"), F.max_by("result", F.struct("created", "result")).alias("result"))
 
 
+def inverted_index(texts: DataFrame) -> DataFrame:
+    """id, index map<string, array<int>>: the places of each word between single blanks (texts: id, text), made in the scan's tasks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(b.column("w"))))]).astype(np.int64)
+            i = 0
+            while i < b.num_rows:
+                j = max(i + 1, int(np.searchsorted(at, at[i] + SLICE, "right")) - 1)
+                d = b.column("w").slice(i, j - i).flatten().dictionary_encode()
+                row = np.repeat(np.arange(j - i), np.diff(at[i : j + 1]))
+                code = np.asarray(d.indices).astype(np.int64)
+                order = np.lexsort((code, row))  # stable: places stay in order
+                place = (np.arange(len(code)) - (at[i:j] - at[i])[row])[order].astype(np.int32)
+                code, row = code[order], row[order]
+                head = np.flatnonzero((np.diff(code, prepend=-1) != 0) | (np.diff(row, prepend=-1) != 0))
+                places = pa.ListArray.from_arrays(pa.array(np.append(head, len(code)).astype(np.int32)), pa.array(place))
+                words = d.dictionary.take(pa.array(code[head]))
+                maps = pa.MapArray.from_arrays(pa.array(np.searchsorted(row[head], np.arange(j - i + 1)).astype(np.int32)), words, places)
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), maps], ["id", "index"])
+                i = j
+
+    w = texts.select("id", F.split(F.coalesce("text", F.lit("")), " ", -1).alias("w"))
+    return w.mapInArrow(run, f"id {w.schema['id'].dataType.simpleString()}, index map<string,array<int>>")
+
+
 def from_inverted_index(index: DataFrame) -> DataFrame:
-    """id, text of (id, index map<string, array<int>>): words put back at their places."""
-    w = index.select("id", F.explode("index").alias("word", "at")).select("id", "word", F.explode("at").alias("p"))
-    return w.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("p", "word"))).alias("w")).select("id", F.array_join(F.transform("w", lambda x: x["word"]), " ").alias("text"))
+    """id, text of (id, index map<string, array<int>>): words put back at their places, in each row by itself."""
+    at = F.flatten(F.transform(F.map_entries("index"), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("word")))))
+    return index.select("id", F.array_join(F.transform(F.array_sort(at), lambda x: x["word"]), " ").alias("text"))
 
 
 def phrase_search(phrases: DataFrame, corpus: DataFrame, most: int = 3) -> DataFrame:
